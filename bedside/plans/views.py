@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from bedside.functions.expr import lookup
 from bedside.functions.ordered import Ordered
 from bedside.operators import temporal
+from bedside.sources.tables import materialise
 
 LOCATION = {"error": "icu", "view": "ward", "purchase": "ed", "signup": "procedural", "click": "other"}
 DEVICE = {"error": "imv", "signup": "nippv", "purchase": "high flow nc", "view": "nasal cannula"}
@@ -76,7 +77,7 @@ def visit(spark, sf):
 def blocks(spark, sf):
     """``visit`` of adults with the encounter block."""
     v = visit(spark, sf).where("age_at_admission >= 18")
-    return temporal.stitch_encounters(v, 6)
+    return materialise(temporal.stitch_encounters(v, 6), "encounters")
 
 
 def hosp(spark, sf):

@@ -7,7 +7,6 @@ import json
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +22,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/bedside/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate once and read it back: later steps start from files that
+    survive lost executors instead of repeating the whole lineage."""
+    spark = df.sparkSession
+    dest = scratch(spark, name)
+    df.write.parquet(dest)
+    return spark.read.schema(df.schema).parquet(dest)
+
+
 def find_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
                prefixes: tuple[str, ...] = ("",)) -> DataFrame | None:
     """The first of ``<prefix><name>.<fmt>`` that exists; None when none does."""
     for prefix in prefixes:
-        try:
+        path = f"{root.rstrip('/')}/{prefix}{name}.{fmt}"
+        if exists(spark, path):
             reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-            return reader.format(fmt).load(f"{root.rstrip('/')}/{prefix}{name}.{fmt}")
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
+            return reader.format(fmt).load(path)
     return None
 
 
@@ -116,13 +127,9 @@ def cached_subset(spark: SparkSession, source: DataFrame, make_ids, id_column: s
     called only on a miss. Returns the subset and whether it was reused."""
     want = json.dumps([definition_hash(version, params), source_signature(source), columns])
     stamp = hashlib.sha256(want.encode()).hexdigest()
-    if not force_refresh:
-        try:
-            if spark.read.text(dest + "_manifest").first()["value"] == stamp:
-                return spark.read.parquet(dest), True
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
+    if not force_refresh and exists(spark, dest + "_manifest"):
+        if spark.read.text(dest + "_manifest").first()["value"] == stamp:
+            return spark.read.parquet(dest), True
     subset_to_cohort(source, make_ids(), id_column, dest, columns)
     spark.createDataFrame([(stamp,)], "value string").coalesce(1).write.mode("overwrite").text(
         dest + "_manifest")
