@@ -36,13 +36,19 @@ class Ordered:
     """Collects ordered columns and computes them in one two-level pass.
 
     ``order`` must be a total order inside a key (add a tie breaker column) and
-    its first column must be the one ``slice_col`` was made from.
+    its first column must be the one ``slice_col`` was made from. Keys are ids and
+    must not be null. ``apply(keep_slice=True)`` leaves the slice column in, so a
+    following pass over the same keys finds its rows already placed and does not
+    shuffle again.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str],
                  slice_col: Column | None = None):
         self.df, self.keys, self.order = df, list(keys), list(order)
-        self.slice_col = time_slice(order[0]) if slice_col is None else slice_col
+        if slice_col is None:
+            slice_col = F.col("_slice") if "_slice" in df.columns else time_slice(order[0])
+        # a null order value sorts first, so it gets the lowest slice
+        self.slice_col = F.coalesce(slice_col, F.lit(-(1 << 62)))
         self.ops: list[tuple] = []
 
     def _add(self, kind, name, col, k=1):
@@ -76,7 +82,7 @@ class Ordered:
     def row_number(self, name):
         return self._add("sum", name, F.lit(1).cast("long"))
 
-    def apply(self) -> DataFrame:
+    def apply(self, keep_slice: bool = False) -> DataFrame:
         part = self.keys + ["_slice"]
         w = Window.partitionBy(*part).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -103,7 +109,8 @@ class Ordered:
             else:
                 cols[f"_v{i}"] = (F.sum if kind == "sum" else F.max)(c).over(upto)
                 tail.add(f"_v{i}")
-        local = self.df.withColumn("_slice", self.slice_col).withColumns(cols)
+        base = self.df if "_slice" in self.df.columns else self.df.withColumn("_slice", self.slice_col)
+        local = base.withColumns(cols)
 
         key_order = F.struct(*[F.col(o) for o in self.order])
         aggs = []
@@ -134,8 +141,10 @@ class Ordered:
 
         both = local.alias("l").join(
             carry.alias("c"),
-            [F.col(f"l.{p}").eqNullSafe(F.col(f"c.{p}")) for p in part], "left")
-        out = [F.col(f"l.{c}") for c in self.df.columns]
+            [F.col(f"l.{p}") == F.col(f"c.{p}") for p in part], "left")
+        out = [F.col(f"l.{c}") for c in self.df.columns if c != "_slice"]
+        if keep_slice:
+            out.append(F.col("l._slice"))
         for i, (kind, name, _, k) in enumerate(self.ops):
             if kind in ("lag", "lead"):
                 v = F.col(f"_s{i}_{k}")

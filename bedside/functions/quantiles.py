@@ -26,14 +26,19 @@ def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, dict[str, f
     ``linear`` interpolates between neighbours; ``nearest`` takes the row at
     ``round(p * (n - 1))``, half to even. Nulls and NaN do not count.
     """
-    cols = list(probs)
-    keys = list(keys)
-    part = keys + ["_m"]
+    return _by_struct(df, list(keys), probs, interpolation).select("_k.*", *[
+        n for d in probs.values() for n in d])
+
+
+def _by_struct(df, keys, probs, interpolation):
+    """Quantiles keyed by one struct ``_k``: null group values compare equal inside a
+    struct, so plain equality works and partitionings carry over."""
+    cols, part = list(probs), ["_k", "_m"]
     pairs = (
-        df.select(*keys, F.explode(F.array(*[
+        df.select(_key(keys), F.explode(F.array(*[
             F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v"))
             for i, c in enumerate(cols)])).alias("_e"))
-        .select(*keys, "_e._m", "_e._v")
+        .select("_k", "_e._m", "_e._v")
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .withColumn("_slice", value_slice("_v"))
         .groupBy(*part, "_slice", "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -44,20 +49,18 @@ def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, dict[str, f
     n, lo_hi = F.col("_n"), {}
     for p in ranks:
         h = _rank(n, p, interpolation)
-        lo_hi[p] = (F.floor(h), F.ceil(h), h)
+        lo_hi[p] = (F.floor(h), F.ceil(h))
     seg = (
         pairs.groupBy(*part, "_slice").agg(F.sum("_c").alias("_sc"))
         .withColumn("_b", F.coalesce(F.sum("_sc").over(wo), F.lit(0)))
         .withColumn("_n", F.sum("_sc").over(ws))
     )
     hit = F.lit(False)
-    for lo, hi, _ in lo_hi.values():
+    for lo, hi in lo_hi.values():
         hit = hit | ((F.col("_b") <= hi) & (lo < F.col("_b") + F.col("_sc")))
     seg = seg.where(hit).drop("_sc")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part + ["_slice"]]
     ranked = (
-        pairs.alias("a").join(seg.alias("b"), on)
-        .select(*[F.col(f"a.{c}") for c in part + ["_slice", "_v", "_c"]], "_b", "_n")
+        pairs.join(seg, [*part, "_slice"])
         .withColumn("_hi", F.col("_b") + F.sum("_c").over(
             Window.partitionBy(*part, "_slice").orderBy("_v")))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
@@ -67,23 +70,22 @@ def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, dict[str, f
         mine = F.col("_m") == i
         aggs.append(F.max(F.when(mine, n)).alias(f"_n{i}"))
         for name, p in probs[c].items():
-            lo, hi, _ = lo_hi[p]
-            for tag, r in (("l", lo), ("h", hi)):
+            for tag, r in zip("lh", lo_hi[p]):
                 aggs.append(F.max(F.when(mine & (F.col("_lo") <= r) & (r < F.col("_hi")),
                                          F.col("_v"))).alias(f"_{tag}_{i}_{name}"))
             h = _rank(F.col(f"_n{i}"), p, interpolation)
             a, b = F.col(f"_l_{i}_{name}"), F.col(f"_h_{i}_{name}")
             outs.append((a + (b - a) * (h - F.floor(h))).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+    return ranked.groupBy("_k").agg(*aggs).select("_k", *outs)
+
+
+def _key(keys):
+    return F.struct(*[F.col(k) for k in keys] or [F.lit(0).alias("_all")]).alias("_k")
 
 
 def with_quantiles(df: DataFrame, keys: list[str], aggs: list, probs: dict,
                    interpolation: str = "linear") -> DataFrame:
     """Ordinary aggregates and exact quantiles of the same groups side by side."""
-    base = df.groupBy(*keys).agg(*aggs)
-    q = group_quantiles(df, keys, probs, interpolation)
-    if not keys:
-        return base.crossJoin(q)  # one row each
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    return base.alias("a").join(q.alias("b"), on, "left").drop(
-        *[F.col(f"b.{k}") for k in keys])
+    q = _by_struct(df, keys, probs, interpolation)
+    out = df.withColumn("_k", _key(keys)).groupBy("_k").agg(*aggs).join(q, "_k", "left")
+    return out.select("_k.*", *out.columns[1:]).drop("_all")
