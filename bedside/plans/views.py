@@ -80,6 +80,20 @@ def blocks(spark, sf):
     return materialise(temporal.stitch_encounters(v, 6), "encounters")
 
 
+def meds(spark, sf):
+    """The events as continuous drug administrations."""
+    o = obs(spark, sf)
+    s = F.col("setting").cast("int")
+    med = lookup("category", MED)
+    return o.select(
+        "encounter_block", "event_id", (F.col("encounter_block") * 10 + F.dayofmonth("recorded_dttm") % 10).alias("hospitalization_id"),
+        F.col("recorded_dttm").alias("admin_dttm"), med.alias("med_category"),
+        F.when(med == "propofol", "sedation").otherwise("vasoactives").alias("med_group"),
+        F.concat(med, F.lit(" "), (s % 3).cast("string")).alias("med_name"), F.col("value").alias("med_dose"),
+        F.when(s % 5 == 0, "mg/hr").when(s % 5 == 1, "mcg/kg/min").when(s % 5 == 2, "MCG / kg / Hour")
+        .when(s % 5 == 3, "units/min").alias("med_dose_unit"))
+
+
 def hosp(spark, sf):
     k = F.col("o_orderkey")
     return table(spark, sf, "orders").select(
@@ -114,7 +128,8 @@ def dx(spark, sf):
     return li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("l_orderkey").alias("hospitalization_id"), F.col("p_type").alias("diagnosis_type"),
         F.col("p_size").alias("p_size"), F.col("l_linenumber").alias("line"),
-        F.concat(F.substring("p_type", 1, 1), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."),
+        F.concat(F.substring(F.lit("ICEGKBFJM"), (F.col("l_partkey") % 9 + 1).cast("int"), F.lit(1)),
+                 F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."),
                  F.col("l_linenumber").cast("string")).alias("diagnosis_code"),
         F.when(F.col("l_returnflag") == "A", "ICD9CM").otherwise("ICD10CM").alias("diagnosis_code_format"),
         (F.col("l_linenumber") == 1).cast("int").alias("diagnosis_primary"))
@@ -150,6 +165,12 @@ CTE = {
         OVER (PARTITION BY patient_id ORDER BY admission_dttm, hospitalization_id) AS bn FROM vm),
       blocks AS (SELECT *, first_value(hospitalization_id) OVER (PARTITION BY patient_id, bn
         ORDER BY admission_dttm, hospitalization_id) AS encounter_block FROM vb)""",
+    "meds": """meds AS (SELECT encounter_block, event_id, encounter_block * 10 + day(recorded_dttm) % 10 AS hospitalization_id,
+      recorded_dttm AS admin_dttm, m AS med_category, CASE WHEN m = 'propofol' THEN 'sedation' ELSE 'vasoactives' END AS med_group,
+      m || ' ' || CAST(CAST(setting AS INT) % 3 AS VARCHAR) AS med_name, value AS med_dose,
+      CASE CAST(setting AS INT) % 5 WHEN 0 THEN 'mg/hr' WHEN 1 THEN 'mcg/kg/min' WHEN 2 THEN 'MCG / kg / Hour' WHEN 3 THEN 'units/min' END AS med_dose_unit
+      FROM (SELECT *, CASE category WHEN 'purchase' THEN 'norepinephrine' WHEN 'error' THEN 'epinephrine' WHEN 'view' THEN 'vasopressin'
+        WHEN 'click' THEN 'propofol' ELSE 'dopamine' END AS m FROM obs))""",
     "hosp": """hosp AS (SELECT o_orderkey AS hospitalization_id, o_custkey AS patient_id, o_orderdate AS admission_dttm,
       o_orderdate + to_days(CAST(o_orderkey % 40 AS INTEGER)) AS discharge_dttm, o_orderkey % 90 AS age_at_admission,
       CASE o_orderstatus WHEN 'F' THEN 'Expired' WHEN 'P' THEN 'Hospice' ELSE 'Home' END AS discharge_category,
@@ -161,12 +182,12 @@ CTE = {
     "win": """win AS (SELECT encounter_block, min(recorded_dttm) FILTER (category = 'purchase') AS start_dttm,
       max(recorded_dttm) AS end_dttm FROM obs GROUP BY 1 HAVING min(recorded_dttm) FILTER (category = 'purchase') IS NOT NULL)""",
     "dx": """dx AS (SELECT l_orderkey AS hospitalization_id, p_type AS diagnosis_type, p_size, l_linenumber AS line,
-      substr(p_type, 1, 1) || lpad(CAST(p_size AS VARCHAR), 2, '0') || '.' || CAST(l_linenumber AS VARCHAR) AS diagnosis_code,
+      substr('ICEGKBFJM', CAST(l_partkey % 9 + 1 AS INTEGER), 1) || lpad(CAST(p_size AS VARCHAR), 2, '0') || '.' || CAST(l_linenumber AS VARCHAR) AS diagnosis_code,
       CASE WHEN l_returnflag = 'A' THEN 'ICD9CM' ELSE 'ICD10CM' END AS diagnosis_code_format,
       CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS diagnosis_primary
       FROM lineitem JOIN part ON l_partkey = p_partkey)""",
 }
-NEEDS = {"resp": ["obs"], "visit": ["obs"], "blocks": ["visit"], "win": ["obs"]}
+NEEDS = {"resp": ["obs"], "meds": ["obs"], "visit": ["obs"], "blocks": ["visit"], "win": ["obs"]}
 
 
 def with_views(names: str, extra: str, body: str) -> str:
