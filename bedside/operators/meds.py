@@ -104,14 +104,14 @@ def dose_distributions(meds: DataFrame, low: float | None, high: float | None) -
     ).withColumn("outlier_count", F.col("raw_count") - F.col("clean_count"))
 
 
-def dose_table(meds: DataFrame, minimum: int = 5) -> DataFrame:
-    """Dose statistics of (drug, unit) groups with enough rows, two decimals."""
+def dose_table(meds: DataFrame, minimum: int = 5, digits: int = 2) -> DataFrame:
+    """Dose statistics of (drug, unit) groups with enough rows, rounded."""
     d = meds.where("med_dose is not null and med_dose_unit is not null")
     s = with_quantiles(d, ["med_category", "med_dose_unit"], [
         F.count(F.lit(1)).alias("count"), F.min("med_dose").alias("min"), F.max("med_dose").alias("max"),
         F.avg("med_dose").alias("mean"), F.stddev_samp("med_dose").alias("stddev")],
         {"med_dose": {"median": 0.5, "q1": 0.25, "q3": 0.75}}).where(F.col("count") >= minimum)
-    return s.withColumns({c: F.round(c, 2) for c in ("min", "max", "mean", "median", "q1", "q3", "stddev")})
+    return s.withColumns({c: F.round(c, digits) for c in ("min", "max", "mean", "median", "q1", "q3", "stddev")})
 
 
 def dose_histograms(meds: DataFrame, top: int = 20, bins: int = 50) -> DataFrame:
