@@ -106,7 +106,7 @@ reg("dose_table", "h9", "h14", """SELECT med_category, med_dose_unit, count(*) A
   FROM {t} WHERE med_dose IS NOT NULL AND med_dose_unit IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5""", lambda m: M.dose_table(m, digits=5))
 
 reg("dose_histograms", "h10", "h14", """SELECT * FROM (WITH v AS (SELECT * FROM {t} WHERE med_dose_unit IS NOT NULL),
-  b AS (SELECT med_category, med_dose_unit, quantile_cont(med_dose, 0.25) AS q1, quantile_cont(med_dose, 0.75) AS q3, min(med_dose) AS mn, max(med_dose) AS mx FROM v GROUP BY 1, 2
+  b AS (SELECT med_category, med_dose_unit, round(quantile_cont(med_dose, 0.25), 9) AS q1, round(quantile_cont(med_dose, 0.75), 9) AS q3, min(med_dose) AS mn, max(med_dose) AS mx FROM v GROUP BY 1, 2
     ORDER BY count(*) DESC, med_category, med_dose_unit LIMIT 6),
   r AS (SELECT *, greatest(mn, q1 - 1.5::DOUBLE * (q3 - q1)) AS lo, least(mx, q3 + 1.5::DOUBLE * (q3 - q1)) AS hi FROM b)
   SELECT med_category, med_dose_unit, CAST(least(floor((med_dose - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS n, min(med_dose) AS bin_min, max(med_dose) AS bin_max
