@@ -371,11 +371,12 @@ def observation_share(resp: DataFrame, settings: list[str]) -> DataFrame:
     return cells.crossJoin(total).withColumn("pct", pct(F.col("n"), F.col("total")))  # one-row side
 
 
-def hourly_setting(post_start: DataFrame, setting: str, modes: list[str], max_hour: int = 168, minimum: int = 10) -> DataFrame:
+def hourly_setting(post_start: DataFrame, setting: str, modes: list[str], max_hour: int = 168, minimum: int = 10,
+                   keys: list[str] | None = None) -> DataFrame:
     """Setting by rounded hour since ventilation start, hours with enough values."""
     d = (post_start.where(F.col("mode_category").isin(modes))
          .withColumn("hour_bin", F.bround("hours_from_vent_start", 0).cast("int")).where(F.col("hour_bin") <= max_hour))
-    s = with_quantiles(d, ["hour_bin"], [F.avg(setting).alias("mean"), F.stddev_samp(setting).alias("std"),
+    s = with_quantiles(d, [*(keys or []), "hour_bin"], [F.avg(setting).alias("mean"), F.stddev_samp(setting).alias("std"),
                                          F.count(setting).alias("count")],
                        {setting: {"median": 0.5, "q25": 0.25, "q75": 0.75}})
     return s.where(F.col("count") >= minimum)
