@@ -102,3 +102,8 @@ def first_by(df: DataFrame, keys: list[str], order: list[str], cols: list[str] |
     return (df.groupBy(*keys)
             .agg(pick(F.struct(*cols), F.struct(*order)).alias("_r"))
             .select(*keys, "_r.*"))
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row result (totals, limits) on every row, as scalar subqueries."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})

@@ -26,19 +26,19 @@ def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, dict[str, f
     ``linear`` interpolates between neighbours; ``nearest`` takes the row at
     ``round(p * (n - 1))``, half to even. Nulls and NaN do not count.
     """
-    return _by_struct(df, list(keys), probs, interpolation).select("_k.*", *[
+    return _by_struct(df, list(keys), probs, interpolation).select("_group.*", *[
         n for d in probs.values() for n in d])
 
 
 def _by_struct(df, keys, probs, interpolation):
-    """Quantiles keyed by one struct ``_k``: null group values compare equal inside a
+    """Quantiles keyed by one struct ``_group``: null group values compare equal inside a
     struct, so plain equality works and partitionings carry over."""
-    cols, part = list(probs), ["_k", "_m"]
+    cols, part = list(probs), ["_group", "_m"]
     pairs = (
         df.select(_key(keys), F.explode(F.array(*[
             F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v"))
             for i, c in enumerate(cols)])).alias("_e"))
-        .select("_k", "_e._m", "_e._v")
+        .select("_group", "_e._m", "_e._v")
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .withColumn("_slice", value_slice("_v"))
         .groupBy(*part, "_slice", "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -76,16 +76,16 @@ def _by_struct(df, keys, probs, interpolation):
             h = _rank(F.col(f"_n{i}"), p, interpolation)
             a, b = F.col(f"_l_{i}_{name}"), F.col(f"_h_{i}_{name}")
             outs.append((a + (b - a) * (h - F.floor(h))).alias(name))
-    return ranked.groupBy("_k").agg(*aggs).select("_k", *outs)
+    return ranked.groupBy("_group").agg(*aggs).select("_group", *outs)
 
 
 def _key(keys):
-    return F.struct(*[F.col(k) for k in keys] or [F.lit(0).alias("_all")]).alias("_k")
+    return F.struct(*[F.col(k) for k in keys] or [F.lit(0).alias("_all")]).alias("_group")
 
 
 def with_quantiles(df: DataFrame, keys: list[str], aggs: list, probs: dict,
                    interpolation: str = "linear") -> DataFrame:
     """Ordinary aggregates and exact quantiles of the same groups side by side."""
     q = _by_struct(df, keys, probs, interpolation)
-    out = df.withColumn("_k", _key(keys)).groupBy("_k").agg(*aggs).join(q, "_k", "left")
-    return out.select("_k.*", *out.columns[1:]).drop("_all")
+    out = df.withColumn("_group", _key(keys)).groupBy("_group").agg(*aggs).join(q, "_group", "left")
+    return out.select("_group.*", *out.columns[1:]).drop("_all")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import any_flag, count_when, flag, norm, pct
+from bedside.functions.expr import attach, any_flag, count_when, flag, norm, pct
 from bedside.operators import temporal
 
 BLOCK = "encounter_block"
@@ -208,9 +208,8 @@ def flow_counts(all_stays: DataFrame, adult_stays: DataFrame, flags: DataFrame,
                   one(flag((F.col("cohort_enc") == 1) & (F.col("other_critically_ill") == 1))).alias("other"),
                   one("cohort_enc").alias("all"), one("ward_enc").alias("ward"),
                   one(flag((F.col("ward_enc") == 1) & (F.col("ward_no_critical_care") == 1))).alias("ward_none"))
-    # every side is one row
-    wide = (all_stays.agg(F.countDistinct(hosp_id).alias("total"))
-            .crossJoin(adult_stays.agg(F.countDistinct(hosp_id).alias("adult"))).crossJoin(f))
+    wide = attach(attach(f, all_stays.agg(F.countDistinct(hosp_id).alias("total"))),
+                  adult_stays.agg(F.countDistinct(hosp_id).alias("adult")))
     names = {"0_total_hospitalizations": "total", "1_adult_hospitalizations": "adult", "1b_after_stitching": "stitched",
              "2_icu": "icu", "3_advanced_resp": "resp", "3_vaso": "vaso", "4_other_critically_ill": "other",
              "5_all_critically_ill": "all"}

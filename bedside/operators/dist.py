@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import count_when, entropy_bits, hours_between, pct, top_k, union_all
+from bedside.functions.expr import attach, count_when, entropy_bits, hours_between, pct, top_k, union_all
 from bedside.functions.ordered import Ordered, value_slice
 from bedside.functions.quantiles import group_quantiles, with_quantiles
 from bedside.operators import temporal
@@ -296,7 +296,7 @@ def categorical_profile(df: DataFrame, col: str, top: int | None = None, keys: l
         c = c.join(head, [*keys, "value"], "left").withColumn(
             "value", F.when(F.col("_top") == 1, F.col("value")).otherwise("Other")).groupBy(*keys, "value").agg(F.sum("count").alias("count"))
     t = c.groupBy(*keys).agg(F.sum("count").alias("_t"))
-    c = c.join(t, keys) if keys else c.crossJoin(t)  # one-row side
+    c = c.join(t, keys) if keys else attach(c, t)
     return c.withColumn("percentage", F.bround(pct(F.col("count"), F.col("_t")), 2)).drop("_t")
 
 
@@ -337,7 +337,7 @@ def iqr_outliers(df: DataFrame, keys: list[str], value: str, multiplier: float =
     """Rows outside the IQR fences of their group."""
     q = group_quantiles(df, keys, {value: {"_q1": 0.25, "_q3": 0.75}})
     iqr = F.col("_q3") - F.col("_q1")
-    j = df.join(q, keys) if keys else df.crossJoin(q)  # one-row side
+    j = df.join(q, keys) if keys else attach(df, q)
     return j.where((F.col(value) < F.col("_q1") - multiplier * iqr) | (F.col(value) > F.col("_q3") + multiplier * iqr)).drop("_q1", "_q3")
 
 
@@ -400,7 +400,7 @@ def chi_square(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     t = c.agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"), (F.count(F.lit(1)) - 1).cast("int").alias("dof"))
     row = F.col("n1") + F.col("n2")
     term = lambda o, tot: _chi_term(F.col(o), row * F.col(tot) / (F.col("t1") + F.col("t2")))
-    s = c.crossJoin(t).groupBy("t1", "t2", "dof").agg(F.sum(term("n1", "t1") + term("n2", "t2")).alias("statistic"))  # one-row side
+    s = attach(c, t).groupBy("t1", "t2", "dof").agg(F.sum(term("n1", "t1") + term("n2", "t2")).alias("statistic"))
     half, d = F.col("statistic") / 2, F.col("dof")
     # sum of half^j / Gamma(j + 1), j from 0 or 1/2 in whole steps, by running products
     start = F.when(d % 2 == 0, F.lit(1.0)).otherwise(2 * F.sqrt(half / F.lit(3.141592653589793)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import any_flag, days_between, flag, hours_between, norm, pct
+from bedside.functions.expr import attach, any_flag, days_between, flag, hours_between, norm, pct
 from bedside.functions.ordered import Ordered
 from bedside.functions.quantiles import group_quantiles, with_quantiles
 from bedside.operators import temporal
@@ -125,7 +125,7 @@ def capture_by_location(events: DataFrame, adt: DataFrame, keys: list[str], ts:
     per = placed.groupBy(location).agg(F.count(F.lit(1)).alias("n_events"))
     total = per.agg(F.sum("n_events").alias("_total"))
     hours = stays.groupBy(location).agg(F.sum("stay_hours").alias("total_hours"))
-    return (per.crossJoin(total).join(hours, location, "left")  # one-row side
+    return (attach(per, total).join(hours, location, "left")
             .withColumns({"pct_events": pct(F.col("n_events"), F.col("_total")), "table": F.lit(label),
                           "events_per_hour": F.when((F.col(location) != temporal.NO_MATCH) & (F.col("total_hours") > 0),
                                                     F.col("n_events") / F.col("total_hours"))}).drop("_total"))

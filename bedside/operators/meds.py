@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import any_flag, count_when, hours_between, pct, top_k
+from bedside.functions.expr import attach, any_flag, count_when, hours_between, pct, top_k
 from bedside.functions.quantiles import with_quantiles
 
 BLOCK = "encounter_block"
@@ -68,7 +68,7 @@ def drug_summary(m: DataFrame, total: DataFrame, groups: dict[str, list[str]], k
     units = week.where("med_dose_unit is not null").groupBy(*by, "med_dose_unit").agg(F.count(F.lit(1)).alias("_n"))
     mode = units.groupBy(*by).agg(F.min_by("med_dose_unit", F.struct(-F.col("_n"), F.col("med_dose_unit"))).alias("dose_unit"))
     out = q.join(mode, by, "left")
-    out = out.join(total, keys) if keys else out.crossJoin(total)  # one-row side
+    out = out.join(total, keys) if keys else attach(out, total)
     label = F.create_map(*[F.lit(x) for kv in member.items() for x in kv])
     return out.withColumns({"pct_encounters": pct(F.col("n_encounters"), F.col("n_icu")),
                             "group": F.element_at(label, F.col("med_lower"))}).withColumnRenamed("med_lower", "medication").drop("n_icu")
@@ -83,7 +83,7 @@ def group_exposure(meds: DataFrame, ident: str = "hospitalization_id") -> DataFr
         F.grouping("med_category").alias("is_group"))
     g = g.where((F.col("is_group") == 1) | F.col("med_category").isNotNull())
     total = meds.agg(F.countDistinct(ident).alias("_t"))
-    return g.crossJoin(total).withColumn("pct", F.when(F.col("is_group") == 1, F.round(  # one-row side
+    return attach(g, total).withColumn("pct", F.when(F.col("is_group") == 1, F.round(
         pct(F.col("hospitalizations"), F.col("_t")), 2))).drop("_t", "is_group")
 
 
@@ -146,7 +146,7 @@ def group_administrations(meds: DataFrame, ident: str = "hospitalization_id") ->
     s = with_quantiles(per, ["med_group"], [F.count(F.lit(1)).alias("exposed_hosps"), F.avg("_n").alias("avg_administrations"),
                                             F.min("_n").alias("min_administrations"), F.max("_n").alias("max_administrations")],
                        {"_n": {"median_administrations": 0.5}})
-    s = s.crossJoin(total).withColumn("percentage", F.round(pct(F.col("exposed_hosps"), F.col("_t")), 2)).drop("_t")  # one-row side
+    s = attach(s, total).withColumn("percentage", F.round(pct(F.col("exposed_hosps"), F.col("_t")), 2)).drop("_t")
     s = s.withColumns({c: F.bround(c, 0).cast("int") for c in ("avg_administrations", "median_administrations")})
     row = total.select(F.lit("TOTAL_HOSPITALIZATIONS").alias("med_group"), F.col("_t").alias("exposed_hosps"), F.lit(100.0).alias("percentage"))
     return s.unionByName(row, allowMissingColumns=True)

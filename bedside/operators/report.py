@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import count_when, first_by, pct, union_all, wilson
+from bedside.functions.expr import attach, count_when, first_by, pct, union_all, wilson
 from bedside.functions.quantiles import with_quantiles
 from bedside.operators import temporal
 from bedside.operators.clean import stack
@@ -230,7 +230,7 @@ def insert_after(numbers: DataFrame, extra: DataFrame, anchor: str) -> DataFrame
     """Extra lines placed right after an anchor line (fractional positions, renumbered by
     whoever displays them)."""
     at = numbers.where(F.trim("label") == anchor).agg(F.max("pos").alias("_a"))
-    moved = extra.crossJoin(at).withColumn("pos", F.col("_a") + (F.col("pos") + 1) / 1000.0).drop("_a")  # one-row side
+    moved = attach(extra, at).withColumn("pos", F.col("_a") + (F.col("pos") + 1) / 1000.0).drop("_a")
     return numbers.withColumn("pos", F.col("pos").cast("double")).unionByName(moved, allowMissingColumns=True)
 
 
@@ -238,7 +238,7 @@ def level_counts(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """n (%) of each level, missing shown, with its frequency order."""
     c = df.groupBy(*keys, F.coalesce(F.col(col).cast("string"), F.lit("Missing")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
     t = c.groupBy(*keys).agg(F.sum("n").alias("_t"))
-    c = c.join(t, keys) if keys else c.crossJoin(t)  # one-row side
+    c = c.join(t, keys) if keys else attach(c, t)
     return c.withColumn("pct", pct(F.col("n"), F.col("_t"))).drop("_t")
 
 
@@ -340,7 +340,7 @@ def comorbidity_headline(prevalence: DataFrame, total: DataFrame) -> DataFrame:
     """Totals, average per hospitalization and the most common condition. ``total`` has ``n_total``."""
     s = prevalence.agg(F.sum("n_patients").alias("total_comorbidities"), F.max_by(
         "comorbidity", F.struct("per_1000_hospitalizations", "n_patients", "comorbidity")).alias("most_common"), F.max("per_1000_hospitalizations").alias("most_common_per_1000"))
-    return s.crossJoin(total).withColumn("avg_per_hospitalization", F.bround(F.col("total_comorbidities") / F.col("n_total"), 2))  # one-row sides
+    return attach(s, total).withColumn("avg_per_hospitalization", F.bround(F.col("total_comorbidities") / F.col("n_total"), 2))
 
 
 def end_of_life(enc: DataFrame, keys: list[str]) -> DataFrame:
@@ -389,7 +389,7 @@ def summary_by_group(df: DataFrame, numeric: list[str], keys: list[str]) -> Data
 def demographics_slice(lines: DataFrame, label: str = "label", line: str = "line", stop: str = "SOFA Scores") -> DataFrame:
     """Lines before the score section; everything when there is none."""
     cut = lines.agg(F.min(F.when(F.trim(label) == stop, F.col(line))).alias("_cut"))
-    return lines.crossJoin(cut).where(F.col("_cut").isNull() | (F.col(line) < F.col("_cut"))).drop("_cut")  # one-row side
+    return attach(lines, cut).where(F.col("_cut").isNull() | (F.col(line) < F.col("_cut"))).drop("_cut")
 
 
 # Headline lines and their names.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import (Z95, any_flag, count_when, days_between, first_by, flag, hours_between, lookup,
+from bedside.functions.expr import (attach, Z95, any_flag, count_when, days_between, first_by, flag, hours_between, lookup,
                                     micros, norm, pct, union_all)
 from bedside.functions.ordered import Ordered, value_slice
 from bedside.functions.quantiles import with_quantiles
@@ -368,7 +368,7 @@ def observation_share(resp: DataFrame, settings: list[str]) -> DataFrame:
     counts = valid.groupBy(*keys).agg(*[F.count(s).alias(s) for s in settings], F.count(F.lit(1)).alias("_rows"))
     cells = stack(counts, keys, settings, "setting", "n").withColumn("n", F.col("n").cast("long"))
     total = counts.agg(F.sum("_rows").alias("total"))
-    return cells.crossJoin(total).withColumn("pct", pct(F.col("n"), F.col("total")))  # one-row side
+    return attach(cells, total).withColumn("pct", pct(F.col("n"), F.col("total")))
 
 
 def hourly_setting(post_start: DataFrame, setting: str, modes: list[str], max_hour: int = 168, minimum: int = 10,
@@ -388,7 +388,7 @@ def mode_proportions(post_start: DataFrame, hours: float = 24, keys: list[str] |
     d = post_start.where(F.col("hours_from_vent_start").between(0, hours)).withColumn("mode_group", mode_group("mode_category"))
     c = d.groupBy(*keys, "mode_group").agg(F.count(F.lit(1)).alias("count"))
     t = c.groupBy(*keys).agg(F.sum("count").alias("_t"))
-    c = c.join(t, keys) if keys else c.crossJoin(t)  # one-row side
+    c = c.join(t, keys) if keys else attach(c, t)
     return c.withColumn("proportion", F.col("count") / F.col("_t")).drop("_t")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import Z95, any_flag, flag, lookup, pct
+from bedside.functions.expr import attach, Z95, any_flag, flag, lookup, pct
 from bedside.functions.ordered import Ordered
 from bedside.functions.quantiles import with_quantiles
 from bedside.operators import temporal
@@ -210,7 +210,7 @@ def sofa_mortality(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     g = d.groupBy(*keys, F.col("sofa_total").alias("sofa_score")).agg(F.count("death_enc").alias("n_encounters"),
                                                                       F.sum("death_enc").alias("n_deaths"))
     t = g.groupBy(*keys).agg(F.sum("n_encounters").alias("total_encounters"))
-    g = g.join(t, keys) if keys else g.crossJoin(t)  # one-row side
+    g = g.join(t, keys) if keys else attach(g, t)
     p, z2 = k / n, Z95 * Z95
     margin = F.lit(Z95) * F.sqrt((p * (1 - p) + F.lit(z2) / (4 * n)) / n) / (1 + F.lit(z2) / n) * 100
     r2 = lambda c: F.bround(c, 2)
