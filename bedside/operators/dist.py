@@ -46,11 +46,12 @@ def quantile_bins(ranked: DataFrame, keys: list[str], bins: str, value: str = "v
     on the left. The first left edge is the true minimum. One row per bin, empty ones too."""
     n, b = F.col("total"), F.col(bins)
     first, last = F.col("upto") - F.col("n"), F.col("upto")
-    edge_no = F.explode(F.sequence(F.lit(0), b.cast("int")))
-    # only the edge numbers whose neighbouring ranks fall on this value are kept
-    h = (n - 1) * F.col("_i") / b
     on = lambda r: (r >= first) & (r < last)
-    picks = ranked.select(*keys, value, "n", "upto", "total", bins, edge_no.alias("_i")).where(on(F.floor(h)) | on(F.ceil(h)))
+    at = lambda i: (n - 1) * i / b
+    # only the edge numbers whose neighbouring ranks fall on this value are kept
+    mine = F.filter(F.sequence(F.lit(0), b.cast("int")), lambda i: on(F.floor(at(i))) | on(F.ceil(at(i))))
+    picks = ranked.select(*keys, value, "n", "upto", "total", bins, F.explode(mine).alias("_i"))
+    h = at(F.col("_i"))
     edges = picks.groupBy(*keys, "_i").agg(F.max(F.when(on(F.floor(h)), F.col(value))).alias("_lo"),
                                            F.max(F.when(on(F.ceil(h)), F.col(value))).alias("_hi"), F.max(h - F.floor(h)).alias("_f"))
     # at most bins + 1 edges per group

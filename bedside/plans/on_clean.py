@@ -102,10 +102,11 @@ def b12(spark, sf):
     return C.admission_years(V.hosp(spark, sf), ["patient_id"])
 
 
-@query("b13_drop_small_years", views="hosp", cte="big AS (SELECT year(admission_dttm) AS y FROM hosp WHERE charge > 495000 GROUP BY 1 HAVING count(DISTINCT hospitalization_id) >= 10)",
-       sql="SELECT hospitalization_id, year(admission_dttm) AS admission_year FROM hosp WHERE charge > 495000 AND year(admission_dttm) IN (SELECT y FROM big)")
+@query("b13_drop_small_years", views="hosp", cte="ym AS (SELECT *, year(admission_dttm) * 1000 + dayofyear(admission_dttm) AS y FROM hosp), big AS (SELECT y FROM ym GROUP BY 1 HAVING count(DISTINCT hospitalization_id) >= 10)",
+       sql="SELECT hospitalization_id, y AS admission_year FROM ym WHERE y IN (SELECT y FROM big)")
 def b13(spark, sf):
-    h = V.hosp(spark, sf).where("charge > 495000").withColumn("admission_year", F.year("admission_dttm").cast("long"))
+    # the period here is the day, so that small periods occur
+    h = V.hosp(spark, sf).withColumn("admission_year", (F.year("admission_dttm") * 1000 + F.dayofyear("admission_dttm")).cast("long"))
     return C.drop_small_years(h, "admission_year", "hospitalization_id").select("hospitalization_id", "admission_year")
 
 

@@ -114,7 +114,7 @@ def e8(spark, sf):
 
 
 ST = """st AS (SELECT encounter_block, in_dttm, least(out_dttm, in_dttm + INTERVAL 2 HOUR) AS out_dttm, location_category FROM stay
-    WHERE out_dttm > in_dttm AND value > 20),
+    WHERE out_dttm > in_dttm),
   j AS (SELECT CASE WHEN o.recorded_dttm < s.out_dttm THEN s.location_category ELSE '__no_adt_match__' END AS location_category
     FROM obs o ASOF LEFT JOIN st s ON o.encounter_block = s.encounter_block AND o.recorded_dttm >= s.in_dttm),
   hh AS (SELECT location_category, sum((epoch_us(out_dttm) - epoch_us(in_dttm)) / 3600000000.0::DOUBLE) AS th FROM st GROUP BY 1)"""
@@ -124,7 +124,7 @@ ST = """st AS (SELECT encounter_block, in_dttm, least(out_dttm, in_dttm + INTERV
   round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM j), 6) AS pct_events, round(count(*) / any_value(th), 6) AS events_per_hour
   FROM j LEFT JOIN hh USING (location_category) GROUP BY 1""")
 def e9(spark, sf):
-    st = V.stay(spark, sf).where("out_dttm is not null and value > 20").withColumn(
+    st = V.stay(spark, sf).where("out_dttm is not null").withColumn(
         "out_dttm", F.least("out_dttm", F.expr("in_dttm + INTERVAL 2 HOURS"))).drop("event_id", "value")
     c = J.capture_by_location(V.obs(spark, sf), st, ["encounter_block"], "recorded_dttm", "labs")
     return c.select("location_category", "table", "n_events", R6("pct_events"), R6("events_per_hour"))

@@ -12,12 +12,12 @@ from bedside.plans.registry import query
 BLOCK = "encounter_block"
 GROUPS = {"Vasoactives": ["norepinephrine", "epinephrine", "vasopressin", "dopamine"], "Sedation": ["propofol", "midazolam"]}
 DRUGS = [d for ds in GROUPS.values() for d in ds]
-INTER = "(SELECT * REPLACE (med_dose * 3 AS med_dose) FROM meds WHERE med_dose > 20)"
+INTER = "(SELECT * REPLACE (med_dose * 3 AS med_dose) FROM meds)"
 
 
 def intermittent(spark, sf):
-    """The same columns as continuous administrations; the intermittent table has larger doses only."""
-    return V.meds(spark, sf).where("med_dose > 20").withColumn("med_dose", F.col("med_dose") * 3)
+    """The same columns as continuous administrations, with other doses."""
+    return V.meds(spark, sf).withColumn("med_dose", F.col("med_dose") * 3)
 
 
 @query("h1_exposure_columns", views="blocks", sql="SELECT encounter_block, " + ", ".join(

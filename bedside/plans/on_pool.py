@@ -128,11 +128,11 @@ def n7(spark, sf):
     return P.pool_name_value(s.select("site", e.alias("_e")).select("site", "_e.*"))
 
 
-@query("n8_pool_crosstab", views="patient", cte="c AS (SELECT site, race_category AS r, sex_category AS s, count(*) AS n FROM patient WHERE balance < 2500 GROUP BY ALL)", sql="""SELECT r AS race_category, s AS sex_category,
-  CAST(sum(n) FILTER (n >= 15) AS BIGINT) AS pooled FROM c GROUP BY 1, 2""")
+@query("n8_pool_crosstab", views="patient", cte="c AS (SELECT site, race_category AS r, sex_category AS s, count(*) AS n FROM patient GROUP BY ALL)", sql="""SELECT r AS race_category, s AS sex_category,
+  CAST(sum(n) FILTER (n >= 20) AS BIGINT) AS pooled FROM c GROUP BY 1, 2""")
 def n8(spark, sf):
-    c = V.patient(spark, sf).where("balance < 2500").groupBy("site", "race_category", "sex_category").agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("text", F.when(F.col("n") < 15, "<15").otherwise(F.format_number("n", 0)))
+    c = V.patient(spark, sf).groupBy("site", "race_category", "sex_category").agg(F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("text", F.when(F.col("n") < 20, "<20").otherwise(F.format_number("n", 0)))
     return P.pool_crosstab(c, ["race_category", "sex_category"])
 
 

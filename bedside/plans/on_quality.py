@@ -126,13 +126,13 @@ def l13(spark, sf):
     return Q.value_coverage(V.table(spark, sf, "part"), vocab, "p_type")
 
 
-@query("l14_missing_references", cte="i AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1), p AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)",
-       sql="""SELECT 'events' AS child, 'customer' AS parent, 'patient_id' AS "key", count(*) AS n_ids, count(*) FILTER (p.k IS NULL) AS n_missing, CAST(coalesce(sum(n) FILTER (p.k IS NULL), 0) AS BIGINT) AS rows_missing,
+@query("l14_missing_references", cte="i AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT DISTINCT user_id AS k FROM events)",
+       sql="""SELECT 'orders' AS child, 'events' AS parent, 'patient_id' AS "key", count(*) AS n_ids, count(*) FILTER (p.k IS NULL) AS n_missing, CAST(coalesce(sum(n) FILTER (p.k IS NULL), 0) AS BIGINT) AS rows_missing,
   round_even(count(*) FILTER (p.k IS NULL) * 100.0::DOUBLE / count(*), 2) AS percentage FROM i LEFT JOIN p ON i.k = p.k""")
 def l14(spark, sf):
+    o = V.table(spark, sf, "orders").withColumnRenamed("o_custkey", "patient_id")
     e = V.table(spark, sf, "events").withColumnRenamed("user_id", "patient_id")
-    c = V.table(spark, sf, "customer").where("c_acctbal > 0").withColumnRenamed("c_custkey", "patient_id")
-    return Q.missing_references(e, c, "patient_id", "events", "customer")
+    return Q.missing_references(o, e, "patient_id", "orders", "events")
 
 
 def _cc(name, a, b):
@@ -240,9 +240,9 @@ def l23(spark, sf):
     return Q.combined_report([l6(spark, sf), l5(spark, sf)])
 
 
-@query("l24_critical_gate", sql="""SELECT n AS "table", CASE WHEN n IN (SELECT source FROM documents) THEN 'failed' ELSE 'missing' END AS problem FROM (SELECT unnest(['Labs', 'web', 'books', 'code', 'wiki', 'forum', 'news']) AS n)
-  WHERE n NOT IN (SELECT source FROM documents) OR n IN (SELECT source FROM documents GROUP BY 1 HAVING max(n_chars) > 60000)""")
+@query("l24_critical_gate", sql="""SELECT n AS "table", CASE WHEN n IN (SELECT source FROM documents) THEN 'failed' ELSE 'missing' END AS problem FROM (SELECT unnest(['Labs', 'src0', 'src1', 'src19']) AS n)
+  WHERE n NOT IN (SELECT source FROM documents) OR n IN (SELECT source FROM documents GROUP BY 1 HAVING max(n_chars) > 20000)""")
 def l24(spark, sf):
     f = V.table(spark, sf, "documents").groupBy(F.col("source").alias("table")).agg(F.max("n_chars").alias("m")).withColumn(
-        "message", F.when(F.col("m") > 60000, "File NOT FOUND").otherwise("ok"))
-    return Q.critical_gate(f, ["Labs", "web", "books", "code", "wiki", "forum", "news"])
+        "message", F.when(F.col("m") > 20000, "File NOT FOUND").otherwise("ok"))
+    return Q.critical_gate(f, ["Labs", "src0", "src1", "src19"])

@@ -191,19 +191,19 @@ def i9(spark, sf):
 
 
 RACES, ETHS, SEXES = ["BUILDING", "MACHINERY", "HOUSEHOLD", "Unseen"], ["ASIA", "EUROPE", "AFRICA", "AMERICA"], ["Female", "Male"]
-NIH = """ct AS (SELECT race_category AS r, ethnicity_category AS e, sex_category AS s, count(*) AS n FROM patient WHERE balance < 2000 GROUP BY ALL),
+NIH = """ct AS (SELECT race_category AS r, ethnicity_category AS e, sex_category AS s, count(*) AS n FROM patient GROUP BY ALL),
   gr AS (SELECT unnest(['BUILDING', 'MACHINERY', 'HOUSEHOLD', 'Unseen']) AS r), ge AS (SELECT unnest(['ASIA', 'EUROPE', 'AFRICA', 'AMERICA']) AS e), gs AS (SELECT unnest(['Female', 'Male']) AS s),
-  bd AS (SELECT r, e, s, coalesce(n, 0) AS n FROM gr CROSS JOIN ge CROSS JOIN gs LEFT JOIN ct USING (r, e, s)), hd AS (SELECT * FROM bd WHERE n BETWEEN 1 AND 9),
+  bd AS (SELECT r, e, s, coalesce(n, 0) AS n FROM gr CROSS JOIN ge CROSS JOIN gs LEFT JOIN ct USING (r, e, s)), hd AS (SELECT * FROM bd WHERE n BETWEEN 1 AND 19),
   sg AS (SELECT * FROM ct UNION ALL SELECT r, e, s, -n FROM hd)"""
 
 
-@query("i10_demographic_crosstab", views="patient", cte=NIH, sql="""SELECT r AS race_category, e AS ethnicity_category, s AS sex_category, CASE WHEN n BETWEEN 1 AND 9 THEN NULL ELSE n END AS n,
-    CASE WHEN n BETWEEN 1 AND 9 THEN '<10' ELSE CAST(n AS VARCHAR) END AS text FROM bd
+@query("i10_demographic_crosstab", views="patient", cte=NIH, sql="""SELECT r AS race_category, e AS ethnicity_category, s AS sex_category, CASE WHEN n BETWEEN 1 AND 19 THEN NULL ELSE n END AS n,
+    CASE WHEN n BETWEEN 1 AND 19 THEN '<20' ELSE CAST(n AS VARCHAR) END AS text FROM bd
   UNION ALL SELECT r, 'Total', '', coalesce(CAST(sum(n) AS BIGINT), 0), CAST(coalesce(sum(n), 0) AS VARCHAR) FROM gr LEFT JOIN sg USING (r) GROUP BY 1
   UNION ALL SELECT 'Total', e, s, coalesce(CAST(sum(n) AS BIGINT), 0), CAST(coalesce(sum(n), 0) AS VARCHAR) FROM ge CROSS JOIN gs LEFT JOIN sg USING (e, s) GROUP BY 2, 3
   UNION ALL SELECT 'Total', 'Total', '', CAST(sum(n) AS BIGINT), CAST(sum(n) AS VARCHAR) FROM sg""")
 def i10(spark, sf):
-    return T.demographic_crosstab(V.patient(spark, sf).where("balance < 2000"), None, RACES, ETHS, SEXES)
+    return T.demographic_crosstab(V.patient(spark, sf), None, RACES, ETHS, SEXES, 20)
 
 
 @query("i11_latest_code_status", views="obs", sql="""SELECT encounter_block AS patient_id, arg_max(CASE WHEN category = 'click' THEN NULL ELSE category END, recorded_dttm) FILTER (category <> 'click') AS last_code_status_category FROM obs GROUP BY 1""")

@@ -46,7 +46,7 @@ def g4(spark, sf):
     return V.meds(spark, sf).groupBy(S.clean_unit("med_dose_unit").alias("unit")).agg(F.count(F.lit(1)).alias("n"))
 
 
-DOSE = """w AS (SELECT encounter_block, recorded_dttm AS wt, 40 + setting AS weight_kg FROM obs WHERE category = 'click' AND setting > 20),
+DOSE = """w AS (SELECT encounter_block, recorded_dttm AS wt, 40 + setting AS weight_kg FROM obs WHERE category = 'click'),
   jm AS (SELECT m.*, weight_kg FROM meds m ASOF LEFT JOIN w ON m.encounter_block = w.encounter_block AND m.admin_dttm >= w.wt),
   cv AS (SELECT *, CASE med_dose_unit WHEN 'mg/hr' THEN med_dose * 1000 / 60 / weight_kg WHEN 'mcg/kg/min' THEN med_dose
     WHEN 'MCG / kg / Hour' THEN med_dose / 60 ELSE med_dose / weight_kg END AS d,
@@ -56,7 +56,7 @@ DOSE = """w AS (SELECT encounter_block, recorded_dttm AS wt, 40 + setting AS wei
 
 
 def converted(spark, sf):
-    w = V.obs(spark, sf).where("category = 'click' and setting > 20").select(BLOCK, "recorded_dttm", (40 + F.col("setting")).alias("weight_kg"))
+    w = V.obs(spark, sf).where("category = 'click'").select(BLOCK, "recorded_dttm", (40 + F.col("setting")).alias("weight_kg"))
     return S.convert_doses(V.meds(spark, sf), w)
 
 
@@ -123,12 +123,12 @@ def g8(spark, sf):
     return rnd(worst(spark, sf), HIGH + LOW)
 
 
-@query("g9_pao2_from_spo2", views="obs", cte="""s AS (SELECT event_id, 50 + setting / 2 AS spo2 FROM obs WHERE setting > 0),
+@query("g9_pao2_from_spo2", views="obs", cte="""s AS (SELECT event_id, 50 + setting / 2 AS spo2 FROM obs),
   x AS (SELECT *, 11700.0::DOUBLE / (100.0::DOUBLE / spo2 - 1) AS x FROM s WHERE spo2 < 97)""",
        sql="""SELECT event_id, round(pow(sqrt(x * x + 125000) + x, 1.0::DOUBLE / 3) - pow(sqrt(x * x + 125000) - x, 1.0::DOUBLE / 3), 5) AS pao2 FROM x
   UNION ALL SELECT event_id, NULL FROM s WHERE spo2 >= 97""")
 def g9(spark, sf):
-    s = V.obs(spark, sf).where("setting > 0").select("event_id", (50 + F.col("setting") / 2).alias("spo2"))
+    s = V.obs(spark, sf).select("event_id", (50 + F.col("setting") / 2).alias("spo2"))
     return s.select("event_id", F.round(S.pao2_from_spo2("spo2"), 5).alias("pao2"))
 
 
@@ -194,7 +194,7 @@ def g11f(spark, sf):
     i = inputs(spark, sf)
     labs = i.where(F.col("category").isin("creatinine", "platelet_count", "bilirubin_total", "po2_arterial"))
     vit, gcs = i.where(F.col("category").isin("map", "spo2")), i.where("category = 'gcs_total'")
-    w = V.obs(spark, sf).where("category = 'click' and setting > 20").select(BLOCK, "recorded_dttm", (40 + F.col("setting")).alias("weight_kg"))
+    w = V.obs(spark, sf).where("category = 'click'").select(BLOCK, "recorded_dttm", (40 + F.col("setting")).alias("weight_kg"))
     return S.sofa(labs, vit, gcs, V.meds(spark, sf), w, V.resp(spark, sf), icu_cohort(spark, sf, 240)).select(BLOCK, *S.SUBSCORES, "sofa_total")
 
 

@@ -39,11 +39,10 @@ def c3(spark, sf):
         F.countDistinct("patient_id").alias("n_patients"))
 
 
-@query("c4_id_difference", views="hosp patient", sql="""SELECT DISTINCT patient_id, 'left' AS only_in FROM patient WHERE patient_id NOT IN
-  (SELECT patient_id FROM hosp WHERE age_at_admission >= 70) UNION ALL SELECT DISTINCT patient_id, 'right' FROM hosp
-  WHERE age_at_admission >= 70 AND patient_id NOT IN (SELECT patient_id FROM patient)""")
+@query("c4_id_difference", views="hosp visit", sql="""SELECT DISTINCT patient_id, 'left' AS only_in FROM hosp WHERE patient_id NOT IN
+  (SELECT patient_id FROM visit) UNION ALL SELECT DISTINCT patient_id, 'right' FROM visit WHERE patient_id NOT IN (SELECT patient_id FROM hosp)""")
 def c4(spark, sf):
-    return T.id_difference(V.patient(spark, sf), V.hosp(spark, sf).where("age_at_admission >= 70"), "patient_id")
+    return T.id_difference(V.hosp(spark, sf), V.visit(spark, sf), "patient_id")
 
 
 def _asof(spark, sf, tol):
@@ -86,11 +85,11 @@ def c7(spark, sf):
 
 
 SHORT_STAY = """st AS (SELECT encounter_block, event_id AS stay_id, in_dttm, least(out_dttm, in_dttm + INTERVAL 2 HOUR) AS out_dttm,
-  location_category FROM stay WHERE out_dttm IS NOT NULL AND value > 20)"""
+  location_category FROM stay WHERE out_dttm IS NOT NULL)"""
 
 
 def _short_stays(spark, sf):
-    return V.stay(spark, sf).where("out_dttm is not null and value > 20").select(
+    return V.stay(spark, sf).where("out_dttm is not null").select(
         "encounter_block", F.col("event_id").alias("stay_id"), "in_dttm",
         F.least("out_dttm", F.expr("in_dttm + INTERVAL 2 HOURS")).alias("out_dttm"), "location_category")
 

@@ -113,11 +113,13 @@ def definition_hash(version: str, params: dict) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def source_signature(df: DataFrame) -> list[tuple]:
-    """(path, size, modification time) of every file behind a scan."""
+def source_signature(df: DataFrame) -> list:
+    """Number of files behind a scan, their total size and one hash over (path, size,
+    modification time) of all of them: three numbers however many files there are."""
     meta = df.select("_metadata.file_path", "_metadata.file_size",
-                     F.unix_micros("_metadata.file_modification_time").alias("mtime"))
-    return sorted(tuple(r) for r in meta.distinct().collect())
+                     F.unix_micros("_metadata.file_modification_time").alias("mtime")).distinct()
+    return list(meta.agg(F.count(F.lit(1)), F.sum("file_size"), F.bit_xor(
+        F.xxhash64("file_path", "file_size", "mtime"))).first())
 
 
 def cached_subset(spark: SparkSession, source: DataFrame, make_ids, id_column: str, dest: str,
