@@ -7,7 +7,9 @@ The number of slices of a key is bounded by the span of the order column divided
 by the slice width, never by the number of rows.
 
 Slices are a deterministic function of the row, so the detail and the carry rows
-agree however often Spark recomputes them.
+agree however often Spark recomputes them. The input feeds both sides, so several
+passes in a row should start from a written table (``materialise``); otherwise the
+first input would be read twice per pass.
 """
 
 from __future__ import annotations
@@ -65,6 +67,10 @@ class Ordered:
         """Last non-null value at or before the row."""
         return self._add("fill", name, col)
 
+    def fill_before(self, name, col):
+        """Last non-null value strictly before the row."""
+        return self._add("fillb", name, col)
+
     def fill_back(self, name, col):
         """First non-null value at or after the row."""
         return self._add("back", name, col)
@@ -102,6 +108,10 @@ class Ordered:
             elif kind == "back":
                 cols[f"_v{i}"] = F.first(c, True).over(onward)
                 head.add(f"_v{i}")
+            elif kind == "fillb":
+                cols[f"_v{i}"] = F.last(c, True).over(upto)
+                cols[f"_b{i}"] = F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+                tail.add(f"_v{i}")
             elif kind == "maxb":
                 cols[f"_v{i}"] = F.max(c).over(upto)
                 cols[f"_b{i}"] = F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -131,7 +141,7 @@ class Ordered:
                 if k == 2:
                     cc[f"_c{i}_2"] = F.coalesce(fn(f"{side}._s{i}_1", 1).over(ws),
                                                 fn(f"{side}._v{i}", 2).over(ws))
-            elif kind == "fill":
+            elif kind in ("fill", "fillb"):
                 cc[f"_c{i}"] = F.last(f"_tail._v{i}", True).over(before)
             elif kind == "back":
                 cc[f"_c{i}"] = F.first(f"_head._v{i}", True).over(after)
@@ -155,6 +165,8 @@ class Ordered:
                     v = F.coalesce(v, F.when(F.col(f"_s{i}_1").isNotNull(), F.col(f"_c{i}_1"))
                                    .otherwise(F.col(f"_c{i}_2")))
                 out.append(v["x"].alias(name))
+            elif kind == "fillb":
+                out.append(F.coalesce(f"_b{i}", f"_c{i}").alias(name))
             elif kind in ("fill", "back"):
                 out.append(F.coalesce(f"_v{i}", f"_c{i}").alias(name))
             elif kind in ("max", "maxb"):

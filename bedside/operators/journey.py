@@ -10,6 +10,7 @@ from bedside.functions.ordered import Ordered
 from bedside.functions.quantiles import group_quantiles, with_quantiles
 from bedside.operators import temporal
 from bedside.operators.clean import simple_location
+from bedside.sources.tables import materialise
 
 BLOCK = "encounter_block"
 # Locations between two ICU rows that make the second a new episode.
@@ -51,7 +52,8 @@ def journey_steps(adt: DataFrame, order: list[str], block: str = BLOCK, location
     d = adt.withColumn("location", simple_location(location))
     d = Ordered(d, [block], order).lag("_prev", "location").apply()
     back = (F.col("location") == "ED") & F.coalesce(F.col("_prev").isin("ICU", "Ward", "Procedural"), F.lit(False))
-    d = Ordered(d.where(~back), [block], order).row_number("step").apply()
+    d = materialise(d.where(~back).select(block, *order, "location"), "journeys")
+    d = Ordered(d, [block], order).row_number("step").apply()
     return d.where(F.col("step") <= max_steps).select(block, "step", "location")
 
 

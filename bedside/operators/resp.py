@@ -11,6 +11,7 @@ from bedside.functions.ordered import Ordered, value_slice
 from bedside.functions.quantiles import with_quantiles
 from bedside.operators import temporal
 from bedside.operators.clean import mode_group, stack
+from bedside.sources.tables import materialise
 from bedside.operators.cohort import ALWAYS_DEVICES, FLOW_MIN, support_rule
 
 BLOCK = "encounter_block"
@@ -42,19 +43,26 @@ def infer_device(resp: DataFrame) -> DataFrame:
 
 def fill_and_number(resp: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
     """Device and mode carried forward, then nested device / mode episode numbers."""
-    keys = keys or [BLOCK]
-    filled = temporal.forward_fill(resp, keys, order, ["device_category", "mode_category"])
-    return temporal.change_ids(filled, keys, order, [("device_category", "device_cat_id"), ("mode_category", "mode_cat_id")])
-
+    return waterfall(resp, order, [], keys, infer=False)
 
-def fill_in_episode(resp: DataFrame, order: list[str], cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Settings carried forward inside the mode episode."""
-    return temporal.forward_fill(resp, (keys or [BLOCK]) + ["mode_cat_id"], order, cols)
 
-
-def waterfall(resp: DataFrame, order: list[str], cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Inference, device/mode fill, episode numbers and setting fill."""
-    return fill_in_episode(fill_and_number(infer_device(resp), order, keys), order, cols, keys)
+def waterfall(resp: DataFrame, order: list[str], cols: list[str], keys: list[str] | None = None, infer: bool = True) -> DataFrame:
+    """Inference, device/mode fill, episode numbers and settings carried forward inside the
+    mode episode. Two ordered passes: the first sees each row's own and previous filled
+    device and mode, the second numbers the changes and fills the settings, where a change
+    row without a value resets the fill."""
+    keys = keys or [BLOCK]
+    src = infer_device(resp) if infer else resp
+    d, m = "device_category", "mode_category"
+    p = (Ordered(src, keys, order).fill("_d", d).fill("_m", m).fill_before("_pd", d).fill_before("_pm", m).row_number("_n").apply())
+    p = materialise(p.withColumns({d: F.col("_d"), m: F.col("_m")}).drop("_d", "_m"), "filled")
+    device = (F.col("_n") == 1) | ~F.col(d).eqNullSafe(F.col("_pd"))
+    mode = device | ~F.col(m).eqNullSafe(F.col("_pm"))
+    o = Ordered(p, keys, order).cumsum("device_cat_id", device.cast("long")).cumsum("mode_cat_id", mode.cast("long"))
+    for c in cols:
+        o.fill(f"_f_{c}", F.when(F.col(c).isNotNull() | mode, F.struct(F.col(c).alias("v"))))
+    out = o.apply()
+    return out.withColumns({c: F.col(f"_f_{c}.v") for c in cols}).drop("_pd", "_pm", "_n", *[f"_f_{c}" for c in cols])
 
 
 def windowed_fio2(resp: DataFrame, windows: DataFrame, order: list[str], lookback_hours: float = 24,
@@ -122,6 +130,7 @@ def tube_events(resp: DataFrame, order: list[str], block: str = BLOCK) -> tuple[
     r = resp.select(block, *order, "device_category").withColumn("_on", is_imv().cast("int"))
     r = (Ordered(r, [block], order).lag("_b2", "_on", 2).lag("_b1", "_on").lead("_a1", "_on").lead("_a2", "_on", 2)
          .lead("_next", "recorded_dttm").apply())
+    r = materialise(r.drop("device_category"), "tube")
     ventilated = r.where("_on = 1").select(block).distinct()
     up = r.where("_b2 = 0 and _b1 = 0 and _on = 1 and _a1 = 1 and _a2 = 1").select(
         block, F.col("recorded_dttm").alias("intubation_start_dttm"), F.col(order[-1]).alias("_tie"))
@@ -132,11 +141,11 @@ def tube_events(resp: DataFrame, order: list[str], block: str = BLOCK) -> tuple[
                                   F.col(order[-1]).alias("_tie"))
 
 
-def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_minutes: float = 5) -> DataFrame:
+def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_minutes: float = 5, events: tuple | None = None) -> DataFrame:
     """All ventilation attempts: n-th intubation with n-th extubation. An encounter that
     begins on IMV gets a start at its first row when no intubation was seen or an extubation
     comes first. Failed attempts are flagged and the real ones renumbered (0 for failed)."""
-    up, down, first = tube_events(resp, order, block)
+    up, down, first = events or tube_events(resp, order, block)
     fu = up.groupBy(block).agg(F.min("intubation_start_dttm").alias("_fu"))
     fd = down.groupBy(block).agg(F.min("extubation_end_dttm").alias("_fd"))
     synth = (first.where("first_is_imv = 1").join(fu, block, "left").join(fd, block, "left")
@@ -149,6 +158,7 @@ def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_m
         "episode_duration_hours", hours_between("intubation_start_dttm", "extubation_end_dttm"))
     ep = ep.withColumn("is_failed_attempt", F.coalesce(F.col("episode_duration_hours") * 60 < failed_minutes, F.lit(False)))
     real = F.when(~F.col("is_failed_attempt"), F.lit(1).cast("long"))
+    ep = materialise(ep, "episodes")
     ep = Ordered(ep, [block], ["intubation_start_dttm", "_n"]).cumsum("episode_n", real).apply()
     return ep.withColumn("episode_n", F.when(F.col("is_failed_attempt"), 0).otherwise(F.col("episode_n"))).drop("_n")
 
@@ -156,13 +166,14 @@ def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_m
 def extubation_summary(resp: DataFrame, enc: DataFrame, order: list[str], block: str = BLOCK,
                        failed_minutes: float = 5, admit_hours: float = 24) -> DataFrame:
     """One row per ventilated encounter: first episode, reintubation, 48 h failure, status."""
-    ep = imv_episodes(resp, order, block, failed_minutes)
+    events = tube_events(resp, order, block)
+    ep = imv_episodes(resp, order, block, failed_minutes, events)
     nth = lambda n, c: F.max(F.when(F.col("episode_n") == n, F.col(c)))
     per = ep.groupBy(block).agg(
         nth(1, "intubation_start_dttm").alias("intubation_start_dttm"), nth(1, "extubation_end_dttm").alias("extubation_end_dttm"),
         nth(2, "intubation_start_dttm").alias("reintubation_dttm"),
         count_when(F.col("episode_n") > 0).alias("imv_episodes_n"), any_flag(F.col("is_failed_attempt")).alias("_failed"))
-    first = tube_events(resp, order, block)[2]
+    first = events[2]
     info = first_by(enc, [block], ["admission_dttm"], ["admission_dttm", "discharge_dttm", "death_enc"])
     d = first.join(per, block, "left").join(info, block, "left")
     out = F.col("extubation_end_dttm")
@@ -226,15 +237,15 @@ def kaplan_meier(subjects: DataFrame, stratum: str = "stratum", duration: str =
         F.sum(F.col(event).cast("long")).alias("d"), F.count(F.lit(1)).alias("x"))
     zero = per.select(stratum).distinct().select(stratum, F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("d"),
                                                  F.lit(0).cast("long").alias("x"))
-    per = per.unionByName(zero).groupBy(stratum, "t").agg(F.sum("d").alias("d"), F.sum("x").alias("x"))
+    per = materialise(per.unionByName(zero).groupBy(stratum, "t").agg(F.sum("d").alias("d"), F.sum("x").alias("x")), "exits")
     total = per.groupBy(stratum).agg(F.sum("x").alias("_n"))
-    c = Ordered(per, [stratum], ["t"], value_slice("t")).cumsum("_gone", "x").apply(keep_slice=True).join(total, stratum)
+    c = Ordered(per, [stratum], ["t"], value_slice("t")).cumsum("_gone", "x").apply().join(total, stratum)
     n = F.col("_n") - F.col("_gone") + F.col("x")
     c = c.withColumns({"at_risk": n,
                        "_log": F.when(F.col("d") < n, F.log(1 - F.col("d") / n)).otherwise(F.lit(0.0)),
                        "_var": F.when(F.col("d") < n, F.col("d") / (n * (n - F.col("d")))).otherwise(F.lit(0.0)),
                        "_dead": flag((F.col("d") >= n) & (F.col("d") > 0)).cast("long")})
-    c = Ordered(c, [stratum], ["t"]).cumsum("_ls", "_log").cumsum("_v", "_var").cumsum("_z", "_dead").apply()
+    c = Ordered(materialise(c, "risk"), [stratum], ["t"], value_slice("t")).cumsum("_ls", "_log").cumsum("_v", "_var").cumsum("_z", "_dead").apply()
     theta = F.lit(Z95) * F.sqrt("_v") / F.col("_ls")
     bound = lambda sign: (F.when(F.col("_z") > 0, 0.0).when(F.col("_ls") == 0, 1.0)
                           .otherwise(F.exp(-F.exp(F.log(-F.col("_ls")) - sign * theta))))
@@ -301,8 +312,9 @@ def oxygenation_summary(onset: DataFrame, pf: DataFrame, sf: DataFrame, pf_ts: s
     def day_one(d, ts):
         d = d.join(onset.select(block, "onset_dttm"), block).withColumn("hours_from_onset", hours_between("onset_dttm", ts))
         return d.where(F.col("hours_from_onset").between(0, hours))
-    p = day_one(pf, pf_ts).where(F.col("concurrent_pf") < PF_CAP)
-    s = day_one(sf, sf_ts)
+    # both feed several aggregates; the as-of joins behind them run once
+    p = materialise(day_one(pf, pf_ts).where(F.col("concurrent_pf") < PF_CAP), "pf")
+    s = materialise(day_one(sf, sf_ts), "sf")
     pa, sa = _worst(p, block, "concurrent_pf", pf_ts, "pf", tie), _worst(s, block, "concurrent_sf", sf_ts, "sf", tie)
     near = s.join(pa.select(block, "_worst_pf_dttm"), block).withColumn("_gap", F.abs(micros(sf_ts) - micros("_worst_pf_dttm")))
     near = first_by(near.where(F.col("_gap") <= F.lit(int(near_hours * 3_600_000_000))), [block], ["_gap", sf_ts, tie],
@@ -340,6 +352,7 @@ def daily_minimum(ratios: DataFrame, starts: DataFrame, keys: list[str], ratio:
     day = F.floor(days_between(start, ts)).cast("int")
     m = ratios.where(F.col(ratio).isNotNull()).join(starts.select(*keys, start), keys).withColumns({"day": day, "_v": v})
     daily = m.where((F.col("day") >= 0) & (F.col("day") < days)).groupBy(*keys, "day").agg(F.min("_v").alias("_v"))
+    daily = materialise(daily, "daily")
     return with_quantiles(daily, ["day"], [F.count("_v").alias("n")], {"_v": {"median": 0.5, "q1": 0.25, "q3": 0.75}})
 
 

@@ -10,6 +10,7 @@ from bedside.functions.ordered import Ordered
 from bedside.functions.quantiles import with_quantiles
 from bedside.operators import temporal
 from bedside.operators.resp import device_rank, pf_ratio
+from bedside.sources.tables import materialise
 
 BLOCK = "encounter_block"
 # Dose unit spellings, applied in this order after blanks are removed and
@@ -259,7 +260,7 @@ def antimicrobial_runs(doses: DataFrame, key: str, day: str, drug: str) -> DataF
     days = doses.groupBy(key, F.col(day).alias("_d")).agg(F.count(drug).alias("_n"))
     ts = F.col("_d").cast("timestamp")
     d = days.withColumn("_t", ts)
-    d = Ordered(d, [key], ["_t"]).lag("_p", "_d").apply(keep_slice=True)
+    d = materialise(Ordered(d, [key], ["_t"]).lag("_p", "_d").apply(), "dose-days")
     fresh = flag(F.col("_p").isNull() | (F.datediff("_d", "_p") > 2)).cast("long")
     d = Ordered(d.withColumn("_f", fresh), [key], ["_t"]).cumsum("_run", "_f").apply()
     return d.groupBy(key, "_run").agg(F.min("_d").alias("run_start"), F.max("_d").alias("run_end"), F.count(F.lit(1)).alias("days"))
@@ -278,7 +279,7 @@ def adult_sepsis_events(cultures: DataFrame, doses: DataFrame, dysfunction: Data
     failing = dysfunction.select(key, near(F.col("dysfunction_day")).alias("culture_day")).distinct().withColumn("_dys", F.lit(1))
     out = c.join(infected, [key, "culture_day"], "left").join(failing, [key, "culture_day"], "left")
     out = out.select(key, "culture_day", flag((F.col("_inf") == 1) & (F.col("_dys") == 1)).alias("sepsis"))
-    out = out.withColumn("_t", F.col("culture_day").cast("timestamp"))
+    out = materialise(out.withColumn("_t", F.col("culture_day").cast("timestamp")), "culture-days")
     out = Ordered(out, [key], ["_t"]).cumsum("_k", F.col("sepsis").cast("long")).apply().drop("_t")
     return out.withColumn("episode_id", F.when(F.col("sepsis") == 1, F.col("_k"))).drop("_k")
 

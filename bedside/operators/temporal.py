@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bedside.functions.expr import count_when, first_by, micros, norm, union_all
 from bedside.functions.ordered import Ordered
+from bedside.sources.tables import materialise
 
 
 def stitch_encounters(hosp: DataFrame, gap_hours: float = 6, patient: str = "patient_id",
@@ -15,8 +16,9 @@ def stitch_encounters(hosp: DataFrame, gap_hours: float = 6, patient: str = "pat
     """Adds the encounter block: the first hospitalization of a run whose gaps (to the
     latest discharge so far, so nested stays join) are at most ``gap_hours``."""
     order = [start, hosp_id]
-    marked = Ordered(hosp, [patient], order).cummax_before("_prev_end", end).apply(keep_slice=True)
+    marked = Ordered(hosp, [patient], order).cummax_before("_prev_end", end).apply()
     gap = F.lit(int(gap_hours * 3_600_000_000))
+    marked = materialise(marked, "stays")
     fresh = F.col("_prev_end").isNull() | (micros(start) - micros("_prev_end") > gap)
     return (Ordered(marked, [patient], order)
             .fill(block, F.when(fresh, F.col(hosp_id))).apply().drop("_prev_end"))
@@ -189,7 +191,7 @@ def change_ids(df: DataFrame, keys: list[str], order: list[str], levels: list[tu
     o = Ordered(df, keys, order)
     for c, _ in levels:
         o.lag(f"_p_{c}", F.struct(F.col(c).alias("v")))
-    out, changed, flags = o.apply(keep_slice=True), F.lit(False), {}
+    out, changed, flags = materialise(o.apply(), "runs"), F.lit(False), {}
     for c, name in levels:
         changed = changed | F.col(f"_p_{c}").isNull() | ~F.col(c).eqNullSafe(F.col(f"_p_{c}.v"))
         flags[f"_x_{name}"] = changed.cast("long")

@@ -8,7 +8,7 @@ from bedside.operators import report as T
 from bedside.plans import views as V
 from bedside.plans.on_resp import rnd
 from bedside.plans.registry import query
-from bedside.sources.tables import scratch
+from bedside.sources.tables import materialise, scratch
 
 MET = {"n": "count(*)", "charge_mean": "avg(charge)", "median_charge": "quantile_cont(charge, 0.5)", "charge_q1": "quantile_cont(charge, 0.25)", "charge_q3": "quantile_cont(charge, 0.75)",
        "min_charge": "min(charge)", "max_charge": "max(charge)", "sd": "stddev_samp(charge)", "late_n": "count(*) FILTER (l)", "late_pct": "count(*) FILTER (l) * 100.0::DOUBLE / count(*)",
@@ -27,7 +27,7 @@ def site_stats(spark, sf):
                                           F.stddev_samp("charge").alias("sd"), F.sum("l").cast("double").alias("late_n"), (F.sum("l") * 100.0 / F.count(F.lit(1))).alias("late_pct"),
                                           (F.count(F.lit(1)) * 2).cast("double").alias("visits")], {"charge": {"median_charge": 0.5, "charge_q1": 0.25, "charge_q3": 0.75}})
     e = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.lit("free text") if m == "note" else F.col(m).cast("string")).alias("value")) for m in MET]))
-    return s.select("site", "k", e.alias("_e")).select("site", "k", "_e.metric", "_e.value")
+    return materialise(s.select("site", "k", e.alias("_e")).select("site", "k", "_e.metric", "_e.value"), "site-tables")
 
 
 @query("n1_metric_rules", sql=" UNION ALL ".join(f"SELECT '{m}' AS metric, '{r}' AS rule" for m, r in RULES.items()))
