@@ -105,5 +105,7 @@ def first_by(df: DataFrame, keys: list[str], order: list[str], cols: list[str] |
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Columns of a one-row result (totals, limits) on every row, as scalar subqueries."""
-    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+    """Columns of a one-row result (totals, limits) on every row, as one scalar subquery;
+    null when that result is empty."""
+    one = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("_one"))
+    return df.withColumn("_one", one.scalar()).select(*[F.col(c) for c in df.columns], "_one.*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bedside.functions.expr import attach
 from bedside.functions.ordered import value_slice
 
 QUARTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
@@ -26,8 +27,8 @@ def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, dict[str, f
     ``linear`` interpolates between neighbours; ``nearest`` takes the row at
     ``round(p * (n - 1))``, half to even. Nulls and NaN do not count.
     """
-    return _by_struct(df, list(keys), probs, interpolation).select("_group.*", *[
-        n for d in probs.values() for n in d])
+    out = _by_struct(df, list(keys), probs, interpolation)
+    return out.select("_group.*", *out.columns[1:]) if keys else out.drop("_group")
 
 
 def _by_struct(df, keys, probs, interpolation):
@@ -87,5 +88,7 @@ def with_quantiles(df: DataFrame, keys: list[str], aggs: list, probs: dict,
                    interpolation: str = "linear") -> DataFrame:
     """Ordinary aggregates and exact quantiles of the same groups side by side."""
     q = _by_struct(df, keys, probs, interpolation)
+    if not keys:
+        return attach(df.agg(*aggs), q.drop("_group"))
     out = df.withColumn("_group", _key(keys)).groupBy("_group").agg(*aggs).join(q, "_group", "left")
-    return out.select("_group.*", *out.columns[1:]).drop("_all")
+    return out.select("_group.*", *out.columns[1:])
