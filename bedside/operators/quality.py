@@ -250,7 +250,7 @@ def review_items(issues: DataFrame) -> DataFrame:
     coverage error with more than one. ``issues`` is (category, check_type, message, severity,
     missing_values array)."""
     e = issues.where("severity = 'error'").withColumn("issue_id", issue_id(F.col("category"), F.col("check_type"), F.col("message")))
-    multi = (F.col("check_type") == "mcide_value_coverage") & (F.size("missing_values") > 1)
+    multi = (F.col("check_type") == "value_coverage") & (F.size("missing_values") > 1)
     atoms = F.when(multi, F.col("missing_values")).otherwise(F.array(F.lit(None).cast("string")))
     return e.withColumn("value", F.explode(atoms)).select("issue_id", "category", "check_type", "message", "severity", "value",
                                                           F.lit("pending").alias("decision"), F.lit("").alias("reason"))

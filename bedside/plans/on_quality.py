@@ -162,16 +162,16 @@ def l17(spark, sf):
 
 # Issues: one per (source, quality) of the labelled documents; every fourth is a coverage error with several values.
 ISS = """it AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), il AS (SELECT source, list_sort(list(lang)) AS langs, CAST(sum(n) AS BIGINT) AS n FROM it GROUP BY 1),
-  issues AS (SELECT 'completeness' AS category, 'mcide_value_coverage' AS check_type, 'Missing values in ' || source AS message, langs AS mv FROM il UNION ALL
+  issues AS (SELECT 'completeness' AS category, 'value_coverage' AS check_type, 'Missing values in ' || source AS message, langs AS mv FROM il UNION ALL
     SELECT 'Plausibility', 'range check', 'Rows of ' || source || ': ' || n, [] FROM il),
   ids AS (SELECT *, lower(replace(category || '_' || check_type, ' ', '_')) || '_' || substr(md5(message), 1, 8) AS issue_id FROM issues),
-  items AS (SELECT issue_id, category, check_type, message, unnest(CASE WHEN check_type = 'mcide_value_coverage' AND len(mv) > 1 THEN mv ELSE [NULL] END) AS value FROM ids)"""
+  items AS (SELECT issue_id, category, check_type, message, unnest(CASE WHEN check_type = 'value_coverage' AND len(mv) > 1 THEN mv ELSE [NULL] END) AS value FROM ids)"""
 
 
 def issues(spark, sf):
     it = V.table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     il = it.groupBy("source").agg(F.array_sort(F.collect_list("lang")).alias("langs"), F.sum("n").alias("n"))
-    a = il.select(F.lit("completeness").alias("category"), F.lit("mcide_value_coverage").alias("check_type"), F.concat(F.lit("Missing values in "), "source").alias("message"),
+    a = il.select(F.lit("completeness").alias("category"), F.lit("value_coverage").alias("check_type"), F.concat(F.lit("Missing values in "), "source").alias("message"),
                   F.lit("error").alias("severity"), F.col("langs").alias("missing_values"))
     b = il.select(F.lit("Plausibility").alias("category"), F.lit("range check").alias("check_type"), F.concat(F.lit("Rows of "), "source", F.lit(": "), F.col("n").cast("string")).alias("message"),
                   F.lit("error").alias("severity"), F.array().cast("array<string>").alias("missing_values"))
