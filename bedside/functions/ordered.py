@@ -78,6 +78,10 @@ class Ordered:
     def cumsum(self, name, col):
         return self._add("sum", name, col)
 
+    def total(self, name, col):
+        """Sum over all rows of the key."""
+        return self._add("total", name, col)
+
     def cummax(self, name, col):
         return self._add("max", name, col)
 
@@ -117,7 +121,7 @@ class Ordered:
                 cols[f"_b{i}"] = F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
                 tail.add(f"_v{i}")
             else:
-                cols[f"_v{i}"] = (F.sum if kind == "sum" else F.max)(c).over(upto)
+                cols[f"_v{i}"] = (F.max if kind == "max" else F.sum)(c).over(upto)
                 tail.add(f"_v{i}")
         base = self.df if "_slice" in self.df.columns else self.df.withColumn("_slice", self.slice_col)
         local = base.withColumns(cols)
@@ -145,6 +149,8 @@ class Ordered:
                 cc[f"_c{i}"] = F.last(f"_tail._v{i}", True).over(before)
             elif kind == "back":
                 cc[f"_c{i}"] = F.first(f"_head._v{i}", True).over(after)
+            elif kind == "total":
+                cc[f"_c{i}"] = F.sum(f"_tail._v{i}").over(Window.partitionBy(*self.keys))
             else:
                 cc[f"_c{i}"] = (F.sum if kind == "sum" else F.max)(f"_tail._v{i}").over(before)
         carry = carry.withColumns(cc).drop("_tail", "_head")
@@ -169,6 +175,8 @@ class Ordered:
                 out.append(F.coalesce(f"_b{i}", f"_c{i}").alias(name))
             elif kind in ("fill", "back"):
                 out.append(F.coalesce(f"_v{i}", f"_c{i}").alias(name))
+            elif kind == "total":
+                out.append(F.col(f"_c{i}").alias(name))
             elif kind in ("max", "maxb"):
                 mine = f"_v{i}" if kind == "max" else f"_b{i}"
                 out.append(F.greatest(mine, f"_c{i}").alias(name))

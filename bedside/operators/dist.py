@@ -23,8 +23,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str = "value") -> DataFr
 
 def ranked_counts(counts: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Adds rows up to the value (``upto``) and in the group (``total``)."""
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return Ordered(counts, keys, [value], value_slice(value)).cumsum("upto", "n").apply().join(total, keys)
+    return Ordered(counts, keys, [value], value_slice(value)).cumsum("upto", "n").total("total", "n").apply()
 
 
 def ecdf(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -57,6 +56,7 @@ def quantile_bins(ranked: DataFrame, keys: list[str], bins: str, value: str = "v
     # at most bins + 1 edges per group
     edges = edges.groupBy(*keys).agg(F.array_sort(F.collect_set(
         F.round(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"), 9))).alias("_e"))
+    edges = materialise(edges, "edges")  # read twice below, joined by its known size
     below = F.size(F.filter("_e", lambda e: e < F.round(F.col(value), 9)))
     hits = ranked.join(edges, keys).groupBy(*keys, F.greatest(below, F.lit(1)).alias("bin_num")).agg(F.sum("n").alias("count"))
     k = F.greatest(F.size("_e") - 1, F.lit(1))
@@ -323,8 +323,11 @@ def numeric_profile(df: DataFrame, cols: list[str], multiplier: float = 1.5) ->
     n, g1, g2 = F.col("n"), F.col("_sk"), F.col("_ku")
     m = long.groupBy("variable").agg(F.skewness("_x").alias("_sk"), F.kurtosis("_x").alias("_ku"))
     iqr = F.col("q3") - F.col("q1")
-    out = long.join(s.select("variable", "q1", "q3"), "variable").groupBy("variable").agg(count_when(
-        (F.col("_x") < F.col("q1") - multiplier * iqr) | (F.col("_x") > F.col("q3") + multiplier * iqr)).alias("outlier_count"))
+    # the fences are scalars here, so the rows are not shuffled by column name
+    lim = attach(df, group_quantiles(df, [], {c: {f"_{i}q1": 0.25, f"_{i}q3": 0.75} for i, c in enumerate(cols)}))
+    fence = lambda i, side: F.col(f"_{i}{side}") + (multiplier if side == "q3" else -multiplier) * (F.col(f"_{i}q3") - F.col(f"_{i}q1"))
+    lim = lim.agg(*[count_when((F.col(c) < fence(i, "q1")) | (F.col(c) > fence(i, "q3"))).alias(f"o{i}") for i, c in enumerate(cols)])
+    out = lim.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"o{i}").alias("outlier_count")) for i, c in enumerate(cols)])).alias("r")).select("r.*")
     s = s.join(m, "variable").join(out, "variable")
     return s.withColumns({
         "missing_percentage": F.bround(pct(F.col("missing"), F.col("total_obs")), 2), "iqr": iqr, "range": F.col("max") - F.col("min"),
@@ -338,7 +341,7 @@ def iqr_outliers(df: DataFrame, keys: list[str], value: str, multiplier: float =
     """Rows outside the IQR fences of their group."""
     q = group_quantiles(df, keys, {value: {"_q1": 0.25, "_q3": 0.75}})
     iqr = F.col("_q3") - F.col("_q1")
-    j = df.join(q, keys) if keys else attach(df, q)
+    j = df.join(materialise(q, "fences"), keys) if keys else attach(df, q)
     return j.where((F.col(value) < F.col("_q1") - multiplier * iqr) | (F.col(value) > F.col("_q3") + multiplier * iqr)).drop("_q1", "_q3")
 
 
@@ -367,8 +370,7 @@ def _two_samples(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 def ks_test(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Largest gap of the two ECDFs; large-sample p-value."""
     c = _two_samples(a.withColumn(value, F.col(value).cast("double")), b.withColumn(value, F.col(value).cast("double")), value)
-    t = c.groupBy("_k").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
-    r = Ordered(c, ["_k"], ["v"], value_slice("v")).cumsum("c1", "n1").cumsum("c2", "n2").apply().join(t, "_k")
+    r = (Ordered(c, ["_k"], ["v"], value_slice("v")).cumsum("c1", "n1").cumsum("c2", "n2").total("t1", "n1").total("t2", "n2").apply())
     d = r.groupBy("_k").agg(F.max("t1").alias("n1"), F.max("t2").alias("n2"), F.max(F.abs(
         F.col("c1") / F.col("t1") - F.col("c2") / F.col("t2"))).alias("statistic")).drop("_k")
     x = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))) * F.col("statistic")

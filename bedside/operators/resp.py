@@ -238,8 +238,7 @@ def kaplan_meier(subjects: DataFrame, stratum: str = "stratum", duration: str =
     zero = per.select(stratum).distinct().select(stratum, F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("d"),
                                                  F.lit(0).cast("long").alias("x"))
     per = materialise(per.unionByName(zero).groupBy(stratum, "t").agg(F.sum("d").alias("d"), F.sum("x").alias("x")), "exits")
-    total = per.groupBy(stratum).agg(F.sum("x").alias("_n"))
-    c = Ordered(per, [stratum], ["t"], value_slice("t")).cumsum("_gone", "x").apply().join(total, stratum)
+    c = Ordered(per, [stratum], ["t"], value_slice("t")).cumsum("_gone", "x").total("_n", "x").apply()
     n = F.col("_n") - F.col("_gone") + F.col("x")
     c = c.withColumns({"at_risk": n,
                        "_log": F.when(F.col("d") < n, F.log(1 - F.col("d") / n)).otherwise(F.lit(0.0)),

@@ -18,7 +18,7 @@ def a1(spark, sf):
 @query("a2_typed_load", sql="""SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
   epoch_us(timezone('UTC', timezone('US/Central', ts))) AS ts_us, lower(trim(event_type)) AS event_type FROM events""")
 def a2(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    S.prepare(spark)
     raw = spark.read.parquet(f"{sf}/events.parquet")
     d = S.conform(raw, "US/Central", {"event_type": "category"})
     return d.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_type")

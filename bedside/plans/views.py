@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bedside.functions.expr import lookup
 from bedside.functions.ordered import Ordered
 from bedside.operators import temporal
-from bedside.sources.tables import materialise
+from bedside.sources.tables import materialise, prepare
 
 LOCATION = {"error": "icu", "view": "ward", "purchase": "ed", "signup": "procedural", "click": "other"}
 DEVICE = {"error": "imv", "signup": "nippv", "purchase": "high flow nc", "view": "nasal cannula"}
@@ -26,7 +26,7 @@ MED = {"purchase": "norepinephrine", "error": "epinephrine", "view": "vasopressi
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A driver table; wall times are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    prepare(spark)
     df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t.startswith("timestamp") else F.col(c)
                        for c, t in df.dtypes])

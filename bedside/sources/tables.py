@@ -22,6 +22,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/bedside/{name}-{uuid.uuid4().hex}"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings the operators rely on: UTC, and splitting of skewed join keys even
+    where the split costs one more shuffle afterwards."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -35,10 +35,10 @@ def test_matches_plain_windows(series):
     want = series.withColumns({
         "lag1": F.lag("v").over(w), "lag2": F.lag("v", 2).over(w), "lead1": F.lead("v").over(w), "lead2": F.lead("v", 2).over(w),
         "fill": F.last("v", True).over(upto), "fillb": F.last("v", True).over(before), "back": F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        "s": F.sum("v").over(upto), "m": F.max("v").over(upto), "mb": F.max("v").over(before), "rn": F.row_number().over(w).cast("long")})
+        "s": F.sum("v").over(upto), "m": F.max("v").over(upto), "mb": F.max("v").over(before), "rn": F.row_number().over(w).cast("long"), "tot": F.sum("v").over(Window.partitionBy("k"))})
     got = (Ordered(series, ["k"], ["t", "i"]).lag("lag1", "v").lag("lag2", "v", 2).lead("lead1", "v").lead("lead2", "v", 2).fill("fill", "v").fill_before("fillb", "v")
-           .fill_back("back", "v").cumsum("s", "v").cummax("m", "v").cummax_before("mb", "v").row_number("rn").apply())
-    cols = ["i", "lag1", "lag2", "lead1", "lead2", "fill", "fillb", "back", "s", "m", "mb", "rn"]
+           .fill_back("back", "v").cumsum("s", "v").cummax("m", "v").cummax_before("mb", "v").row_number("rn").total("tot", "v").apply())
+    cols = ["i", "lag1", "lag2", "lead1", "lead2", "fill", "fillb", "back", "s", "m", "mb", "rn", "tot"]
     key = lambda r: r["i"]
     assert sorted(got.select(cols).collect(), key=key) == sorted(want.select(cols).collect(), key=key)
 
