@@ -14,14 +14,18 @@ first input would be read twice per pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_HOURS = 24
+SLICE_CONF = "spark.bedside.slice.hours"
 
 
-def time_slice(ts: str, hours: float = SLICE_HOURS) -> Column:
-    """Monotone slice number of a timestamp column."""
+def time_slice(ts: str, hours: float | None = None) -> Column:
+    """Monotone slice number of a timestamp column. The session setting
+    ``spark.bedside.slice.hours`` narrows the slices where a key is very dense."""
+    if hours is None:
+        hours = float(SparkSession.active().conf.get(SLICE_CONF, str(SLICE_HOURS)))
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(int(hours * 3_600_000_000)))
 
 

@@ -216,6 +216,22 @@ def pair_substrata(numbers: DataFrame, left: str, right: str, stratum: str = "st
     return temporal.side_by_side(half(left, left.split("/")[-1]), half(right, right.split("/")[-1]), "label", "pos")
 
 
+# Sub-strata shown side by side.
+PAIRS = [("advanced_resp/icu", "advanced_resp/no_icu"), ("nippv_hfnc/icu", "nippv_hfnc/no_icu"), ("vaso/icu", "vaso/no_icu"),
+         ("vaso/ed_icu", "vaso/ed_ward"), ("no_imv/icu", "no_imv/no_icu")]
+
+
+def all_pairs(numbers: DataFrame, pairs: list[tuple[str, str]] | None = None, stratum: str = "stratum") -> DataFrame:
+    """Every pair of sub-strata in one job: (pair, label, left, right), blank where missing."""
+    side = {s: (f"{a} | {b}", name) for a, b in (pairs or PAIRS) for s, name in ((a, "left"), (b, "right"))}
+    pair = F.create_map(*[F.lit(x) for s, (p, _) in side.items() for x in (s, p)])
+    where = F.create_map(*[F.lit(x) for s, (_, n) in side.items() for x in (s, n)])
+    d = numbers.withColumns({"pair": F.element_at(pair, F.col(stratum)), "_side": F.element_at(where, F.col(stratum)), "_cell": cell_text()})
+    pick = lambda n: F.coalesce(F.max(F.when(F.col("_side") == n, F.col("_cell"))), F.lit("")).alias(n)
+    return d.where("pair is not null").groupBy("pair", "label").agg(
+        pick("left"), pick("right"), F.coalesce(F.min(F.when(F.col("_side") == "left", F.col("pos"))), F.min("pos")).alias("pos"))
+
+
 def stratum_extra_rows(enc: DataFrame, keys: list[str]) -> DataFrame:
     """Lines that only some strata carry: stay around the device onset, free days, peak
     norepinephrine equivalent and time to ICU; their position follows an anchor line."""

@@ -164,6 +164,15 @@ def i5(spark, sf):
     return p.select("label", to_n("icu").alias("n_icu"), to_n("no_icu").alias("n_no_icu"))
 
 
+@query("i5_all_pairs", views=VIEWS, cte=STRATA + f", num AS ({rows_sql('ms', ROWS, 'stratum')})" + ", pr AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{a} | {b}', '{a}', '{b}')" for a, b in T.PAIRS) + ") t(pair, l, r)), sd AS (SELECT pair, label, max(n) FILTER (stratum = l) AS n_left, max(n) FILTER (stratum = r) AS n_right FROM num JOIN pr ON stratum = l OR stratum = r "
+    "WHERE kind = 'count' GROUP BY 1, 2)", sql="SELECT pair, label, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM sd")
+def i5a(spark, sf):
+    p = T.all_pairs(T.table_one(stratified(spark, sf), ROWS, ["stratum"]).where("kind = 'count'"))
+    to_n = lambda c: F.coalesce(X.cell_count(F.col(c)).cast("double"), F.lit(0.0))
+    return p.select("pair", "label", to_n("left").alias("n_left"), to_n("right").alias("n_right"))
+
+
 @query("i6_level_counts", views="hosp patient", sql="""SELECT ethnicity_category, coalesce(race_category, 'Missing') AS level, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY ethnicity_category), 6) AS pct
   FROM patient GROUP BY 1, 2""")
 def i6(spark, sf):
@@ -296,6 +305,24 @@ def i16d(spark, sf):
     return rnd(d.select("stratum", "medication", "n_encounters", "n_admin", "pct_encounters", "median_dose"), ["pct_encounters", "median_dose"])
 
 
+@query("i16_sofa_mortality_by_stratum", views=VIEWS, cte=STRATA + """, mo AS (SELECT stratum, sofa_total AS s, count(*) AS n, sum(death_enc) AS k FROM ms GROUP BY 1, 2)""",
+       sql="""SELECT stratum, s AS sofa_score, CAST(sum(n) OVER (PARTITION BY stratum) AS BIGINT) AS total_encounters, n AS n_encounters, CAST(k AS BIGINT) AS n_deaths FROM mo""")
+def i16s(spark, sf):
+    return S.sofa_mortality(stratified(spark, sf), ["stratum"]).select("stratum", "sofa_score", "total_encounters", "n_encounters", "n_deaths")
+
+
+@query("i16_crosstab_by_stratum", views=VIEWS, cte=STRATA + """, pt AS (SELECT DISTINCT stratum, patient_id, race_category AS r, ethnicity_category AS e, sex_category AS s FROM ms), ct AS (SELECT stratum, r, e, s, count(*) AS n FROM pt GROUP BY ALL),
+  st AS (SELECT DISTINCT stratum FROM ct), gr AS (SELECT unnest(['BUILDING', 'MACHINERY', 'HOUSEHOLD', 'Unseen']) AS r), ge AS (SELECT unnest(['ASIA', 'EUROPE', 'AFRICA', 'AMERICA']) AS e), gs AS (SELECT unnest(['Female', 'Male']) AS s),
+  bd AS (SELECT stratum, r, e, s, coalesce(n, 0) AS n FROM st CROSS JOIN gr CROSS JOIN ge CROSS JOIN gs LEFT JOIN ct USING (stratum, r, e, s)), sg AS (SELECT * FROM ct UNION ALL SELECT stratum, r, e, s, -n FROM bd WHERE n BETWEEN 1 AND 1)""",
+       sql="""SELECT stratum, r AS race_category, e AS ethnicity_category, s AS sex_category, CASE WHEN n = 1 THEN NULL ELSE n END AS n FROM bd
+  UNION ALL SELECT stratum, r, 'Total', '', coalesce(CAST(sum(n) AS BIGINT), 0) FROM st CROSS JOIN gr LEFT JOIN sg USING (stratum, r) GROUP BY 1, 2
+  UNION ALL SELECT stratum, 'Total', e, s, coalesce(CAST(sum(n) AS BIGINT), 0) FROM st CROSS JOIN ge CROSS JOIN gs LEFT JOIN sg USING (stratum, e, s) GROUP BY 1, 3, 4
+  UNION ALL SELECT stratum, 'Total', 'Total', '', CAST(sum(n) AS BIGINT) FROM sg GROUP BY 1""")
+def i16x(spark, sf):
+    p = stratified(spark, sf).select("stratum", "patient_id", "race_category", "ethnicity_category", "sex_category").distinct()
+    return T.demographic_crosstab(p, ["stratum"], RACES, ETHS, SEXES, 2).drop("text")
+
+
 @query("i17_outcome_inconsistencies", views="blocks", cte=FLAGS + """, rw AS (SELECT b.hospitalization_id, encounter_block, death_enc, CASE WHEN discharge_category = 'Expired' THEN 1 ELSE 0 END AS x,
   CASE WHEN discharge_category = 'Hospice' THEN 1 ELSE 0 END AS h FROM blocks b JOIN flags USING (encounter_block))""",
        sql="SELECT hospitalization_id, encounter_block FROM rw WHERE death_enc = 1 AND encounter_block IN (SELECT encounter_block FROM rw WHERE death_enc = 1 AND x = 0 AND h = 0)")
