@@ -113,3 +113,15 @@ def buffered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Itera
 
 def sha256_hex(column) -> F.Column:
     return F.sha2(column, 256)
+
+
+def packed(df: DataFrame, keep: list[str], **columns: str) -> DataFrame:
+    """Kept columns as one struct ``_row`` beside renamed ones: no name of the input can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
+                     *[F.col(f"`{c}`").alias(new) for new, c in columns.items()])
+
+
+def with_fields(df: DataFrame, ddl: str):
+    """Schema of ``df`` followed by the fields of ``ddl``."""
+    from pyspark.sql.types import StructType
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

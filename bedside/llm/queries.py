@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common
+from bedside.llm import bpe, common, decontaminate, pii, quality, shards
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,3 +25,24 @@ def _vocabulary() -> tuple[str, str]:
 @query("op2_byte_level_bpe")
 def op2(spark, sf_dir):
     return bpe.digests(common.documents(spark, sf_dir), *_vocabulary())
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    return decontaminate.digests(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op6_stratified_shards")
+def op6(spark, sf_dir):
+    return shards.assignment(common.documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
+@query("op1_pii_semi_markov")
+def op1(spark, sf_dir):
+    return pii.digests(common.documents(spark, sf_dir))
+
+
+@query("op8_quality_boosted_trees")
+def op8(spark, sf_dir):
+    return quality.digests(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
