@@ -294,7 +294,7 @@ def digests(docs: DataFrame) -> DataFrame:
     said = lambda spans: F.array_join(F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
     found = find(docs, fit(docs), ["doc_id"])
-    return found.select("doc_id", *[F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long")
-                                    .alias(f"n_{k}") for k in KINDS],
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
                         common.sha256_hex(said(base)).alias("base_sha256"), said(F.col("spans")).alias("spans"))
