@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, pii, quality, shards
+from bedside.llm import bpe, common, decontaminate, pii, quality, shards, substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op1(spark, sf_dir):
 @query("op8_quality_boosted_trees")
 def op8(spark, sf_dir):
     return quality.digests(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op4_substring_dedup")
+def op4(spark, sf_dir):
+    return substrings.digests(common.documents(spark, sf_dir))
