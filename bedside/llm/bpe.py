@@ -15,7 +15,8 @@ and has no tokens; repeated rows are encoded each; extra columns do not reach th
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,19 @@ class Pool:
         self.length = np.concatenate([self.length, lengths])
         self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])
 
+    def find(self, keys: list, learn: Callable[[list], None], bound: int) -> np.ndarray:
+        """Numbers of the keys. ``learn`` adds those not known yet, each once; beyond ``bound`` all are forgotten first."""
+        at = np.fromiter(map(self.number.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list({keys[i] for i in missing})
+            if len(self.number) + len(new) > bound:
+                self.clear()
+                new, missing = list(set(keys)), range(len(keys))
+            learn(new)
+            at[missing] = [self.number[keys[i]] for i in missing]
+        return at
+
     def take(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         """Values of the keys one after another, and the length of each."""
         at = np.fromiter(map(self.number.__getitem__, keys), dtype=np.int64, count=len(keys))
@@ -114,7 +128,7 @@ class Coder:
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # tokens that begin with a space
         self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.ragged = regex.compile(r"^\s|\s$|\s\s").search
-        self.encoded, self.decoded = Pool(np.int32), Pool(np.uint8)
+        self.known, self.encoded, self.decoded = Pool(np.int32), Pool(np.int32), Pool(np.uint8)
 
     def cut(self, text: str) -> list[str]:
         """Stretches that the pattern treats apart from each other. Where white space stands alone
@@ -147,10 +161,14 @@ class Coder:
     def learn(self, stretches: list[str]) -> None:
         """Encodes stretches not yet known. A word that is a token by itself needs no merging."""
         words = [[w.encode("utf-8", "surrogatepass") for w in self.find(s)] for s in stretches]
-        distinct = list({w for ws in words for w in ws})
-        whole = [w for w in distinct if w in self.ranks]
-        rest = [w for w in distinct if w not in self.ranks]
-        known = Pool(np.int32)
+        known = self.known
+        distinct = {w for ws in words for w in ws}
+        new = [w for w in distinct if w not in known.number]
+        if len(known.number) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(distinct)
+        whole = [w for w in new if w in self.ranks]
+        rest = [w for w in new if w not in self.ranks]
         known.add(whole, np.ones(len(whole), np.int64), np.array([self.ranks[w] for w in whole], np.int32))
         flat, lengths = self._merge(rest)
         known.add(rest, lengths, flat)
@@ -162,12 +180,7 @@ class Coder:
         cuts = [self.cut(t or "") for t in texts]
         keys = [s for c in cuts for s in c]
         pool = self.encoded
-        new = list({s for s in keys if s not in pool.number})
-        if len(pool.number) + len(new) > REMEMBERED:
-            pool.clear()
-            new = list(set(keys))
-        self.learn(new)
-        flat, lengths = pool.take(keys)
+        flat, lengths = pool.at(pool.find(keys, self.learn, REMEMBERED))
         return flat, split_sums(lengths, [len(c) for c in cuts])
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -179,12 +192,16 @@ class Coder:
         at = (4 * np.append(cut, len(ids))).tolist()
         runs = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
         pool = self.decoded
-        new = list({r for r in runs if r not in pool.number})
-        if len(pool.number) + len(new) > REMEMBERED:
-            pool.clear()
-            new = list(set(runs))
-        for i in range(0, len(new), SLICE):
-            part = new[i:i + SLICE]
+        flat, lengths = pool.at(pool.find(runs, self.spell, REMEMBERED))
+        first = np.searchsorted(cut, ends)
+        sums = np.concatenate([[0], np.cumsum(lengths)])[first].tolist()
+        whole = flat.tobytes()
+        return [whole[a:b] for a, b in zip(sums, sums[1:], strict=False)]
+
+    def spell(self, runs: list[bytes]) -> None:
+        """Decodes runs of tokens not yet known."""
+        for i in range(0, len(runs), SLICE):
+            part = runs[i:i + SLICE]
             n = np.fromiter((len(r) // 4 for r in part), dtype=np.int64, count=len(part))
             w = np.repeat(np.arange(len(part), dtype=np.int32), n)
             self.db.register("tokens", pa.table({
@@ -192,12 +209,7 @@ class Coder:
                 "id": np.frombuffer(b"".join(part), dtype=np.int32)}))
             got = self.db.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()
             self.db.unregister("tokens")
-            pool.add(part, np.fromiter(map(len, got), np.int64, len(got)), np.frombuffer(b"".join(got), np.uint8))
-        flat, lengths = pool.take(runs)
-        first = np.searchsorted(cut, ends)
-        sums = np.concatenate([[0], np.cumsum(lengths)])[first].tolist()
-        whole = flat.tobytes()
-        return [whole[a:b] for a, b in zip(sums, sums[1:], strict=False)]
+            self.decoded.add(part, np.fromiter(map(len, got), np.int64, len(got)), np.frombuffer(b"".join(got), np.uint8))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, pii, quality, shards, substrings
+from bedside.llm import bpe, common, decontaminate, ngrams, pii, quality, shards, substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op8(spark, sf_dir):
 @query("op4_substring_dedup")
 def op4(spark, sf_dir):
     return substrings.digests(common.documents(spark, sf_dir))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark, sf_dir):
+    return ngrams.join(common.documents(spark, sf_dir))
