@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, ngrams, pii, quality, shards, substrings
+from bedside.llm import bpe, common, decontaminate, lines, ngrams, pii, quality, shards, substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op4(spark, sf_dir):
 @query("op10_ngram_jaccard_join")
 def op10(spark, sf_dir):
     return ngrams.join(common.documents(spark, sf_dir))
+
+
+@query("op5_line_alignment_dedup")
+def op5(spark, sf_dir):
+    return lines.result(common.documents(spark, sf_dir))
