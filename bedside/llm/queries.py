@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, lines, ngrams, pii, quality, shards, substrings
+from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, pii, quality, shards, substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op10(spark, sf_dir):
 @query("op5_line_alignment_dedup")
 def op5(spark, sf_dir):
     return lines.result(common.documents(spark, sf_dir))
+
+
+@query("op7_pruned_graph_neighbours")
+def op7(spark, sf_dir):
+    common.prepare(spark)
+    return graph.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
