@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, pii, quality, shards, substrings
+from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, pages, pii, quality, shards, substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -17,14 +17,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 @query("op2_byte_level_bpe")
 def op2(spark, sf_dir):
-    return bpe.digests(common.documents(spark, sf_dir), *_vocabulary())
+    return bpe.digests(common.documents(spark, sf_dir), *vocabulary())
 
 
 @query("op3_benchmark_decontamination")
@@ -67,3 +67,9 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     common.prepare(spark)
     return graph.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op9_site_style_tree")
+def op9(spark, sf_dir):
+    common.prepare(spark)
+    return pages.result(spark.read.parquet(f"{sf_dir}/pages.parquet"))
