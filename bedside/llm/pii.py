@@ -285,9 +285,12 @@ def find(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "tex
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> np.ndarray:
     """Trains on the ``sample`` documents of least hash of key and text that hold a digit or an at sign."""
-    chosen = (docs.where(F.col(text).rlike("[0-9@]")).select(text, F.xxhash64(key, text).alias("_h"))
-              .orderBy("_h", text).limit(sample))
-    return train([r[0] for r in chosen.collect()])
+    marked = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("_t"), F.xxhash64(key, text).alias("_h"))
+    # hashes are compared first, so that tasks send numbers and only the chosen texts travel
+    last = marked.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    if last is None:
+        return train([])
+    return train([r[0] for r in marked.where(F.col("_h") <= last).dropDuplicates(["_h"]).orderBy("_h").select("_t").collect()])
 
 
 def digests(docs: DataFrame) -> DataFrame:
