@@ -42,8 +42,8 @@ class Ordered:
     """Collects ordered columns and computes them in one two-level pass.
 
     ``order`` must be a total order inside a key (add a tie breaker column) and
-    its first column must be the one ``slice_col`` was made from. Keys are ids and
-    must not be null. ``apply(keep_slice=True)`` leaves the slice column in, so a
+    its first column must be the one ``slice_col`` was made from. Null keys are one
+    key: keys are compared as one struct. ``apply(keep_slice=True)`` leaves the slice column in, so a
     following pass over the same keys finds its rows already placed and does not
     shuffle again.
     """
@@ -97,7 +97,7 @@ class Ordered:
         return self._add("sum", name, F.lit(1).cast("long"))
 
     def apply(self, keep_slice: bool = False) -> DataFrame:
-        part = self.keys + ["_slice"]
+        part = ["_key", "_slice"]
         w = Window.partitionBy(*part).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
         onward = w.rowsBetween(0, Window.unboundedFollowing)
@@ -128,6 +128,8 @@ class Ordered:
                 cols[f"_v{i}"] = (F.max if kind == "max" else F.sum)(c).over(upto)
                 tail.add(f"_v{i}")
         base = self.df if "_slice" in self.df.columns else self.df.withColumn("_slice", self.slice_col)
+        if "_key" not in base.columns:
+            base = base.withColumn("_key", F.struct(*[F.col(k) for k in self.keys]))
         local = base.withColumns(cols)
 
         key_order = F.struct(*[F.col(o) for o in self.order])
@@ -137,7 +139,7 @@ class Ordered:
         if head:
             aggs.append(F.min_by(F.struct(*sorted(head)), key_order).alias("_head"))
         carry = local.groupBy(*part).agg(*aggs)
-        ws = Window.partitionBy(*self.keys).orderBy("_slice")
+        ws = Window.partitionBy("_key").orderBy("_slice")
         before = ws.rowsBetween(Window.unboundedPreceding, -1)
         after = ws.rowsBetween(1, Window.unboundedFollowing)
         cc = {}
@@ -154,7 +156,7 @@ class Ordered:
             elif kind == "back":
                 cc[f"_c{i}"] = F.first(f"_head._v{i}", True).over(after)
             elif kind == "total":
-                cc[f"_c{i}"] = F.sum(f"_tail._v{i}").over(Window.partitionBy(*self.keys))
+                cc[f"_c{i}"] = F.sum(f"_tail._v{i}").over(Window.partitionBy("_key"))
             else:
                 cc[f"_c{i}"] = (F.sum if kind == "sum" else F.max)(f"_tail._v{i}").over(before)
         carry = carry.withColumns(cc).drop("_tail", "_head")
@@ -162,9 +164,9 @@ class Ordered:
         both = local.alias("l").join(
             carry.alias("c"),
             [F.col(f"l.{p}") == F.col(f"c.{p}") for p in part], "left")
-        out = [F.col(f"l.{c}") for c in self.df.columns if c != "_slice"]
+        out = [F.col(f"l.{c}") for c in self.df.columns if c not in ("_slice", "_key")]
         if keep_slice:
-            out.append(F.col("l._slice"))
+            out += [F.col("l._slice"), F.col("l._key")]
         for i, (kind, name, _, k) in enumerate(self.ops):
             if kind in ("lag", "lead"):
                 v = F.col(f"_s{i}_{k}")

@@ -69,16 +69,27 @@ def range_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 def null_outliers_by_category(df: DataFrame, rules: DataFrame, value: str, category: str,
                               unit: str | None = None) -> DataFrame:
-    """Outlier rule looked up by category, or by category and unit. Rows without a rule
-    keep their value."""
+    """Outlier rule looked up by category, or by category and unit; a rule for the unit goes
+    before one for any unit. Rows without a rule keep their value, and no row is doubled: of several
+    rules for one category and unit (or, without ``unit``, for one category) the widest range counts."""
     r = rules.select(F.lower(F.trim("category")).alias("_rc"), F.lower(F.trim("unit")).alias("_ru"), "low", "high")
-    cond = norm(category) == F.col("_rc")
-    if unit is not None:
-        cond = cond & (F.col("_ru").isNull() | (norm(unit) == F.col("_ru")))
-    j = df.join(r, cond, "left")
-    keep = F.col("_rc").isNull() | ((F.col("low").isNull() | (F.col(value) >= F.col("low")))
-                                    & (F.col("high").isNull() | (F.col(value) <= F.col("high"))))
-    return j.withColumn(value, F.when(keep, F.col(value))).drop("_rc", "_ru", "low", "high")
+
+    def widest(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        every = F.count(F.lit(1))  # an open end of any rule stays open
+        return rows.groupBy(*keys).agg(F.struct(F.when(F.count("low") == every, F.min("low")).alias("low"),
+                                                F.when(F.count("high") == every, F.max("high")).alias("high")).alias(name))
+
+    if unit is None:
+        j = df.join(widest(r, ["_rc"], "_rule"), norm(category) == F.col("_rc"), "left").drop("_rc")
+    else:
+        special = widest(r.where("_ru IS NOT NULL"), ["_rc", "_ru"], "_special")
+        general = widest(r.where("_ru IS NULL"), ["_rc"], "_general")
+        j = (df.join(special, (norm(category) == F.col("_rc")) & (norm(unit) == F.col("_ru")), "left").drop("_rc", "_ru")
+             .join(general, norm(category) == F.col("_rc"), "left").drop("_rc")
+             .withColumn("_rule", F.coalesce("_special", "_general")).drop("_special", "_general"))
+    keep = F.col("_rule").isNull() | ((F.col("_rule.low").isNull() | (F.col(value) >= F.col("_rule.low")))
+                                      & (F.col("_rule.high").isNull() | (F.col(value) <= F.col("_rule.high"))))
+    return j.withColumn(value, F.when(keep, F.col(value))).drop("_rule")
 
 
 def remove_outliers(df: DataFrame, value: str, low: float, high: float) -> DataFrame:

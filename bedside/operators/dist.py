@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def ecdf(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
 
 
 def ecdf_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Count, range, mean, population sd and percentiles beside an ECDF."""
-    return with_quantiles(df.where(F.col(value).isNotNull()), keys, [
+    """Count, range, mean, population sd and percentiles beside an ECDF; NaN counts as missing in all of them."""
+    return with_quantiles(df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), keys, [
         F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std")], {value: {f"p{p}": p / 100 for p in PERCENTILES}})
 
@@ -55,9 +57,9 @@ def quantile_bins(ranked: DataFrame, keys: list[str], bins: str, value: str = "v
                                            F.max(F.when(on(F.ceil(h)), F.col(value))).alias("_hi"), F.max(h - F.floor(h)).alias("_f"))
     # at most bins + 1 edges per group
     edges = edges.groupBy(*keys).agg(F.array_sort(F.collect_set(
-        F.round(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"), 9))).alias("_e"))
+        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))).alias("_e"))
     edges = materialise(edges, "edges")  # read twice below, joined by its known size
-    below = F.size(F.filter("_e", lambda e: e < F.round(F.col(value), 9)))
+    below = F.size(F.filter("_e", lambda e: e < F.col(value)))
     hits = ranked.join(edges, keys).groupBy(*keys, F.greatest(below, F.lit(1)).alias("bin_num")).agg(F.sum("n").alias("count"))
     k = F.greatest(F.size("_e") - 1, F.lit(1))
     frame = edges.select(*keys, "_e", F.explode(F.sequence(F.lit(1), k)).alias("bin_num"))
@@ -114,8 +116,8 @@ def segmented_bins(df: DataFrame, config: DataFrame, keys: list[str], on: list[s
                                 F.min_by("bin_max", "bin_num").alias("_first_right")).join(total, g)
     can = (F.col("_b") > 1) & F.col("segment").isin("below", "above")
     tail = r.select(*g, value, "n").join(ends.where(can), g).where(
-        F.when(F.col("segment") == "below", F.round(F.col(value), 9) <= F.col("_first_right"))
-        .otherwise(F.round(F.col(value), 9) >= F.col("_last_left"))).select(*g, value, "n")
+        F.when(F.col("segment") == "below", F.col(value) <= F.col("_first_right"))
+        .otherwise(F.col(value) >= F.col("_last_left"))).select(*g, value, "n")
     tr = ranked_counts(tail, g, value).where(F.col("total") >= 2 * extreme_bins).withColumn("_b", F.lit(extreme_bins))
     extra = materialise(quantile_bins(tr, g, "_b", value), "tails")
     split = extra.groupBy(*g).agg(F.max("bin_num").alias("_x"))
@@ -368,15 +370,20 @@ def _two_samples(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 
 
 def ks_test(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Largest gap of the two ECDFs; large-sample p-value."""
+    """Largest gap of the two ECDFs; large-sample p-value. The alternating series serves large
+    arguments, its theta form small ones, where the former needs ever more terms; equal samples have
+    p = 1, an empty sample null."""
     c = _two_samples(a.withColumn(value, F.col(value).cast("double")), b.withColumn(value, F.col(value).cast("double")), value)
     r = (Ordered(c, ["_k"], ["v"], value_slice("v")).cumsum("c1", "n1").cumsum("c2", "n2").total("t1", "n1").total("t2", "n2").apply())
     d = r.groupBy("_k").agg(F.max("t1").alias("n1"), F.max("t2").alias("n2"), F.max(F.abs(
-        F.col("c1") / F.col("t1") - F.col("c2") / F.col("t2"))).alias("statistic")).drop("_k")
+        F.try_divide("c1", "t1") - F.try_divide("c2", "t2"))).alias("statistic")).drop("_k")
     x = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))) * F.col("statistic")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0)
                          * F.exp(-2 * k * k * x * x))
-    return d.withColumn("p_value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
+    theta = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0.0), lambda s, k: s + F.exp(
+        -(2 * k - 1) * (2 * k - 1) * F.lit(math.pi ** 2) / (8 * x * x)))
+    p = F.when(x == 0, 1.0).when(x < 1, 1 - F.lit(math.sqrt(2 * math.pi)) / x * theta).when(x.isNotNull(), 2 * series)
+    return d.withColumn("p_value", F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
 
 
 def mann_whitney(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -391,8 +398,8 @@ def mann_whitney(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("_r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_tie") / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_tie"), n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd)  # null where all values are tied, which tells nothing: p = 1
     return s.withColumns({"statistic": u, "p_value": F.least(F.lit(1.0), 2 * normal_tail(z))}).drop("_r1", "_tie")
 
 

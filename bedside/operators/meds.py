@@ -123,8 +123,7 @@ def dose_histograms(meds: DataFrame, top: int = 20, bins: int = 50) -> DataFrame
     best = top_k(counts, top, [F.desc("n"), *[F.asc(k) for k in keys]]).select(*keys)
     d = d.join(best, keys, "left_semi")
     q = with_quantiles(d, keys, [F.min("med_dose").alias("_mn"), F.max("med_dose").alias("_mx")], {"med_dose": {"_q1": 0.25, "_q3": 0.75}})
-    # nine decimals, so that a dose on a bin border always falls the same way
-    q = materialise(q.withColumns({c: F.round(c, 9) for c in ("_q1", "_q3")}), "fences")
+    q = materialise(q, "fences")
     iqr = F.col("_q3") - F.col("_q1")
     f = d.join(q, keys).where(F.col("med_dose").between(F.col("_q1") - 1.5 * iqr, F.col("_q3") + 1.5 * iqr))
     lo = F.greatest(F.col("_mn"), F.col("_q1") - 1.5 * iqr)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bedside.functions.expr import attach, count_when, flag, pct
 from bedside.functions.quantiles import with_quantiles
 from bedside.operators.disclosure import count_text
+from bedside.sources.tables import exists
 
 # Name patterns of the pooling rules and order of the weight columns.
 COUNT_NAME = (r"^(n|count|total_obs|total_observations|total_distinct_observations|total_number_of_stays|total_encounters|total_days|"
@@ -63,7 +64,9 @@ def metric_rules(long: DataFrame) -> DataFrame:
 def pool_keyed(long: DataFrame, keys: list[str], site: str = "site") -> DataFrame:
     """Pooled value per key and metric. Means, medians and sds weight by the first known
     sample-size column; without one they stay null. A percentage with a count of the same
-    stem is rebuilt from the counts, so it is exact."""
+    stem is rebuilt from the counts, so it is exact. A site's table has each key and metric
+    once; of repeated cells the least counts, so that no site weighs double."""
+    long = long.groupBy(site, *keys, "metric").agg(F.min("value").alias("value"))
     rules = metric_rules(long).where("is_value").select("metric", "rule")
     x = long.withColumn("v", number("value")).join(rules, "metric").select(site, *keys, "metric", "rule", "v")
     order = F.array_position(F.array(*[F.lit(w) for w in WEIGHTS]), F.lower(F.col("metric")))
@@ -174,11 +177,19 @@ def pool_bins(rows: DataFrame, keys: list[str], by: list[str] | None = None) ->
 
 
 def read_sites(spark: SparkSession, root: str, name: str, site: str = "site") -> DataFrame:
-    """One result table of every site below ``root/<site>/final/<name>``, with the site."""
+    """One result table of every site, with the site: from ``root/<name>`` partitioned by site as
+    ``write_sites`` leaves it, else from ``root/<site>/final/<name>``."""
+    if exists(spark, f"{root.rstrip('/')}/{name}"):
+        return spark.read.parquet(f"{root.rstrip('/')}/{name}")
     df = spark.read.option("basePath", root.rstrip("/")).parquet(f"{root.rstrip('/')}/*/final/{name}")
     return df.withColumn(site, F.regexp_extract("_metadata.file_path", r"/([^/]+)/final/", 1))
 
 
+def write_sites(df: DataFrame, root: str, name: str, site: str = "site") -> None:
+    """The result table of all sites in one job, a folder per site whatever sites there are."""
+    df.write.partitionBy(site).parquet(f"{root.rstrip('/')}/{name}")
+
+
 # Benchmark metrics (name, section, kind, label beginnings).
 BENCHMARK = [
     ("Hospitalizations", "Demographics", "count", "N: Hospitalizations"),

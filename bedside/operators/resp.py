@@ -56,8 +56,10 @@ def waterfall(resp: DataFrame, order: list[str], cols: list[str], keys: list[str
     d, m = "device_category", "mode_category"
     p = (Ordered(src, keys, order).fill("_d", d).fill("_m", m).fill_before("_pd", d).fill_before("_pm", m).row_number("_n").apply())
     p = materialise(p.withColumns({d: F.col("_d"), m: F.col("_m")}).drop("_d", "_m"), "filled")
-    device = (F.col("_n") == 1) | ~F.col(d).eqNullSafe(F.col("_pd"))
-    mode = device | ~F.col(m).eqNullSafe(F.col("_pm"))
+    # an unknown device or mode becoming known is no change
+    differs = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
+    device = (F.col("_n") == 1) | differs(d, "_pd")
+    mode = device | differs(m, "_pm")
     o = Ordered(p, keys, order).cumsum("device_cat_id", device.cast("long")).cumsum("mode_cat_id", mode.cast("long"))
     for c in cols:
         o.fill(f"_f_{c}", F.when(F.col(c).isNotNull() | mode, F.struct(F.col(c).alias("v"))))
@@ -268,12 +270,15 @@ def time_to_extubation_subjects(per_enc: DataFrame, max_days: float = 28) -> Dat
 
 
 def concurrent_ratio(measures: DataFrame, resp: DataFrame, keys: list[str], value: str, measure_ts: str, out: str,
-                     resp_ts: str = "recorded_dttm", tolerance_minutes: float = 240, carry: list[str] | None = None) -> DataFrame:
-    """value / FiO2 with the last FiO2 at or before the measurement, within the tolerance."""
+                     resp_ts: str = "recorded_dttm", tolerance_minutes: float = 240, carry: list[str] | None = None,
+                     fio2_range: tuple[float, float] | None = None) -> DataFrame:
+    """value / FiO2 with the latest respiratory row at or before the measurement, within the
+    tolerance. A latest row without a usable FiO2 gives no ratio; an older one isn't used instead."""
     cols = ["fio2_set", *(["device_category"] if carry is None else carry)]
-    right = resp.where("fio2_set is not null").select(*keys, F.col(resp_ts).alias("_resp_ts"), *cols)
+    right = resp.select(*keys, F.col(resp_ts).alias("_resp_ts"), *cols)
     j = temporal.asof_join(measures, right, keys, measure_ts, "_resp_ts", cols, tolerance_minutes)
-    return j.withColumn(out, F.col(value) / F.col("fio2_set")).where(F.col(out).isNotNull())
+    usable = F.col("fio2_set") > 0 if fio2_range is None else F.col("fio2_set").between(*fio2_range)
+    return j.withColumn(out, F.when(usable, F.try_divide(F.col(value), F.col("fio2_set")))).where(F.col(out).isNotNull())
 
 
 def pf_ratio(labs: DataFrame, resp: DataFrame, keys: list[str], ts: str, po2: str = "po2_arterial") -> DataFrame:
@@ -283,8 +288,7 @@ def pf_ratio(labs: DataFrame, resp: DataFrame, keys: list[str], ts: str, po2: st
 def sf_ratio(vitals: DataFrame, resp: DataFrame, keys: list[str], ts: str, spo2: str = "spo2") -> DataFrame:
     """SpO2 / FiO2 for SpO2 50-97 and FiO2 0.21-1.0 only."""
     ok = F.col(spo2).between(SPO2_LOW, SPO2_HIGH)
-    return concurrent_ratio(vitals.where(ok), resp.where(F.col("fio2_set").between(FIO2_LOW, FIO2_HIGH)), keys, spo2, ts,
-                            "concurrent_sf")
+    return concurrent_ratio(vitals.where(ok), resp, keys, spo2, ts, "concurrent_sf", fio2_range=(FIO2_LOW, FIO2_HIGH))
 
 
 def failure_onset(resp: DataFrame, cohort: DataFrame | None = None, block: str = BLOCK, tie: str = "event_id",

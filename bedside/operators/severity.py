@@ -90,7 +90,7 @@ def _convert(dose, unit, weight) -> Column:
     d = (F.when(unit.rlike("^mg"), dose * 1000).when(unit.rlike("^g/"), dose * 1_000_000)
          .when(unit.rlike("^ng"), dose / 1000).otherwise(dose))
     d = F.when(unit.rlike("/hr$"), d / 60).otherwise(d)
-    return F.when(unit.rlike("/kg"), d).when(unit.rlike("/lb"), d * LB_PER_KG).otherwise(d / weight)
+    return F.when(unit.rlike("/kg"), d).when(unit.rlike("/lb"), d * LB_PER_KG).otherwise(F.when(weight > 0, d / weight))
 
 
 def convert_doses(meds: DataFrame, weights: DataFrame, keys: list[str] | None = None, ts: str = "admin_dttm",
@@ -112,7 +112,7 @@ def to_preferred_unit(converted: DataFrame, drugs: list[str]) -> DataFrame:
     absolute = ~u.rlike("/(kg|lb)/")
     status = (F.when(~F.col("med_category").isin(drugs), "not_requested").when(F.col("med_dose").isNull(), "missing_dose")
               .when(u.isNull() | (u == ""), "missing_unit").when(~mass, "unrecognized_unit")
-              .when(absolute & F.col("weight_kg").isNull(), "missing_weight").otherwise("success"))
+              .when(absolute & ~F.coalesce(F.col("weight_kg") > 0, F.lit(False)), "missing_weight").otherwise("success"))
     return converted.withColumn("convert_status", status).withColumn(
         "dose_converted", F.when(F.col("convert_status") == "success", F.col("dose_mcg_kg_min")).otherwise(F.col("med_dose")))
 
@@ -190,17 +190,22 @@ def _ladder(col, cuts):
 def sofa(labs: DataFrame, vitals: DataFrame, assessments: DataFrame, meds: DataFrame, weights: DataFrame, resp: DataFrame,
          cohort: DataFrame, fill_missing: bool = True) -> DataFrame:
     """The whole score: windowed worst values, converted doses and worst concurrent P/F.
-    Inputs are long (encounter, event_id, recorded_dttm, category, value); ``resp`` is filled."""
+    Inputs are long (encounter, event_id, recorded_dttm, category, value); ``resp`` is filled. Drugs
+    and windows are filtered before anything is ordered; FiO2 counts from inside the window only, to
+    which ``resp.windowed_fio2`` carries earlier settings. ``p_f_imputed`` is the imputed oxygen tension
+    over the highest FiO2 of the pairs."""
     rows = labs.unionByName(vitals).unionByName(assessments)
     long = windowed_values(rows, cohort, "recorded_dttm", "category", WORST_HIGH + WORST_LOW).select(BLOCK, "category", "value")
-    dose = convert_doses(meds, weights)
-    dose = windowed_values(dose, cohort, "admin_dttm", "med_category", ["norepinephrine", "epinephrine", "dopamine", "dobutamine"])
+    dose = windowed_values(meds, cohort, "admin_dttm", "med_category", ["norepinephrine", "epinephrine", "dopamine", "dobutamine"])
+    dose = convert_doses(dose, weights.join(cohort.select(BLOCK).distinct(), BLOCK, "left_semi"))
+    inside = temporal.interval_join(resp, cohort.select(BLOCK, "start_dttm", "end_dttm"), [BLOCK], "recorded_dttm", "start_dttm", "end_dttm")
     long = long.unionByName(dose.select(BLOCK, F.col("med_category").alias("category"), F.col("dose_mcg_kg_min").alias("value")))
     worst = worst_values(limit_inputs(long))
     po2 = windowed_values(labs, cohort, "recorded_dttm", "category", ["po2_arterial"]).where("value is not null").select(
         BLOCK, "event_id", "recorded_dttm", F.col("value").alias("po2_arterial"))
-    ratio = worst_ratio(pf_ratio(po2, resp, [BLOCK], "recorded_dttm"), "recorded_dttm").drop("po2_at_ratio")
-    return sofa_scores(worst.withColumn("pao2_imputed", pao2_from_spo2("spo2")).join(ratio, BLOCK, "left"), fill_missing)
+    ratio = worst_ratio(pf_ratio(po2, inside, [BLOCK], "recorded_dttm"), "recorded_dttm").drop("po2_at_ratio")
+    joined = worst.withColumn("pao2_imputed", pao2_from_spo2("spo2")).join(ratio, BLOCK, "left")
+    return sofa_scores(joined.withColumn("p_f_imputed", F.try_divide("pao2_imputed", "fio2_set")), fill_missing)
 
 
 def sofa_mortality(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import count_when, first_by, micros, norm, union_all
+from bedside.functions.expr import attach, count_when, first_by, micros, norm, union_all
 from bedside.functions.ordered import Ordered
 from bedside.sources.tables import materialise
 
@@ -54,6 +54,14 @@ def _merge_sides(left, right, keys, left_ts, right_ts, right_cols):
     return a.unionByName(b).where(F.col("_t").isNotNull())
 
 
+def _with_untimed(matched: DataFrame, left: DataFrame, left_ts: str) -> DataFrame:
+    """Left rows without a time can't match, but a left join keeps them: they come back with
+    the matched columns null."""
+    untimed = left.where(F.col(left_ts).isNull())
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in matched.schema.fields[len(left.columns):]]
+    return matched.unionByName(untimed.select(*left.columns, *empty))
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
               right_cols: list[str], tolerance_minutes: float | None = None,
               ts_out: str = "matched_ts") -> DataFrame:
@@ -66,8 +74,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     ok = F.lit(True)
     if tolerance_minutes is not None:
         ok = micros("_t") - micros("_m._rt") <= F.lit(int(tolerance_minutes * 60_000_000))
-    return rows.select("_l.*", F.when(ok, F.col("_m._rt")).alias(ts_out),
-                       *[F.when(ok, F.col(f"_m._r.{c}")).alias(c) for c in right_cols])
+    matched = rows.select("_l.*", F.when(ok, F.col("_m._rt")).alias(ts_out),
+                          *[F.when(ok, F.col(f"_m._r.{c}")).alias(c) for c in right_cols])
+    return _with_untimed(matched, left, left_ts)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
@@ -84,8 +93,9 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
     ok = F.lit(True)
     if within_hours is not None:
         ok = F.abs(micros("_t") - micros("_m._rt")) <= F.lit(int(within_hours * 3_600_000_000))
-    return rows.select("_l.*", F.when(ok, F.col("_m._rt")).alias(ts_out),
-                       *[F.when(ok, F.col(f"_m._r.{c}")).alias(c) for c in right_cols])
+    matched = rows.select("_l.*", F.when(ok, F.col("_m._rt")).alias(ts_out),
+                          *[F.when(ok, F.col(f"_m._r.{c}")).alias(c) for c in right_cols])
+    return _with_untimed(matched, left, left_ts)
 
 
 def interval_join(events: DataFrame, windows: DataFrame, keys: list[str], ts: str,
@@ -100,8 +110,11 @@ def interval_join(events: DataFrame, windows: DataFrame, keys: list[str], ts: st
     bucket = lambda c: F.floor(micros(c) / width)
     extra = [c for c in windows.columns if c not in keys]
     ev = events.withColumn("_b", bucket(ts))
-    win = (windows.where(F.col(start) <= F.col(end))
-           .withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end)))))
+    # a window reaches no further than the events do, however far its ends lie
+    span = events.agg(F.min(ts).alias("_first_event"), F.max(ts).alias("_last_event"))
+    win = attach(windows.where(F.col(start) <= F.col(end)), span)
+    first, last = F.greatest(start, "_first_event"), F.least(end, "_last_event")
+    win = win.where(first <= last).withColumn("_b", F.explode(F.sequence(bucket(first), bucket(last))))
     upper = (F.col(ts) <= F.col(end)) if closed == "both" else (F.col(ts) < F.col(end))
     return (ev.join(win.select(*keys, "_b", *extra), [*keys, "_b"])
             .where((F.col(ts) >= F.col(start)) & upper).drop("_b"))

@@ -48,13 +48,13 @@ KEYS = ["stratum", "metric"]
 
 def _edges(src, n):
     qs = ", ".join(str(i / n) for i in range(n + 1))
-    return f"list_sort(list_distinct(list_transform(quantile_cont({src}, [{qs}]), lambda x: round(x, 9))))"
+    return f"list_sort(list_distinct(list_transform(quantile_cont({src}, [{qs}]), lambda x: x)))"
 
 
 def _bins(name, rows, keys, edges):
     """SQL of quantile bins of ``rows`` (keys, value) with edges from ``edges`` (keys, e)."""
     k = ", ".join(keys)
-    return f"""{name}h AS (SELECT {k}, greatest(len(list_filter(e, lambda x: x < round(value, 9))), 1) AS bin_num, count(*) AS n FROM {rows} JOIN {edges} USING ({k}) GROUP BY ALL),
+    return f"""{name}h AS (SELECT {k}, greatest(len(list_filter(e, lambda x: x < value)), 1) AS bin_num, count(*) AS n FROM {rows} JOIN {edges} USING ({k}) GROUP BY ALL),
   {name} AS (SELECT {k}, b AS bin_num, e[b] AS bin_min, e[least(b + 1, len(e))] AS bin_max, coalesce(n, 0) AS count FROM
     (SELECT {k}, e, unnest(range(1, greatest(len(e), 2))) AS b FROM {edges}) f LEFT JOIN {name}h USING ({k}) WHERE {name}h.bin_num = b OR {name}h.bin_num IS NULL)""".replace(
         f"FROM {edges}) f LEFT JOIN {name}h USING ({k}) WHERE {name}h.bin_num = b OR {name}h.bin_num IS NULL", f"FROM {edges}) f LEFT JOIN (SELECT {k}, bin_num AS b, n FROM {name}h) USING ({k}, b)")
@@ -64,7 +64,7 @@ SEG = VALS + """, sg AS (SELECT stratum, metric, 'below' AS segment, value FROM
     SELECT stratum, metric, 'normal', value FROM vals WHERE value BETWEEN 20 AND 80 UNION ALL SELECT stratum, metric, 'above', value FROM vals WHERE value BETWEEN 80 AND 300),
   ed AS (""" + " UNION ALL ".join(f"SELECT stratum, metric, segment, {_edges('value', n)} AS e, count(*) AS t FROM sg WHERE segment = '{s}' GROUP BY ALL"
                                   for s, n in (("below", 4), ("normal", 6), ("above", 5))) + "),\n" + _bins("bb", "sg", ["stratum", "metric", "segment"], "ed") + f""",
-  tl AS (SELECT stratum, metric, segment, value FROM sg JOIN ed USING (stratum, metric, segment) WHERE (segment = 'below' AND round(value, 9) <= e[2]) OR (segment = 'above' AND round(value, 9) >= e[len(e) - 1])),
+  tl AS (SELECT stratum, metric, segment, value FROM sg JOIN ed USING (stratum, metric, segment) WHERE (segment = 'below' AND value <= e[2]) OR (segment = 'above' AND value >= e[len(e) - 1])),
   te AS (SELECT stratum, metric, segment, {_edges('value', 5)} AS e FROM tl GROUP BY ALL HAVING count(*) >= 10),
   """ + _bins("tt", "tl", ["stratum", "metric", "segment"], "te") + """,
   tx AS (SELECT stratum, metric, segment, max(bin_num) AS x FROM tt GROUP BY ALL), bk AS (SELECT stratum, metric, segment, max(bin_num) AS k FROM bb GROUP BY ALL),
@@ -230,7 +230,8 @@ def halves(spark, sf, c):
 
 @query("k18_ks_test", cte=TWO + """, d AS (SELECT CAST(max(t1) AS BIGINT) AS n1, CAST(max(t2) AS BIGINT) AS n2, max(abs(c1 / t1 - c2 / t2)) AS s FROM r),
   e AS (SELECT *, sqrt(n1 * n2 / (n1 + n2)::DOUBLE) * s AS x FROM d)""", sql="""SELECT n1, n2, round(s, 8) AS statistic,
-  round(least(1, greatest(0, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x)) FROM (SELECT unnest(range(1, 101)) AS k)))), 6) AS p_value FROM e""")
+  round(least(1, greatest(0, CASE WHEN x = 0 THEN 1 WHEN x < 1 THEN 1 - sqrt(2 * pi()) / x * (SELECT sum(exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / (8 * x * x))) FROM (SELECT unnest(range(1, 21)) AS k))
+    ELSE 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x)) FROM (SELECT unnest(range(1, 101)) AS k)) END)), 6) AS p_value FROM e""")
 def k18a(spark, sf):
     return rnd(rnd(D.ks_test(*halves(spark, sf, "o_totalprice"), "o_totalprice"), ["statistic"], 8), ["p_value"], 6)
 

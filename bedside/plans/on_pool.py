@@ -147,10 +147,8 @@ def n9(spark, sf):
 def n10(spark, sf):
     h = V.hosp(spark, sf).join(V.patient(spark, sf), "patient_id")
     root = scratch(spark, "sites")
-    counts = h.groupBy("site", "admission_type_category").agg(F.count(F.lit(1)).alias("n")).persist()
-    for s in SITES:
-        counts.where(F.col("site") == s).drop("site").coalesce(1).write.parquet(f"{root}/{s.replace(' ', '_')}/final/types.parquet")
-    counts.unpersist()
+    counts = h.groupBy(F.translate("site", " ", "_").alias("site"), "admission_type_category").agg(F.count(F.lit(1)).alias("n"))
+    P.write_sites(counts, root, "types.parquet")
     return P.read_sites(spark, root, "types.parquet").select("site", "admission_type_category", "n")
 
 

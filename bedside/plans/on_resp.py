@@ -35,8 +35,8 @@ INF = """inf AS (SELECT *, CASE WHEN device_category IS NULL AND mode_category I
     WINDOW w AS (PARTITION BY {key} ORDER BY recorded_dttm, event_id ROWS UNBOUNDED PRECEDING)),
   lg AS (SELECT *, row_number() OVER w AS rn, lag(dev) OVER w AS pd, lag(mode) OVER w AS pm FROM ff
     WINDOW w AS (PARTITION BY {key} ORDER BY recorded_dttm, event_id)),
-  ch AS (SELECT *, sum(CASE WHEN rn = 1 OR dev IS DISTINCT FROM pd THEN 1 ELSE 0 END) OVER w AS device_cat_id,
-    sum(CASE WHEN rn = 1 OR dev IS DISTINCT FROM pd OR mode IS DISTINCT FROM pm THEN 1 ELSE 0 END) OVER w AS mode_cat_id FROM lg
+  ch AS (SELECT *, sum(CASE WHEN rn = 1 OR dev <> pd THEN 1 ELSE 0 END) OVER w AS device_cat_id,
+    sum(CASE WHEN rn = 1 OR dev <> pd OR mode <> pm THEN 1 ELSE 0 END) OVER w AS mode_cat_id FROM lg
     WINDOW w AS (PARTITION BY {key} ORDER BY recorded_dttm, event_id ROWS UNBOUNDED PRECEDING)),
   wf AS (SELECT *, last_value(f0 IGNORE NULLS) OVER (PARTITION BY {key}, mode_cat_id ORDER BY recorded_dttm, event_id ROWS UNBOUNDED PRECEDING) AS fio2
     FROM ch)"""
@@ -248,12 +248,11 @@ def f17(spark, sf):
 
 RATIO = """l AS (SELECT encounter_block, event_id, recorded_dttm, value AS po2 FROM obs WHERE category IN ('view', 'error')),
   v AS (SELECT encounter_block, event_id, recorded_dttm, 50 + setting AS spo2 FROM obs WHERE category IN ('click', 'error') AND 50 + setting <= 97),
-  rf AS (SELECT encounter_block, recorded_dttm AS rt, fio2_set, device_category FROM resp WHERE fio2_set IS NOT NULL),
+  rf AS (SELECT encounter_block, recorded_dttm AS rt, fio2_set, device_category FROM resp),
   pf AS (SELECT l.*, fio2_set, device_category, po2 / fio2_set AS ratio FROM l ASOF JOIN rf ON l.encounter_block = rf.encounter_block AND l.recorded_dttm >= rf.rt
-    WHERE epoch_us(l.recorded_dttm) - epoch_us(rt) <= 14400000000),
-  rg AS (SELECT * FROM rf WHERE fio2_set BETWEEN 0.21::DOUBLE AND 1.0::DOUBLE),
-  sfr AS (SELECT v.*, fio2_set, device_category, spo2 / fio2_set AS ratio FROM v ASOF JOIN rg ON v.encounter_block = rg.encounter_block AND v.recorded_dttm >= rg.rt
-    WHERE epoch_us(v.recorded_dttm) - epoch_us(rt) <= 14400000000)"""
+    WHERE epoch_us(l.recorded_dttm) - epoch_us(rt) <= 14400000000 AND fio2_set > 0),
+  sfr AS (SELECT v.*, fio2_set, device_category, spo2 / fio2_set AS ratio FROM v ASOF JOIN rf ON v.encounter_block = rf.encounter_block AND v.recorded_dttm >= rf.rt
+    WHERE epoch_us(v.recorded_dttm) - epoch_us(rt) <= 14400000000 AND fio2_set BETWEEN 0.21::DOUBLE AND 1.0::DOUBLE)"""
 
 
 def labs(spark, sf):

@@ -133,9 +133,9 @@ def g9(spark, sf):
 
 
 PF = """l AS (SELECT encounter_block, event_id, recorded_dttm, value AS po2 FROM obs WHERE category IN ('view', 'error')),
-  rf AS (SELECT encounter_block, recorded_dttm AS rt, fio2_set, device_category FROM resp WHERE fio2_set IS NOT NULL),
+  rf AS (SELECT encounter_block, recorded_dttm AS rt, fio2_set, device_category FROM resp),
   pf AS (SELECT l.*, fio2_set, device_category, po2 / fio2_set AS ratio FROM l ASOF JOIN rf ON l.encounter_block = rf.encounter_block AND l.recorded_dttm >= rf.rt
-    WHERE epoch_us(l.recorded_dttm) - epoch_us(rt) <= 14400000000),
+    WHERE epoch_us(l.recorded_dttm) - epoch_us(rt) <= 14400000000 AND fio2_set > 0),
   pw AS (SELECT *, row_number() OVER (PARTITION BY encounter_block ORDER BY ratio, recorded_dttm, event_id) AS rn, min(po2) OVER (PARTITION BY encounter_block) AS mp,
     max(fio2_set) OVER (PARTITION BY encounter_block) AS mf FROM pf)"""
 RANK = "CASE device_category WHEN 'imv' THEN 1 WHEN 'nippv' THEN 2 WHEN 'high flow nc' THEN 4 WHEN 'nasal cannula' THEN 7 ELSE 9 END"
@@ -181,9 +181,9 @@ FULL = """rows AS (SELECT * FROM lim WHERE category NOT IN ('norepinephrine', 'd
   lg AS (SELECT r.encounter_block, category, value FROM rows r JOIN coh ON r.encounter_block = coh.encounter_block AND recorded_dttm BETWEEN s AND e UNION ALL SELECT * FROM doses),
   w2 AS (SELECT encounter_block, """ + ", ".join([f"max(value) FILTER (category = '{c}') AS {c}" for c in HIGH] + [f"min(value) FILTER (category = '{c}') AS {c}" for c in LOW]) + """ FROM lg GROUP BY 1),
   pl AS (SELECT i.* FROM inp i JOIN coh ON i.encounter_block = coh.encounter_block AND recorded_dttm BETWEEN s AND e WHERE category = 'po2_arterial'),
-  rr AS (SELECT encounter_block, recorded_dttm AS rt, fio2_set, device_category FROM resp WHERE fio2_set IS NOT NULL),
+  rr AS (SELECT r.encounter_block, recorded_dttm AS rt, fio2_set, device_category FROM resp r JOIN coh ON r.encounter_block = coh.encounter_block AND recorded_dttm BETWEEN s AND e),
   pr AS (SELECT pl.encounter_block, pl.event_id, pl.recorded_dttm, value / fio2_set AS ratio, device_category FROM pl ASOF JOIN rr ON pl.encounter_block = rr.encounter_block
-    AND pl.recorded_dttm >= rt WHERE epoch_us(pl.recorded_dttm) - epoch_us(rt) <= 14400000000),
+    AND pl.recorded_dttm >= rt WHERE epoch_us(pl.recorded_dttm) - epoch_us(rt) <= 14400000000 AND fio2_set > 0),
   p1 AS (SELECT encounter_block, ratio AS p_f, device_category FROM (SELECT *, row_number() OVER (PARTITION BY encounter_block ORDER BY ratio, recorded_dttm, event_id) AS rn FROM pr) WHERE rn = 1),
   sr AS (SELECT * FROM w2 LEFT JOIN p1 USING (encounter_block)), sx AS (SELECT encounter_block, """ + SCORES + """ FROM sr)"""
 

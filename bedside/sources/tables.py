@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -13,13 +15,41 @@ from pyspark.sql import functions as F
 from bedside.functions.expr import norm
 
 
+#: Where intermediates go, if not to ``spark.checkpoint.dir``.
+ROOT_CONF = "spark.bedside.intermediate.dir"
+_local: list[str] = []
+_written: list[str] = []
+
+
+def scratch_root(master: str, configured: str | None) -> str:
+    """The configured shared folder. A local folder serves a local master alone: on a cluster each
+    executor would write to a disk of its own, and what is read back would lack the others' files."""
+    if configured:
+        return configured.rstrip("/")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {ROOT_CONF} or spark.checkpoint.dir to a folder that driver and executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="bedside-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables, under ``spark.checkpoint.dir`` when the
-    cluster names one. Only a session without that setting (tests) uses a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="bedside-")
-    return f"{root.rstrip('/')}/bedside/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for written tables under the session's shared root; ``cleanup`` deletes it."""
+    configured = spark.conf.get(ROOT_CONF, None) or spark.conf.get("spark.checkpoint.dir", None)
+    dest = f"{scratch_root(spark.sparkContext.master, configured)}/bedside/{name}-{uuid.uuid4().hex}"
+    _written.append(dest)
+    return dest
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the folders that ``scratch`` has named so far; results not yet written must be.
+    Returns how many there were."""
+    n = len(_written)
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
 
 def prepare(spark: SparkSession) -> None:
