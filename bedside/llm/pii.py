@@ -29,6 +29,8 @@ from bedside.llm import common
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_CHARS, GAP_CHARS = 20, 64, 12
 SAMPLE_DOCS, EPOCHS, MARGIN = 1500, 12, 2.0
+#: Bounds of the training set: examples per type, stretches without personal data, and their length.
+PER_KIND, NEGATIVES, TRAIN_CHARS = 60, 240, 400
 
 # Fixed patterns of the base spans. A run of digits that fails from its first digit fails from
 # every later one, so looking back for a digit changes nothing but the time.
@@ -173,11 +175,15 @@ class Lattice:
         """Probability of each candidate segment with each type, by forward and backward sums."""
         scores = self.x @ weights.T
         total = np.logaddexp.reduce(scores, axis=1)
+        begins, ends = [[] for _ in range(self.n + 1)], [[] for _ in range(self.n + 1)]
+        for k, (i, j) in enumerate(self.segments):
+            begins[i].append((j, total[k]))
+            ends[j].append((i, total[k]))
         forward, backward = np.zeros(self.n + 1), np.zeros(self.n + 1)
         for j in range(1, self.n + 1):
-            forward[j] = np.logaddexp.reduce([forward[j - 1], *(forward[i] + total[k] for k, (i, e) in enumerate(self.segments) if e == j)])
+            forward[j] = np.logaddexp.reduce([forward[j - 1], *(forward[i] + s for i, s in ends[j])])
         for i in range(self.n - 1, -1, -1):
-            backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[e] + total[k] for k, (b, e) in enumerate(self.segments) if b == i)])
+            backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[j] + s for j, s in begins[i])])
         i, j = np.array(self.segments).T
         return np.exp(forward[i][:, None] + scores + backward[j][:, None] - forward[self.n])
 
@@ -215,7 +221,7 @@ def train(texts: list[str], epochs: int = EPOCHS) -> np.ndarray:
     for text in texts:
         spans = base_spans(text)
         for start, kind, end in spans:
-            if counts.get(kind, 0) >= 60:
+            if counts.get(kind, 0) >= PER_KIND:
                 continue
             counts[kind] = counts.get(kind, 0) + 1
             left, right = text[max(0, start - 16):start].rpartition("\n")[2], text[end:end + 16].partition("\n")[0]
@@ -230,7 +236,7 @@ def train(texts: list[str], epochs: int = EPOCHS) -> np.ndarray:
                 if want.any():
                     cases.append((case, want))
         for start, end in stretches(text, spans):
-            if counts.get("none", 0) < 240 and not any(a < end and start < b for a, _, b in spans):
+            if counts.get("none", 0) < NEGATIVES and end - start <= TRAIN_CHARS and not any(a < end and start < b for a, _, b in spans):
                 case = Lattice(text, start, end, [])
                 if case.segments:
                     counts["none"] = counts.get("none", 0) + 1
