@@ -130,8 +130,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     """Stretches to remove: doc, row (hash of id and text), start and end word (exclusive)."""
     rows = _keyed(docs, key, text)
     edges = materialise(runs(rows, window, k), "edges")
-    anchors = edges.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    shared = materialise(edges.join(anchors.select("anchor"), "anchor", "left_semi"), "shared")
+    # written first: both sides of the joins are then plain scans, whose skewed keys Spark can split
+    anchors = materialise(edges.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+                          .where("lo < hi").select("anchor"), "anchors")
+    shared = materialise(edges.join(anchors, "anchor", "left_semi"), "shared")
     paths = materialise(shared.groupBy("anchor", "h", "g").agg(
         F.min(F.struct("doc", "row", "start", "n")).alias("first"), F.max("doc").alias("last")), "paths")
 
@@ -141,12 +143,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
              .select("doc", "row", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end")))
 
     # branching k-mers: window by window, one copy of each run
-    forks = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("anchor")
+    forks = materialise(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("anchor"), "forks")
     wanted = paths.join(forks, "anchor", "left_semi").select("first.*", "h", "g")
     windows = materialise(opened(wanted, rows, window, k), "windows")
-    least = windows.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last")
+    least = materialise(windows.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
+                        .where("owner < last").drop("last"), "least")
     # windows of a run lie closer than they are long, so the marked ones cover all between the outermost
-    partly = (windows.join(least.select("a", "b", "owner"), ["a", "b"]).where("doc > owner")
+    partly = (windows.join(least, ["a", "b"]).where("doc > owner")
               .groupBy("h", "g", "doc").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi")))
     part = shared.join(partly, ["h", "g", "doc"]).select(
         "doc", "row", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + window).alias("end"))
