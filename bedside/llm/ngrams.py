@@ -176,7 +176,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         F.min("bands").alias("bands")), "words")
 
     spread = words.select("c", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("m")).where("size > 1")
+    # written first: both sides of the joins are then plain scans, whose skewed keys Spark can split
+    shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("m"))
+                         .where("size > 1"), "buckets")
     members = materialise(spread.join(shared, "bucket"), "members")
 
     # hot clusters: large buckets joined where they share members
@@ -224,7 +226,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     names = named.groupBy("root").agg(F.min("least").alias("class_id"), F.min("at").alias("keeper"))
     info = (named.select("c", "root", "copies").join(names, "root").join(counts, "c", "left")
             .select("c", "class_id", "keeper", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return (signed.select("doc", "row", "c").join(info, "c", "left")
+    return (signed.select("doc", "row", "c").join(materialise(info, "info"), "c", "left")
             .select("doc", "row", F.when(F.col("c").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     (F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_copies"),
