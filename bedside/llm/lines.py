@@ -112,7 +112,9 @@ def overlaps(docs: DataFrame, key: str, text: str, min_bytes: int) -> DataFrame:
         F.transform(line, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))).alias("lines"),
         F.transform(line, F.octet_length).alias("sizes")).dropDuplicates(["d"]), "lines")
     each = lined.select("d", F.explode(F.array_distinct("lines")).alias("h")).where("h IS NOT NULL")
-    first = each.groupBy("h").agg(F.min("d").alias("owner"), F.max("d").alias("last")).where("owner < last").select("h", "owner")
+    # written first: both sides of the join are then plain scans, whose skewed keys Spark can split
+    first = materialise(each.groupBy("h").agg(F.min("d").alias("owner"), F.max("d").alias("last"))
+                        .where("owner < last").select("h", "owner"), "first")
     pairs = materialise(each.join(first, "h").where("owner < d").select("d", "owner").distinct(), "pairs")
     both = (pairs.join(lined, "d")
             .join(lined.select(F.col("d").alias("owner"), F.col("lines").alias("others")), "owner")
