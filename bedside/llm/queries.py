@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, pages, pii, quality, shards, substrings
+from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, pages, pii, quality, shards, substrings, twins
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,7 +27,7 @@ def op2(spark, sf_dir):
     return bpe.digests(common.documents(spark, sf_dir), *vocabulary())
 
 
-@query("op3_benchmark_decontamination")
+@query("op3_benchmark_decontamination", twins.DECONTAMINATION)
 def op3(spark, sf_dir):
     docs = common.documents(spark, sf_dir)
     return decontaminate.digests(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -48,12 +48,12 @@ def op8(spark, sf_dir):
     return quality.digests(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", twins.SUBSTRINGS)
 def op4(spark, sf_dir):
     return substrings.digests(common.documents(spark, sf_dir))
 
 
-@query("op10_ngram_jaccard_join")
+@query("op10_ngram_jaccard_join", twins.NGRAM_JOIN)
 def op10(spark, sf_dir):
     return ngrams.join(common.documents(spark, sf_dir))
 
