@@ -473,16 +473,21 @@ def high_missingness(df: DataFrame, threshold: float = 50.0) -> DataFrame:
 
 
 def co_missing_pairs(df: DataFrame, minimum: float = 0.8, top: int = 10) -> DataFrame:
-    """Column pairs whose missing rows overlap (Jaccard above the minimum); pairs are of
-    columns, counted in one pass over the rows."""
+    """Column pairs whose missing rows overlap (Jaccard above the minimum). Rows are counted per
+    pattern of missing columns first; pairs are made of the patterns, which are few."""
     cols = df.columns
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    null = lambda c: F.col(c).isNull()
-    w = df.agg(*[x for i, (a, b) in enumerate(pairs) for x in (
-        count_when(null(a) & null(b)).alias(f"b{i}"), count_when(null(a) | null(b)).alias(f"e{i}"))])
-    rows = F.array(*[F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), (F.col(f"b{i}") / F.nullif(F.col(f"e{i}"), F.lit(0))).alias("jaccard"),
-                              F.col(f"b{i}").alias("both_missing_count")) for i, (a, b) in enumerate(pairs)])
-    out = w.select(F.explode(rows).alias("r")).select("r.*").where(F.col("jaccard") > minimum)
+    names = F.array(*[F.lit(c) for c in cols])
+    missing = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(i)) for i, c in enumerate(cols)]))
+    patterns = df.groupBy(missing.alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    single = patterns.select(F.explode("_p").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("n"))
+    two = F.flatten(F.transform("_p", lambda x: F.transform(F.filter("_p", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = patterns.select(F.explode(two).alias("_q"), "n").groupBy("_q.a", "_q.b").agg(F.sum("n").alias("both_missing_count"))
+    out = (both.join(single.select(F.col("i").alias("a"), F.col("n").alias("_na")), "a")
+           .join(single.select(F.col("i").alias("b"), F.col("n").alias("_nb")), "b")
+           .withColumn("jaccard", F.col("both_missing_count") / (F.col("_na") + F.col("_nb") - F.col("both_missing_count")))
+           .where(F.col("jaccard") > minimum)
+           .select(F.element_at(names, F.col("a") + 1).alias("column1"), F.element_at(names, F.col("b") + 1).alias("column2"), "jaccard",
+                   "both_missing_count"))
     return top_k(out.withColumn("jaccard", F.bround("jaccard", 3)), top, [F.desc("jaccard"), F.asc("column1"), F.asc("column2")])
 
 
