@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bedside.sources.tables import materialise
 
-DEGREE, BEAM, ALPHA, SHARD_ROWS, QUERY_BLOCK = 24, 48, 1.2, 4096, 512
+DEGREE, BEAM, SEARCH_BEAM, ALPHA, SHARD_ROWS, QUERY_BLOCK = 32, 96, 160, 1.2, 4096, 512
 
 
 def usable(vector: Column) -> Column:
@@ -97,12 +97,12 @@ def prune(x: np.ndarray, node: int, proposals: np.ndarray, degree: int, alpha: f
     proposals = np.unique(proposals[(proposals >= 0) & (proposals != node)])
     if not len(proposals):
         return proposals
-    own = ((x[proposals] - x[node]) ** 2).sum(axis=1)
+    # seen from the node, so that tiny distances inside a dense group keep their digits
+    points = (x[proposals] - x[node]).astype(np.float64)
+    own = (points ** 2).sum(axis=1)
     order = np.argsort(own, kind="stable")
-    proposals, own = proposals[order], own[order]
-    points = x[proposals]
-    norms = (points ** 2).sum(axis=1)
-    between = norms[:, None] + norms[None, :] - 2 * points @ points.T
+    proposals, own, points = proposals[order], own[order], points[order]
+    between = np.maximum(own[:, None] + own[None, :] - 2 * points @ points.T, 0)
     left, kept = np.ones(len(proposals), dtype=bool), []
     for i in range(len(proposals)):
         if left[i]:
@@ -166,12 +166,12 @@ def index(table: DataFrame, shard_rows: int = SHARD_ROWS, **options) -> DataFram
                              "edges": [graph.edges.astype(np.int32).tobytes()], "counts": [counts.tobytes()],
                              "ids": [np.concatenate([np.asarray(x, np.int64) for x in group.ids]).tobytes()]})
 
-    return table.select("shard", "v", "ids").groupBy("shard").applyInPandas(
+    # as many partitions as shards: small tables don't end in one task
+    return table.select("shard", "v", "ids").repartition(shards, "shard").groupBy("shard").applyInPandas(
         make, "shard int, entry int, vectors binary, edges binary, counts binary, ids binary")
 
 
-def search(queries: DataFrame, graphs: DataFrame, k: int, beam: int = BEAM, degree: int = DEGREE,
-           block: int = QUERY_BLOCK) -> DataFrame:
+def search(queries: DataFrame, graphs: DataFrame, k: int, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: nearest ``k`` of all shards for queries (id, v), never the query's own id."""
     total = queries.count()
     blocks = max(1, -(-total // block))
