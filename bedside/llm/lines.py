@@ -1,9 +1,15 @@
 """Line dedup by pairwise alignment with patience diff.
 
-Lines are compared by a hash of the line without the white space around it. A line that several
-documents have nominates one partner for each of them: the first document (least id) that has it.
-The rarer the line, the surer the overlap; a very common line also nominates just its first
-document, so pairs are at most as many as lines, whatever the frequencies, and no line is left out.
+Lines are compared by a hash of the line without the white space around it. Documents meet by runs:
+from each line on, and back from each line, the shortest run of lines that reaches ``min_bytes``. Every
+block to delete is a union of such runs, and the earlier document has them all. A run first asks the
+first document (least id) that has it. Runs not deleted then, since their lines come in another order
+there or repeat, ask the other earlier documents that have them, until they are deleted or all were
+asked: what is deleted is what alignment with every earlier document deletes. Documents of the same
+lines stand for each other, the first is asked. Common lines are deleted with their first document,
+so pairs are about as many as runs; only runs that no alignment deletes meet all documents that have them.
+Sizes of blocks count white space, those of runs offered do not; shorter runs are offered where
+white space makes a run long enough.
 Each pair is aligned once: lines unique to both sides, in their longest common order, are the
 anchors, the stretches between are aligned the same way, and where nothing is unique the k-th
 occurrences of a line are paired. Aligned lines that follow each other on both sides are a block;
@@ -20,6 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +35,7 @@ from bedside.llm import common
 from bedside.sources.tables import materialise
 
 MIN_BYTES = 40
+BLANK = 0
 
 
 def rising(values: list[int]) -> list[int]:
@@ -104,19 +112,65 @@ def blocks(a: list, sizes: list[int], b: list, min_bytes: int) -> list[tuple[int
     return out
 
 
-def overlaps(docs: DataFrame, key: str, text: str, min_bytes: int) -> DataFrame:
-    """doc, row and marks: the line ranges (start, end exclusive) to delete from each document."""
-    line = F.split(text, "\n", -1)
-    lined = materialise(docs.where(F.col(text).isNotNull()).select(
-        F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("doc"), F.xxhash64(key, text).alias("row")).alias("d"),
-        F.transform(line, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))).alias("lines"),
-        F.transform(line, F.octet_length).alias("sizes")).dropDuplicates(["d"]), "lines")
-    each = lined.select("d", F.explode(F.array_distinct("lines")).alias("h")).where("h IS NOT NULL")
-    # written first: both sides of the join are then plain scans, whose skewed keys Spark can split
-    first = materialise(each.groupBy("h").agg(F.min("d").alias("owner"), F.max("d").alias("last"))
-                        .where("owner < last").select("h", "owner"), "first")
-    pairs = materialise(each.join(first, "h").where("owner < d").select("d", "owner").distinct(), "pairs")
-    both = (pairs.join(lined, "d")
+def windows(lines: list, sizes: list[int], inner: list[int], min_bytes: int) -> tuple[np.ndarray, ...]:
+    """Starts, ends and the flags ask and offer of the shortest runs that reach ``min_bytes`` from each line on, and back
+    from each line. Every block of ``min_bytes`` is a union of such runs. Runs by ``sizes`` ask, runs by ``inner`` offer."""
+    filled = np.array([i for i, x in enumerate(lines) if x is not None], dtype=np.int64)
+    codes = []
+    for values in (sizes, inner):
+        total = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[filled])])
+        n = len(filled)
+        ends = np.searchsorted(total, total[:n] + min_bytes)
+        starts = np.searchsorted(total, total[1:] - min_bytes, side="right") - 1
+        i = np.concatenate([np.arange(n)[ends <= n], starts[starts >= 0]])
+        m = np.concatenate([ends[ends <= n], np.arange(1, n + 1)[starts >= 0]])
+        codes.append(np.unique(filled[i] * (len(lines) + 1) + filled[m - 1] + 1))
+        if sizes == inner:
+            codes *= 2
+            break
+    runs = np.union1d(*codes)
+    return runs // (len(lines) + 1), runs % (len(lines) + 1), np.isin(runs, codes[0]), np.isin(runs, codes[1])
+
+
+def short_runs(lines: list, inner: list[int], min_bytes: int) -> tuple[np.ndarray, ...]:
+    """Starts and ends of all runs below ``min_bytes`` by ``inner``."""
+    filled = [i for i, x in enumerate(lines) if x is not None]
+    out = []
+    for k, i in enumerate(filled):
+        size = 0
+        for j in filled[k:]:
+            size += inner[j]
+            if size >= min_bytes:
+                break
+            out.append((i, j + 1))
+    return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
+
+def runs_of(lined: DataFrame, min_bytes: int, short: bool = False) -> DataFrame:
+    """d, hash, start, end, ask and offer of the ``windows`` of each document, or of its ``short_runs``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = common.Rolling(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for k, (lines, sizes, inner) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "inner")), strict=True)):
+                if short:
+                    start, end = short_runs(lines, inner, min_bytes)
+                    ask, offer = np.zeros(len(start), bool), np.ones(len(start), bool)
+                else:
+                    start, end, ask, offer = windows(lines, sizes, inner, min_bytes)
+                if len(start):
+                    hashes = np.array([BLANK if x is None else x for x in lines], dtype=np.int64).view(np.uint64)
+                    h = rolling.spans(hashes, start, end).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("d").take(pa.array(np.full(len(h), k))), pa.array(h), pa.array(start.astype(np.int32)),
+                         pa.array(end.astype(np.int32)), pa.array(ask), pa.array(offer)], ["d", "h", "start", "end", "ask", "offer"])
+
+    return lined.select("d", "lines", "sizes", "inner").mapInArrow(
+        run, common.with_fields(lined.select("d"), "h long, start int, end int, ask boolean, offer boolean"))
+
+
+def aligned(pairs: DataFrame, lined: DataFrame, min_bytes: int) -> DataFrame:
+    """d, start and end of the common blocks of each pair of documents (d, owner)."""
+    both = (pairs.join(lined.select("d", "lines", "sizes"), "d")
             .join(lined.select(F.col("d").alias("owner"), F.col("lines").alias("others")), "owner")
             .select("d", "lines", "sizes", "others"))
 
@@ -128,8 +182,67 @@ def overlaps(docs: DataFrame, key: str, text: str, min_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(found, kind)], ["d", "marks"])
 
     marks = both.mapInArrow(run, common.with_fields(both.select("d"), "marks array<struct<start:int,end:int>>"))
+    return materialise(marks.select("d", F.explode("marks").alias("m")).distinct(), "marks")
+
+
+def collected(marks: DataFrame) -> DataFrame:
     # a document's marks are bounded by its lines
-    return marks.select("d", F.explode("marks").alias("m")).groupBy("d").agg(F.collect_set("m").alias("marks"))
+    return marks.groupBy("d").agg(F.collect_set("m").alias("marks"))
+
+
+def open_runs(asks: DataFrame, marks: DataFrame) -> DataFrame:
+    """Asking runs that have a line outside all marks of their document."""
+    marked = F.forall(F.sequence("start", F.col("end") - 1), lambda i: F.exists("marks", lambda m: (m["start"] <= i) & (i < m["end"])))
+    return materialise(asks.join(collected(marks), "d", "left").where(F.col("marks").isNull() | ~marked).drop("marks"), "open")
+
+
+def overlaps(docs: DataFrame, key: str, text: str, min_bytes: int) -> DataFrame:
+    """doc, row and marks: the line ranges (start, end exclusive) to delete from each document."""
+    line = F.split(text, "\n", -1)
+    lined = docs.where(F.col(text).isNotNull()).select(
+        F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("doc"), F.xxhash64(key, text).alias("row")).alias("d"),
+        F.transform(line, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))).alias("lines"),
+        F.transform(line, lambda x: F.when(F.trim(x) != "", F.octet_length(x)).otherwise(0)).alias("sizes"),
+        F.transform(line, lambda x: F.octet_length(F.trim(x))).alias("inner"))
+    whole = F.struct(F.size("lines").alias("n"), F.xxhash64(F.transform("lines", lambda x: F.coalesce(x, F.lit(BLANK)))).alias("h"))
+    lined = materialise(lined.dropDuplicates(["d"]).withColumn("whole", whole), "lines")
+    # a document of the same lines as an earlier one is aligned with the first of them: nothing is left to ask for
+    heads = materialise(lined.groupBy("whole").agg(F.min("d").alias("owner"), F.max("d").alias("last"))
+                        .where("owner < last").select("whole", "owner"), "heads")
+    copies = lined.select("d", "whole").join(heads, "whole").where("owner < d").select("d", "owner")
+    singles = lined.join(heads, "whole", "left").where("owner IS NULL OR owner = d")
+    runs = runs_of(singles, min_bytes)
+    padded = singles.where("sizes != inner")
+    short = materialise(runs_of(padded, min_bytes).where("ask AND NOT offer").select("h").distinct(), "short")
+    if not short.isEmpty():
+        runs = runs.unionByName(runs_of(singles, min_bytes, short=True).join(short, "h", "left_semi"))
+    # written first: both sides of the join are then plain scans, whose skewed keys Spark can split
+    first = materialise(runs.groupBy("h").agg(F.min(F.when(F.col("offer"), F.col("d"))).alias("owner"), F.max(F.when(F.col("ask"), F.col("d"))).alias("last"))
+                        .where("owner < last").select("h", "owner"), "first")
+    asks = materialise(runs.where("ask").join(first, "h").where("owner < d").select("h", "d", "start", "end", "owner"), "asks")
+    tried = materialise(asks.select("d", "owner").union(copies).distinct(), "pairs")
+    marks = aligned(tried, lined, min_bytes)
+    asks = open_runs(asks, marks)
+    if asks.isEmpty():
+        return collected(marks)
+    # what the first documents left open asks the others that have the run, about eight times as many in each round
+    others = (runs.where("offer").join(asks.groupBy("h").agg(F.min("owner").alias("owner")), "h").where("owner < d")
+              .select("h", F.col("d").alias("owner")).distinct())
+    others = materialise(others, "others")
+    rounds = others.groupBy("h").agg(F.ceil(F.log(8.0, F.count("*").cast("double"))).cast("int").alias("rounds"))
+    chance = (F.pmod(F.xxhash64("owner"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
+    others = materialise(others.join(rounds, "h").select("h", "owner", (F.col("rounds") - F.least(
+        "rounds", F.floor(-F.log(8.0, chance)).cast("int"))).alias("round")), "others")
+    for r in range((others.agg(F.max("round")).first()[0] or 0) + 1):
+        pairs = (asks.select("h", "d").distinct().join(others.where(F.col("round") == r), "h").where("owner < d")
+                 .select("d", "owner").distinct().join(tried, ["d", "owner"], "left_anti"))
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        tried, found = tried.union(pairs), aligned(pairs, lined, min_bytes)
+        marks = marks.union(found)
+        asks = open_runs(asks, marks)
+    return collected(marks)
 
 
 def dedup(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:

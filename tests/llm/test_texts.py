@@ -221,6 +221,47 @@ def test_lines_against_brute_force(spark, odd):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.result(frame(spark, rows)).collect()) == want
 
 
+def brute_lines(rows, white=" "):
+    """(id, lines, removed, text) where every document is aligned with every earlier one."""
+    stripped = {i: [x.strip(white) or None for x in t.split("\n")] for i, t in rows}
+    want = Counter()
+    for i, t in rows:
+        raw, gone = t.split("\n"), set()
+        for o in stripped:
+            if o < i:
+                for s, e in lines.blocks(stripped[i], [len(x.encode()) for x in raw], stripped[o], lines.MIN_BYTES):
+                    gone |= set(range(s, e))
+        want[i, len(raw), len(gone), "\n".join(x for k, x in enumerate(raw) if k not in gone)] += 1
+    return want
+
+
+def lined(spark, rows):
+    return Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.result(frame(spark, rows)).collect())
+
+
+def test_lines_shared_with_documents_that_are_first_for_no_line(spark):
+    common.prepare(spark)
+    a, b = "a line of 25 bytes or more", "b line of 25 bytes or more"
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}")]
+    assert {r.doc_id: r.text for r in lines.result(frame(spark, rows)).collect()}[4] == ""
+    assert lined(spark, rows) == brute_lines(rows)
+    p, q = "p is a long line of some forty bytes, more or less", "q is a long line of some forty bytes, more or less"
+    rows = [(1, f"{p}\nx\n{q}"), (2, f"{q}\n{p}"), (3, f"{q}\n{p}"), (4, f"{q}\n{p}\ny"), (5, f"{q}\n{p}\nz")]
+    assert {r.doc_id: r.text for r in lines.result(frame(spark, rows)).collect()}[5] == "z"
+    assert lined(spark, rows) == brute_lines(rows)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_lines_against_all_earlier_documents(spark, seed):
+    import random
+    common.prepare(spark)
+    rng = random.Random(seed)
+    pool = ["", "  ", "{", *[f"{k} {'short' * (k % 3)}" for k in range(8)], *[f"line {k} of some forty bytes, a little more or less" for k in range(5)],
+            *[f"{' ' * (k * 6)}padded {k}" for k in range(4)], "padded 2", "padded 3   "]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(1, 161)]
+    assert lined(spark, rows) == brute_lines(rows)
+
+
 def test_lines_stage_keeps_columns_and_clean_rows(spark, odd):
     docs = frame(spark, [*odd, (None, None), (None, "alone")])
     left = lines.shortened(docs)
