@@ -6,7 +6,8 @@ node the distribution over pages of its presentation (order of child styles) and
 to that of as many different pages. What hardly varies on ``least_pages`` pages or more is the
 site's frame: branches below ``least_importance`` are cut from each page. What the parts of
 a page are called (nav, footer, class "ad", role "banner", ...) is presentation as well: such nodes
-have no importance on any site, which also serves hosts of few pages.
+have no importance on any site, which also serves hosts of few pages. A name or role cuts no branch that
+holds the page's main part, its longest article or most of its text, nor a paragraph or heading.
 
 The text is what is left of the page's articles, else of its main part, else of its body. Should a
 frame take all of it, the page keeps its text.
@@ -40,7 +41,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split())
-NOT_TEXT = RAW | frozenset("head nav footer aside form fieldset button select option datalist label input dialog menu object embed audio "
+NOT_TEXT = RAW | frozenset("head nav footer aside button select option datalist label input dialog menu object embed audio "
                            "video canvas map search".split())
 CLOSED_BY = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
@@ -50,12 +51,18 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 NOT_IN_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "li", "dt", "dd", "caption", "option", "optgroup", "tbody", "thead", "tfoot", "legend"}
 P_SCOPE = frozenset("article aside body button div section td th li main table figure blockquote form header footer nav".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|masthead|topbar|header|footer|sidebar|side-bar|rail|aside|ads?|adbox|"
-    r"adslot|advert|adverts|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notices|alert|"
-    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommended|"
-    r"recommendations|comments?|commentlist|respond|replies|disqus|widgets?|pagination|pager|toolbar|copyright|colophon|legal|disclaimer|"
-    r"skip-link|hidden|visually-hidden|sr-only)(?:$|[\s_-])")
+NAMES = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar header footer sidebar rail aside ad ads adbox adslot advert "
+    "adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal "
+    "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
+    "commentlist respond replies disqus widget widgets pagination pager toolbar copyright colophon legal disclaimer".split())
+WHOLE_NAMES = frozenset("hidden visually-hidden sr-only skip-link side-bar sign-up".split())
+HEADER_NAMES = frozenset("header masthead banner".split())
+COMMENT_NAMES = frozenset("comment comments commentlist respond replies disqus".split())
+#: "has-sidebar" says what a node goes with, not what it is.
+STATES = frozenset("has have no not non with without is in hide hides show shows open closed enabled disabled layout page".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption".split())
+_PARTS = re.compile(r"[_-]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -66,6 +73,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def names(value: str) -> set[str]:
+    """What the tokens of a class or id call a node."""
+    out = set()
+    for token in value.split():
+        parts = set(_PARTS.split(token))
+        if token in WHOLE_NAMES:
+            out.add(token)
+        elif not parts & STATES:
+            out |= parts & NAMES
+    return out
+
+
 class Page:
     """Nodes of a page in page order and its blocks of text as (node, text) pieces."""
 
@@ -73,12 +92,41 @@ class Page:
         import xxhash
         self._hash = xxhash.xxh3_64_intdigest
         self.parent, self.path, self.tag, self.plain, self.article = [-1], [0], [""], [True], [0]
+        self.named = [0]  # 1: called a part of the frame, 2: comments
         self.kids: list[list[int]] = [[]]
         self.blocks: list[list[tuple[int, str]]] = []
         self._block: list[tuple[int, str]] = []
         self._stack = [0]
         self._read(html)
         self._flush()
+        self.unnamed = self.plain
+        self.plain = self._without_named()
+
+    def _without_named(self) -> list[bool]:
+        """Nodes without the branches that are called parts of the frame. A name cuts no branch that holds
+        the page's main part, its longest article or most of its text, and not all of the text."""
+        size, whole = [0] * len(self.tag), 0
+        for block in self.blocks:
+            for node, text in block:
+                if self.plain[node]:
+                    n = len("".join(text.split()))
+                    whole += n
+                    while node >= 0:
+                        size[node] += n
+                        node = self.parent[node]
+        holds = [False] * len(self.tag)
+        real = [node for node in range(1, len(self.tag)) if self.plain[node] and size[node] and self.article[node] > self.article[self.parent[node]]]
+        articles = [node for node in real if self.article[node] == 2]
+        for node in {*[node for node in real if self.article[node] == 1], *([max(articles, key=size.__getitem__)] if articles else [])}:
+            while node >= 0:
+                holds[node] = True
+                node = self.parent[node]
+        out = list(self.plain)
+        for node in range(1, len(self.tag)):
+            most = size[node] * 2 > whole and not (self.named[node] == 2 and real)
+            out[node] = out[node] and out[self.parent[node]] and not (self.named[node] and not holds[node] and not most)
+        kept = any(out[node] and text.strip() for block in self.blocks for node, text in block)
+        return out if kept else self.plain
 
     def _flush(self) -> None:
         if self._block:
@@ -91,17 +139,24 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> int:
         up, node = self._stack[-1], len(self.tag)
-        name, plain, article = tag, tag not in NOT_TEXT, self.article[up]
+        name, plain, named, article = tag, tag not in NOT_TEXT, int(tag in ("form", "fieldset")), self.article[up]
         if "=" in attributes or "hidden" in attributes.lower():
             found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
             classes = found.get("class", "")
             name = f"{tag}.{_DIGITS.sub('0', ' '.join(sorted(classes.split())))}"
             body = tag in ("html", "body", "article", "main")
-            if not body and (NAMES.search(classes) or NAMES.search(found.get("id", ""))):
-                plain = False
+            called = set() if body else names(classes) | names(found.get("id", ""))
+            if article > 1 or tag in TEXT_TAGS:
+                called -= HEADER_NAMES
+            if tag in TEXT_TAGS:
+                called &= WHOLE_NAMES
+            if called:
+                named = 2 if called & COMMENT_NAMES else 1
             if tag == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", classes):
                 plain = False
-            if found.get("role") in ROLES and not body or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
+            if found.get("role") in ROLES and not body:
+                named = named or 1
+            if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
                 plain = False
             if found.get("role") == "article" or found.get("itemprop") == "articlebody":
                 article = max(article, 2)
@@ -114,6 +169,7 @@ class Page:
         self.path.append(self._hash(f"{self.path[up]:x}/{name}"))
         self.tag.append(tag)
         self.plain.append(plain and self.plain[up])
+        self.named.append(named)
         self.article.append(article)
         self.kids.append([])
         kids = self.kids[up]

@@ -71,6 +71,16 @@ def test_known_page():
     assert pages.Page("<div>kept</div><div class='ad'>not</div>").text() == "kept"
 
 
+def test_names_cut_no_wrapper_heading_or_paragraph():
+    story = "<article><div class='entry-header'><h1>Title</h1></div><h2 class='section-header'>Part</h2><p class='notice'>Text.</p></article>"
+    for wrapper in ("div class='has-sidebar'", "div class='no-sidebar'", "div class='page-with-sidebar'", "div class='overflow-hidden'",
+                    "div class='sidebar'", "form", "div role='form'"):
+        assert pages.Page(f"<body><{wrapper}>{story}<div class='sidebar'>side</div></{wrapper.split()[0]}></body>").text() == "Title\nPart\nText."
+    assert pages.Page("<div class='legal'><div class='share'>all of it</div></div>").text() == "all of it"
+    assert pages.Page("<article><p>Short.</p></article><div id='comments'><div>much longer than the text</div></div>").text() == "Short."
+    assert pages.Page("<div>some text</div><div class='site-footer'>foot</div>").text() == "some text"
+
+
 def test_style_tree_cuts_the_frame_of_a_site(spark):
     common.prepare(spark)
     html = ["<body><div class=top>Our brand since 1990</div><div class=story><p>Story {0} begins {0}.</p><p>And ends {0}.</p></div>"
