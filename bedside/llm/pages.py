@@ -68,7 +68,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"
     r"([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+>|[^>]*(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"""(?i)(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -141,7 +141,9 @@ class Page:
         up, node = self._stack[-1], len(self.tag)
         name, plain, named, article = tag, tag not in NOT_TEXT, int(tag in ("form", "fieldset")), self.article[up]
         if "=" in attributes or "hidden" in attributes.lower():
-            found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
+            found: dict[str, str] = {}
+            for m in _ATTRIBUTE.finditer(attributes):  # one after another, values whole; the first of a name counts
+                found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
             classes = found.get("class", "")
             name = f"{tag}.{_DIGITS.sub('0', ' '.join(sorted(classes.split())))}"
             body = tag in ("html", "body", "article", "main")

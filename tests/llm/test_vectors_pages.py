@@ -71,6 +71,12 @@ def test_known_page():
     assert pages.Page("<div>kept</div><div class='ad'>not</div>").text() == "kept"
 
 
+def test_attributes_are_not_found_in_values():
+    assert pages.Page("<article title='a hidden gem'><p title=\"the hidden truth\">One.</p><a href='/x' title=\"A hidden gem\">two</a></article>").text() == "One.\ntwo"
+    assert pages.Page("<div>kept</div><div class='ad' title='the class of role play'>not</div>").text() == "kept"
+    assert pages.Page("<div>kept</div><div data-x = '>' hidden>no</div><div HIDDEN=''>no</div><div href=/a/ class=ad>no</div>").text() == "kept"
+
+
 def test_names_cut_no_wrapper_heading_or_paragraph():
     story = "<article><div class='entry-header'><h1>Title</h1></div><h2 class='section-header'>Part</h2><p class='notice'>Text.</p></article>"
     for wrapper in ("div class='has-sidebar'", "div class='no-sidebar'", "div class='page-with-sidebar'", "div class='overflow-hidden'",
