@@ -9,8 +9,8 @@ a page are called (nav, footer, class "ad", role "banner", ...) is presentation
 have no importance on any site, which also serves hosts of few pages. A name or role cuts no branch that
 holds the page's main part, its longest article or most of its text, nor a paragraph or heading.
 
-The text is what is left of the page's articles, else of its main part, else of its body. Should a
-frame take all of it, the page keeps its text.
+The text is what is left of the page's articles and main part if they hold half of it or more, else of
+its body. Should a frame take all of it, the page keeps its text.
 
 Counts are combined in the tasks, then per (host, node, value), then per (host, node), so a host may
 hold most pages. A node of little importance occurs on several pages, so a host has few of them
@@ -251,10 +251,16 @@ class Page:
         return out
 
     def text(self, frame: frozenset[int] | set[int] = frozenset()) -> str:
-        level = max((self.article[node] for block in self.blocks for node, text in block if self.plain[node] and text.strip()), default=0)
         cut = [False] * len(self.tag)
         for node in range(1, len(self.tag)):
             cut[node] = cut[self.parent[node]] or self.path[node] in frame
+        sizes = [0, 0, 0]
+        for block in self.blocks:
+            for node, text in block:
+                if self.plain[node] and not cut[node]:
+                    sizes[self.article[node]] += len("".join(text.split()))
+        # the innermost kind that holds half of the text; what stands beside articles in a main part is text like them
+        level = next((k for k in (2, 1) if sum(sizes[k:]) * 2 >= sum(sizes) and not (k == 2 and sizes[1])), 0)
         out = []
         for block in self.blocks:
             words = " ".join("".join([t for node, t in block if self.plain[node] and not cut[node] and self.article[node] >= level]).split())

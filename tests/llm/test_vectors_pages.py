@@ -77,6 +77,13 @@ def test_attributes_are_not_found_in_values():
     assert pages.Page("<div>kept</div><div data-x = '>' hidden>no</div><div HIDDEN=''>no</div><div href=/a/ class=ad>no</div>").text() == "kept"
 
 
+def test_a_short_article_takes_no_text_from_the_page():
+    long, card = "The real text of the page. " * 9, "<section class=more><article>Next</article></section>"
+    for page in (f"<main><div class=entry>{long}</div></main>{card}", f"<body><div class=entry>{long}</div>{card}</body>", f"<main><div>{long}</div>{card}</main>"):
+        assert pages.Page(page).text() == f"{long.strip()}\nNext"
+    assert pages.Page(f"<div>menu</div><article>{long}</article>").text() == long.strip()
+
+
 def test_names_cut_no_wrapper_heading_or_paragraph():
     story = "<article><div class='entry-header'><h1>Title</h1></div><h2 class='section-header'>Part</h2><p class='notice'>Text.</p></article>"
     for wrapper in ("div class='has-sidebar'", "div class='no-sidebar'", "div class='page-with-sidebar'", "div class='overflow-hidden'",
