@@ -15,7 +15,7 @@ its body. Should a frame take all of it, the page keeps its text.
 Counts are combined in the tasks, then per (host, node, value), then per (host, node), so a host may
 hold most pages. A node of little importance occurs on several pages, so a host has few of them
 beside its pages; they are joined to pages by host. Null html is an empty page, a page without
-a host is its own site, repeated pages count for the tree as often as they occur.
+a host is its own site, repeated pages count for the tree once per host.
 """
 
 from __future__ import annotations
@@ -279,20 +279,32 @@ def host_of(url: Column) -> Column:
 
 def tree(pages: DataFrame) -> DataFrame:
     """host, node, pages and importance of every style node; from host and html."""
+    pages = pages.where("host IS NOT NULL").select("host", "html", F.xxhash64("html").alias("page"))
+    # written first, so that its size is known: few pages are repeated, and texts need no shuffle
+    repeated = materialise(pages.groupBy("host", "page").count().where("count > 1").select("host", "page", F.lit(True).alias("again")), "repeated")
+    pages = pages.join(repeated, ["host", "page"], "left").select("host", "html", F.when(F.col("again"), F.col("page")).alias("page"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in common.buffered(batches, "html", 4 << 20):
             seen: Counter = Counter()
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for host, html, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page")), strict=True):
+                if page is not None:
+                    if (host, page) in done:
+                        continue
+                    done.add((host, page))
                 for node, values in Page(html or "").styles().items():
                     for kind, value in enumerate(values):
-                        seen[host, _signed(node), kind, _signed(value)] += 1
+                        seen[host, page, _signed(node), kind, _signed(value)] += 1
             if seen:
-                host, node, kind, value = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (node, kind, value, seen.values()))],
-                                                 ["host", "node", "kind", "value", "n"])
-
-    counts = (pages.where("host IS NOT NULL").select("host", "html").mapInArrow(run, "host string, node long, kind long, value long, n long")
-              .groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")))
+                host, *numbers = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (*numbers, seen.values()))],
+                                                 ["host", "page", "node", "kind", "value", "n"])
+
+    # a repeated page counts once, whatever tasks have it
+    counts = (pages.mapInArrow(run, "host string, page long, node long, kind long, value long, n long")
+              .groupBy("host", "page", "node", "kind", "value").agg(F.sum("n").alias("n"))
+              .groupBy("host", "node", "kind", "value").agg(F.sum(F.when(F.col("page").isNull(), F.col("n")).otherwise(1)).alias("n")))
     n = F.col("n").cast("double")
     entropy = (counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(n * F.ln(n)).alias("s"))
                .withColumn("h", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.ln("pages"))).otherwise(1.0)))

@@ -111,6 +111,14 @@ def test_style_tree_cuts_the_frame_of_a_site(spark):
     assert pages.result(df).count() == len(rows) and pages.result(df.limit(0)).count() == 0
 
 
+def test_repeated_pages_count_once(spark):
+    common.prepare(spark)
+    html = ["<body><div class=top>Our brand</div><div class=story><p>Story {0}.</p></div></body>".format(i) for i in range(8)]
+    rows = [(i, f"http://a.example.org/{i}", html[min(i, 7)]) for i in range(160)]
+    got = {r.page_id: r.text for r in pages.result(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {i: f"Story {min(i, 7)}." for i in range(160)}
+
+
 def test_articles_of_the_table(spark):
     import html as h
     import re
