@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment with patience diff.
 
-Lines are compared by a hash of the line without the white space around it. Documents meet by runs:
+Lines are compared by a hash of the line without the white space (space, tab, CR, FF, VT) around it. Documents meet by runs:
 from each line on, and back from each line, the shortest run of lines that reaches ``min_bytes``. Every
 block to delete is a union of such runs, and the earlier document has them all. A run first asks the
 first document (least id) that has it. Runs not deleted then, since their lines come in another order
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bedside.llm import common
@@ -36,6 +36,7 @@ from bedside.sources.tables import materialise
 
 MIN_BYTES = 40
 BLANK = 0
+WHITE = " \t\r\f\v"
 
 
 def rising(values: list[int]) -> list[int]:
@@ -196,14 +197,18 @@ def open_runs(asks: DataFrame, marks: DataFrame) -> DataFrame:
     return materialise(asks.join(collected(marks), "d", "left").where(F.col("marks").isNull() | ~marked).drop("marks"), "open")
 
 
+def trimmed(x: Column | str) -> Column:
+    return F.btrim(x, F.lit(WHITE))
+
+
 def overlaps(docs: DataFrame, key: str, text: str, min_bytes: int) -> DataFrame:
     """doc, row and marks: the line ranges (start, end exclusive) to delete from each document."""
     line = F.split(text, "\n", -1)
     lined = docs.where(F.col(text).isNotNull()).select(
         F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("doc"), F.xxhash64(key, text).alias("row")).alias("d"),
-        F.transform(line, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))).alias("lines"),
-        F.transform(line, lambda x: F.when(F.trim(x) != "", F.octet_length(x)).otherwise(0)).alias("sizes"),
-        F.transform(line, lambda x: F.octet_length(F.trim(x))).alias("inner"))
+        F.transform(line, lambda x: F.when(trimmed(x) != "", F.xxhash64(trimmed(x)))).alias("lines"),
+        F.transform(line, lambda x: F.when(trimmed(x) != "", F.octet_length(x)).otherwise(0)).alias("sizes"),
+        F.transform(line, lambda x: F.octet_length(trimmed(x))).alias("inner"))
     whole = F.struct(F.size("lines").alias("n"), F.xxhash64(F.transform("lines", lambda x: F.coalesce(x, F.lit(BLANK)))).alias("h"))
     lined = materialise(lined.dropDuplicates(["d"]).withColumn("whole", whole), "lines")
     # a document of the same lines as an earlier one is aligned with the first of them: nothing is left to ask for
@@ -271,6 +276,6 @@ def shortened(docs: DataFrame) -> DataFrame:
     """Documents with what is left of their texts, and its length in ``n_chars`` where that column
     exists. Documents of which nothing is left go; those that had no line to lose stay."""
     rows = docs.select(F.struct("*").alias("_all"), F.col("doc_id").alias("_id"), F.col("text").alias("_t"))
-    done = dedup(rows, ["_all"], "_id", "_t").where((F.col("n_removed") == 0) | (F.trim("deduped") != ""))
+    done = dedup(rows, ["_all"], "_id", "_t").where((F.col("n_removed") == 0) | (trimmed("deduped") != ""))
     new = {"text": F.col("deduped"), "n_chars": F.length("deduped").cast("long")}
     return done.select(*[(new[c] if c in new else F.col(f"_all.`{c}`")).alias(c) for c in docs.columns])

@@ -251,6 +251,14 @@ def test_lines_shared_with_documents_that_are_first_for_no_line(spark):
     assert lined(spark, rows) == brute_lines(rows)
 
 
+def test_lines_of_other_white_space_are_equal(spark):
+    common.prepare(spark)
+    a = [f"line {k} of 20 bytes" for k in range(4)]
+    rows = [(1, "\n".join([*a[:2], "", *a[2:]])), (2, "\r\n".join([*a[:2], "", *a[2:]])), (3, "\n".join(["\t" + a[0], f"{a[1]}\v\f", " \t", *a[2:]]))]
+    got = lined(spark, rows)
+    assert got == brute_lines(rows, " \t\r\f\v") and {(i, n) for i, _, n, _ in got} == {(1, 0), (2, 5), (3, 5)}
+
+
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_lines_against_all_earlier_documents(spark, seed):
     import random
