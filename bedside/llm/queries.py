@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, pages, pii, quality, shards, substrings, twins
+from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, packing, pages, pii, quality, shards, substrings, twins
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,9 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     common.prepare(spark)
     return pages.result(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op13_shortest_pack_first")
+def op13(spark, sf_dir):
+    import public_tokenizers
+    return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
