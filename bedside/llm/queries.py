@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bedside.llm import bpe, common, decontaminate, graph, lines, ngrams, packing, pages, pii, quality, shards, substrings, twins
+from bedside.llm import (bpe, common, conversations, decontaminate, graph, lines, ngrams, packing, pages, pii, quality, shards, substrings,
+                         twins)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,3 +80,10 @@ def op9(spark, sf_dir):
 def op13(spark, sf_dir):
     import public_tokenizers
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_conversation_repair", twins.CONVERSATIONS)
+def op12(spark, sf_dir):
+    common.prepare(spark)
+    rows = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.digests(conversations.segments(rows, times="times"))

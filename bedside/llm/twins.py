@@ -43,3 +43,41 @@ c AS (SELECT array_to_string(ws, ' ') AS words, count(*) AS n FROM d WHERE len(w
 SELECT d.doc_id, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS class_id, (SELECT count(*) FROM link WHERE a = d.doc_id) AS n_links,
   coalesce((SELECT any_value(n) - 1 FROM c WHERE words = array_to_string(ws, ' ')), 0) AS n_copies FROM d
 """
+
+_SPACED = "coalesce(CAST({} AS VARCHAR), ' ')"
+#: CRC-32 of conv_id:turn, bit by bit.
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({_SPACED.format('conv_id')} || ':' || {_SPACED.format('turn')}, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+# states: 0 nothing yet, 1 system, 2 user, 3 assistant; ins: turns inserted between two states
+CONVERSATIONS = f"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, {_SPACED.format('role')} AS role, {_SPACED.format('text')} AS text, {_CRC} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM h, unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS t(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM (
+      SELECT *, row_number() OVER w AS i FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)))),
+f AS (SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2 WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+        CASE WHEN prev IS NOT NULL AND left(prev, 1) || '>' || left(role, 1) NOT IN ('s>u', 'u>a', 'a>u') THEN 1 ELSE 0 END AS bad FROM o),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+      count(*) FILTER (fault = 3) AS truncated, sum(bad) AS illegal FROM f GROUP BY 1),
+ins(a, b, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+t(conv_id, i, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '', CAST([] AS VARCHAR[]) FROM n
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT t.conv_id, t.i + 1 AS i, e.state, t.cost + 2 * k + e.cost AS cost, t.audit || repeat('I', k) || e.edit AS audit,
+      t.lines || list_transform(range(CAST(k AS BIGINT)), lambda j: CASE WHEN (t.state = 2) = (j % 2 = 0) THEN 'assistant:' ELSE 'user:' END) || CASE WHEN e.line IS NULL THEN [] ELSE [e.line] END AS lines
+    FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i + 1 JOIN ins ON ins.a = t.state, LATERAL (
+      SELECT ins.b AS state, 3 AS cost, 'D' AS edit, NULL AS line
+      UNION ALL SELECT CASE WHEN ins.b = 2 THEN 3 ELSE 2 END, CASE WHEN fault = 3 THEN 3 ELSE 2 END, 'R', CASE WHEN ins.b = 2 THEN 'assistant:' ELSE 'user:' END || text WHERE fault IN (0, 3)
+      UNION ALL SELECT CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN fault = 3 THEN 1 ELSE 0 END, 'K', role || ':' || text
+        WHERE fault IN (0, 3) AND (c = 's' AND ins.b = 0 OR c = 'u' AND ins.b <> 2 OR c = 'a' AND ins.b = 2)) e)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+z AS (SELECT t.conv_id, cost + 2 * k AS cost, audit || repeat('I', k) AS audit,
+        lines || list_transform(range(CAST(k AS BIGINT)), lambda j: CASE WHEN (t.state = 2) = (j % 2 = 0) THEN 'assistant:' ELSE 'user:' END) AS lines
+      FROM t JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = n.n JOIN ins ON ins.a = t.state AND ins.b IN (0, 3)
+      QUALIFY row_number() OVER (PARTITION BY t.conv_id ORDER BY cost + 2 * k, audit || repeat('I', k)) = 1)
+SELECT u.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) u LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM u.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM u.conv_id
+"""
