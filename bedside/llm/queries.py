@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bedside.llm import (bpe, common, conversations, decontaminate, graph, lines, ngrams, packing, pages, pii, quality, shards, substrings,
-                         twins)
+from bedside.llm import (alignment, bpe, common, conversations, decontaminate, graph, lines, ngrams, packing, pages, pii, quality, shards,
+                         substrings, twins)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op12(spark, sf_dir):
     common.prepare(spark)
     rows = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return conversations.digests(conversations.segments(rows, times="times"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark, sf_dir):
+    import public_tokenizers
+    return alignment.align(common.documents(spark, sf_dir), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))

@@ -1,5 +1,6 @@
 """Packing and token alignment against the tokenizer libraries and brute force."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from bedside.llm import common, packing
+from bedside.llm import alignment, common, packing, queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, piece string, _key int, ids string, length string"
@@ -102,3 +103,99 @@ def test_packing_holds_the_ids_of_the_tokenizer(spark, capacity, least):
 def test_packing_of_nothing(spark):
     import public_tokenizers
     assert packing.pack(frame(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+# -- alignment
+
+def brute_alignment(rows):
+    """doc rows to figures, with whole texts given to both libraries."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    alphabet = alignment.byte_alphabet()
+    done, holds = [], Counter()
+    for key, text in rows:
+        x = a.encode(" " + text, add_special_tokens=False) if text else None
+        xs, ys = (x.ids, b.encode(text)) if text else ([], [])
+        xb = [bytes(alphabet[c] for c in t) for t in x.tokens] if text else []
+        yb = [alignment.piece_bytes(b.id_to_piece(i)) for i in ys]
+        if text and not b"".join(xb) == (" " + text).encode() == b"".join(yb):
+            xs, ys, xb, yb = [], [], [], []
+        ax, by = (np.cumsum([0, *map(len, t)]).tolist() for t in (xb, yb))
+        links, j = [], 0
+        for i in range(len(xs)):
+            while j and by[j] > ax[i]:
+                j -= 1
+            while j < len(ys) and by[j] < ax[i + 1]:
+                if by[j + 1] > ax[i]:
+                    links.append((xs[i], ys[j]))
+                j += 1
+        ends = sorted(set(ax[1:]) & set(by[1:]))
+        groups, m, n = [], 0, 0
+        for e in ends:
+            i, j = ax.index(e, m), by.index(e, n)
+            groups.append(",".join(map(str, xs[m:i])) + "|" + ",".join(map(str, ys[n:j])))
+            m, n = i, j
+        done.append((key, xs, ys, links, ";".join(groups), len(ends)))
+        holds.update(set(links))
+    top = defaultdict(int)
+    for (i, _), n in holds.items():
+        top[i] = max(top[i], n)
+    return Counter((key, len(xs), len(ys), n, len(links), sum(holds[p] == top[p[0]] for p in links), sum(holds[p] for p in links),
+                    hashlib.sha256(g.encode()).hexdigest() if xs else "", g) for key, xs, ys, links, g, n in done)
+
+
+def aligned(spark, rows, partitions):
+    import public_tokenizers
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(frame(spark, rows).repartition(partitions), *paths, groups=True)
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_alignment_against_whole_texts(spark, partitions):
+    common.prepare(spark)
+    rows = [*documents()[:120], *((10_000 + i, x) for i, x in enumerate(odd_texts()) if len(x or "") < 1000), (7, "twice"), (7, "twice"), (None, "no key")]
+    got = Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256, r.groups) for r in aligned(spark, rows, partitions).collect())
+    assert got == brute_alignment(rows)
+    assert sum(1 for r in got if r[1] == 0) > 2 and "op11_cross_tokenizer_alignment" in queries.QUERIES
+
+
+def test_alignment_of_nothing_and_of_texts_without_tokens(spark):
+    assert aligned(spark, [], 1).count() == 0
+    assert [tuple(r) for r in aligned(spark, [(1, None), (2, "\u2581")], 2).orderBy("doc_id").collect()] == [(i, 0, 0, 0, 0, 0, 0, "", "") for i in (1, 2)]
+
+
+def test_stretches_are_encoded_as_in_whole_texts():
+    import public_tokenizers
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as g:
+        both = alignment.Both(f.read(), g.read())
+    assert not [t for t in both.b_bytes if b" " in t.lstrip(b" ")]  # no piece goes across a cut
+    rng = random.Random(5)
+    bits = ["a", "B9", " ", " ", "  ", "\n", "\t", "é", "'s", ".", "!?", "<|endoftext|>", "日本", "\u3000", "\x1c", "0", "the", "<s>", "\u00a0", "\r\n", "🙂"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 12)))
+        first, *rest = alignment._CUT.split(text)
+        parts = both.aligned([first, *(s[1:] for s in rest)])
+        (a, b), = both.aligned([text])
+        assert ([i for x, _ in parts for i in x], [i for _, y in parts for i in y]) == (list(a), list(b)) or not a
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_merge_to_the_same_counts(seed):
+    rng = np.random.default_rng(seed)
+    runs = [np.unique(rng.integers(0, 2000, 300) << 32 | rng.integers(0, 40, 300)) for _ in range(7)] + [np.empty(0, np.int64)]
+    counts = [rng.integers(1, 9, len(r)) for r in runs]
+    want = Counter()
+    for r, c in zip(runs, counts, strict=True):
+        want.update(dict(zip(r.tolist(), c.tolist(), strict=True)))
+    got, back = {}, defaultdict(list)
+    for pairs, n, places in alignment.merged([alignment.run_of(r, c) for r, c in zip(runs, counts, strict=True)]):
+        assert not got or max(got) < pairs[0]
+        got |= dict(zip(pairs.tolist(), n.tolist(), strict=True))
+        for k, at in places:
+            back[k] += pairs[at].tolist()
+    assert got == dict(want) and all(back[k] == r.tolist() for k, r in enumerate(runs))
+    assert alignment.radix(runs[0], 5).max() < 5
