@@ -24,7 +24,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bedside.llm import common
-from bedside.llm.remembered import Remembered
+from bedside.llm.remembered import Remembered, byte_alphabet
 from bedside.sources.tables import materialise
 
-BUFFER_BYTES = 3 << 20
+BUFFER_BYTES, REMEMBERED = 3 << 20, 160 << 20
 #: A ids per cell of a run; low bits of the B id that take part in the radix.
 CELL, SPREAD = 256, 4
 PAIR_BITS = 32
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cut points inside a text that holds other white space than single spaces between words.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the rest for U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    other = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 def piece_bytes(piece: str) -> bytes:
     if re.fullmatch("<0x[0-9A-F]{2}>", piece):
         return bytes([int(piece[3:5], 16)])
@@ -67,59 +62,99 @@ class Both:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         alphabet = byte_alphabet()
-        size = self.a.get_vocab_size(with_added_tokens=True)
-        spelt = {i: (bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.a_bytes = [spelt.get(i, b"") for i in range(size)]
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        spelt = {i: (bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()) for t, i in vocabulary.items()}
+        self.a_bytes = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
-
-    def aligned(self, stretches: list[str]) -> list[tuple]:
-        """Per stretch (without its leading space): A ids, B ids, both empty where their bytes are not those of space+stretch."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
-        b = self.b.encode(stretches, num_threads=1)
-        out = []
-        for s, x, y in zip(stretches, a, b, strict=True):
-            raw = b" " + s.encode("utf-8", "surrogatepass")
-            same = b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
-            out.append((x, y) if same else ((), ()))
-        return out
+        # every id with what may follow it in the text of groups: , or | after ids of A, , or ; after ids of B
+        self.written = [b"%d%c" % (i, end) for t, ends in ((self.a_bytes, b",|"), (self.b_bytes, b",;")) for i in range(len(t)) for end in ends]
+        self.width = np.array([len(w) for w in self.written], dtype=np.int64)
+        self.opens = np.array([t[:1] == b" " for t in self.a_bytes])
+        self.fast = self._ranked(tokenizer_json, alphabet)
+
+    def _ranked(self, tokenizer_json: str, alphabet: dict[str, int]):
+        """The same encoder by ranks, where the file is one whose ids are its merge order and that cuts by the usual byte-level pattern."""
+        import json
+
+        import tiktoken
+        spec = json.loads(tokenizer_json)
+        usual = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["pre_tokenizer"]["use_regex"]
+        if not usual or spec["pre_tokenizer"]["add_prefix_space"]:
+            return None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        vocabulary = spec["model"]["vocab"]
+        if [vocabulary["".join(m)] for m in merges] != list(range(256, 256 + len(merges))):
+            return None
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode_a(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of space+stretch one after another, and how many each has."""
+        plain = [k for k, s in enumerate(stretches) if s and " " not in s and s.isprintable() and max(s) < "\u0250"] if self.fast else []
+        other = sorted(set(range(len(stretches))) - set(plain))
+        counts = np.zeros(len(stretches), dtype=np.int64)
+        got = [np.empty(0, np.int64)]
+        for at in range(0, len(plain), 4096):
+            # each begins with the only space it has, so ids that open with a space begin stretches
+            got.append(np.array(self.fast(" " + " ".join([stretches[k] for k in plain[at:at + 4096]])), dtype=np.int64))
+        ids = np.concatenate(got)
+        counts[plain] = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+        rest = [x.ids for x in self.a.encode_batch_fast([" " + stretches[k] for k in other], add_special_tokens=False)]
+        counts[other] = list(map(len, rest))
+        # put both in the order of the stretches
+        parts = np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.int64)])
+        order = np.concatenate([np.asarray(plain, dtype=np.int64), np.asarray(other, dtype=np.int64)])
+        begin = np.empty(len(stretches), dtype=np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return parts[np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], counts
+
+    def aligned(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and how many per stretch (without its leading space), the same of B: none where their bytes are not those of space+stretch."""
+        a, n_a = self.encode_a(stretches)
+        lists = self.b.encode(stretches, num_threads=1)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(chain.from_iterable(lists), np.int64, n_b.sum())
+        raw = [b" " + s.encode("utf-8", "surrogatepass") for s in stretches]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = np.ones(len(raw), dtype=bool)
+        for ids, n, sizes, spelt in ((a, n_a, self.a_size, self.a_bytes), (b, n_b, self.b_size, self.b_bytes)):
+            total = np.concatenate([[0], np.cumsum(sizes[ids])])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            same = total[ends[1:]] - total[ends[:-1]] == size
+            joined = b"".join(map(spelt.__getitem__, ids.tolist()))
+            if not same.all() or joined != b"".join(raw):
+                at = total[ends].tolist()
+                same &= np.array([joined[i:j] == r for i, j, r in zip(at[:-1], at[1:], raw, strict=True)], dtype=bool)
+            good &= same
+        return a[np.repeat(good, n_a)], n_a * good, b[np.repeat(good, n_b)], n_b * good
 
     def learn(self, stretches: list[str]) -> dict:
         """Figures, links and group text of stretches."""
-        whole = self.aligned(stretches)
-        n_a, n_b = (np.array([len(p[k]) for p in whole], dtype=np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for p in whole for i in p[k]), dtype=np.int64, count=n) for k, n in ((0, n_a.sum()), (1, n_b.sum())))
+        a, n_a, b, n_b = self.aligned(stretches)
+        many = len(stretches)
         # every stretch has the same bytes on both sides, so ends can run through
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        common_end = np.isin(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.isin(a_ends, b_ends, assume_unique=True), np.isin(b_ends, a_ends, assume_unique=True)
         ends = np.union1d(a_ends, b_ends)
         at_a, at_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        of_a = np.repeat(np.arange(len(whole)), n_a)
-        links = np.bincount(of_a[at_a], minlength=len(whole))
-        groups = np.bincount(of_a[common_end], minlength=len(whole))
-        text = group_texts(whole, self.a_size, self.b_size)
+        of_a, of_b = np.repeat(np.arange(many), n_a), np.repeat(np.arange(many), n_b)
+        links, groups = np.bincount(of_a[at_a], minlength=many), np.bincount(of_a[a_last], minlength=many)
+        # ids of A of a group come before its ids of B
+        group_a, group_b = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        codes[place_a], codes[place_b] = a * 2 + a_last, 2 * len(self.a_bytes) + b * 2 + b_last
+        of = np.empty(len(codes), dtype=np.int64)
+        of[place_a], of[place_b] = of_a, of_b
+        text = b"".join(map(self.written.__getitem__, codes.tolist()))
         # a stretch with space at an end, or none in between, makes its text be cut with more care
-        loose = np.array([not s or s[0].isspace() or s[-1].isspace() for s in stretches])
-        bad = (n_a == 0) & np.array([bool(s) for s in stretches])
+        loose = np.array([not s or s[0].isspace() or s[-1].isspace() for s in stretches], dtype=bool)
+        bad = (n_a == 0) & np.array([bool(s) for s in stretches], dtype=bool)
         figures = np.stack([n_a, n_b, groups, links, loose, bad], axis=1)
-        return {"figures": (np.full(len(whole), 6), figures.ravel()), "links": (links, a[at_a] << PAIR_BITS | b[at_b]),
-                "groups": (np.array([len(t) for t in text], dtype=np.int64), np.frombuffer(b"".join(text), dtype=np.uint8))}
-
-
-def group_texts(whole: list[tuple], a_size: np.ndarray, b_size: np.ndarray) -> list[bytes]:
-    """``a1,a2|b1;a3|b2,b3`` of each pair of id lists."""
-    out = []
-    for a, b in whole:
-        parts, i, j, x, y, m, n = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            x, i = x + int(a_size[a[i]]), i + 1
-            while y < x and j < len(b):
-                y, j = y + int(b_size[b[j]]), j + 1
-            if x == y:
-                parts.append(",".join(map(str, a[m:i])) + "|" + ",".join(map(str, b[n:j])))
-                m, n = i, j
-        out.append(";".join(parts).encode())
-    return out
+        return {"figures": (np.full(many, 6), figures.ravel()), "links": (links, a[at_a] << PAIR_BITS | b[at_b]),
+                "groups": (np.bincount(of, weights=self.width[codes], minlength=many).astype(np.int64), np.frombuffer(text, dtype=np.uint8))}
 
 
 def pressed(values: np.ndarray) -> bytes:
@@ -164,7 +199,7 @@ class Reader:
     """Buffers of texts to figures, positions of pairs and runs."""
 
     def __init__(self, both: Both) -> None:
-        self.known = Remembered(both.learn, {"figures": np.int64, "links": np.int64, "groups": np.uint8})
+        self.known = Remembered(both.learn, {"figures": np.int32, "links": np.int64, "groups": np.uint8}, REMEMBERED)
         self.both = both
 
     def read(self, texts: list[str | None]) -> tuple:
@@ -184,9 +219,8 @@ class Reader:
         sums = sums[ends[1:]] - sums[ends[:-1]]
         links, n_links = self.known.flat["links"].at(at)
         texts_, n_text = self.known.flat["groups"].at(at)
-        raw, stops = texts_.tobytes(), np.concatenate([[0], np.cumsum(n_text)]).tolist()
-        groups = [b";".join([raw[a:b] for a, b in zip(stops[i:j], stops[i + 1:j + 1], strict=True)])
-                  for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        raw, stops = texts_.tobytes(), np.concatenate([[0], np.cumsum(n_text)])[ends].tolist()
+        groups = [raw[i:max(i, j - 1)] for i, j in zip(stops[:-1], stops[1:], strict=True)]
         link_ends = np.concatenate([[0], np.cumsum(n_links)])[ends]
         keep = np.ones(len(links), dtype=bool)
         for i in np.flatnonzero(sums[:, 5] > 0).tolist():  # some stretch differs, so the text does
@@ -200,7 +234,7 @@ class Reader:
         return at, np.cumsum([0, *map(len, cuts)])
 
     def _figures(self, at: np.ndarray) -> np.ndarray:
-        return self.known.flat["figures"].values.reshape(-1, 6)[at]
+        return self.known.flat["figures"].values.reshape(-1, 6)[at].astype(np.int64)
 
 
 def _read(docs: DataFrame, tokenizer_path: str, model_path: str, counters: int, key: str, text: str, groups: bool) -> DataFrame:

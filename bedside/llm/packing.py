@@ -21,8 +21,12 @@ and an empty table has no sequences.
 from __future__ import annotations
 
 import heapq
+import json
+import re
+import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedside.llm import common
-from bedside.llm.remembered import Remembered, ends_of
-from bedside.sources.tables import materialise, scratch
+from bedside.llm.remembered import Remembered, byte_alphabet, ends_of
+from bedside.sources.tables import materialise
 
 CAPACITY, END_ID, LEAST = 2048, 1, 64
 #: Texts are encoded in buffers of so many bytes.
-BUFFER_BYTES = 4 << 20
+BUFFER_BYTES, STRETCHES, WORDS = 4 << 20, 128 << 20, 64 << 20
+#: How a tokenizer's file says that it lower-cases, drops white space and cuts words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 RANK_BITS = 40
 SLOT = ("level", "length", "first", "count", "start", "part", "sequence", "packs", "offset")
 
@@ -107,33 +116,68 @@ class Slots:
             yield found, start, part, sequence + nth % packs, offset + nth // packs * part
 
 
-def encoder(tokenizer_json: str) -> Remembered:
-    """Ids of stretches without space and line feed: the tokenizer drops white space, and no match spans it."""
-    import tokenizers
+#: Stretches of ASCII and Latin-1 letters, which need no Unicode tables, and their words in lower case.
+_PLAIN = re.compile("[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ a-z0-9\xdf-\xf6\xf8-\xff]+")
 
-    tokenizer = tokenizers.Tokenizer.from_str(tokenizer_json)
 
-    def learn(new: list[str]) -> dict:
-        ids = [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        return {"ids": (np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], dtype=np.uint32))}
+class Encoder:
+    """Ids of stretches without space and line feed: the tokenizer drops white space, and no match spans it.
 
-    return Remembered(learn, {"ids": np.uint32})
+    Plain stretches are lower-cased and cut into words here and their distinct words encoded by the tokenizer's model, where
+    its file says that this is what it does; all other stretches go through the whole tokenizer."""
+
+    def __init__(self, tokenizer_json: str) -> None:
+        import tokenizers
+
+        self.whole = tokenizers.Tokenizer.from_str(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        self.model = None
+        if spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER:
+            self.model = tokenizers.Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.words = Remembered(self._words, {"ids": np.uint32}, WORDS)
+
+    @staticmethod
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return n, np.fromiter(chain.from_iterable(ids), np.uint32, n.sum())
+
+    def _words(self, new: list[str]) -> dict:
+        spelt = [w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in new]
+        return {"ids": self._flat([x.ids for x in self.model.encode_batch_fast(spelt, add_special_tokens=False)])}
+
+    def learn(self, new: list[str]) -> dict:
+        plain = [k for k, s in enumerate(new) if _PLAIN.fullmatch(s) and "<|" not in s] if self.model else []
+        other = sorted(set(range(len(new))) - set(plain))
+        cuts = [_WORDS.findall(new[k].lower()) for k in plain]
+        flat, lengths = self.words.flat["ids"].at(self.words.find(list(chain.from_iterable(cuts)))) if cuts else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        n, rest = self._flat([x.ids for x in self.whole.encode_batch_fast([new[k] for k in other], add_special_tokens=False)])
+        counts = np.zeros(len(new), dtype=np.int64)
+        counts[plain], counts[other] = np.diff(ends_of(lengths, list(map(len, cuts)))), n
+        # put both in the order of the stretches
+        parts, order = np.concatenate([flat, rest]), np.asarray([*plain, *other], dtype=np.int64)
+        begin = np.empty(len(new), dtype=np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return {"ids": (counts, parts[np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())])}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written table of ``_key``, ``doc_tokens``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit),
+    """Written table of ``_key``, ``doc_tokens``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit, by zstd),
     ``nth`` (number among the pieces of this length in the writing task), ``ids_crc32``, ``task`` and ``piece``."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    names = ["_key", "doc_tokens", "start", "length", "ids", "nth"]
+    names = ["_key", "doc_tokens", "start", "length", "ids", "ids_crc32", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import zstandard
+        press = zstandard.ZstdCompressor(level=1).compress
         known, seen = None, np.zeros(capacity + 1, dtype=np.int64)
         for batch in common.buffered(batches, "_text", BUFFER_BYTES):
-            known = known or encoder(shared.value)
+            known = known or Remembered(Encoder(shared.value).learn, {"ids": np.uint32}, STRETCHES)
             cuts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("_text").to_pylist()]
             flat, lengths = known.flat["ids"].at(known.find([s for c in cuts for s in c]))
             ends = ends_of(lengths, [len(c) for c in cuts])
@@ -149,22 +193,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 at = np.flatnonzero(length == n)
                 nth[at] = seen[n] + np.arange(len(at))
                 seen[n] += len(at)
-            # a buffer of one long text may hold more bytes than 32-bit offsets can tell
-            offsets = np.concatenate([[0], np.cumsum(length)]) * 4
-            for a in range(0, len(row), 8192):
-                b = min(a + 8192, len(row))
-                ids = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((offsets[a:b + 1] - offsets[a]).astype(np.int32)),
-                                                                 pa.py_buffer(flat[offsets[a] // 4:offsets[b] // 4])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_key").take(pa.array(row[a:b])), *map(pa.array, (tokens[row[a:b]], start[a:b], length[a:b])), ids, pa.array(nth[a:b])], names)
+            stops, raw = (np.cumsum(length) * 4).tolist(), memoryview(flat).cast("B")
+            parts = [raw[i:j] for i, j in zip([0, *stops], stops)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_key").take(pa.array(row)), *map(pa.array, (tokens[row], start, length)), pa.array(map(press, parts), pa.binary()),
+                 pa.array(map(zlib.crc32, parts), pa.int64()), pa.array(nth)], names)
 
     kind = docs.schema[key].dataType.simpleString()
     cut = (docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-           .mapInArrow(run, f"_key {kind}, doc_tokens long, start long, length long, ids binary, nth long")
-           .select("*", F.crc32("ids").alias("ids_crc32"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("piece")))
-    dest = scratch(spark, "pieces")
-    cut.write.option("compression", "zstd").parquet(dest)
-    return spark.read.schema(cut.schema).parquet(dest)
+           .mapInArrow(run, f"_key {kind}, doc_tokens long, start long, length long, ids binary, ids_crc32 long, nth long")
+           .select("*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("piece")))
+    return materialise(cut, "pieces")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, least: int = LEAST, key: str = "doc_id", text: str = "text",
@@ -193,7 +232,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     placed = materialise(placed, "placed")
     out = [F.col("_key").alias(key), (F.col("start") + F.col("_from")).alias("start"), F.col("_part").alias("length"), "ids_crc32", "doc_tokens",
            "sequence_id", "offset", *["ids"] * with_ids]
-    ids = F.substring("ids", F.col("_from").cast("int") * 4 + 1, F.col("_part").cast("int") * 4)
-    partly = placed if with_ids else materialise(placed.where("_part < length"), "cut")
-    partly = partly.join(cut.select("piece", "ids"), "piece").withColumns({"ids_crc32": F.crc32(ids), "ids": ids}).select(*out)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        opened = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            ids = [opened(x)[4 * i:4 * (i + n)] for x, i, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "_from", "_part")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids", "ids_crc32"]).columns, pa.array(ids if with_ids else [None] * len(ids), pa.binary()),
+                                              pa.array(map(zlib.crc32, ids), pa.int64())], fields.names)
+
+    partly = placed if with_ids else placed.where("_part < length")
+    # the ids are the larger side whatever the size: the plan is the same for all
+    partly = partly.hint("merge").join(cut.select("piece", "ids"), "piece")
+    fields = common.with_fields(partly.drop("ids", "ids_crc32"), "ids binary, ids_crc32 long")
+    partly = partly.mapInArrow(slices, fields).select(*out)
     return partly if with_ids else placed.where("_part = length").select(*out).unionByName(partly)

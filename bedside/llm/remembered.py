@@ -1,4 +1,4 @@
-"""Values of strings, computed once for many and kept up to a bound of bytes."""
+"""Values of strings, computed once for many and kept up to a bound of bytes; the letters of byte-level vocabularies."""
 
 from __future__ import annotations
 
@@ -69,3 +69,10 @@ class Remembered:
 def ends_of(lengths: np.ndarray, counts: list[int]) -> np.ndarray:
     """Ends of consecutive groups: how much the first count of lengths adds up to, then the next, from 0."""
     return np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *counts])]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the rest for U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    other = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}

@@ -178,9 +178,15 @@ def test_stretches_are_encoded_as_in_whole_texts():
     for _ in range(3000):
         text = "".join(rng.choices(bits, k=rng.randint(1, 12)))
         first, *rest = alignment._CUT.split(text)
-        parts = both.aligned([first, *(s[1:] for s in rest)])
-        (a, b), = both.aligned([text])
-        assert ([i for x, _ in parts for i in x], [i for _, y in parts for i in y]) == (list(a), list(b)) or not a
+        a, n_a, b, n_b = both.aligned([first, *(s[1:] for s in rest)])
+        want_a, want_b = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
+        if n_a.all():
+            assert (a.tolist(), b.tolist()) == (want_a, want_b)
+        else:
+            assert b"".join(both.b_bytes[i] for i in want_b) != (" " + text).encode()
+    words = ["plain", "", "né", "日本", "a b", "x\ty", "it's", "\u00ad", "end."] * 3
+    ids, n = both.encode_a(words)
+    assert both.fast and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [both.a.encode(" " + w, add_special_tokens=False).ids for w in words]
 
 
 @pytest.mark.parametrize("seed", range(3))
