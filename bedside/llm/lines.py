@@ -113,24 +113,24 @@ def blocks(a: list, sizes: list[int], b: list, min_bytes: int) -> list[tuple[int
     return out
 
 
-def windows(lines: list, sizes: list[int], inner: list[int], min_bytes: int) -> tuple[np.ndarray, ...]:
+def windows(blank: np.ndarray, sizes: np.ndarray, inner: np.ndarray, first: np.ndarray, min_bytes: int) -> tuple[np.ndarray, ...]:
     """Starts, ends and the flags ask and offer of the shortest runs that reach ``min_bytes`` from each line on, and back
-    from each line. Every block of ``min_bytes`` is a union of such runs. Runs by ``sizes`` ask, runs by ``inner`` offer."""
-    filled = np.array([i for i, x in enumerate(lines) if x is not None], dtype=np.int64)
+    from each line. Every block of ``min_bytes`` is a union of such runs. Runs by ``sizes`` ask, runs by ``inner`` offer.
+    The lines are those of many documents, of which ``first`` has the first line of each line's document: no run leaves it."""
+    filled = np.flatnonzero(~blank)
+    n, wide = len(filled), len(blank) + 1
+    least, place = np.searchsorted(filled, first[filled]), np.arange(len(filled))
+    most = np.searchsorted(least, least, side="right")
     codes = []
     for values in (sizes, inner):
-        total = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[filled])])
-        n = len(filled)
+        total = np.concatenate([[0], np.cumsum(values[filled], dtype=np.int64)])
         ends = np.searchsorted(total, total[:n] + min_bytes)
         starts = np.searchsorted(total, total[1:] - min_bytes, side="right") - 1
-        i = np.concatenate([np.arange(n)[ends <= n], starts[starts >= 0]])
-        m = np.concatenate([ends[ends <= n], np.arange(1, n + 1)[starts >= 0]])
-        codes.append(np.unique(filled[i] * (len(lines) + 1) + filled[m - 1] + 1))
-        if sizes == inner:
-            codes *= 2
-            break
+        on, back = ends <= most, starts >= least
+        i, m = np.concatenate([place[on], starts[back]]), np.concatenate([ends[on], place[back] + 1])
+        codes.append(np.unique(filled[i] * wide + filled[m - 1] + 1))
     runs = np.union1d(*codes)
-    return runs // (len(lines) + 1), runs % (len(lines) + 1), np.isin(runs, codes[0]), np.isin(runs, codes[1])
+    return runs // wide, runs % wide, np.isin(runs, codes[0], assume_unique=True), np.isin(runs, codes[1], assume_unique=True)
 
 
 def short_runs(lines: list, inner: list[int], min_bytes: int) -> tuple[np.ndarray, ...]:
@@ -152,18 +152,22 @@ def runs_of(lined: DataFrame, min_bytes: int, short: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = common.Rolling(0x9E3779B97F4A7C15)
         for batch in batches:
-            for k, (lines, sizes, inner) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "inner")), strict=True)):
-                if short:
-                    start, end = short_runs(lines, inner, min_bytes)
-                    ask, offer = np.zeros(len(start), bool), np.ones(len(start), bool)
-                else:
-                    start, end, ask, offer = windows(lines, sizes, inner, min_bytes)
-                if len(start):
-                    hashes = np.array([BLANK if x is None else x for x in lines], dtype=np.int64).view(np.uint64)
-                    h = rolling.spans(hashes, start, end).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("d").take(pa.array(np.full(len(h), k))), pa.array(h), pa.array(start.astype(np.int32)),
-                         pa.array(end.astype(np.int32)), pa.array(ask), pa.array(offer)], ["d", "h", "start", "end", "ask", "offer"])
+            many = np.array([len(x) for x in batch.column("lines")], dtype=np.int64)
+            lines, sizes, inner = (batch.column(c).flatten() for c in ("lines", "sizes", "inner"))
+            doc = np.repeat(np.arange(len(many)), many)
+            first = np.repeat(np.cumsum(many) - many, many)
+            if short:
+                parts = [short_runs(x, i, min_bytes) for x, i in zip(*(batch.column(c).to_pylist() for c in ("lines", "inner")), strict=True)]
+                start, end = (np.concatenate([p[k] + f for p, f in zip(parts, np.cumsum(many) - many, strict=True)]) for k in (0, 1))
+                ask, offer = np.zeros(len(start), bool), np.ones(len(start), bool)
+            else:
+                start, end, ask, offer = windows(lines.is_null().to_numpy(zero_copy_only=False), sizes.to_numpy(), inner.to_numpy(), first, min_bytes)
+            if len(start):
+                h = rolling.spans(lines.fill_null(BLANK).to_numpy().view(np.uint64), start, end).view(np.int64)
+                begin = first[start]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("d").take(pa.array(doc[start])), pa.array(h), pa.array((start - begin).astype(np.int32)),
+                     pa.array((end - begin).astype(np.int32)), pa.array(ask), pa.array(offer)], ["d", "h", "start", "end", "ask", "offer"])
 
     return lined.select("d", "lines", "sizes", "inner").mapInArrow(
         run, common.with_fields(lined.select("d"), "h long, start int, end int, ask boolean, offer boolean"))
@@ -210,15 +214,16 @@ def overlaps(docs: DataFrame, key: str, text: str, min_bytes: int) -> DataFrame:
         F.transform(line, lambda x: F.when(trimmed(x) != "", F.octet_length(x)).otherwise(0)).alias("sizes"),
         F.transform(line, lambda x: F.octet_length(trimmed(x))).alias("inner"))
     whole = F.struct(F.size("lines").alias("n"), F.xxhash64(F.transform("lines", lambda x: F.coalesce(x, F.lit(BLANK)))).alias("h"))
-    lined = materialise(lined.dropDuplicates(["d"]).withColumn("whole", whole), "lines")
+    # as many parts as the texts came in: the columns kept are small, the work on them is not
+    parts = max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    lined = materialise(lined.repartition(parts, "d").dropDuplicates(["d"]).withColumn("whole", whole), "lines")
     # a document of the same lines as an earlier one is aligned with the first of them: nothing is left to ask for
     heads = materialise(lined.groupBy("whole").agg(F.min("d").alias("owner"), F.max("d").alias("last"))
                         .where("owner < last").select("whole", "owner"), "heads")
     copies = lined.select("d", "whole").join(heads, "whole").where("owner < d").select("d", "owner")
     singles = lined.join(heads, "whole", "left").where("owner IS NULL OR owner = d")
-    runs = runs_of(singles, min_bytes)
-    padded = singles.where("sizes != inner")
-    short = materialise(runs_of(padded, min_bytes).where("ask AND NOT offer").select("h").distinct(), "short")
+    runs = materialise(runs_of(singles, min_bytes), "runs")
+    short = materialise(runs.where("ask AND NOT offer").select("h").distinct(), "short")
     if not short.isEmpty():
         runs = runs.unionByName(runs_of(singles, min_bytes, short=True).join(short, "h", "left_semi"))
     # written first: both sides of the join are then plain scans, whose skewed keys Spark can split

@@ -201,32 +201,15 @@ def test_alignment_is_common_and_rising():
     assert lines.align([None, "q"], ["r", None]) == []
 
 
-def test_lines_against_brute_force(spark, odd):
-    rows = everything(spark, odd)
-    stripped = {i: [x.strip(" ") or None for x in t.split("\n")] for i, t in rows if t is not None}
-    owner = {}
-    for i in sorted(stripped):
-        for x in stripped[i]:
-            owner.setdefault(x, i)
+def brute_lines(rows, white=" "):
+    """(id, lines, removed, text) where every document is aligned with every earlier one."""
+    stripped = {i: [x.strip(white) or None for x in t.split("\n")] for i, t in rows if t is not None}
     want = Counter()
     for i, t in rows:
         if t is None:
             want[i, 0, 0, None] += 1
             continue
         raw, gone = t.split("\n"), set()
-        for o in {owner[x] for x in stripped[i] if x} - {i}:
-            for s, e in lines.blocks(stripped[i], [len(x.encode()) for x in raw], stripped[o], lines.MIN_BYTES):
-                gone |= set(range(s, e))
-        want[i, len(raw), len(gone), "\n".join(x for k, x in enumerate(raw) if k not in gone)] += 1
-    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.result(frame(spark, rows)).collect()) == want
-
-
-def brute_lines(rows, white=" "):
-    """(id, lines, removed, text) where every document is aligned with every earlier one."""
-    stripped = {i: [x.strip(white) or None for x in t.split("\n")] for i, t in rows}
-    want = Counter()
-    for i, t in rows:
-        raw, gone = t.split("\n"), set()
         for o in stripped:
             if o < i:
                 for s, e in lines.blocks(stripped[i], [len(x.encode()) for x in raw], stripped[o], lines.MIN_BYTES):
@@ -239,6 +222,11 @@ def lined(spark, rows):
     return Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.result(frame(spark, rows)).collect())
 
 
+def test_lines_against_brute_force(spark, odd):
+    rows = everything(spark, odd)
+    assert lined(spark, rows) == brute_lines(rows, lines.WHITE)
+
+
 def test_lines_shared_with_documents_that_are_first_for_no_line(spark):
     common.prepare(spark)
     a, b = "a line of 25 bytes or more", "b line of 25 bytes or more"
