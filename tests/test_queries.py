@@ -5,14 +5,15 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from bedside.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 SOME = ["c1_encounter_stitching", "d14_mortality_by_stratum", "f15_ventilator_free_days", "g13_charlson", "i10_demographic_crosstab", "j5_small_cells", "k4_flat_bins", "n5_pool_display"]
 
 
 def test_registry():
-    q, s = entry.queries(), entry.oracle_sql()
-    assert set(q) == set(s)
+    q, s = catalogue.QUERIES, catalogue.SQL
+    assert set(q) == set(s) and set(q) <= set(entry.queries()) and set(s) <= set(entry.oracle_sql())
     ids = {n.split("_")[0] for n in q}
     want = {f"{a}{i}" for a, n in dict(a=9, b=16, c=15, d=15, e=12, f=31, g=17, h=14, i=20, j=6, k=27, l=24, m=8, n=11).items() for i in range(1, n + 1)}
     assert want == ids
