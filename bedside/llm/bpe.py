@@ -3,9 +3,9 @@
 A text is cut by the pattern of the vocabulary. Its distinct pieces become rows
 (piece, position, token), one per byte at first. A recursive query joins neighbouring
 tokens with the merge table, contracts the leftmost pair of least rank of every piece and
-repeats until no piece has a pair left. Decoding joins tokens with their bytes and puts them
-together by an ordered aggregate. Pieces recur, so both are done once for the distinct
-pieces of a buffer of texts, and remembered up to a bound.
+repeats until no piece has a pair left. Decoding joins a buffer's tokens with their bytes and puts those of each text
+together by an ordered aggregate. Pieces recur, so they are encoded once each
+and remembered up to a bound of bytes.
 
 The vocabulary has a fixed size (a rank file), so it is broadcast. Each row is encoded where
 it was read: no shuffle, no group, memory bounded by the buffer. A null text counts as empty
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bedside.llm import common
+from bedside.llm.remembered import Remembered, ends_of
 
 #: Texts are handled in buffers of so many bytes, new pieces in slices of so many.
-BUFFER_BYTES, SLICE, REMEMBERED = 4 << 20, 40_000, 600_000
+BUFFER_BYTES, SLICE = 4 << 20, 40_000
+#: Bytes of remembered stretches and words in a worker.
+STRETCHES, WORDS = 96 << 20, 48 << 20
 
 _ENCODE = """
 WITH RECURSIVE t(w, p, id, np, pair, live) AS (
@@ -47,7 +50,7 @@ SELECT w, id FROM t WHERE NOT live ORDER BY w, p
 """
 _DECODE = """
 SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
-FROM tokens JOIN vocabulary v USING (id) GROUP BY w ORDER BY w
+FROM tokens JOIN vocabulary v USING (id) GROUP BY w
 """
 
 
@@ -64,52 +67,6 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int32)
 
 
-class Pool:
-    """Remembered arrays by key: one dictionary of numbers beside flat arrays."""
-
-    def __init__(self, dtype) -> None:
-        self.dtype = dtype
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict = {}
-        self.begin, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
-
-    def add(self, keys: list, lengths: np.ndarray, flat: np.ndarray) -> None:
-        self.number |= zip(keys, range(len(self.number), len(self.number) + len(keys)), strict=True)
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])
-
-    def find(self, keys: list, learn: Callable[[list], None], bound: int) -> np.ndarray:
-        """Numbers of the keys. ``learn`` adds those not known yet, each once; beyond ``bound`` all are forgotten first."""
-        at = np.fromiter(map(self.number.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = list({keys[i] for i in missing})
-            if len(self.number) + len(new) > bound:
-                self.clear()
-                new, missing = list(set(keys)), range(len(keys))
-            learn(new)
-            at[missing] = [self.number[keys[i]] for i in missing]
-        return at
-
-    def take(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the keys one after another, and the length of each."""
-        at = np.fromiter(map(self.number.__getitem__, keys), dtype=np.int64, count=len(keys))
-        return self.at(at)
-
-    def at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        length = self.length[at]
-        before = np.cumsum(length) - length
-        return self.flat[np.repeat(self.begin[at] - before, length) + np.arange(length.sum())], length
-
-
-def split_sums(lengths: np.ndarray, counts: list[int]) -> np.ndarray:
-    """Ends of consecutive groups: how much the first count of lengths adds up to, then the next, from 0."""
-    return np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *counts])]
-
-
 class Coder:
     """One partition's DuckDB tables and remembered pieces."""
 
@@ -117,7 +74,8 @@ class Coder:
         import duckdb
         import regex
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # memory alone: nothing is spilled to a folder of the executor
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("_merges", pa.table({"pair": merges[0], "made": merges[1]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM _merges")
         self.db.register("_vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()),
@@ -125,10 +83,9 @@ class Coder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM _vocabulary")
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_id = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # tokens that begin with a space
-        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.ragged = regex.compile(r"^\s|\s$|\s\s").search
-        self.known, self.encoded, self.decoded = Pool(np.int32), Pool(np.int32), Pool(np.uint8)
+        self.words = Remembered(self._words, {"ids": np.int32}, WORDS)
+        self.stretches = Remembered(self._stretches, {"ids": np.int32}, STRETCHES)
 
     def cut(self, text: str) -> list[str]:
         """Stretches that the pattern treats apart from each other. Where white space stands alone
@@ -158,58 +115,39 @@ class Coder:
             lengths.append(np.bincount(got["w"].to_numpy(), minlength=len(part)))
         return np.concatenate(flat), np.concatenate(lengths)
 
-    def learn(self, stretches: list[str]) -> None:
-        """Encodes stretches not yet known. A word that is a token by itself needs no merging."""
-        words = [[w.encode("utf-8", "surrogatepass") for w in self.find(s)] for s in stretches]
-        known = self.known
-        distinct = {w for ws in words for w in ws}
-        new = [w for w in distinct if w not in known.number]
-        if len(known.number) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(distinct)
-        whole = [w for w in new if w in self.ranks]
-        rest = [w for w in new if w not in self.ranks]
-        known.add(whole, np.ones(len(whole), np.int64), np.array([self.ranks[w] for w in whole], np.int32))
-        flat, lengths = self._merge(rest)
-        known.add(rest, lengths, flat)
-        flat, lengths = known.take([w for ws in words for w in ws])
-        self.encoded.add(stretches, np.diff(split_sums(lengths, [len(ws) for ws in words])), flat)
+    def _words(self, new: list[str]) -> dict:
+        """A word that is a token by itself needs no merging."""
+        spelt = [w.encode("utf-8", "surrogatepass") for w in new]
+        whole = np.fromiter(map(self.ranks.get, spelt, itertools.repeat(-1)), dtype=np.int32, count=len(spelt))
+        merged, n = self._merge([spelt[i] for i in np.flatnonzero(whole < 0).tolist()])
+        lengths = np.ones(len(new), dtype=np.int64)
+        lengths[whole < 0] = n
+        flat = np.repeat(whole, lengths)
+        flat[np.repeat(whole < 0, lengths)] = merged
+        return {"ids": (lengths, flat)}
+
+    def _stretches(self, new: list[str]) -> dict:
+        words = [self.find(s) for s in new]
+        flat, lengths = self.words.take(list(itertools.chain.from_iterable(words)), "ids")
+        return {"ids": (np.diff(ends_of(lengths, list(map(len, words)))), flat)}
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's end, from 0."""
         cuts = [self.cut(t or "") for t in texts]
-        keys = [s for c in cuts for s in c]
-        pool = self.encoded
-        flat, lengths = pool.at(pool.find(keys, self.learn, REMEMBERED))
-        return flat, split_sums(lengths, [len(c) for c in cuts])
+        flat, lengths = self.stretches.take(list(itertools.chain.from_iterable(cuts)), "ids")
+        return flat, ends_of(lengths, list(map(len, cuts)))
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """Bytes of each text. Runs that begin at a token with a leading space are decoded once each."""
-        starts = self.opens[ids]
-        starts[ends[:-1][ends[:-1] < len(ids)]] = True
-        cut = np.flatnonzero(starts)
-        raw = ids.tobytes()
-        at = (4 * np.append(cut, len(ids))).tolist()
-        runs = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-        pool = self.decoded
-        flat, lengths = pool.at(pool.find(runs, self.spell, REMEMBERED))
-        first = np.searchsorted(cut, ends)
-        sums = np.concatenate([[0], np.cumsum(lengths)])[first].tolist()
-        whole = flat.tobytes()
-        return [whole[a:b] for a, b in zip(sums, sums[1:], strict=False)]
-
-    def spell(self, runs: list[bytes]) -> None:
-        """Decodes runs of tokens not yet known."""
-        for i in range(0, len(runs), SLICE):
-            part = runs[i:i + SLICE]
-            n = np.fromiter((len(r) // 4 for r in part), dtype=np.int64, count=len(part))
-            w = np.repeat(np.arange(len(part), dtype=np.int32), n)
-            self.db.register("tokens", pa.table({
-                "w": w, "p": (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32),
-                "id": np.frombuffer(b"".join(part), dtype=np.int32)}))
-            got = self.db.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()
-            self.db.unregister("tokens")
-            self.decoded.add(part, np.fromiter(map(len, got), np.int64, len(got)), np.frombuffer(b"".join(got), np.uint8))
+        """Bytes of each text, by one ordered aggregate over the buffer's tokens."""
+        n = np.diff(ends)
+        self.db.register("tokens", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": np.arange(len(ids), dtype=np.int32),
+                                             "id": np.ascontiguousarray(ids)}))
+        got = self.db.sql(_DECODE).to_arrow_table()
+        self.db.unregister("tokens")
+        out = [b""] * len(n)
+        for w, spelt in zip(got["w"].to_pylist(), got["bytes"].to_pylist(), strict=True):
+            out[w] = spelt
+        return out
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text",

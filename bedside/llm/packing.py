@@ -151,7 +151,7 @@ class Encoder:
         plain = [k for k, s in enumerate(new) if _PLAIN.fullmatch(s) and "<|" not in s] if self.model else []
         other = sorted(set(range(len(new))) - set(plain))
         cuts = [_WORDS.findall(new[k].lower()) for k in plain]
-        flat, lengths = self.words.flat["ids"].at(self.words.find(list(chain.from_iterable(cuts)))) if cuts else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        flat, lengths = self.words.take(list(chain.from_iterable(cuts)), "ids") if cuts else (np.empty(0, np.uint32), np.empty(0, np.int64))
         n, rest = self._flat([x.ids for x in self.whole.encode_batch_fast([new[k] for k in other], add_special_tokens=False)])
         counts = np.zeros(len(new), dtype=np.int64)
         counts[plain], counts[other] = np.diff(ends_of(lengths, list(map(len, cuts)))), n
@@ -179,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         for batch in common.buffered(batches, "_text", BUFFER_BYTES):
             known = known or Remembered(Encoder(shared.value).learn, {"ids": np.uint32}, STRETCHES)
             cuts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("_text").to_pylist()]
-            flat, lengths = known.flat["ids"].at(known.find([s for c in cuts for s in c]))
+            flat, lengths = known.take([s for c in cuts for s in c], "ids")
             ends = ends_of(lengths, [len(c) for c in cuts])
             flat = np.insert(flat, ends[1:], np.uint32(end_id)).astype("<u4")
             ends = ends + np.arange(len(ends))

@@ -65,6 +65,11 @@ class Remembered:
             at[missing] = np.fromiter((self.number[keys[i]] for i in missing.tolist()), np.int64, len(missing))
         return at
 
+    def take(self, keys: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """Arrays of the keys one after another, and the length of each."""
+        at = self.find(keys)  # before its table is looked up: it may be a new one afterwards
+        return self.flat[kind].at(at)
+
 
 def ends_of(lengths: np.ndarray, counts: list[int]) -> np.ndarray:
     """Ends of consecutive groups: how much the first count of lengths adds up to, then the next, from 0."""

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 
 from bedside.llm import alignment, common, packing, queries
+from bedside.llm.remembered import Remembered
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, piece string, _key int, ids string, length string"
@@ -30,6 +31,21 @@ def documents():
     return [*pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].itertuples(index=False, name=None)]
 
 
+def test_what_is_remembered_is_forgotten_by_bytes():
+    learnt = []
+
+    def learn(new):
+        learnt.append(len(new))
+        return {"codes": (np.array([len(s) for s in new]), np.array([ord(c) for s in new for c in s]))}
+
+    pool, rng = Remembered(learn, {"codes": np.int64}, 5_000), random.Random(2)
+    for _ in range(60):
+        keys = ["".join(rng.choices("abc", k=rng.randint(0, 4))) for _ in range(rng.randint(0, 40))]
+        flat, lengths = pool.take(keys, "codes")
+        assert "".join(map(chr, flat)) == "".join(keys) and lengths.tolist() == [len(k) for k in keys]
+    assert sum(learnt) > 150 and len(pool.number) < 60  # forgotten more than once
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
