@@ -232,14 +232,18 @@ def all_pairs(numbers: DataFrame, pairs: list[tuple[str, str]] | None = None, st
         pick("left"), pick("right"), F.coalesce(F.min(F.when(F.col("_side") == "left", F.col("pos"))), F.min("pos")).alias("pos"))
 
 
+# Lines that only some strata carry.
+EXTRA_ROWS = [
+    Row("Resp. device onset, n (%)", "flag", "has_onset"), Row("  Pre-device LOS (days), median [Q1, Q3]", "median", "pre_device_los_days"),
+    Row("  Post-device LOS (days), median [Q1, Q3]", "median", "post_device_los_days"), Row("28-day VFD, median [Q1, Q3]", "median", "vfd_28"),
+    Row("28-day NIDFD, median [Q1, Q3]", "median", "nidfd_28"), Row("Peak NEE (mcg/kg/min), median [Q1, Q3]", "median", "nee_peak"),
+    Row("Time to ICU after first pressor (hours), median [Q1, Q3]", "median", "time_to_icu_hours")]
+
+
 def stratum_extra_rows(enc: DataFrame, keys: list[str]) -> DataFrame:
     """Lines that only some strata carry: stay around the device onset, free days, peak
     norepinephrine equivalent and time to ICU; their position follows an anchor line."""
-    rows = [Row("Resp. device onset, n (%)", "flag", "has_onset"), Row("  Pre-device LOS (days), median [Q1, Q3]", "median", "pre_device_los_days"),
-            Row("  Post-device LOS (days), median [Q1, Q3]", "median", "post_device_los_days"), Row("28-day VFD, median [Q1, Q3]", "median", "vfd_28"),
-            Row("28-day NIDFD, median [Q1, Q3]", "median", "nidfd_28"), Row("Peak NEE (mcg/kg/min), median [Q1, Q3]", "median", "nee_peak"),
-            Row("Time to ICU after first pressor (hours), median [Q1, Q3]", "median", "time_to_icu_hours")]
-    return table_one(enc, rows, keys)
+    return table_one(enc, EXTRA_ROWS, keys)
 
 
 def insert_after(numbers: DataFrame, extra: DataFrame, anchor: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import days_between
-from bedside.functions.quantiles import group_quantiles
 from bedside.operators import cohort as H
 from bedside.operators import disclosure as X
 from bedside.operators import meds as M
 from bedside.operators import report as T
 from bedside.operators import resp as R
+from bedside.operators import rollup as U
 from bedside.operators import severity as S
+from bedside.plans import cases as C
 from bedside.plans import views as V
 from bedside.plans.on_cohort import FLAGS, flags, parts
 from bedside.plans.on_meds import GROUPS as DRUG_GROUPS
@@ -20,52 +20,10 @@ from bedside.sources.tables import materialise
 
 BLOCK = "encounter_block"
 
-ENCS = FLAGS + """, eb AS (SELECT encounter_block, min(patient_id) AS patient_id, min(patient_id) % 7 AS hospital_id, min(age_at_admission) AS age_at_admission,
-    (epoch_us(max(discharge_dttm)) - epoch_us(min(admission_dttm))) / 86400000000.0::DOUBLE AS hospital_length_of_stay_days,
-    first(location_category ORDER BY admission_dttm, hospitalization_id) AS first_admission_location,
-    max(CASE WHEN discharge_category = 'Expired' THEN 1 ELSE 0 END) AS expired_outcome, max(CASE WHEN discharge_category = 'Hospice' THEN 1 ELSE 0 END) AS hospice_outcome,
-    max(CASE WHEN med_category = 'norepinephrine' THEN 1 ELSE 0 END) AS norepinephrine_flag, max(CASE WHEN med_category = 'propofol' THEN 1 ELSE 0 END) AS propofol_flag,
-    quantile_cont(value, 0.5) FILTER (med_category = 'norepinephrine') AS norepinephrine_median FROM blocks GROUP BY 1),
-  encs AS (SELECT flags.*, eb.* EXCLUDE (encounter_block), race_category, ethnicity_category, sex_category, 2020 + encounter_block % 3 AS admission_year,
-    greatest(expired_outcome, hospice_outcome) AS hospice_or_expired, encounter_block % 7 AS cci_score, encounter_block % 15 AS sofa_total, imv_enc AS on_vent,
-    CASE WHEN encounter_block % 4 > 0 THEN 'mode ' || (encounter_block % 4) END AS initial_mode_category, norepinephrine_flag AS any_vasopressor
-    FROM flags JOIN eb USING (encounter_block) JOIN patient USING (patient_id))"""
-
-
-def encs(spark, sf):
-    b = V.blocks(spark, sf)
-    adt = b.select(BLOCK, "hospitalization_id", "location_category", "discharge_category", F.col("admission_dttm").alias("in_dttm"),
-                   F.col("discharge_dttm").alias("out_dttm"))
-    f = H.all_flags(adt, b.select(BLOCK, "device_category", F.col("value").alias("lpm_set")),
-                    b.select(BLOCK, "med_category", F.col("admission_dttm").alias("admin_dttm")), drugs=["norepinephrine"])
-    any_of = lambda c, v: F.max((F.col(c) == v).cast("int"))
-    dose = F.when(F.col("med_category") == "norepinephrine", F.col("value"))
-    e = b.groupBy(BLOCK).agg(
-        F.min("patient_id").alias("patient_id"), F.min("age_at_admission").alias("age_at_admission"),
-        days_between(F.min("admission_dttm"), F.max("discharge_dttm")).alias("hospital_length_of_stay_days"),
-        F.min_by("location_category", F.struct("admission_dttm", "hospitalization_id")).alias("first_admission_location"),
-        any_of("discharge_category", "Expired").alias("expired_outcome"), any_of("discharge_category", "Hospice").alias("hospice_outcome"),
-        any_of("med_category", "norepinephrine").alias("norepinephrine_flag"), any_of("med_category", "propofol").alias("propofol_flag"))
-    q = group_quantiles(b.withColumn("dose", dose), [BLOCK], {"dose": {"norepinephrine_median": 0.5}})
-    k = F.col(BLOCK)
-    e = e.join(q, BLOCK, "left").join(f, BLOCK).join(V.patient(spark, sf).drop("site", "balance"), "patient_id").withColumns({
-        "hospital_id": F.col("patient_id") % 7, "admission_year": 2020 + k % 3, "hospice_or_expired": F.greatest("expired_outcome", "hospice_outcome"),
-        "cci_score": k % 7, "sofa_total": k % 15, "on_vent": F.col("imv_enc"), "any_vasopressor": F.col("norepinephrine_flag"),
-        "initial_mode_category": F.when(k % 4 > 0, F.concat(F.lit("mode "), (k % 4).cast("string")))})
-    return materialise(e, "features")
-
-
-COLS = {"patient_id", "hospital_id", "age_at_admission", "hospital_length_of_stay_days", "first_admission_location", "expired_outcome", "hospice_outcome", "norepinephrine_flag",
-        "propofol_flag", "norepinephrine_median", "race_category", "ethnicity_category", "sex_category", "cci_score", "sofa_total", "on_vent", "initial_mode_category",
-        "any_vasopressor", "icu_enc", "high_support_enc", "vaso_support_enc", "other_critically_ill", "ward_no_critical_care", "death_enc", "nippv_hfnc_enc"}
-
-
-def rows_sql(src: str, rows, keys: str, cols=COLS) -> str:
+def rows_sql(src: str, rows, keys: str) -> str:
     """SQL of the numeric table over ``src``."""
     out = []
     for i, r in enumerate(rows):
-        if (r.column and r.column not in cols) or (r.within and r.within not in cols):
-            continue
         w = f" FILTER ({r.within} = 1)" if r.within else ""
         head, lab = f"SELECT {keys}, {i} AS pos, ", r.label.replace("'", "''")
         null6 = "NULL::DOUBLE AS median, NULL::DOUBLE AS q1, NULL::DOUBLE AS q3"
@@ -77,6 +35,8 @@ def rows_sql(src: str, rows, keys: str, cols=COLS) -> str:
         elif r.kind == "flag":
             cond = f"{r.column} = 1" + (f" AND {r.within} = 1" if r.within else "")
             out.append(head + f"'{lab}' AS label, 'flag' AS kind, (count(*) FILTER ({cond}))::DOUBLE AS n, (count(*){w})::DOUBLE AS denom, {null6} FROM {src} GROUP BY {keys}")
+        elif r.kind == "sum":
+            out.append(head + f"'{lab}' AS label, 'sum' AS kind, sum({r.column})::DOUBLE AS n, NULL::DOUBLE AS denom, {null6} FROM {src} GROUP BY {keys}")
         elif r.kind == "levels":
             base = f"(SELECT DISTINCT {keys}, patient_id, {r.column} FROM {src})" if r.patient else src
             cond = f" WHERE {r.within} = 1" if r.within else ""
@@ -89,88 +49,106 @@ def rows_sql(src: str, rows, keys: str, cols=COLS) -> str:
 
 
 def final_sql(inner, keys):
-    return (f"SELECT {keys}, pos, label, kind, n, denom, round(median, 6) AS median, round(q1, 6) AS q1, round(q3, 6) AS q3, "
+    return (f"SELECT {keys}, pos, label, kind, round(n, 4) AS n, denom, round(median, 9) AS median, round(q1, 9) AS q1, round(q3, 9) AS q3, "
             f"round(CASE WHEN denom <> 0 THEN n * 100 / denom END, 6) AS pct FROM ({inner})")
 
 
 def tidy(numbers):
-    return rnd(numbers, ["median", "q1", "q3", "pct"])
+    return rnd(rnd(rnd(numbers, ["pct"]), ["n"], 4), ["median", "q1", "q3"], 9)
 
 
-VIEWS = "blocks patient"
 ROWS, WARD = T.table_one_rows(), T.table_one_rows(ward=True)
 
 
-@query("i1_table_one", views=VIEWS, cte=ENCS + ", src AS (SELECT *, 'critical illness' AS cohort FROM encs WHERE cohort_enc = 1)", sql=final_sql(rows_sql("src", ROWS, "cohort"), "cohort"))
+def case_query(name, cte="", sql=""):
+    """Registers a query over the case features."""
+    return query(name, sql=C.sql(cte, sql))
+
+
+@case_query("i1_features", sql="SELECT encounter_block, " + ", ".join(
+    f"round({c}, 4) AS {c}" if c in C.DECIMAL else c for c in C.COLUMNS) + " FROM encs")
+def i1f(spark, sf):
+    return rnd(C.features(spark, sf).select(BLOCK, *C.COLUMNS), C.DECIMAL, 4)
+
+
+@case_query("i1_table_one", "src AS (SELECT *, 'critical illness' AS cohort FROM encs WHERE cohort_enc = 1)", final_sql(rows_sql("src", ROWS, "cohort"), "cohort"))
 def i1(spark, sf):
-    return tidy(T.table_one(encs(spark, sf).where("cohort_enc = 1").withColumn("cohort", F.lit("critical illness")), ROWS, ["cohort"]))
+    return tidy(U.table_one(C.encounters(spark, sf), ROWS, {"critical illness": "cohort_enc"}).drop("col").withColumnRenamed("stratum", "cohort"))
 
 
-@query("i1_table_one_ward", views=VIEWS, cte=ENCS + ", src AS (SELECT *, 'ward' AS cohort FROM encs WHERE ward_enc = 1)", sql=final_sql(rows_sql("src", WARD, "cohort"), "cohort"))
+@case_query("i1_table_one_ward", "src AS (SELECT *, 'ward' AS cohort FROM encs WHERE ward_enc = 1)", final_sql(rows_sql("src", WARD, "cohort"), "cohort"))
 def i1w(spark, sf):
-    return tidy(T.table_one(encs(spark, sf).where("ward_enc = 1").withColumn("cohort", F.lit("ward")), WARD, ["cohort"]))
+    return tidy(U.table_one(C.encounters(spark, sf), WARD, {"ward": "ward_enc"}).drop("col").withColumnRenamed("stratum", "cohort"))
 
 
-YEAR = ENCS + """, src AS (SELECT *, unnest(['Overall', CAST(admission_year AS VARCHAR)]) AS col FROM encs WHERE cohort_enc = 1)"""
+YEAR = "src AS (SELECT *, unnest(['Overall', CAST(admission_year AS VARCHAR)]) AS col FROM encs WHERE cohort_enc = 1)"
 
 
 def by_year(spark, sf):
-    return T.table_one(T.with_overall(encs(spark, sf).where("cohort_enc = 1"), "admission_year", "col"), ROWS, ["col"])
+    return U.table_one(C.encounters(spark, sf), ROWS, {"cohort": "cohort_enc"}, "admission_year").drop("stratum")
 
 
-@query("i2_table_one_by_year", views=VIEWS, cte=YEAR, sql=final_sql(rows_sql("src", ROWS, "col"), "col"))
+@case_query("i2_table_one_by_year", YEAR, final_sql(rows_sql("src", ROWS, "col"), "col"))
 def i2(spark, sf):
     return tidy(by_year(spark, sf))
 
 
-STRATA = ENCS + ", ms AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stratum, * FROM encs WHERE {c} = 1" for s, c in H.STRATA.items()) + ")"
+STRATA = "ms AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stratum, * FROM encs WHERE {c} = 1" for s, c in H.STRATA.items()) + ")"
+#: Years are shown for the strata that are no part of another.
+TOP = {s: c for s, c in H.STRATA.items() if "/" not in s}
+YEARS = "unnest(CASE WHEN contains(stratum, '/') THEN ['Overall'] ELSE ['Overall', CAST(admission_year AS VARCHAR)] END) AS col"
 
 
 def stratified(spark, sf):
-    e = encs(spark, sf)
-    return H.stratum_members(e, keep=e.columns)
+    """Numbers of all strata, and of the top-level ones by year."""
+    return U.table_one(C.encounters(spark, sf), ROWS, H.STRATA, "admission_year").where(~F.col("stratum").contains("/") | (F.col("col") == "Overall"))
 
 
-@query("i3_table_one_by_stratum", views=VIEWS, cte=STRATA + ", src AS (SELECT *, unnest(['Overall', CAST(admission_year AS VARCHAR)]) AS col FROM ms)", sql=final_sql(rows_sql("src", ROWS, "stratum, col"), "stratum, col"))
+@case_query("i3_table_one_by_stratum", STRATA + f", src AS (SELECT *, {YEARS} FROM ms)", final_sql(rows_sql("src", ROWS, "stratum, col"), "stratum, col"))
 def i3(spark, sf):
-    return tidy(T.table_one(T.with_overall(stratified(spark, sf), "admission_year", "col"), ROWS, ["stratum", "col"]))
+    return tidy(stratified(spark, sf))
 
 
-EXTRA = """, on_ AS (SELECT encounter_block, min(admission_dttm) FILTER (device_category IN ('imv', 'nippv') OR (device_category = 'high flow nc' AND value >= 30)) AS o,
-    min(admission_dttm) AS a, max(discharge_dttm) AS d FROM blocks GROUP BY 1),
-  xs AS (SELECT ms.stratum, CASE WHEN o IS NULL THEN 0 ELSE 1 END AS has_onset, (epoch_us(o) - epoch_us(a)) / 86400000000.0::DOUBLE AS pre_device_los_days,
-    (epoch_us(d) - epoch_us(o)) / 86400000000.0::DOUBLE AS post_device_los_days FROM ms JOIN on_ USING (encounter_block))"""
-XROWS = [T.Row("Resp. device onset, n (%)", "flag", "has_onset"), T.Row("  Pre-device LOS (days), median [Q1, Q3]", "median", "pre_device_los_days"),
-         T.Row("  Post-device LOS (days), median [Q1, Q3]", "median", "post_device_los_days")]
+# after the last line of the table that the extra ones follow
+ANCHOR = "Hospital length of stay (days), median [Q1, Q3]"
 
 
-@query("i4_stratum_extra_rows", views=VIEWS, cte=STRATA + EXTRA, sql=final_sql(rows_sql("xs", XROWS, "stratum", {"has_onset", "pre_device_los_days", "post_device_los_days"}), "stratum"))
+@case_query("i4_stratum_extra_rows", STRATA, final_sql(rows_sql("ms", T.EXTRA_ROWS, "stratum"), "stratum"))
 def i4(spark, sf):
-    b = V.blocks(spark, sf)
-    r = b.select(BLOCK, F.col("hospitalization_id").alias("event_id"), "device_category", F.col("value").alias("lpm_set"), F.col("admission_dttm").alias("recorded_dttm"))
-    span = b.groupBy(BLOCK).agg(F.min("admission_dttm").alias("admission_dttm"), F.max("discharge_dttm").alias("discharge_dttm"))
-    m = stratified(spark, sf).select("stratum", BLOCK).join(span, BLOCK).join(R.failure_onset(r).select(BLOCK, "onset_dttm"), BLOCK, "left").withColumns({
-        "has_onset": F.col("onset_dttm").isNotNull().cast("int"), "pre_device_los_days": days_between("admission_dttm", "onset_dttm"),
-        "post_device_los_days": days_between("onset_dttm", "discharge_dttm")})
-    return tidy(T.stratum_extra_rows(m, ["stratum"]))
+    return tidy(U.table_one(C.encounters(spark, sf), T.EXTRA_ROWS, H.STRATA).drop("col"))
+
+
+@case_query("i4_rows_after_anchor", STRATA + f", a AS ({rows_sql('ms', ROWS, 'stratum')}), x AS ({rows_sql('ms', T.EXTRA_ROWS, 'stratum')}), k AS (SELECT max(pos) AS p FROM a WHERE label = '{ANCHOR}')",
+            "SELECT stratum, CAST(pos AS DOUBLE) AS pos, label, round(n, 4) AS n FROM a UNION ALL SELECT stratum, round(p + (pos + 1) / 1000.0::DOUBLE, 6), label, round(n, 4) FROM x, k")
+def i4a(spark, sf):
+    e = C.encounters(spark, sf)
+    d = T.insert_after(U.table_one(e, ROWS, H.STRATA), U.table_one(e, T.EXTRA_ROWS, H.STRATA), ANCHOR)
+    return d.select("stratum", F.round("pos", 6).alias("pos"), "label", F.round("n", 4).alias("n"))
+
+
+def cell_sql() -> str:
+    """Text of a numeric line."""
+    one = lambda c: f"printf('%.1f', round_even({c}, 1))"
+    return (f"CASE kind WHEN 'median' THEN {one('median')} || ' [' || {one('q1')} || ', ' || {one('q3')} || ']' WHEN 'flag' THEN "
+            f"format('{{:,}}', CAST(n AS BIGINT)) || CASE WHEN denom > 0 THEN ' (' || printf('%.1f', round_even(n * 100 / denom, 1)) || '%)' ELSE '' END WHEN 'header' THEN '' ELSE format('{{:,}}', CAST(n AS BIGINT)) END")
+
+
+PAIR_VALUES = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a} | {b}', '{a}', '{b}')" for a, b in T.PAIRS) + ") t(pair, l, r))"
 
 
-@query("i5_substratum_pairs", views=VIEWS, cte=STRATA + f", num AS ({rows_sql('ms', ROWS, 'stratum')})", sql="""SELECT coalesce(a.label, b.label) AS label, coalesce(a.n, 0) AS n_icu, coalesce(b.n, 0) AS n_no_icu
-  FROM (SELECT label, n FROM num WHERE stratum = 'vaso/icu' AND kind = 'count') a FULL JOIN (SELECT label, n FROM num WHERE stratum = 'vaso/no_icu' AND kind = 'count') b USING (label)""")
+@case_query("i5_substratum_pairs", STRATA + f", num AS ({rows_sql('ms', ROWS, 'stratum')}), tx AS (SELECT stratum, label, {cell_sql()} AS cell FROM num)",
+            """SELECT coalesce(a.label, b.label) AS label, coalesce(a.cell, '') AS icu, coalesce(b.cell, '') AS no_icu
+  FROM (SELECT * FROM tx WHERE stratum = 'vaso/icu') a FULL JOIN (SELECT * FROM tx WHERE stratum = 'vaso/no_icu') b USING (label)""")
 def i5(spark, sf):
-    num = T.table_one(stratified(spark, sf), ROWS, ["stratum"]).where("kind = 'count'")
-    p = T.pair_substrata(num, "vaso/icu", "vaso/no_icu")
-    to_n = lambda c: F.coalesce(X.cell_count(F.col(c)).cast("double"), F.lit(0.0))
-    return p.select("label", to_n("icu").alias("n_icu"), to_n("no_icu").alias("n_no_icu"))
+    pair = {s: H.STRATA[s] for s in ("vaso/icu", "vaso/no_icu")}
+    return T.pair_substrata(U.table_one(C.encounters(spark, sf), ROWS, pair), *pair).select("label", "icu", "no_icu")
 
 
-@query("i5_all_pairs", views=VIEWS, cte=STRATA + f", num AS ({rows_sql('ms', ROWS, 'stratum')})" + ", pr AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{a} | {b}', '{a}', '{b}')" for a, b in T.PAIRS) + ") t(pair, l, r)), sd AS (SELECT pair, label, max(n) FILTER (stratum = l) AS n_left, max(n) FILTER (stratum = r) AS n_right FROM num JOIN pr ON stratum = l OR stratum = r "
-    "WHERE kind = 'count' GROUP BY 1, 2)", sql="SELECT pair, label, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM sd")
+@case_query("i5_all_pairs", STRATA + f", num AS ({rows_sql('ms', ROWS, 'stratum')}), {PAIR_VALUES}, tx AS (SELECT pair, label, stratum = l AS on_left, {cell_sql()} AS cell FROM num JOIN pr ON stratum = l OR stratum = r)",
+            """SELECT pair, label, coalesce(max(cell) FILTER (on_left), '') AS "left", coalesce(max(cell) FILTER (NOT on_left), '') AS "right" FROM tx GROUP BY 1, 2""")
 def i5a(spark, sf):
-    p = T.all_pairs(T.table_one(stratified(spark, sf), ROWS, ["stratum"]).where("kind = 'count'"))
-    to_n = lambda c: F.coalesce(X.cell_count(F.col(c)).cast("double"), F.lit(0.0))
-    return p.select("pair", "label", to_n("left").alias("n_left"), to_n("right").alias("n_right"))
+    pairs = {s: H.STRATA[s] for p in T.PAIRS for s in p}
+    return T.all_pairs(U.table_one(C.encounters(spark, sf), ROWS, pairs)).select("pair", "label", "left", "right")
 
 
 @query("i6_level_counts", views="hosp patient", sql="""SELECT ethnicity_category, coalesce(race_category, 'Missing') AS level, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY ethnicity_category), 6) AS pct
@@ -258,20 +236,28 @@ EOL = f"""(h / o::DOUBLE + {Z} * {Z} / (2 * o)) / (1 + {Z} * {Z} / o) {{s}} {Z}
 LO, HI = f"greatest({EOL.format(s='-')}, 0) * 100", f"least({EOL.format(s='+')}, 1) * 100"
 
 
-@query("i14_hospice_trends", views=VIEWS, cte=ENCS + ", y AS (SELECT admission_year, count(*) AS n, CAST(sum(hospice_outcome) AS BIGINT) AS h, CAST(sum(expired_outcome) AS BIGINT) AS x, CAST(sum(hospice_or_expired) AS BIGINT) AS o FROM encs GROUP BY 1)",
-       sql=f"""SELECT admission_year, n AS total_encounters, h AS hospice, x AS expired, o AS hospice_or_expired, round(h * 100.0::DOUBLE / n, 6) AS hospice_pct, round(x * 100.0::DOUBLE / n, 6) AS mortality_pct,
+@case_query("i14_hospice_trends", "y AS (SELECT admission_year, count(*) AS n, CAST(sum(hospice_outcome) AS BIGINT) AS h, CAST(sum(expired_outcome) AS BIGINT) AS x, CAST(sum(hospice_or_expired) AS BIGINT) AS o FROM encs GROUP BY 1)",
+            f"""SELECT admission_year, n AS total_encounters, h AS hospice, x AS expired, o AS hospice_or_expired, round(h * 100.0::DOUBLE / n, 6) AS hospice_pct, round(x * 100.0::DOUBLE / n, 6) AS mortality_pct,
   round(h * 100.0::DOUBLE / o, 6) AS hospice_among_eol_pct, round({LO}, 6) AS ci_lower, round({HI}, 6) AS ci_upper FROM y""")
 def i14(spark, sf):
-    return rnd(T.hospice_trends(encs(spark, sf)), ["hospice_pct", "mortality_pct", "hospice_among_eol_pct", "ci_lower", "ci_upper"])
+    return rnd(T.hospice_trends(C.encounters(spark, sf)), ["hospice_pct", "mortality_pct", "hospice_among_eol_pct", "ci_lower", "ci_upper"])
 
 
-@query("i15_comorbidity_outcomes", views=VIEWS, cte=ENCS + """, y AS (SELECT admission_year, CASE WHEN cci_score <= 0 THEN '0 (No comorbidity)' WHEN cci_score <= 2 THEN '1-2 (Mild)' WHEN cci_score <= 4 THEN '3-4 (Moderate)' ELSE '5+ (Severe)' END AS cci_category,
-    count(*) AS n, CAST(sum(hospice_outcome) AS BIGINT) AS h, CAST(sum(expired_outcome) AS BIGINT) AS x, CAST(sum(hospice_or_expired) AS BIGINT) AS o FROM encs GROUP BY 1, 2)""",
-       sql=f"""SELECT admission_year, cci_category, n AS total_encounters, h AS hospice, x AS expired, o AS hospice_or_expired, round(h * 100.0::DOUBLE / n, 6) AS hospice_pct, round(x * 100.0::DOUBLE / n, 6) AS mortality_pct,
-  round(h * 100.0::DOUBLE / nullif(o, 0), 6) AS hospice_among_eol_pct, round({LO}, 6) AS ci_lower, round({HI}, 6) AS ci_upper, round(o * 100.0::DOUBLE / n, 6) AS combined_eol_pct,
+@case_query("i15_comorbidity_outcomes", """g5 AS (SELECT * FROM encs WHERE cci_score IS NOT NULL), y0 AS (SELECT admission_year, CASE WHEN cci_score <= 0 THEN '0 (No comorbidity)' WHEN cci_score <= 2 THEN '1-2 (Mild)' WHEN cci_score <= 4 THEN '3-4 (Moderate)' ELSE '5+ (Severe)' END AS cci_category,
+    count(*) AS n, CAST(sum(hospice_outcome) AS BIGINT) AS h, CAST(sum(expired_outcome) AS BIGINT) AS x, CAST(sum(hospice_or_expired) AS BIGINT) AS o FROM g5 GROUP BY 1, 2),
+    y AS (SELECT admission_year, cci_category, coalesce(n, 0) AS n, coalesce(h, 0) AS h, coalesce(x, 0) AS x, coalesce(o, 0) AS o FROM (SELECT DISTINCT admission_year FROM encs)
+      CROSS JOIN (SELECT unnest(['0 (No comorbidity)', '1-2 (Mild)', '3-4 (Moderate)', '5+ (Severe)']) AS cci_category) LEFT JOIN y0 USING (admission_year, cci_category))""",
+            f"""SELECT admission_year, cci_category, n AS total_encounters, h AS hospice, x AS expired, o AS hospice_or_expired, round(h * 100.0::DOUBLE / nullif(n, 0), 6) AS hospice_pct, round(x * 100.0::DOUBLE / nullif(n, 0), 6) AS mortality_pct,
+  round(h * 100.0::DOUBLE / nullif(o, 0), 6) AS hospice_among_eol_pct, CASE WHEN o > 0 THEN round({LO}, 6) END AS ci_lower, CASE WHEN o > 0 THEN round({HI}, 6) END AS ci_upper,
+  round(o * 100.0::DOUBLE / nullif(n, 0), 6) AS combined_eol_pct,
   round(h * 100.0::DOUBLE / nullif(x, 0), 6) AS hospice_capture_rate FROM y""")
 def i15(spark, sf):
-    return rnd(T.comorbidity_outcomes(encs(spark, sf)), ["hospice_pct", "mortality_pct", "hospice_among_eol_pct", "ci_lower", "ci_upper", "combined_eol_pct", "hospice_capture_rate"])
+    return rnd(T.comorbidity_outcomes(C.encounters(spark, sf)), ["hospice_pct", "mortality_pct", "hospice_among_eol_pct", "ci_lower", "ci_upper", "combined_eol_pct", "hospice_capture_rate"])
+
+
+def case_members(spark, sf):
+    e = C.encounters(spark, sf)
+    return H.stratum_members(e, keep=e.columns)
 
 
 MEM = FLAGS + ", mb AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stratum, encounter_block FROM flags WHERE {c} = 1" for s, c in H.STRATA.items()) + ")"
@@ -305,21 +291,46 @@ def i16d(spark, sf):
     return rnd(d.select("stratum", "medication", "n_encounters", "n_admin", "pct_encounters", "median_dose"), ["pct_encounters", "median_dose"])
 
 
-@query("i16_sofa_mortality_by_stratum", views=VIEWS, cte=STRATA + """, mo AS (SELECT stratum, sofa_total AS s, count(*) AS n, sum(death_enc) AS k FROM ms GROUP BY 1, 2)""",
-       sql="""SELECT stratum, s AS sofa_score, CAST(sum(n) OVER (PARTITION BY stratum) AS BIGINT) AS total_encounters, n AS n_encounters, CAST(k AS BIGINT) AS n_deaths FROM mo""")
+@case_query("i16_conditions_by_stratum", STRATA, " UNION ALL ".join(f"""SELECT stratum, '{c}' AS comorbidity, CAST(coalesce(sum({c}), 0) AS BIGINT) AS n_patients,
+  round_even(coalesce(sum({c}), 0) * 100.0::DOUBLE / count(*), 2) AS prevalence_percent, round_even(coalesce(sum({c}), 0) * 1000.0::DOUBLE / count(*), 1) AS per_1000_hospitalizations
+  FROM ms GROUP BY 1""" for c in S.CHARLSON))
+def i16c(spark, sf):
+    return T.comorbidity_prevalence(case_members(spark, sf), ["stratum"])
+
+
+HOURS = """, ic AS (SELECT encounter_block, min(admission_dttm) AS i FROM blocks WHERE location_category = 'icu' GROUP BY 1), tn AS (SELECT stratum, count(*) AS t FROM mb JOIN ic USING (encounter_block) GROUP BY 1),
+  wk AS (SELECT mb.stratum, b.encounter_block, med_category, CAST(floor((epoch_us(admission_dttm) - epoch_us(i)) / 3600000000.0::DOUBLE) AS INTEGER) AS hb
+    FROM mb JOIN blocks b USING (encounter_block) JOIN ic USING (encounter_block)),
+  sn AS (SELECT stratum, hb, med_category, count(DISTINCT encounter_block) AS n FROM wk GROUP BY ALL)"""
+
+
+@query("i16_hourly_exposure_by_stratum", views="blocks", cte=MEM + HOURS, sql=f"""SELECT tn.stratum, CAST(hour AS INTEGER) AS hour, medication, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0::DOUBLE / t, 6) AS pct
+  FROM tn CROSS JOIN (SELECT unnest(range(168)) AS hour) CROSS JOIN (SELECT unnest([{', '.join(repr(d) for ds in DRUG_GROUPS.values() for d in ds)}]) AS medication)
+  LEFT JOIN sn ON sn.stratum = tn.stratum AND hb = hour AND med_category = medication""")
+def i16h(spark, sf):
+    b = V.blocks(spark, sf)
+    icu = b.where("location_category = 'icu'").groupBy(BLOCK).agg(F.min("admission_dttm").alias("first_icu_in_dttm"))
+    mem = materialise(members(spark, sf), "members")
+    total = mem.join(icu, BLOCK).groupBy("stratum").agg(F.count(F.lit(1)).alias("n_icu"))
+    m = M.with_icu_hour(b.select(BLOCK, "med_category", F.col("admission_dttm").alias("admin_dttm")), icu).join(mem, BLOCK)
+    return rnd(M.hourly_exposure(m, total, DRUG_GROUPS, ["stratum"]), ["pct"])
+
+
+@case_query("i16_sofa_mortality_by_stratum", STRATA + """, mo AS (SELECT stratum, sofa_total AS s, count(*) AS n, sum(death_enc) AS k FROM ms WHERE sofa_total IS NOT NULL GROUP BY 1, 2)""",
+            """SELECT stratum, s AS sofa_score, CAST(sum(n) OVER (PARTITION BY stratum) AS BIGINT) AS total_encounters, n AS n_encounters, CAST(k AS BIGINT) AS n_deaths FROM mo""")
 def i16s(spark, sf):
-    return S.sofa_mortality(stratified(spark, sf), ["stratum"]).select("stratum", "sofa_score", "total_encounters", "n_encounters", "n_deaths")
+    return S.sofa_mortality(case_members(spark, sf), ["stratum"]).select("stratum", "sofa_score", "total_encounters", "n_encounters", "n_deaths")
 
 
-@query("i16_crosstab_by_stratum", views=VIEWS, cte=STRATA + """, pt AS (SELECT DISTINCT stratum, patient_id, race_category AS r, ethnicity_category AS e, sex_category AS s FROM ms), ct AS (SELECT stratum, r, e, s, count(*) AS n FROM pt GROUP BY ALL),
-  st AS (SELECT DISTINCT stratum FROM ct), gr AS (SELECT unnest(['BUILDING', 'MACHINERY', 'HOUSEHOLD', 'Unseen']) AS r), ge AS (SELECT unnest(['ASIA', 'EUROPE', 'AFRICA', 'AMERICA']) AS e), gs AS (SELECT unnest(['Female', 'Male']) AS s),
-  bd AS (SELECT stratum, r, e, s, coalesce(n, 0) AS n FROM st CROSS JOIN gr CROSS JOIN ge CROSS JOIN gs LEFT JOIN ct USING (stratum, r, e, s)), sg AS (SELECT * FROM ct UNION ALL SELECT stratum, r, e, s, -n FROM bd WHERE n BETWEEN 1 AND 1)""",
-       sql="""SELECT stratum, r AS race_category, e AS ethnicity_category, s AS sex_category, CASE WHEN n = 1 THEN NULL ELSE n END AS n FROM bd
-  UNION ALL SELECT stratum, r, 'Total', '', coalesce(CAST(sum(n) AS BIGINT), 0) FROM st CROSS JOIN gr LEFT JOIN sg USING (stratum, r) GROUP BY 1, 2
-  UNION ALL SELECT stratum, 'Total', e, s, coalesce(CAST(sum(n) AS BIGINT), 0) FROM st CROSS JOIN ge CROSS JOIN gs LEFT JOIN sg USING (stratum, e, s) GROUP BY 1, 3, 4
+@case_query("i16_crosstab_by_stratum", STRATA + """, pt AS (SELECT DISTINCT stratum, patient_id, race_category AS r, ethnicity_category AS e, sex_category AS s FROM ms), ct AS (SELECT stratum, r, e, s, count(*) AS n FROM pt GROUP BY ALL),
+  sts AS (SELECT DISTINCT stratum FROM ct), gr AS (SELECT unnest(['BUILDING', 'MACHINERY', 'HOUSEHOLD', 'Unseen']) AS r), ge AS (SELECT unnest(['ASIA', 'EUROPE', 'AFRICA', 'AMERICA']) AS e), gs AS (SELECT unnest(['Female', 'Male']) AS s),
+  bd AS (SELECT stratum, r, e, s, coalesce(n, 0) AS n FROM sts CROSS JOIN gr CROSS JOIN ge CROSS JOIN gs LEFT JOIN ct USING (stratum, r, e, s)), sg AS (SELECT * FROM ct UNION ALL SELECT stratum, r, e, s, -n FROM bd WHERE n BETWEEN 1 AND 1)""",
+            """SELECT stratum, r AS race_category, e AS ethnicity_category, s AS sex_category, CASE WHEN n = 1 THEN NULL ELSE n END AS n FROM bd
+  UNION ALL SELECT stratum, r, 'Total', '', coalesce(CAST(sum(n) AS BIGINT), 0) FROM sts CROSS JOIN gr LEFT JOIN sg USING (stratum, r) GROUP BY 1, 2
+  UNION ALL SELECT stratum, 'Total', e, s, coalesce(CAST(sum(n) AS BIGINT), 0) FROM sts CROSS JOIN ge CROSS JOIN gs LEFT JOIN sg USING (stratum, e, s) GROUP BY 1, 3, 4
   UNION ALL SELECT stratum, 'Total', 'Total', '', CAST(sum(n) AS BIGINT) FROM sg GROUP BY 1""")
 def i16x(spark, sf):
-    p = stratified(spark, sf).select("stratum", "patient_id", "race_category", "ethnicity_category", "sex_category").distinct()
+    p = case_members(spark, sf).select("stratum", "patient_id", "race_category", "ethnicity_category", "sex_category").distinct()
     return T.demographic_crosstab(p, ["stratum"], RACES, ETHS, SEXES, 2).drop("text")
 
 
@@ -340,29 +351,31 @@ def i18(spark, sf):
 
 
 def display(spark, sf):
-    return T.display_table(by_year(spark, sf), [], "col", ["Overall", "2020", "2021", "2022"])
+    return T.display_table(by_year(spark, sf), [], "col", ["Overall", "2024", "2025", "2026"])
 
 
 SOFA_POS = next(i for i, r in enumerate(ROWS) if r.label == "SOFA Scores")
 
 
-@query("i19_demographics_slice", views=VIEWS, cte=YEAR, sql=f"SELECT label, count(*) FILTER (col = 'Overall') AS shown FROM ({rows_sql('src', ROWS, 'col')}) WHERE pos < {SOFA_POS} GROUP BY 1")
+@case_query("i19_demographics_slice", YEAR + f", num AS ({rows_sql('src', ROWS, 'col')}), tx AS (SELECT pos, label, col, {cell_sql()} AS cell FROM num WHERE pos < {SOFA_POS})",
+            "SELECT label, " + ", ".join(f"coalesce(max(cell) FILTER (col = '{c}'), '') AS \"{c}\"" for c in ("Overall", "2024", "2025", "2026")) + " FROM tx GROUP BY pos, label")
 def i19(spark, sf):
-    return T.demographics_slice(display(spark, sf)).groupBy("label").agg(F.sum((F.col("Overall").isNotNull() & (
-        (F.col("Overall") != "") | F.col("label").isin("Encounter Types"))).cast("int")).alias("shown"))
+    return T.demographics_slice(display(spark, sf)).drop("line")
+
+
+HEAD = "src AS (SELECT *, 'Overall' AS col FROM encs WHERE cohort_enc = 1)"
 
 
-@query("i20_headline", views=VIEWS, cte=ENCS + ", src AS (SELECT *, 'Overall' AS col FROM encs WHERE cohort_enc = 1)", sql="""SELECT 'flow' AS section, '5_all_critically_ill' AS name, CAST(count(*) AS DOUBLE) AS value FROM src
-  UNION ALL SELECT 'mortality', 'All', round(sum(death_enc) * 100.0::DOUBLE / count(*), 6) FROM src UNION ALL SELECT 'kpi', 'n_encounters', count(*) FROM src UNION ALL SELECT 'kpi', 'n_patients', count(DISTINCT patient_id) FROM src
-  UNION ALL SELECT 'kpi', 'n_hospitals', count(DISTINCT hospital_id) FROM src UNION ALL SELECT 'kpi', 'hospital_mortality', sum(death_enc) FROM src
-  UNION ALL SELECT 'kpi', 'sex_male', count(DISTINCT patient_id) FROM src WHERE sex_category = 'Male' UNION ALL SELECT 'kpi', 'sex_female', count(DISTINCT patient_id) FROM src WHERE sex_category = 'Female'""")
+@case_query("i20_headline", HEAD + f", num AS ({rows_sql('src', ROWS, 'col')}), tx AS (SELECT label, {cell_sql()} AS cell FROM num), nm AS (SELECT * FROM (VALUES "
+            + ", ".join(f"('{k}', '{v}')" for k, v in T.HEADLINES.items()) + ") t(label, name))",
+            """SELECT 'flow' AS section, '5_all_critically_ill' AS name, CAST(count(*) AS VARCHAR) AS value FROM src
+  UNION ALL SELECT 'mortality', 'All', printf('%.6f', sum(death_enc) * 100.0::DOUBLE / count(*)) FROM src UNION ALL SELECT 'kpi', name, cell FROM tx JOIN nm ON trim(tx.label) = nm.label""")
 def i20(spark, sf):
-    e = encs(spark, sf).where("cohort_enc = 1")
+    e = C.encounters(spark, sf).where("cohort_enc = 1")
     flow = e.agg(F.lit("5_all_critically_ill").alias("count_name"), F.count(F.lit(1)).alias("count_value"))
-    lines = T.display_table(T.table_one(e.withColumn("col", F.lit("Overall")), ROWS, ["col"]), [], "col", ["Overall"])
-    h = T.headline(flow, H.mortality_by_group(e, {"All": None}), lines).where("name <> 'age_median_iqr'")
-    value = F.coalesce(X.cell_count(F.col("value")).cast("double"), F.round(F.expr("try_cast(value AS double)"), 6))
-    return h.select("section", "name", value.alias("value"))
+    lines = T.display_table(U.table_one(e, ROWS, {"Overall": "cohort_enc"}), [], "col", ["Overall"])
+    rate = H.mortality_by_group(e, {"All": None}).withColumn("count_value", F.format_string("%.6f", "count_value"))
+    return T.headline(flow, rate, lines)
 
 
 # Result cells with many small counts: parts per size (row) and brand (column).

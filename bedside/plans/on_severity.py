@@ -91,6 +91,10 @@ INPUT = """inp AS (SELECT encounter_block, event_id, recorded_dttm, CASE categor
 
 
 def inputs(spark, sf):
+    return inputs_of(V.obs(spark, sf))
+
+
+def inputs_of(o):
     c, s, v, low = F.col("category"), F.col("setting"), F.col("value"), F.col("setting") < 50
     pair = lambda a, b: F.when(low, a).otherwise(b)
     cat = (F.when(c == "view", pair("creatinine", "platelet_count")).when(c == "click", pair("bilirubin_total", "po2_arterial"))
@@ -98,7 +102,7 @@ def inputs(spark, sf):
            .otherwise(pair("dopamine", "dobutamine")))
     val = (F.when(c == "view", pair(v / 20, v * 2)).when(c == "click", pair(v / 10, v * 3)).when(c == "error", pair(50 + v / 4, 60 + s / 2))
            .when(c == "purchase", pair(v / 400, (3 + s.cast("int") % 13).cast("double"))).otherwise(v / 10))
-    return V.obs(spark, sf).select(BLOCK, "event_id", "recorded_dttm", cat.alias("category"), val.alias("value"))
+    return o.select(BLOCK, "event_id", "recorded_dttm", cat.alias("category"), val.alias("value"))
 
 
 @query("g7_input_limits", views="obs", cte=INPUT, sql="SELECT category, count(*) AS n, count(value) AS n_valid, round(sum(value), 3) AS total FROM lim GROUP BY 1")

@@ -40,7 +40,10 @@ def obs(spark, sf):
 
 
 def stay(spark, sf):
-    o = obs(spark, sf)
+    return stay_of(obs(spark, sf))
+
+
+def stay_of(o):
     nxt = Ordered(o, ["encounter_block"], ["recorded_dttm", "event_id"]).lead(
         "out_dttm", "recorded_dttm").apply()
     return nxt.select("encounter_block", "event_id", F.col("recorded_dttm").alias("in_dttm"), "out_dttm",
@@ -48,8 +51,12 @@ def stay(spark, sf):
 
 
 def resp(spark, sf):
+    return resp_of(obs(spark, sf))
+
+
+def resp_of(o):
     s = F.col("setting").cast("int")
-    return obs(spark, sf).select(
+    return o.select(
         "encounter_block", "event_id", "recorded_dttm",
         lookup("category", DEVICE).alias("device_category"),
         F.when(s % 4 == 0, "assist control-volume control").when(s % 4 == 1, "pressure support/cpap")
@@ -90,9 +97,11 @@ def blocks(spark, sf):
 
 def meds(spark, sf):
     """The events as continuous drug administrations."""
-    o = obs(spark, sf)
+    return meds_of(obs(spark, sf), lookup("category", MED))
+
+
+def meds_of(o, med):
     s = F.col("setting").cast("int")
-    med = lookup("category", MED)
     return o.select(
         "encounter_block", "event_id", (F.col("encounter_block") * 10 + F.dayofmonth("recorded_dttm") % 10).alias("hospitalization_id"),
         F.col("recorded_dttm").alias("admin_dttm"), med.alias("med_category"),

@@ -177,6 +177,18 @@ def cached_subset(spark: SparkSession, source: DataFrame, make_ids, id_column: s
     return spark.read.parquet(dest), False
 
 
+def cached_table(spark: SparkSession, name: str, version: str, sources: list[DataFrame], make) -> DataFrame:
+    """A derived table under the shared root, made again only when a source file or ``version``
+    changes. Its folder is named by both, so runs over different files never meet; ``cleanup`` leaves it."""
+    want = json.dumps([name, version, [source_signature(s) for s in sources]])
+    configured = spark.conf.get(ROOT_CONF, None) or spark.conf.get("spark.checkpoint.dir", None)
+    root = scratch_root(spark.sparkContext.master, configured)
+    dest = f"{root}/bedside/{name}-{hashlib.sha256(want.encode()).hexdigest()[:32]}"
+    if not exists(spark, f"{dest}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(dest)
+    return spark.read.parquet(dest)
+
+
 def table_metadata(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """Row count, column names and types per table, one row per column."""
     parts = None
