@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from bedside.llm import common
 from bedside.llm.remembered import Remembered, ends_of
 
-#: Texts are handled in buffers of so many bytes, new pieces in slices of so many.
-BUFFER_BYTES, SLICE = 4 << 20, 40_000
+#: Texts are handled in buffers of so many bytes, new words in slices of so many.
+BUFFER_BYTES, SLICE = 1 << 20, 20_000
 #: Bytes of remembered stretches and words in a worker.
-STRETCHES, WORDS = 96 << 20, 48 << 20
+STRETCHES, WORDS = 80 << 20, 40 << 20
 
 _ENCODE = """
 WITH RECURSIVE t(w, p, id, np, pair, live) AS (
@@ -49,8 +49,8 @@ WITH RECURSIVE t(w, p, id, np, pair, live) AS (
 SELECT w, id FROM t WHERE NOT live ORDER BY w, p
 """
 _DECODE = """
-SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
-FROM tokens JOIN vocabulary v USING (id) GROUP BY w
+SELECT w, unhex(string_agg(hex, '')) AS bytes
+FROM (SELECT w, v.hex FROM tokens JOIN vocabulary v USING (id) ORDER BY w, p) GROUP BY w
 """
 
 
