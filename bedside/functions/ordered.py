@@ -43,18 +43,18 @@ class Ordered:
 
     ``order`` must be a total order inside a key (add a tie breaker column) and
     its first column must be the one ``slice_col`` was made from. Null keys are one
-    key: keys are compared as one struct. ``apply(keep_slice=True)`` leaves the slice column in, so a
-    following pass over the same keys finds its rows already placed and does not
-    shuffle again.
+    key: keys are compared as one struct. ``apply(keep_slice=True)`` leaves key and slice in under names made of
+    keys and order, so a following pass over the same finds its rows already placed and does
+    not shuffle again, and a pass over others never mistakes them for its own.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str],
                  slice_col: Column | None = None):
         self.df, self.keys, self.order = df, list(keys), list(order)
-        if slice_col is None:
-            slice_col = F.col("_slice") if "_slice" in df.columns else time_slice(order[0])
+        # names that only a pass over the same keys and order can have left: no input column is taken for them
+        self.key, self.slice = f"_key({', '.join(self.keys)})", f"_slice({', '.join([*self.keys, *self.order])})"
         # a null order value sorts first, so it gets the lowest slice
-        self.slice_col = F.coalesce(slice_col, F.lit(-(1 << 62)))
+        self.slice_col = F.coalesce(time_slice(order[0]) if slice_col is None else slice_col, F.lit(-(1 << 62)))
         self.ops: list[tuple] = []
 
     def _add(self, kind, name, col, k=1):
@@ -97,7 +97,7 @@ class Ordered:
         return self._add("sum", name, F.lit(1).cast("long"))
 
     def apply(self, keep_slice: bool = False) -> DataFrame:
-        part = ["_key", "_slice"]
+        part = [f"`{self.key}`", f"`{self.slice}`"]
         w = Window.partitionBy(*part).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
         onward = w.rowsBetween(0, Window.unboundedFollowing)
@@ -127,9 +127,9 @@ class Ordered:
             else:
                 cols[f"_v{i}"] = (F.max if kind == "max" else F.sum)(c).over(upto)
                 tail.add(f"_v{i}")
-        base = self.df if "_slice" in self.df.columns else self.df.withColumn("_slice", self.slice_col)
-        if "_key" not in base.columns:
-            base = base.withColumn("_key", F.struct(*[F.col(k) for k in self.keys]))
+        base = self.df if self.slice in self.df.columns else self.df.withColumn(self.slice, self.slice_col)
+        if self.key not in base.columns:
+            base = base.withColumn(self.key, F.struct(*[F.col(k) for k in self.keys]))
         local = base.withColumns(cols)
 
         key_order = F.struct(*[F.col(o) for o in self.order])
@@ -139,7 +139,7 @@ class Ordered:
         if head:
             aggs.append(F.min_by(F.struct(*sorted(head)), key_order).alias("_head"))
         carry = local.groupBy(*part).agg(*aggs)
-        ws = Window.partitionBy("_key").orderBy("_slice")
+        ws = Window.partitionBy(part[0]).orderBy(part[1])
         before = ws.rowsBetween(Window.unboundedPreceding, -1)
         after = ws.rowsBetween(1, Window.unboundedFollowing)
         cc = {}
@@ -156,7 +156,7 @@ class Ordered:
             elif kind == "back":
                 cc[f"_c{i}"] = F.first(f"_head._v{i}", True).over(after)
             elif kind == "total":
-                cc[f"_c{i}"] = F.sum(f"_tail._v{i}").over(Window.partitionBy("_key"))
+                cc[f"_c{i}"] = F.sum(f"_tail._v{i}").over(Window.partitionBy(part[0]))
             else:
                 cc[f"_c{i}"] = (F.sum if kind == "sum" else F.max)(f"_tail._v{i}").over(before)
         carry = carry.withColumns(cc).drop("_tail", "_head")
@@ -164,9 +164,9 @@ class Ordered:
         both = local.alias("l").join(
             carry.alias("c"),
             [F.col(f"l.{p}") == F.col(f"c.{p}") for p in part], "left")
-        out = [F.col(f"l.{c}") for c in self.df.columns if c not in ("_slice", "_key")]
+        out = [F.col(f"l.`{c}`") for c in self.df.columns if c not in (self.slice, self.key)]
         if keep_slice:
-            out += [F.col("l._slice"), F.col("l._key")]
+            out += [F.col(f"l.{p}") for p in part]
         for i, (kind, name, _, k) in enumerate(self.ops):
             if kind in ("lag", "lead"):
                 v = F.col(f"_s{i}_{k}")

@@ -61,12 +61,27 @@ def metric_rules(long: DataFrame) -> DataFrame:
     return m.select("metric", "n_cells", "n_numeric", ((F.col("n_cells") > 0) & (F.col("n_numeric") >= 0.5 * F.col("n_cells"))).alias("is_value"), rule.alias("rule"))
 
 
-def pool_keyed(long: DataFrame, keys: list[str], site: str = "site") -> DataFrame:
+def first_rows(long: DataFrame, keys: list[str], row: str, site: str = "site") -> DataFrame:
+    """Cells of the first row (least ``row``) of each site and key; other rows go as a whole."""
+    first = long.groupBy(site, *keys).agg(F.min(row).alias("_first"))
+    same = F.lit(True)
+    for c in (site, *keys):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"f.{c}"))
+    hit = long.alias("l").join(first.alias("f"), same & F.col(f"l.{row}").eqNullSafe(F.col("f._first")))
+    return hit.select("l.*").drop(row)
+
+
+def pool_keyed(long: DataFrame, keys: list[str], site: str = "site", row: str | None = None) -> DataFrame:
     """Pooled value per key and metric. Means, medians and sds weight by the first known
     sample-size column; without one they stay null. A percentage with a count of the same
-    stem is rebuilt from the counts, so it is exact. A site's table has each key and metric
-    once; of repeated cells the least counts, so that no site weighs double."""
-    long = long.groupBy(site, *keys, "metric").agg(F.min("value").alias("value"))
+    stem is rebuilt from the counts, so it is exact. ``row`` numbers the rows of a site's table: of
+    several rows of one key the first counts, whole. Without it a cell may be there once only, and two
+    values of one cell fail the job: no site weighs double and no row is mixed from two."""
+    if row is not None:
+        long = first_rows(long, keys, row, site)
+    once = long.groupBy(site, *keys, "metric").agg(F.min("value").alias("value"), F.max("value").alias("_max"))
+    twice = F.raise_error(F.lit("a site has two values of one key and metric: number its rows")).cast("boolean")
+    long = once.where(F.when(F.col("value") != F.col("_max"), twice).otherwise(F.lit(True))).drop("_max")
     rules = metric_rules(long).where("is_value").select("metric", "rule")
     x = long.withColumn("v", number("value")).join(rules, "metric").select(site, *keys, "metric", "rule", "v")
     order = F.array_position(F.array(*[F.lit(w) for w in WEIGHTS]), F.lower(F.col("metric")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bedside.functions.expr import lookup
 from bedside.functions.ordered import Ordered
 from bedside.operators import temporal
-from bedside.sources.tables import exists, prepare, scratch, source_signature
+from bedside.sources.tables import materialise, prepare
 
 LOCATION = {"error": "icu", "view": "ward", "purchase": "ed", "signup": "procedural", "click": "other"}
 DEVICE = {"error": "imv", "signup": "nippv", "purchase": "high flow nc", "view": "nasal cannula"}
@@ -81,18 +81,10 @@ def visit(spark, sf):
         lookup("category", MED).alias("med_category"), "value", "setting")
 
 
-_stitched: dict = {}
-
-
 def blocks(spark, sf):
-    """``visit`` of adults with the encounter block: stitched once per session for the same files."""
-    key = (spark.sparkContext.applicationId, sf, *source_signature(spark.read.parquet(f"{sf}/events.parquet")))
-    if key not in _stitched or not exists(spark, _stitched[key]):
-        v = visit(spark, sf).where("age_at_admission >= 18")
-        dest = scratch(spark, "encounters")
-        temporal.stitch_encounters(v, 6).write.parquet(dest)
-        _stitched[key] = dest
-    return spark.read.parquet(_stitched[key])
+    """``visit`` of adults with the encounter block, stitched anew for every query."""
+    v = visit(spark, sf).where("age_at_admission >= 18")
+    return materialise(temporal.stitch_encounters(v, 6), "encounters")
 
 
 def meds(spark, sf):

@@ -131,3 +131,26 @@ def test_intermediates_need_a_shared_root_on_a_cluster_and_can_be_deleted(spark,
         assert tables.cleanup(spark) == 1 and not list((tmp_path / "bedside").iterdir())
     finally:
         spark.conf.unset(tables.ROOT_CONF)
+
+
+@pytest.mark.parametrize("first,second", [((10, 9.5), (2, 30.5)), ((2, 30.5), (10, 9.5))])
+def test_repeated_rows_of_a_site_stay_whole(spark, first, second):
+    cells = lambda site, k, row, n, mean: [(site, k, row, "n", str(n)), (site, k, row, "mean", str(mean))]
+    rows = [*cells("a", "k", 0, *first), *cells("a", "k", 1, *second), *cells("b", "k", 0, 5, 1.5), *cells("b", None, 0, 3, 4.5)]
+    long = spark.createDataFrame(rows, "site string, k string, row int, metric string, value string")
+    got = {(r.k, r.metric): r.pooled for r in pool.pool_keyed(long, ["k"], row="row").collect()}
+    assert got["k", "n"] == first[0] + 5
+    assert got["k", "mean"] == pytest.approx((first[0] * first[1] + 7.5) / (first[0] + 5)) and got[None, "n"] == 3
+    with pytest.raises(Exception, match="two values of one key"):
+        pool.pool_keyed(long.drop("row"), ["k"]).collect()
+
+
+def test_input_columns_named_like_internal_ones(frame):
+    df = frame([("a", 7, T0, 1), ("a", 8, T1, 2), ("a", 9, T2, 3)], "k string, _key int, ts ts, _slice int")
+    got = Ordered(df, ["k"], ["ts"]).lag("p", "_slice").apply()
+    assert got.columns == ["k", "_key", "ts", "_slice", "p"]
+    assert {(r._key, r._slice, r.p) for r in got.collect()} == {(7, 1, None), (8, 2, 1), (9, 3, 2)}
+    # a slice that was kept for one key is not taken for another
+    kept = Ordered(df, ["k"], ["ts"]).lag("p", "_slice").apply(keep_slice=True)
+    other = Ordered(kept.withColumn("m", F.col("_key") % 2), ["m"], ["ts"]).lag("q", "_slice").apply()
+    assert {(r._key, r.q) for r in other.collect()} == {(7, None), (8, None), (9, 1)}
