@@ -3,8 +3,8 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a
 key's rows are first cut into slices along the order column; the window runs per
 (key, slice) and only one carry row per slice meets the other slices of its key.
-The number of slices of a key is bounded by the span of the order column divided
-by the slice width, never by the number of rows.
+Slices have a fixed width at first; those with more rows than
+``spark.bedside.slice.rows`` are cut at quantiles of the order columns (``slices``).
 
 Slices are a deterministic function of the row, so the detail and the carry rows
 agree however often Spark recomputes them. The input feeds both sides, so several
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bedside.functions import slices
+
 SLICE_HOURS = 24
 SLICE_CONF = "spark.bedside.slice.hours"
 
@@ -130,6 +132,9 @@ class Ordered:
         base = self.df if self.slice in self.df.columns else self.df.withColumn(self.slice, self.slice_col)
         if self.key not in base.columns:
             base = base.withColumn(self.key, F.struct(*[F.col(k) for k in self.keys]))
+        target = slices.target_rows(self.df)
+        if self.slice not in self.df.columns and slices.may_exceed(self.df, target):
+            base = slices.equi_depth(base, self.key, self.slice, slices.coordinates(self.df, self.order), target)
         local = base.withColumns(cols)
 
         key_order = F.struct(*[F.col(o) for o in self.order])

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bedside.functions import slices
 from bedside.functions.expr import attach
 from bedside.functions.ordered import value_slice
+from bedside.sources.tables import materialise
 
 QUARTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
 
@@ -44,6 +46,11 @@ def _by_struct(df, keys, probs, interpolation):
         .withColumn("_slice", value_slice("_v"))
         .groupBy(*part, "_slice", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
+    target = slices.target_rows(df)
+    if slices.may_exceed(df, target):
+        # many distinct values within a slice's width: cut it at their quantiles
+        pairs = materialise(pairs.withColumn("_line", F.struct(*part)), "counted")
+        pairs = slices.equi_depth(pairs, "_line", "_slice", [F.col("_v")], target).drop("_line")
     ws = Window.partitionBy(*part)
     wo = ws.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ranks = sorted({p for d in probs.values() for p in d.values()})
