@@ -110,10 +110,10 @@ def features(spark, sf):
                             "has_onset": F.coalesce("has_onset", F.lit(0))})
 
 
-#: Columns of the features that are compared, and those of them that are no whole numbers.
+#: Columns of the features that are compared, and the digits of those that are no whole numbers.
 COLUMNS = sorted({c for r in [*T.table_one_rows(), *T.table_one_rows(ward=True), *T.EXTRA_ROWS] for c in (r.column, r.within) if c} | set(H.STRATA.values())
                  | {"cohort_enc", "ward_enc", "admission_year", "hospice_or_expired", *S.CHARLSON})
-DECIMAL = [c for c in COLUMNS if c.endswith(("_days", "_hours", "_median", "_peak")) or c.startswith("p_f")]
+DECIMAL = {c: 4 if c.endswith(("_days", "_hours")) else 9 for c in COLUMNS if c.endswith(("_days", "_hours", "_median", "_peak")) or c.startswith("p_f")}
 
 
 def encounters(spark, sf):

@@ -66,9 +66,9 @@ def case_query(name, cte="", sql=""):
 
 
 @case_query("i1_features", sql="SELECT encounter_block, " + ", ".join(
-    f"round({c}, 4) AS {c}" if c in C.DECIMAL else c for c in C.COLUMNS) + " FROM encs")
+    f"round({c}, {C.DECIMAL[c]}) AS {c}" if c in C.DECIMAL else c for c in C.COLUMNS) + " FROM encs")
 def i1f(spark, sf):
-    return rnd(C.features(spark, sf).select(BLOCK, *C.COLUMNS), C.DECIMAL, 4)
+    return C.features(spark, sf).select(BLOCK, *C.COLUMNS).withColumns({c: F.round(c, n) for c, n in C.DECIMAL.items()})
 
 
 @case_query("i1_table_one", "src AS (SELECT *, 'critical illness' AS cohort FROM encs WHERE cohort_enc = 1)", final_sql(rows_sql("src", ROWS, "cohort"), "cohort"))

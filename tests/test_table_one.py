@@ -1,5 +1,6 @@
 """Table One by masks against the plain form, feature assembly, and that every line is filled."""
 
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from bedside.operators import report as T
 from bedside.operators import rollup
 from bedside.operators.assemble import assemble
 
+SF = "/root/testdata/sf0.001"
 ROWS = [T.Row("N", "count"), T.Row("Patients", "distinct", "patient_id"), T.Row("Age", "median", "age"), T.Row("Race", "levels", "race", patient=True),
         T.Row("Head", "header"), T.Row("ICU", "flag", "icu"), T.Row("ICU in vent", "flag", "icu", "vent"), T.Row("Hours", "sum", "hours"),
         T.Row("Place", "levels", "place"), T.Row("Mode in vent", "levels", "place", "vent"), T.Row("Dose in vent", "median", "dose", "vent")]
@@ -79,3 +81,20 @@ def test_assembly_shuffles_once(spark):
     twice = assemble(base, {"x": parts["f0"].union(parts["f0"])}, [])
     with pytest.raises(Exception, match="x has an encounter twice"):
         twice.collect()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_every_line_is_filled_from_the_features(spark):
+    from bedside.plans import cases
+    e = cases.encounters(spark, SF)
+    assert e.count() == e.select("encounter_block").distinct().count() > 50
+    for ward in (False, True):
+        rows = T.table_one_rows(ward)
+        got = rollup.table_one(e, rows, {"all": "ward_enc" if ward else "cohort_enc"})
+        found = {(r.pos, r.kind): r for r in got.collect()}
+        for i, r in enumerate(rows):
+            kind = {"levels": "flag", "distinct": "count"}.get(r.kind, r.kind)
+            assert (i, kind) in found, r.label
+            assert kind == "header" or found[i, kind].n is not None, r.label
+    extra = rollup.table_one(e, T.EXTRA_ROWS, {"all": "cohort_enc"})
+    assert {r.pos for r in extra.collect()} == set(range(len(T.EXTRA_ROWS)))
