@@ -143,10 +143,26 @@ def tube_events(resp: DataFrame, order: list[str], block: str = BLOCK) -> tuple[
                                   F.col(order[-1]).alias("_tie"))
 
 
-def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_minutes: float = 5, events: tuple | None = None) -> DataFrame:
-    """All ventilation attempts: n-th intubation with n-th extubation. An encounter that
+def pair_next_after(starts: DataFrame, ends: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:
+    """``starts`` with the first later end, in one ordered pass over both. A start that another start follows
+    before any end was never seen to end and gets null; an end that no open start precedes is left out, so one
+    missed event touches one pair only. At one instant ends come first: an end is later than its start."""
+    s = starts.select(*keys, F.col(start).alias("_t"), F.lit(1).alias("_side"), F.col(tie).alias("_u"),
+                      F.struct(*[F.col(c) for c in starts.columns if c not in keys]).alias("_s"))
+    e = ends.select(*keys, F.col(end).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_u"))
+    both = s.unionByName(e, allowMissingColumns=True)
+    rows = Ordered(both, keys, ["_t", "_side", "_u"]).lead("_next", F.struct("_side", "_t")).apply().where("_side = 1")
+    return rows.select(*keys, "_s.*", F.when(F.col("_next._side") == 0, F.col("_next._t")).alias(end))
+
+
+def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_minutes: float = 5, events: tuple | None = None,
+                 pairing: str = "ordinal") -> DataFrame:
+    """All ventilation attempts: n-th intubation with n-th extubation, or with ``pairing='next_after'`` each
+    intubation with the extubation that follows it. An encounter that
     begins on IMV gets a start at its first row when no intubation was seen or an extubation
     comes first. Failed attempts are flagged and the real ones renumbered (0 for failed)."""
+    if pairing not in ("ordinal", "next_after"):
+        raise ValueError(f"unknown pairing {pairing}")
     up, down, first = events or tube_events(resp, order, block)
     fu = up.groupBy(block).agg(F.min("intubation_start_dttm").alias("_fu"))
     fd = down.groupBy(block).agg(F.min("extubation_end_dttm").alias("_fd"))
@@ -154,10 +170,13 @@ def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_m
              .where(F.col("_fu").isNull() | (F.col("_fd") <= F.col("_fu")))
              .select(block, F.col("first_dttm").alias("intubation_start_dttm"), "_tie", F.lit(True).alias("is_synthetic")))
     starts = up.withColumn("is_synthetic", F.lit(False)).unionByName(synth)
-    starts = Ordered(starts, [block], ["intubation_start_dttm", "_tie"]).row_number("_n").apply().drop("_tie")
-    ends = Ordered(down, [block], ["extubation_end_dttm", "_tie"]).row_number("_n").apply().drop("_tie")
-    ep = starts.join(ends, [block, "_n"], "left").withColumn(
-        "episode_duration_hours", hours_between("intubation_start_dttm", "extubation_end_dttm"))
+    if pairing == "next_after":
+        ep = pair_next_after(starts, down, [block], "intubation_start_dttm", "extubation_end_dttm", "_tie").withColumnRenamed("_tie", "_n")
+    else:
+        starts = Ordered(starts, [block], ["intubation_start_dttm", "_tie"]).row_number("_n").apply().drop("_tie")
+        ends = Ordered(down, [block], ["extubation_end_dttm", "_tie"]).row_number("_n").apply().drop("_tie")
+        ep = starts.join(ends, [block, "_n"], "left")
+    ep = ep.withColumn("episode_duration_hours", hours_between("intubation_start_dttm", "extubation_end_dttm"))
     ep = ep.withColumn("is_failed_attempt", F.coalesce(F.col("episode_duration_hours") * 60 < failed_minutes, F.lit(False)))
     real = F.when(~F.col("is_failed_attempt"), F.lit(1).cast("long"))
     ep = materialise(ep, "episodes")
@@ -166,10 +185,10 @@ def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_m
 
 
 def extubation_summary(resp: DataFrame, enc: DataFrame, order: list[str], block: str = BLOCK,
-                       failed_minutes: float = 5, admit_hours: float = 24) -> DataFrame:
+                       failed_minutes: float = 5, admit_hours: float = 24, pairing: str = "ordinal") -> DataFrame:
     """One row per ventilated encounter: first episode, reintubation, 48 h failure, status."""
     events = tube_events(resp, order, block)
-    ep = imv_episodes(resp, order, block, failed_minutes, events)
+    ep = imv_episodes(resp, order, block, failed_minutes, events, pairing)
     nth = lambda n, c: F.max(F.when(F.col("episode_n") == n, F.col(c)))
     per = ep.groupBy(block).agg(
         nth(1, "intubation_start_dttm").alias("intubation_start_dttm"), nth(1, "extubation_end_dttm").alias("extubation_end_dttm"),
@@ -196,34 +215,54 @@ def extubation_summary(resp: DataFrame, enc: DataFrame, order: list[str], block:
         status.alias("extubation_status"))
 
 
+def window_end(start: str, days: int) -> Column:
+    return F.timestamp_micros(micros(start) + F.lit((days - 1) * 86_400_000_000))
+
+
+def device_cover(resp: DataFrame, enc: DataFrame, on: Column, start: str, order: list[str], block: str = BLOCK, days: int = 28) -> DataFrame:
+    """Time on a device inside the window per encounter: runs, hours, and the end of the last run. A row holds until the next
+    row, the last one until discharge; what reaches over the window is clipped to it and overlapping pieces are
+    merged, so a device that is on at the window's border is on, with or without a row behind it."""
+    e = enc.where(F.col(start).isNotNull()).select(block, "discharge_dttm", F.col(start).alias("_wstart"), window_end(start, days).alias("_wend"))
+    r = resp.withColumn("_on", flag(on)).select(block, *order, "_on")
+    r = Ordered(r, [block], order).lead("_next", "recorded_dttm").apply().where("_on = 1").join(e, block)
+    held = F.greatest("recorded_dttm", F.coalesce("_next", "discharge_dttm", "recorded_dttm"))
+    r = r.select(block, F.greatest("recorded_dttm", "_wstart").alias("_from"), F.least(held, F.col("_wend")).alias("_to"))
+    runs = temporal.interval_union(r, [block], "_from", "_to")
+    return runs.groupBy(block).agg(F.count(F.lit(1)).alias("device_runs"), F.sum(hours_between("_from", "_to")).alias("device_hours"),
+                                   F.max("_to").alias("last_device_end"))
+
+
 def device_free_days(resp: DataFrame, enc: DataFrame, on: Column, start: str, order: list[str], out: str,
-                     block: str = BLOCK, days: int = 28) -> DataFrame:
+                     block: str = BLOCK, days: int = 28, interval_mode: bool = False) -> DataFrame:
     """Free days in a window that opens at the first device row. Death in the window gives
     0, no device end in the window gives all days, still on at its end gives 0, otherwise
     whole calendar days from the last device end. An episode ends where the next row is off
     the device; a run with no end seen inside the window is not counted (known limitation,
-    kept on purpose)."""
-    window_end = F.timestamp_micros(micros(start) + F.lit((days - 1) * 86_400_000_000))
-    e = enc.where(F.col(start).isNotNull()).withColumn("_wend", window_end)
-    r = resp.withColumn("_on", flag(on))
-    r = Ordered(r, [block], order).lead("_next_on", "_on").lead("_next", "recorded_dttm").apply()
-    ends = r.where((F.col("_on") == 1) & (F.coalesce(F.col("_next_on"), F.lit(0)) == 0)).select(block, "recorded_dttm", "_next")
-    ends = ends.join(e.select(block, "discharge_dttm", "_wend"), block).where(F.col("recorded_dttm") <= F.col("_wend"))
-    last = ends.groupBy(block).agg(F.max(F.least(F.coalesce("_next", "discharge_dttm", "recorded_dttm"), "_wend")).alias("_last"))
+    kept on purpose). ``interval_mode`` takes the last end from ``device_cover`` instead, which has that run."""
+    e = enc.where(F.col(start).isNotNull()).withColumn("_wend", window_end(start, days))
+    if interval_mode:
+        last = device_cover(resp, enc, on, start, order, block, days).select(block, F.col("last_device_end").alias("_last"))
+    else:
+        r = resp.withColumn("_on", flag(on))
+        r = Ordered(r, [block], order).lead("_next_on", "_on").lead("_next", "recorded_dttm").apply()
+        ends = r.where((F.col("_on") == 1) & (F.coalesce(F.col("_next_on"), F.lit(0)) == 0)).select(block, "recorded_dttm", "_next")
+        ends = ends.join(e.select(block, "discharge_dttm", "_wend"), block).where(F.col("recorded_dttm") <= F.col("_wend"))
+        last = ends.groupBy(block).agg(F.max(F.least(F.coalesce("_next", "discharge_dttm", "recorded_dttm"), "_wend")).alias("_last"))
     death = F.coalesce(F.col("death_dttm"), F.when(F.col("death_enc") == 1, F.col("discharge_dttm")))
     value = (F.when(death <= F.col("_wend"), 0).when(F.col("_last").isNull(), days).when(F.col("_last") >= F.col("_wend"), 0)
              .otherwise(F.datediff("_wend", "_last")))
     return e.join(last, block, "left").select(block, value.alias(out))
 
 
-def ventilator_free_days(resp: DataFrame, enc: DataFrame, order: list[str], block: str = BLOCK) -> DataFrame:
-    return device_free_days(resp, enc.where("on_vent = 1"), is_imv(), "vent_start_dttm", order, "vfd_28", block)
+def ventilator_free_days(resp: DataFrame, enc: DataFrame, order: list[str], block: str = BLOCK, interval_mode: bool = False) -> DataFrame:
+    return device_free_days(resp, enc.where("on_vent = 1"), is_imv(), "vent_start_dttm", order, "vfd_28", block, interval_mode=interval_mode)
 
 
 def noninvasive_free_days(resp: DataFrame, enc: DataFrame, order: list[str], block: str = BLOCK,
-                          threshold: float = FLOW_MIN, devices: list[str] | None = None) -> DataFrame:
+                          threshold: float = FLOW_MIN, devices: list[str] | None = None, interval_mode: bool = False) -> DataFrame:
     on = support_rule(resp, ["nippv", "cpap"] if devices is None else [d.lower() for d in devices], threshold=threshold)
-    return device_free_days(resp, enc.where("nippv_hfnc_enc = 1"), on, "ni_device_start_dttm", order, "nidfd_28", block)
+    return device_free_days(resp, enc.where("nippv_hfnc_enc = 1"), on, "ni_device_start_dttm", order, "nidfd_28", block, interval_mode=interval_mode)
 
 
 def kaplan_meier(subjects: DataFrame, stratum: str = "stratum", duration: str = "duration", event: str = "event",

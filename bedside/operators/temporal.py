@@ -120,6 +120,52 @@ def interval_join(events: DataFrame, windows: DataFrame, keys: list[str], ts: st
             .where((F.col(ts) >= F.col(start)) & upper).drop("_b"))
 
 
+def _marks(windows: DataFrame, keys: list[str], start: str, end: str, closed: str) -> DataFrame:
+    """Window ends as steps of a running count, combined per key and instant: +1 before the events of the
+    start's instant, -1 after those of the end's (before them where the end is excluded)."""
+    w = windows.na.drop(subset=keys).where(F.col(start) <= F.col(end))
+    after = 2 if closed == "both" else 0
+    steps = F.explode(F.array(F.struct(F.col(start).alias("_t"), F.lit(0).alias("_side"), F.lit(1).cast("long").alias("_d")),
+                              F.struct(F.col(end).alias("_t"), F.lit(after).alias("_side"), F.lit(-1).cast("long").alias("_d"))))
+    return w.select(*keys, steps.alias("_s")).select(*keys, "_s.*").groupBy(*keys, "_t", "_side").agg(F.sum("_d").alias("_d"))
+
+
+def window_depth(events: DataFrame, windows: DataFrame, keys: list[str], ts: str, start: str, end: str,
+                 closed: str = "both", out: str = "n_windows") -> DataFrame:
+    """Every event with the number of windows of its key that hold it, by a sweep: window ends and events meet in
+    one ordered pass and a running sum counts the open windows, so no (event, window) pair is formed however
+    many windows overlap. Events without a time or key lie in no window. ``closed`` as in ``interval_join``."""
+    at = lambda c: F.lit(None).cast("long") if c is None else F.xxhash64(c)
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_e")
+    timed = F.col(ts).isNotNull()
+    for k in keys:
+        timed = timed & F.col(k).isNotNull()
+    ev = events.where(timed).select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_d"), row)
+    both = _marks(windows, keys, start, end, closed).unionByName(ev, allowMissingColumns=True).withColumn(
+        "_tie", F.when(F.col("_side") == 1, at("_e")).otherwise(F.lit(0).cast("long")))
+    rows = Ordered(both, keys, ["_t", "_side", "_tie"]).cumsum("_open", "_d").apply().where("_side = 1")
+    return rows.select("_e.*", F.col("_open").alias(out)).unionByName(
+        events.where(~timed).withColumn(out, F.lit(0).cast("long")))
+
+
+def covered_events(events: DataFrame, windows: DataFrame, keys: list[str], ts: str, start: str, end: str,
+                   closed: str = "both") -> DataFrame:
+    """Events inside at least one window of their key, each once."""
+    depth = window_depth(events, windows, keys, ts, start, end, closed, "_depth")
+    return depth.where("_depth > 0").drop("_depth")
+
+
+def interval_union(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Intervals of a key merged where they overlap or touch: (keys, start, end), disjoint. Those without
+    an end or ending before their start are left out; null keys are one key."""
+    rows = intervals.where(F.col(start) <= F.col(end)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    rows = Ordered(rows, keys, [start]).cummax_before("_reach", end).apply(keep_slice=True)
+    opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
+    rows = materialise(rows.withColumn("_opens", F.when(opens, F.col(start))), "intervals")
+    rows = Ordered(rows, keys, [start]).fill("_first", "_opens").apply()
+    return rows.groupBy(*keys, F.col("_first").alias(start)).agg(F.max(end).alias(end))
+
+
 NO_MATCH = "__no_adt_match__"
 
 
