@@ -354,25 +354,85 @@ def count_entropy(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def normal_tail(z: Column) -> Column:
-    """Upper tail of the standard normal by a published rational approximation of erf
-    (absolute error below 1.5e-7)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    tail = poly * F.exp(-x * x) / 2
+    """Upper tail of the standard normal: the series of positive terms of erf for small arguments, the
+    continued fraction of erfc for large ones."""
+    x = F.abs(z.cast("double")) / F.sqrt(F.lit(2.0))
+    near = F.least(x, F.lit(3.0))
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(near.alias("t"), near.alias("s")), lambda a, n: F.struct(
+        (a["t"] * 2 * near * near / (2 * n + 1)).alias("t"), (a["s"] + a["t"] * 2 * near * near / (2 * n + 1)).alias("s")))["s"]
+    far = F.greatest(x, F.lit(2.0))
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), far, lambda a, k: far + k / F.lit(2.0) / a)
+    root = F.lit(math.sqrt(math.pi))
+    tail = F.when(x < 2.5, 0.5 - terms * F.exp(-near * near) / root).when(x.isNotNull(), F.exp(-far * far) / root / fraction / 2)
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+# Sizes up to which small samples get exact p-values: cells of the lattice and arrangements that doubles count exactly.
+EXACT_CELLS, EXACT_COUNT = 1_000_000, float(1 << 50)
+
+
+def _running(values: Column, step: Column, width: Column) -> Column:
+    """Running sums of an array over every ``step``-th element, by doubling."""
+    doublings = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(width / step, F.lit(1.0)) + 1)).cast("int"))
+    return F.aggregate(doublings, values, lambda a, k: F.transform(
+        a, lambda x, j: x + F.coalesce(F.get(a, j - (step * F.pow(F.lit(2.0), k)).cast("int")), F.lit(0.0))))
+
+
+def ks_exact(n1: Column, n2: Column, statistic: Column) -> Column:
+    """P(D >= statistic) of equal distributions: share of the lattice paths from (0, 0) to (n1, n2) that leave the band
+    |i / n1 - j / n2| < statistic. One row of the lattice is an array; a fold takes it to the next row by running sums
+    within the band, scaled so that the last cell is a share."""
+    n1, n2 = n1.cast("long"), n2.cast("long")
+    edge = F.round(statistic * n1 * n2).cast("long")
+    inside = lambda i, j: F.abs(i * n2 - j * n1) < edge
+    first = F.transform(F.sequence(F.lit(0).cast("long"), n2), lambda j: F.when(inside(F.lit(0), j), 1.0).otherwise(0.0))
+
+    def row(u, i):
+        kept = F.transform(u, lambda x, j: F.when(inside(i, j), x).otherwise(0.0))
+        return F.transform(_running(kept, F.lit(1), n2.cast("double")), lambda x, j: F.when(inside(i, j), x * i / (i + n2)).otherwise(0.0))
+
+    last = F.aggregate(F.sequence(F.lit(1).cast("long"), n1), first, row)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.get(last, n2.cast("int"))))
+
+
+def mann_whitney_exact(n1: Column, n2: Column, u: Column) -> Column:
+    """Two-sided p-value of U without ties: numbers of arrangements per U are the coefficients of the Gaussian binomial,
+    built by one factor (1 - q^(large + i)) / (1 - q^i) after the other."""
+    few, many = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
+    top = few * many
+    one = F.transform(F.sequence(F.lit(0), top), lambda j: F.when(j == 0, 1.0).otherwise(0.0))
+
+    def factor(a, i):
+        up = F.transform(a, lambda x, j: x - F.coalesce(F.get(a, j - many - i), F.lit(0.0)))
+        return _running(up, i, top.cast("double"))
+
+    ways = F.aggregate(F.sequence(F.lit(1), few), one, factor)
+    least = F.least(u, top - u)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    low = total(F.filter(ways, lambda x, j: j <= least))
+    return F.least(F.lit(1.0), 2 * low / total(ways))
+
+
+def arrangements(n1: Column, n2: Column) -> Column:
+    """Ways to choose the places of the smaller sample among all, infinite where they pass what is asked for."""
+    few, many = F.least(n1, n2), F.greatest(n1, n2)
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.least(few, F.lit(1000)), F.lit(1)).cast("long"))
+    return F.aggregate(steps, F.lit(1.0), lambda s, i: s * (many + i) / i)
+
+
 def _two_samples(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     both = a.select(value, F.lit(0).alias("_g")).unionByName(b.select(value, F.lit(1).alias("_g")))
     return both.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
         count_when(F.col("_g") == 0).alias("n1"), count_when(F.col("_g") == 1).alias("n2")).withColumn("_k", F.lit(0))
 
 
-def ks_test(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Largest gap of the two ECDFs; large-sample p-value. The alternating series serves large
+def ks_test(a: DataFrame, b: DataFrame, value: str, exact_cells: int = 0) -> DataFrame:
+    """Largest gap of the two ECDFs; large-sample p-value, or the exact one where n1 * n2 is at most ``exact_cells``
+    (0: never). The alternating series serves large
     arguments, its theta form small ones, where the former needs ever more terms; equal samples have
     p = 1, an empty sample null."""
+    if exact_cells > EXACT_CELLS:
+        raise ValueError(f"exact_cells is at most {EXACT_CELLS}")
     c = _two_samples(a.withColumn(value, F.col(value).cast("double")), b.withColumn(value, F.col(value).cast("double")), value)
     r = (Ordered(c, ["_k"], ["v"], value_slice("v")).cumsum("c1", "n1").cumsum("c2", "n2").total("t1", "n1").total("t2", "n2").apply())
     d = r.groupBy("_k").agg(F.max("t1").alias("n1"), F.max("t2").alias("n2"), F.max(F.abs(
@@ -383,12 +443,18 @@ def ks_test(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     theta = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0.0), lambda s, k: s + F.exp(
         -(2 * k - 1) * (2 * k - 1) * F.lit(math.pi ** 2) / (8 * x * x)))
     p = F.when(x == 0, 1.0).when(x < 1, 1 - F.lit(math.sqrt(2 * math.pi)) / x * theta).when(x.isNotNull(), 2 * series)
-    return d.withColumn("p_value", F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+    p = F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+    if exact_cells:
+        small = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n1") * F.col("n2") <= exact_cells)
+        size = lambda c: F.when(small, F.col(c)).otherwise(1)
+        p = F.when(small, ks_exact(size("n1"), size("n2"), F.col("statistic"))).otherwise(p)
+    return d.withColumn("p_value", p)
 
 
-def mann_whitney(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+def mann_whitney(a: DataFrame, b: DataFrame, value: str, exact: int = 0) -> DataFrame:
     """U of the first sample with tie-averaged ranks; normal approximation with tie and
-    continuity correction."""
+    continuity correction, or the exact p-value where the smaller sample has at most ``exact`` values (0: never), none
+    is tied, and the arrangements are few enough to be counted exactly (2^50, n1 * n2 up to a million)."""
     c = _two_samples(a.withColumn(value, F.col(value).cast("double")), b.withColumn(value, F.col(value).cast("double")), value)
     c = c.withColumn("t", F.col("n1") + F.col("n2"))
     r = Ordered(c, ["_k"], ["v"], value_slice("v")).cumsum("_c", "t").apply()
@@ -400,7 +466,14 @@ def mann_whitney(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     u = F.col("_r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_tie"), n * (n - 1))))
     z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd)  # null where all values are tied, which tells nothing: p = 1
-    return s.withColumns({"statistic": u, "p_value": F.least(F.lit(1.0), 2 * normal_tail(z))}).drop("_r1", "_tie")
+    p = F.least(F.lit(1.0), 2 * normal_tail(z))
+    if exact:
+        a1, a2 = F.col("n1"), F.col("n2")
+        small = ((F.least(a1, a2) > 0) & (F.least(a1, a2) <= exact) & (F.col("_tie") == 0) & (n1 * n2 <= EXACT_CELLS)
+                 & (arrangements(a1, a2) < EXACT_COUNT))
+        size = lambda c: F.when(small, c).otherwise(1)
+        p = F.when(small, mann_whitney_exact(size(a1), size(a2), u)).otherwise(p)
+    return s.withColumns({"statistic": u, "p_value": p}).drop("_r1", "_tie")
 
 
 def chi_square(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

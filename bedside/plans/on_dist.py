@@ -236,9 +236,48 @@ def k18a(spark, sf):
     return rnd(rnd(D.ks_test(*halves(spark, sf, "o_totalprice"), "o_totalprice"), ["statistic"], 8), ["p_value"], 6)
 
 
-@query("k18_mann_whitney", cte=TWO, sql="""SELECT CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n2) AS BIGINT) AS n2, round(sum(n1 * (cc - (n1 + n2) + (n1 + n2 + 1) / 2.0::DOUBLE)) - sum(n1) * (sum(n1) + 1) / 2.0::DOUBLE, 2) AS statistic FROM r""")
+# normal tail by the power series of its integral
+TAIL = """(1 - sqrt(2 / pi()) * (SELECT sum((CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(greatest(z, 1e-300)) - k * ln(2) - lgamma(k + 1)) / (2 * k + 1))
+    FROM (SELECT unnest(range(0, 100)) AS k)))"""
+RANKS = """u0 AS (SELECT CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n2) AS BIGINT) AS n2, sum(n1 * (cc - (n1 + n2) + (n1 + n2 + 1) / 2.0::DOUBLE)) - sum(n1) * (sum(n1) + 1) / 2.0::DOUBLE AS u,
+    sum(pow(n1 + n2, 3) - (n1 + n2)) AS tie FROM r),
+  u1 AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0::DOUBLE - 0.5::DOUBLE) / sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1.0::DOUBLE)))) AS z FROM u0)"""
+
+
+@query("k18_mann_whitney", cte=TWO + ", " + RANKS, sql=f"SELECT n1, n2, round(u, 2) AS statistic, round(least(1, {TAIL}), 6) AS p_value FROM u1")
 def k18b(spark, sf):
-    return rnd(D.mann_whitney(*halves(spark, sf, "o_totalprice"), "o_totalprice"), ["statistic"], 2).drop("p_value")
+    return rnd(rnd(D.mann_whitney(*halves(spark, sf, "o_totalprice"), "o_totalprice"), ["statistic"], 2), ["p_value"], 6)
+
+
+# small samples: balances of the customers of one nation in two market segments
+SMALL = """a AS (SELECT c_acctbal AS v FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'), b AS (SELECT c_acctbal AS v FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'MACHINERY'),
+  """ + TWO[TWO.index("c AS ("):]
+
+
+def segments(spark, sf):
+    c = V.table(spark, sf, "customer").where("c_nationkey = 3")
+    return [c.where(F.col("c_mktsegment") == s).select("c_acctbal") for s in ("BUILDING", "MACHINERY")]
+
+
+# paths of single steps through the lattice, counted per cell, one anti-diagonal after the other
+@query("k18_ks_exact", cte=SMALL + """, d AS (SELECT CAST(max(t1) AS BIGINT) AS n1, CAST(max(t2) AS BIGINT) AS n2, max(abs(c1 * t2 - c2 * t1)) AS edge FROM r)""",
+       sql="""SELECT n1, n2, round(edge / (n1 * n2)::DOUBLE, 8) AS statistic, round(greatest(0, 1 - coalesce((SELECT k FROM (WITH RECURSIVE w AS (
+    SELECT 0::BIGINT AS t, 0::BIGINT AS i, 1.0::DOUBLE AS k FROM d WHERE edge > 0 UNION ALL
+    SELECT t + 1, i + x, sum(k) FROM w, d, (SELECT unnest([0, 1]) AS x) WHERE t < n1 + n2 AND i + x <= n1 AND t + 1 - i - x <= n2 AND abs((i + x) * n2 - (t + 1 - i - x) * n1) < edge GROUP BY ALL)
+    SELECT k FROM w, d WHERE t = n1 + n2)) / exp(lgamma(n1 + n2 + 1) - lgamma(n1 + 1) - lgamma(n2 + 1)), 0)), 6) AS p_value FROM d""")
+def k18ke(spark, sf):
+    return rnd(rnd(D.ks_test(*segments(spark, sf), "c_acctbal", exact_cells=1_000_000), ["statistic"], 8), ["p_value"], 6)
+
+
+# rank sums of all subsets, counted by taking or leaving one rank after the other
+@query("k18_mann_whitney_exact", cte=SMALL + ", " + RANKS + """, sub AS (SELECT * FROM (WITH RECURSIVE w AS (
+    SELECT 0::BIGINT AS t, 0::BIGINT AS c, 0::BIGINT AS s, 1.0::DOUBLE AS k FROM u1 WHERE tie = 0 AND least(n1, n2) <= 20 AND lgamma(n1 + n2 + 1) - lgamma(n1 + 1) - lgamma(n2 + 1) < 50 * ln(2) UNION ALL
+    SELECT t + 1, c + x, s + x * (t + 1), sum(k) FROM w, u1, (SELECT unnest([0, 1]) AS x) WHERE t < n1 + n2 AND c + x <= n1 GROUP BY ALL)
+    SELECT s - n1 * (n1 + 1) // 2 AS u, k FROM w, u1 WHERE t = n1 + n2 AND c = n1)),
+  ex AS (SELECT least(1, 2 * sum(k) FILTER (sub.u >= greatest(u1.u, n1 * n2 - u1.u)) / sum(k)) AS p FROM sub, u1)""",
+       sql=f"SELECT n1, n2, round(u, 2) AS statistic, round(least(1, coalesce(p, {TAIL})), 6) AS p_value FROM u1, ex")
+def k18me(spark, sf):
+    return rnd(rnd(D.mann_whitney(*segments(spark, sf), "c_acctbal", exact=20), ["statistic"], 2), ["p_value"], 6)
 
 
 @query("k18_chi_square", cte="""c AS (SELECT o_orderpriority AS v, count(*) FILTER (o_orderkey % 2 = 0) AS n1, count(*) FILTER (o_orderkey % 2 = 1) AS n2 FROM orders GROUP BY 1),

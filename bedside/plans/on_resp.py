@@ -184,6 +184,23 @@ def f13(spark, sf):
                     F.col("is_failed_attempt").cast("int").alias("failed"), "episode_n")
 
 
+# each start with the first end after it, unless another start comes first
+NEXT_AFTER = TUBE.split("  ep0 AS")[0].rstrip().rstrip(",") + """, na AS (SELECT s.encounter_block, s.s, s.n, s.syn, min(d.e) AS e FROM st s LEFT JOIN dn d
+    ON s.encounter_block = d.encounter_block AND d.e > s.s AND NOT EXISTS (SELECT 1 FROM st z WHERE z.encounter_block = s.encounter_block
+      AND z.n > s.n AND z.s < d.e) GROUP BY ALL),
+  nd AS (SELECT *, (epoch_us(e) - epoch_us(s)) / 3600000000.0::DOUBLE AS dur FROM na), nf AS (SELECT *, coalesce(dur * 60 < 1500, false) AS failed FROM nd)"""
+
+
+@query("f13_next_after_pairs", views="obs", cte=NEXT_AFTER, sql="""SELECT encounter_block, epoch_us(s) AS start_us, epoch_us(e) AS end_us, round(dur, 6) AS hours,
+  CAST(syn AS INTEGER) AS synthetic, CAST(failed AS INTEGER) AS failed,
+  CASE WHEN failed THEN 0 ELSE count(*) FILTER (NOT failed) OVER (PARTITION BY encounter_block ORDER BY s, n ROWS UNBOUNDED PRECEDING) END AS episode_n FROM nf""")
+def f13_next(spark, sf):
+    e = R.imv_episodes(tube(spark, sf), ORDER, failed_minutes=1500, pairing="next_after")
+    return e.select(BLOCK, micros("intubation_start_dttm").alias("start_us"), micros("extubation_end_dttm").alias("end_us"),
+                    F.round("episode_duration_hours", 6).alias("hours"), F.col("is_synthetic").cast("int").alias("synthetic"),
+                    F.col("is_failed_attempt").cast("int").alias("failed"), "episode_n")
+
+
 @query("f14_extubation_summary", views="obs", cte=TUBE + """, inf AS (SELECT encounter_block, min(recorded_dttm) AS adm,
     CASE WHEN encounter_block % 3 > 0 THEN max(recorded_dttm) END AS dis, CASE WHEN encounter_block % 5 = 0 THEN 1 ELSE 0 END AS death FROM obs GROUP BY 1),
   pe AS (SELECT encounter_block, max(s) FILTER (k = 1) AS s1, max(e) FILTER (k = 1) AS e1, max(s) FILTER (k = 2) AS s2,
@@ -227,6 +244,35 @@ def f16(spark, sf):
     return R.noninvasive_free_days(vresp(spark, sf), venc(spark, sf), ORDER)
 
 
+# every device row holds until the next row, clipped to the window; islands of overlapping pieces
+COVER = FREE + """, cv AS (SELECT encounter_block, greatest(recorded_dttm, {start}) AS a,
+    least(greatest(recorded_dttm, coalesce(nx, discharge_dttm, recorded_dttm)), we) AS b FROM fn JOIN fe USING (encounter_block) WHERE o AND recorded_dttm <= we),
+  cw AS (SELECT *, a > max(b) OVER (PARTITION BY encounter_block ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM cv),
+  ci AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY encounter_block ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM cw),
+  cu AS (SELECT encounter_block, island, min(a) AS a, max(b) AS b FROM ci GROUP BY ALL),
+  cl AS (SELECT encounter_block, max(b) AS l FROM cu GROUP BY 1)"""
+VENT, NONINVASIVE = "coalesce(device_category = 'imv', false)", "coalesce(device_category = 'nippv' OR (device_category = 'high flow nc' AND lpm_set >= 30), false)"
+
+
+@query("f15_interval_free_days", views="obs resp", cte=COVER.format(on=VENT, start="vent_start_time"),
+       sql=FREE_SQL.format(out="vfd_28").replace("LEFT JOIN fl", "LEFT JOIN cl"))
+def f15_interval(spark, sf):
+    return R.ventilator_free_days(vresp(spark, sf), venc(spark, sf), ORDER, interval_mode=True)
+
+
+@query("f16_interval_free_days", views="obs resp", cte=COVER.format(on=NONINVASIVE, start="ni_start"),
+       sql=FREE_SQL.format(out="nidfd_28").replace("LEFT JOIN fl", "LEFT JOIN cl"))
+def f16_interval(spark, sf):
+    return R.noninvasive_free_days(vresp(spark, sf), venc(spark, sf), ORDER, interval_mode=True)
+
+
+@query("f15_device_cover", views="obs resp", cte=COVER.format(on=VENT, start="vent_start_time"), sql="""SELECT encounter_block, count(*) AS device_runs,
+  round(sum((epoch_us(b) - epoch_us(a)) / 3600000000.0::DOUBLE), 6) AS device_hours, epoch_us(max(b)) AS last_device_end FROM cu GROUP BY 1""")
+def f15_cover(spark, sf):
+    c = R.device_cover(vresp(spark, sf), venc(spark, sf), R.is_imv(), "vent_start_dttm", ORDER)
+    return us(rnd(c, ["device_hours"]), ["last_device_end"])
+
+
 @query("f17_kaplan_meier", views="obs stay", cte="""sb0 AS (SELECT location_category AS stratum, round((epoch_us(out_dttm) - epoch_us(in_dttm)) / 3600000000.0::DOUBLE, 1) AS t0,
     CASE WHEN value < 30 THEN 1 ELSE 0 END AS e0 FROM stay WHERE out_dttm IS NOT NULL),
   sb AS (SELECT stratum, least(t0, 24) AS t, CASE WHEN t0 > 24 THEN 0 ELSE e0 END AS e FROM sb0),

@@ -84,6 +84,34 @@ def c7(spark, sf):
         F.countDistinct("encounter_block").alias("n_encounters"))
 
 
+# three windows a user that overlap: the whole one, its second half, and one hour at its end
+OVER = """mid AS (SELECT *, make_timestamp((epoch_us(start_dttm) + epoch_us(end_dttm)) // 2) AS m FROM win),
+  ow AS (SELECT encounter_block, start_dttm AS s, end_dttm AS e FROM win UNION ALL SELECT encounter_block, m, end_dttm FROM mid
+    UNION ALL SELECT encounter_block, end_dttm - INTERVAL 1 HOUR, end_dttm FROM win WHERE end_dttm - INTERVAL 1 HOUR >= start_dttm)"""
+
+
+def overlapping_windows(spark, sf):
+    w = V.win(spark, sf)
+    hour = F.expr("end_dttm - INTERVAL 1 HOUR")
+    middle = F.timestamp_micros(F.floor((F.unix_micros("start_dttm") + F.unix_micros("end_dttm")) / 2))
+    starts = F.array_compact(F.array(F.col("start_dttm"), middle, F.when(hour >= F.col("start_dttm"), hour)))
+    return w.select("encounter_block", F.explode(starts).alias("s"), F.col("end_dttm").alias("e"))
+
+
+@query("c7_window_depth", views="obs win", cte=OVER, sql="""SELECT event_id, count(w.s) AS n_windows FROM obs o LEFT JOIN ow w
+  ON o.encounter_block = w.encounter_block AND o.recorded_dttm BETWEEN w.s AND w.e GROUP BY 1""")
+def c7_depth(spark, sf):
+    return T.window_depth(V.obs(spark, sf), overlapping_windows(spark, sf), ["encounter_block"], "recorded_dttm", "s", "e").select("event_id", "n_windows")
+
+
+@query("c7_covered_events", views="obs win", cte=OVER, sql="""SELECT event_id FROM obs o WHERE EXISTS (SELECT 1 FROM ow w
+  WHERE o.encounter_block = w.encounter_block AND o.recorded_dttm >= w.s AND o.recorded_dttm < w.e)""")
+def c7_covered(spark, sf):
+    """Half-open windows, each event once."""
+    return T.covered_events(V.obs(spark, sf).select("encounter_block", "event_id", "recorded_dttm"), overlapping_windows(spark, sf),
+                            ["encounter_block"], "recorded_dttm", "s", "e", closed="left").select("event_id")
+
+
 SHORT_STAY = """st AS (SELECT encounter_block, event_id AS stay_id, in_dttm, least(out_dttm, in_dttm + INTERVAL 2 HOUR) AS out_dttm,
   location_category FROM stay WHERE out_dttm IS NOT NULL)"""
 
