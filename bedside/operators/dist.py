@@ -7,20 +7,22 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bedside.functions.expr import attach, count_when, entropy_bits, hours_between, pct, top_k, union_all
+from bedside.functions.expr import attach, count_when, entropy_bits, hours_between, norm, pct, top_k, union_all
 from bedside.functions.ordered import Ordered, value_slice
 from bedside.functions.quantiles import group_quantiles, with_quantiles
 from bedside.operators import temporal
-from bedside.operators.clean import null_outliers, unit_label
+from bedside.operators.clean import null_outliers, stack, unit_is, unit_label
 from bedside.sources.tables import materialise
 
 PERCENTILES = [5, 10, 25, 50, 75, 90, 95]
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Rows per distinct value and group, counted before anything is shuffled by group."""
+def value_counts(df: DataFrame, keys: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
+    """Rows per distinct value and group, counted before anything is shuffled by group; ``weight`` names
+    the column that says how many rows a row stands for."""
     v = F.col(value).cast("double")
-    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias(value)).agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias(value)).agg(n.alias("n"))
 
 
 def ranked_counts(counts: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -28,9 +30,9 @@ def ranked_counts(counts: DataFrame, keys: list[str], value: str = "value") -> D
     return Ordered(counts, keys, [value], value_slice(value)).cumsum("upto", "n").total("total", "n").apply()
 
 
-def ecdf(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def ecdf(df: DataFrame, keys: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
     """Distinct values with the share of rows at or below them."""
-    r = ranked_counts(value_counts(df, keys, value), keys, value)
+    r = ranked_counts(value_counts(df, keys, value, weight), keys, value)
     return r.select(*keys, value, (F.col("upto") / F.col("total")).alias("probability"))
 
 
@@ -73,16 +75,16 @@ def interval_text() -> Column:
     return F.concat(F.when(F.col("bin_num") == 1, "[").otherwise("("), body)
 
 
-def flat_bins(df: DataFrame, keys: list[str], value: str = "value", bins: int = 10) -> DataFrame:
+def flat_bins(df: DataFrame, keys: list[str], value: str = "value", bins: int = 10, weight: str | None = None) -> DataFrame:
     """Quantile bins without segments; fewer when a group has under two rows per bin."""
-    r = ranked_counts(value_counts(df, keys, value), keys, value)
+    r = ranked_counts(value_counts(df, keys, value, weight), keys, value)
     r = r.withColumn("_b", F.when(F.col("total") < 2 * bins, F.greatest(F.lit(1), F.floor(F.col("total") / 2))).otherwise(bins).cast("int"))
     r = materialise(r, "ranked")
     total = r.groupBy(*keys).agg(F.max("total").alias("_t"))
     return quantile_bins(r, keys, "_b", value).join(total, keys).withColumn("percentage", pct(F.col("count"), F.col("_t"))).drop("_t")
 
 
-def segment_rows(df: DataFrame, config: DataFrame, keys: list[str], on: list[str], value: str = "value") -> DataFrame:
+def segment_rows(df: DataFrame, config: DataFrame, keys: list[str], on: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
     """Rows tagged below / normal / above with the number of bins wanted; limits belong to
     both neighbours. ``config`` has one row per metric: normal_lower, normal_upper,
     outlier_min, outlier_max, bins_below, bins_normal, bins_above."""
@@ -93,19 +95,20 @@ def segment_rows(df: DataFrame, config: DataFrame, keys: list[str], on: list[str
     tags = F.array_compact(F.array(
         seg("below", F.col("outlier_min"), lo, "bins_below", F.col("outlier_min") < lo), seg("normal", lo, hi, "bins_normal", F.lit(True)),
         seg("above", hi, F.col("outlier_max"), "bins_above", hi < F.col("outlier_max"))))
-    return df.join(config, on).withColumn("_s", F.explode(tags)).select(*keys, value, "_s.segment", "_s._want")
+    return df.join(config, on).withColumn("_s", F.explode(tags)).select(
+        *keys, value, *([weight] if weight else []), "_s.segment", "_s._want")
 
 
 def segmented_bins(df: DataFrame, config: DataFrame, keys: list[str], on: list[str], value: str = "value",
-                   extreme_bins: int = 5) -> DataFrame:
+                   extreme_bins: int = 5, weight: str | None = None) -> DataFrame:
     """Quantile bins per segment; the outermost bin of a several-bin segment is split again
     into ``extreme_bins`` quantiles when it has at least twice as many rows. Percentages are
     of the segment."""
     g = [*keys, "segment"]
-    rows = segment_rows(df, config, keys, on, value)
+    rows = segment_rows(df, config, keys, on, value, weight)
     # the wanted number depends on the group, so it can ride along as a key
     gw = [*g, "_want"]
-    r = ranked_counts(value_counts(rows, gw, value), gw, value)
+    r = ranked_counts(value_counts(rows, gw, value, weight), gw, value)
     r = r.withColumn("_b", F.when(F.col("total") < 2 * F.col("_want"), 1).otherwise(F.col("_want")).cast("int"))
     # the ranked values feed six steps below and are far fewer than the rows
     r = materialise(r.drop("_want"), "ranked")
@@ -167,13 +170,43 @@ def unit_issues(classified: DataFrame, binned: DataFrame, ranged: DataFrame) ->
                       gap(binned, "no_bin_config"), gap(ranged, "no_outlier_range")])
 
 
-def windowed_metrics(values: DataFrame, windows: DataFrame, ranges: DataFrame, ident: str, ts: str, metric: str = "metric") -> DataFrame:
+def measurement_stream(labs: DataFrame, vitals: DataFrame, resp: DataFrame, units: dict[str, list[str]], settings: list[str], ident: str,
+                       ts: str, category: str = "category", value: str = "value", unit: str = "reference_unit") -> DataFrame:
+    """Laboratory values in a wanted unit, vital signs and respiratory settings as one stream (id, time, metric, value).
+    A metric carries its source, as in ``labs/lactate``; each source is read once. ``units`` has the units per
+    laboratory category; categories without units are left out."""
+    wanted = F.lit(False)
+    for name, allowed in units.items():
+        wanted = wanted | ((norm(category) == name.lower()) & unit_is(unit, allowed))
+    name = lambda source, c: F.concat(F.lit(f"{source}/"), F.lower(F.trim(c))).alias("metric")
+    one = lambda df, source: df.select(ident, ts, name(source, F.col(category)), F.col(value).cast("double").alias("value"))
+    wide = stack(resp, [ident, ts], settings).select(ident, ts, name("resp", F.col("metric")), "value")
+    return union_all([one(labs.where(wanted), "labs"), one(vitals, "vitals"), wide]).where("metric is not null and value is not null")
+
+
+def windowed_metrics(values: DataFrame, windows: DataFrame, ranges: DataFrame, ident: str, ts: str, metric: str = "metric",
+                     count_once: bool = False) -> DataFrame:
     """Values of every metric inside every stratum's windows, outliers removed: one join for
     all strata and metrics. ``windows`` is (stratum, id, start_dttm, end_dttm), ``ranges``
-    is (metric, outlier_min, outlier_max)."""
-    w = temporal.interval_join(values, windows, [ident], ts, "start_dttm", "end_dttm")
-    return w.join(ranges.select(metric, "outlier_min", "outlier_max"), metric).where(
+    is (metric, outlier_min, outlier_max). A value counts once per window that holds it; with ``count_once`` it counts
+    once per stratum, found by a sweep that forms no (value, window) pair, and the windows' columns are left out."""
+    ranged = lambda v: v.join(ranges.select(metric, "outlier_min", "outlier_max"), metric).where(
         F.col("value").between(F.col("outlier_min"), F.col("outlier_max"))).drop("outlier_min", "outlier_max")
+    if count_once:
+        strata = windows.select(ident, "stratum").distinct()
+        return temporal.covered_events(ranged(values).join(strata, ident), windows, ["stratum", ident], ts, "start_dttm", "end_dttm")
+    return ranged(temporal.interval_join(values, windows, [ident], ts, "start_dttm", "end_dttm"))
+
+
+def metric_panels(values: DataFrame, config: DataFrame, keys: list[str], on: list[str], bins: int = 10) -> DataFrame:
+    """ECDF and bins of every group in one table: ``kind`` is 'ecdf' (value, probability), 'bins' (by segment,
+    for the metrics of ``config``) or 'flat' (plain quantile bins, for all others). The values are counted once; curves
+    and bins start from the written counts, which are far fewer than the rows."""
+    c = materialise(value_counts(values, keys), "counts")
+    others = c.join(config.select(*on).distinct(), on, "left_anti")
+    kinds = {"ecdf": ecdf(c, keys, weight="n"), "bins": segmented_bins(c, config, keys, on, weight="n"),
+             "flat": flat_bins(others, keys, bins=bins, weight="n")}
+    return union_all([df.withColumn("kind", F.lit(k)) for k, df in kinds.items()])
 
 
 def collection_statistics(values: DataFrame, windows: DataFrame, ident: str, ts: str, keys: list[str],

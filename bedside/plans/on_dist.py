@@ -361,12 +361,77 @@ def k25(spark, sf):
     return D.table_info(V.table(spark, sf, "orders"), ["o_custkey"], ["o_orderpriority", "absent"], "o_orderdate")
 
 
-@query("k26_panel", views="obs win", cte=SEG + ", c AS (SELECT stratum, metric, value, count(*) AS n FROM vals GROUP BY ALL)", sql="""SELECT 'bins' AS kind, stratum, count(*) AS n_rows FROM fin WHERE metric = 'view' GROUP BY 2
-  UNION ALL SELECT 'ecdf', stratum, count(*) FROM c WHERE metric = 'view' GROUP BY 2""")
+CELLS = ["segment", "bin_num", "bin_min", "bin_max", "count", "percentage", "value", "probability"]
+CELL_SQL = """SELECT '{kind}' AS kind, stratum, metric, {segment} AS segment, bin_num, round(bin_min, 6) AS bin_min, round(bin_max, 6) AS bin_max, CAST(count AS BIGINT) AS count,
+  round(count * 100.0::DOUBLE / t, 6) AS percentage, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS probability FROM {rows} JOIN {edges} USING ({keys})"""
+CURVE_SQL = """SELECT 'ecdf', stratum, metric, NULL, NULL, NULL, NULL, NULL, NULL, value,
+  round(sum(n) OVER (PARTITION BY stratum, metric ORDER BY value) / sum(n) OVER (PARTITION BY stratum, metric), 8) FROM c"""
+COUNTS = ", c AS (SELECT stratum, metric, value, count(*) AS n FROM {vals} GROUP BY ALL)"
+
+
+def cells(df):
+    """Whole rows of bins and curves, rounded."""
+    return rnd(rnd(df, ["bin_min", "bin_max", "percentage"]), ["probability"], 8).select("kind", *KEYS, *CELLS)
+
+
+@query("k26_panel", views="obs win", cte=SEG + COUNTS.format(vals="vals"), sql="SELECT * FROM (" + CELL_SQL.format(
+    kind="bins", segment="segment", rows="fin", edges="ed", keys="stratum, metric, segment") + " UNION ALL " + CURVE_SQL + ") WHERE metric = 'view'")
 def k26(spark, sf):
     v = materialise(values(spark, sf), "windowed")  # both results read the joined values once
-    p = D.panel(D.segmented_bins(v, config(spark), KEYS, ["metric"]), D.ecdf(v, KEYS), "view", "icu")
-    return p.groupBy("kind", "stratum").agg(F.count(F.lit(1)).alias("n_rows"))
+    return cells(D.panel(D.segmented_bins(v, config(spark), KEYS, ["metric"]), D.ecdf(v, KEYS), "view", "icu"))
+
+
+# three sources of one user: laboratory values in their unit, vital signs, respiratory settings
+STREAM = """ms AS (SELECT encounter_block, recorded_dttm, 'labs/' || category AS metric, value FROM (SELECT *, CASE WHEN setting < 30 THEN ' MG/dL' WHEN setting < 50 THEN NULL
+      WHEN setting < 60 THEN '' ELSE 'mmol/L ' END AS u FROM obs) WHERE (category IN ('view', 'error') AND trim(lower(u)) = 'mg/dl') OR (category = 'click' AND trim(lower(u)) = 'mmol/l')
+    UNION ALL SELECT encounter_block, recorded_dttm, 'vitals/' || category, setting FROM obs
+    UNION ALL SELECT encounter_block, recorded_dttm, 'resp/peep_set', peep_set FROM resp UNION ALL SELECT encounter_block, recorded_dttm, 'resp/lpm_set', lpm_set FROM resp
+    UNION ALL SELECT encounter_block, recorded_dttm, 'resp/fio2_set', fio2_set FROM resp),
+  sw AS (SELECT encounter_block, start_dttm, end_dttm, unnest(['icu', 'icu/even']) AS stratum FROM win),
+  al AS (SELECT stratum, metric, value FROM ms JOIN (SELECT * FROM sw WHERE stratum = 'icu' OR encounter_block % 2 = 0) USING (encounter_block)
+    WHERE recorded_dttm BETWEEN start_dttm AND end_dttm AND value BETWEEN CASE WHEN metric = 'resp/fio2_set' THEN 0.21 ELSE 1 END AND 300)"""
+
+
+def stream(spark, sf):
+    o = V.obs(spark, sf)
+    units = {"view": ["mg/dL"], "error": ["mg/dL"], "click": ["mmol/L"]}
+    return D.measurement_stream(labs(spark, sf), o.withColumn("value", F.col("setting")), V.resp(spark, sf), units,
+                                ["peep_set", "lpm_set", "fio2_set"], BLOCK, "recorded_dttm")
+
+
+def stream_config(spark):
+    """Bins of laboratory values and vital signs; settings have none."""
+    return config(spark).withColumn("metric", F.explode(F.array(*[F.concat(F.lit(f"{s}/"), "metric") for s in ("labs", "vitals")])))
+
+
+def stream_values(spark, sf, count_once=False):
+    w = V.win(spark, sf)
+    w = w.withColumn("stratum", F.explode(F.array_compact(F.array(F.lit("icu"), F.when(F.col(BLOCK) % 2 == 0, "icu/even")))))
+    if count_once:
+        # a second window inside the first: its values still count once
+        w = w.unionByName(w.withColumn("start_dttm", F.timestamp_micros(F.floor((F.unix_micros("start_dttm") + F.unix_micros("end_dttm")) / 2))))
+    names = [(f"{s}/{c}", 1.0, 300.0) for s in ("labs", "vitals") for c in V.LOCATION]
+    r = spark.createDataFrame([*names, ("resp/peep_set", 1.0, 300.0), ("resp/lpm_set", 1.0, 300.0), ("resp/fio2_set", 0.21, 300.0)],
+                              "metric string, outlier_min double, outlier_max double")
+    return D.windowed_metrics(stream(spark, sf), w, r, BLOCK, "recorded_dttm", count_once=count_once).select(*KEYS, "value")
+
+
+FLAT = f""", rs AS (SELECT * FROM al WHERE metric LIKE 'resp/%'), fd AS (SELECT stratum, metric, {_edges('value', 10)} AS e, count(*) AS t FROM rs GROUP BY ALL),
+  """ + _bins("fb", "rs", ["stratum", "metric"], "fd")
+ALL_SOURCES = STREAM + ", vals AS (SELECT * FROM al WHERE metric NOT LIKE 'resp/%'),\n" + SEG[SEG.index("sg AS ("):] + FLAT + COUNTS.format(vals="al")
+
+
+@query("k9_all_sources", views="obs resp win", cte=ALL_SOURCES, sql=CELL_SQL.format(kind="bins", segment="segment", rows="fin", edges="ed", keys="stratum, metric, segment")
+       + " UNION ALL " + CELL_SQL.format(kind="flat", segment="NULL", rows="fb", edges="fd", keys="stratum, metric") + " UNION ALL " + CURVE_SQL)
+def k9_all(spark, sf):
+    return cells(D.metric_panels(stream_values(spark, sf), stream_config(spark), KEYS, ["metric"]))
+
+
+@query("k9_counted_once", views="obs resp win", cte=STREAM + COUNTS.format(vals="al"), sql="SELECT stratum, metric, value, round(probability, 8) AS probability FROM ("
+       + CURVE_SQL.replace("NULL, NULL, NULL, NULL, NULL, NULL, value,", "value,").replace("/ sum(n) OVER (PARTITION BY stratum, metric), 8)", "/ sum(n) OVER (PARTITION BY stratum, metric), 8) AS probability") + ")")
+def k9_once(spark, sf):
+    """Two windows that overlap; every value counts once in a stratum."""
+    return rnd(D.ecdf(stream_values(spark, sf, count_once=True), KEYS), ["probability"], 8)
 
 
 @query("k27_profile_table", views="visit", sql="""SELECT 'location_category' AS "column", location_category AS value, count(*) AS count, round_even(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM visit), 2) AS percentage, NULL AS mean FROM visit GROUP BY 2

@@ -8,7 +8,8 @@ import __spark_entry__ as entry
 from bedside.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SOME = ["c1_encounter_stitching", "d14_mortality_by_stratum", "f15_ventilator_free_days", "g13_charlson", "i10_demographic_crosstab", "j5_small_cells", "k4_flat_bins", "n5_pool_display"]
+SOME = ["c1_encounter_stitching", "d14_mortality_by_stratum", "f15_ventilator_free_days", "g13_charlson", "i10_demographic_crosstab", "j5_small_cells", "k4_flat_bins", "n5_pool_display",
+        "c7_window_depth", "f13_next_after_pairs", "f15_device_cover", "f16_interval_free_days", "k9_counted_once", "k26_panel"]
 
 
 def test_registry():
