@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
 A text is cut by the pattern of the vocabulary. Its distinct pieces become rows
-(piece, position, token), one per byte at first. A recursive query joins neighbouring
-tokens with the merge table, contracts the leftmost pair of least rank of every piece and
-repeats until no piece has a pair left. Decoding joins a buffer's tokens with their bytes and puts those of each text
+(piece, position, token, next position and token), one per byte at first. A recursive query joins neighbouring
+tokens with the merge table, contracts the leftmost pair of least rank of every piece, gives both neighbours
+the new token and repeats until no piece has a pair left. Decoding joins a buffer's tokens with their bytes and puts those of each text
 together by an ordered aggregate. Pieces recur, so they are encoded once each
 and remembered up to a bound of bytes.
 
@@ -28,23 +28,23 @@ from bedside.llm.remembered import Remembered, ends_of
 
 #: Texts are handled in buffers of so many bytes, new words in slices of so many.
 BUFFER_BYTES, SLICE = 1 << 20, 20_000
-#: Bytes of remembered stretches and words in a worker.
-STRETCHES, WORDS = 80 << 20, 40 << 20
+#: Bytes of remembered words in a worker.
+WORDS = 120 << 20
 
 _ENCODE = """
-WITH RECURSIVE t(w, p, id, np, pair, live) AS (
-  SELECT w, p, id, lead(p) OVER (PARTITION BY w ORDER BY p),
-         (id::BIGINT << 32) | lead(id) OVER (PARTITION BY w ORDER BY p), true
-  FROM start
+WITH RECURSIVE t(w, p, id, np, nid, live) AS (
+  SELECT w, p, id, np, nid, true FROM start
   UNION ALL
-  SELECT w, p, id, lead(p) OVER nxt, (id::BIGINT << 32) | lead(id) OVER nxt, live
-  FROM (SELECT t.w, t.p, CASE WHEN t.p = best.hit THEN best.made ELSE t.id END AS id, best.w IS NOT NULL AS live
-        FROM (SELECT * FROM t WHERE live) t
-        LEFT JOIN (SELECT t.w, arg_min(t.p, (m.made::BIGINT << 32) | t.p) AS hit,
+  SELECT t.w, t.p, CASE WHEN t.p = best.hit THEN best.made ELSE t.id END,
+         CASE WHEN t.p = best.hit THEN best.np ELSE t.np END,
+         CASE WHEN t.p = best.hit THEN best.nid WHEN t.np = best.hit THEN best.made ELSE t.nid END, best.w IS NOT NULL
+  FROM (SELECT * FROM t WHERE live) t
+  LEFT JOIN (SELECT c.w, c.hit, c.gone, c.made, g.np, g.nid
+             FROM (SELECT t.w, arg_min(t.p, (m.made::BIGINT << 32) | t.p) AS hit,
                           arg_min(t.np, (m.made::BIGINT << 32) | t.p) AS gone, min(m.made) AS made
-                   FROM t JOIN merges m ON m.pair = t.pair WHERE t.live GROUP BY t.w) best ON best.w = t.w
-        WHERE t.p IS DISTINCT FROM best.gone)
-  WINDOW nxt AS (PARTITION BY w ORDER BY p)
+                   FROM t JOIN merges m ON m.pair = ((t.id::BIGINT << 32) | t.nid) WHERE t.live GROUP BY t.w) c
+             JOIN t g ON g.w = c.w AND g.p = c.gone) best ON best.w = t.w
+  WHERE t.p IS DISTINCT FROM best.gone
 )
 SELECT w, id FROM t WHERE NOT live ORDER BY w, p
 """
@@ -83,20 +83,7 @@ class Coder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM _vocabulary")
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_id = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.ragged = regex.compile(r"^\s|\s$|\s\s").search
         self.words = Remembered(self._words, {"ids": np.int32}, WORDS)
-        self.stretches = Remembered(self._stretches, {"ids": np.int32}, STRETCHES)
-
-    def cut(self, text: str) -> list[str]:
-        """Stretches that the pattern treats apart from each other. Where white space stands alone
-        and never at an end, every space begins a match, so stretches begin at spaces;
-        elsewhere each match is a stretch."""
-        if not text:
-            return []
-        if self.ragged(text):
-            return self.find(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
 
     def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -106,9 +93,11 @@ class Coder:
             n = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
             begin = np.cumsum(n) - n
             w = np.repeat(np.arange(len(part), dtype=np.int32), n)
-            self.db.register("start", pa.table({
-                "w": w, "p": (np.arange(len(w)) - np.repeat(begin, n)).astype(np.int32),
-                "id": self.bytes_id[np.frombuffer(b"".join(part), dtype=np.uint8)]}))
+            p = (np.arange(len(w)) - np.repeat(begin, n)).astype(np.int32)
+            ids = self.bytes_id[np.frombuffer(b"".join(part), dtype=np.uint8)]
+            last = p == np.repeat(n, n) - 1  # the last byte of a word has no neighbour
+            self.db.register("start", pa.table({"w": w, "p": p, "id": ids, "np": pa.array(p + 1, mask=last),
+                                                "nid": pa.array(np.roll(ids, -1), mask=last)}))
             got = self.db.sql(_ENCODE).to_arrow_table()
             self.db.unregister("start")
             flat.append(got["id"].to_numpy())
@@ -126,16 +115,11 @@ class Coder:
         flat[np.repeat(whole < 0, lengths)] = merged
         return {"ids": (lengths, flat)}
 
-    def _stretches(self, new: list[str]) -> dict:
-        words = [self.find(s) for s in new]
-        flat, lengths = self.words.take(list(itertools.chain.from_iterable(words)), "ids")
-        return {"ids": (np.diff(ends_of(lengths, list(map(len, words)))), flat)}
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's end, from 0."""
-        cuts = [self.cut(t or "") for t in texts]
-        flat, lengths = self.stretches.take(list(itertools.chain.from_iterable(cuts)), "ids")
-        return flat, ends_of(lengths, list(map(len, cuts)))
+        pieces = [self.find(t) if t else [] for t in texts]
+        flat, lengths = self.words.take(list(itertools.chain.from_iterable(pieces)), "ids")
+        return flat, ends_of(lengths, list(map(len, pieces)))
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Bytes of each text, by one ordered aggregate over the buffer's tokens."""
