@@ -225,20 +225,30 @@ def sofa_mortality(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def charlson_table(spark: SparkSession) -> DataFrame:
-    rows = [(p, name) for name, (_, text) in CHARLSON.items() for p in text.split()]
-    return spark.createDataFrame(rows, "prefix string, condition string")
+    """(prefix, bits of its conditions in the order of ``CHARLSON``), as an inline table: its size is known
+    when the join is planned, so codes are not shuffled by their few prefixes."""
+    bits: dict[str, int] = {}
+    for i, (_, text) in enumerate(CHARLSON.values()):
+        for p in text.split():
+            bits[p] = bits.get(p, 0) | 1 << i
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{p}', {b}L)" for p, b in bits.items()) + " AS t(prefix, bits)")
 
 
 def charlson(dx: DataFrame, keys: list[str], hierarchy: bool = True, weights: dict[str, int] | None = None) -> DataFrame:
     """17 condition flags and the weighted index per key, ICD-10-CM rows only. Each code
-    meets the short prefix table by equality on its first two, three and four characters."""
+    meets the short prefix table by equality on its first two, three and four characters; conditions
+    travel as bits of one number, combined per key before the shuffle. A null key has no conditions."""
     weights = weights or {n: w for n, (w, _) in CHARLSON.items()}
-    code = F.upper(F.regexp_replace("diagnosis_code", r"\.", ""))
+    code = F.upper(F.translate("diagnosis_code", ".", ""))
     ten = dx.where(F.regexp_replace(F.lower("diagnosis_code_format"), "[^a-z0-9]", "").isin("icd10cm", "icd10"))
-    cand = ten.select(*keys, F.explode(F.array(*[F.substring(code, 1, n) for n in (2, 3, 4)])).alias("prefix")).distinct()
-    hit = cand.join(charlson_table(dx.sparkSession), "prefix")
-    flags = hit.groupBy(*keys).agg(*[any_flag(F.col("condition") == n).alias(n) for n in CHARLSON])
-    out = ten.select(*keys).distinct().join(flags, keys, "left").fillna(0, list(CHARLSON))
+    cand = ten.select(*keys, F.explode(F.array(*[F.substring(code, 1, n) for n in (2, 3, 4)])).alias("prefix"))
+    hit = cand.join(charlson_table(dx.sparkSession), "prefix", "left")
+    bits = hit.groupBy(*keys).agg(F.bit_or("bits").alias("_bits"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    has = lambda i: flag(known & (F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0))
+    out = bits.select(*keys, *[has(i).alias(n) for i, n in enumerate(CHARLSON)])
     if hierarchy:
         out = out.withColumns({m: flag((F.col(m) == 1) & (F.col(s) == 0)) for m, s in HIERARCHY.items()})
     score = F.lit(0)
