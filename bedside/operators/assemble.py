@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bedside.sources.tables import materialise
 
 BLOCK = "encounter_block"
+#: Feature tables that are written at a time, so that the last tasks of one leave no cores idle.
+WRITERS = 4
 
 
 def assemble(base: DataFrame, features: dict[str, DataFrame], required: list[str], key: str = BLOCK) -> DataFrame:
@@ -27,10 +32,14 @@ def assemble(base: DataFrame, features: dict[str, DataFrame], required: list[str
     if absent:
         raise ValueError(f"no feature has {', '.join(absent)}")
     tables = {"base": base, **features}
-    packed = {}
-    for name, f in tables.items():
+
+    def write(item):
+        name, f = item
         own = F.struct(*[F.col(f"`{c}`") for c in f.columns if c != key]).alias(f"_{name}")
-        packed[name] = materialise(f.where(F.col(key).isNotNull()).select(key, own), name)
+        return name, materialise(f.where(F.col(key).isNotNull()).select(key, own), name)
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        packed = dict(pool.map(inheritable_thread_target(base.sparkSession)(write), tables.items()))
     types = {name: f.schema[f"_{name}"].dataType for name, f in packed.items()}
     parts = [f.select(key, *[F.col(f"_{n}") if n == name else F.lit(None).cast(t).alias(f"_{n}") for n, t in types.items()])
              for name, f in packed.items()]
