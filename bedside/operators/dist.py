@@ -31,8 +31,9 @@ def ranked_counts(counts: DataFrame, keys: list[str], value: str = "value") -> D
 
 
 def ecdf(df: DataFrame, keys: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
-    """Distinct values with the share of rows at or below them."""
-    r = ranked_counts(value_counts(df, keys, value, weight), keys, value)
+    """Distinct values with the share of rows at or below them. Counts are written before they are ordered, so that
+    what they are counted from is computed once."""
+    r = ranked_counts(materialise(value_counts(df, keys, value, weight), "counted"), keys, value)
     return r.select(*keys, value, (F.col("upto") / F.col("total")).alias("probability"))
 
 
