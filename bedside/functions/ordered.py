@@ -5,6 +5,8 @@ key's rows are first cut into slices along the order column; the window runs per
 (key, slice) and only one carry row per slice meets the other slices of its key.
 Slices have a fixed width at first; those with more rows than
 ``spark.bedside.slice.rows`` are cut at quantiles of the order columns (``slices``).
+Where no key has more rows than one task orders at ease (``slices.shallow``, counted first), the
+plain window over whole keys gives the same columns in one shuffle and one sort.
 
 Slices are a deterministic function of the row, so the detail and the carry rows
 agree however often Spark recomputes them. The input feeds both sides, so several
@@ -47,7 +49,8 @@ class Ordered:
     its first column must be the one ``slice_col`` was made from. Null keys are one
     key: keys are compared as one struct. ``apply(keep_slice=True)`` leaves key and slice in under names made of
     keys and order, so a following pass over the same finds its rows already placed and does
-    not shuffle again, and a pass over others never mistakes them for its own.
+    not shuffle again, and a pass over others never mistakes them for its own. Keys that were not cut
+    leave a mark instead, and the following pass does not count them again.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str],
@@ -55,6 +58,7 @@ class Ordered:
         self.df, self.keys, self.order = df, list(keys), list(order)
         # names that only a pass over the same keys and order can have left: no input column is taken for them
         self.key, self.slice = f"_key({', '.join(self.keys)})", f"_slice({', '.join([*self.keys, *self.order])})"
+        self.whole = f"_whole({', '.join([*self.keys, *self.order])})"
         # a null order value sorts first, so it gets the lowest slice
         self.slice_col = F.coalesce(time_slice(order[0]) if slice_col is None else slice_col, F.lit(-(1 << 62)))
         self.ops: list[tuple] = []
@@ -99,6 +103,30 @@ class Ordered:
         return self._add("sum", name, F.lit(1).cast("long"))
 
     def apply(self, keep_slice: bool = False) -> DataFrame:
+        known = self.whole in self.df.columns
+        if known or (self.slice not in self.df.columns and slices.shallow(self.df, self.keys)):
+            return self._over_whole_keys(keep_slice)
+        return self._over_slices(keep_slice)
+
+    def _over_whole_keys(self, keep_slice: bool) -> DataFrame:
+        part = [F.col(f"`{k}`") for k in self.keys] or [F.lit(0)]
+        order = [F.col(f"`{o}`") for o in self.order]
+        w = Window.partitionBy(*part).orderBy(*order)
+        upto, earlier = (w.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+        # a frame up to the last row is counted anew for every row, so later rows are looked at in reverse
+        onward = Window.partitionBy(*part).orderBy(*[o.desc_nulls_last() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+        column = {
+            "lag": lambda c, k: F.lag(c, k).over(w), "lead": lambda c, k: F.lead(c, k).over(w),
+            "fill": lambda c, k: F.last(c, True).over(upto), "fillb": lambda c, k: F.last(c, True).over(earlier),
+            "back": lambda c, k: F.last(c, True).over(onward), "sum": lambda c, k: F.sum(c).over(upto),
+            "total": lambda c, k: F.sum(c).over(Window.partitionBy(*part)), "max": lambda c, k: F.max(c).over(upto),
+            "maxb": lambda c, k: F.max(c).over(earlier)}
+        out = [F.col(f"`{c}`") for c in self.df.columns if c not in (self.slice, self.key, self.whole)]
+        if keep_slice:
+            out.append(F.lit(True).alias(self.whole))
+        return self.df.select(*out, *[column[kind](c, k).alias(name) for kind, name, c, k in self.ops])
+
+    def _over_slices(self, keep_slice: bool) -> DataFrame:
         part = [f"`{self.key}`", f"`{self.slice}`"]
         w = Window.partitionBy(*part).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, 0)

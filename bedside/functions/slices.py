@@ -15,6 +15,8 @@ from bedside.sources.tables import materialise
 
 #: Rows a slice should hold at most, and the setting that changes it.
 ROWS, ROWS_CONF = 2_000_000, "spark.bedside.slice.rows"
+#: Rows of a key that are ordered in one task without cutting it, and the hash buckets in which keys are counted.
+KEY_ROWS, BUCKETS = 250_000, 1 << 16
 #: Parts that a slice is cut in, how exact the sketch is, and how often parts are cut again.
 PARTS, ACCURACY, ROUNDS = 64, 2000, 6
 
@@ -30,6 +32,17 @@ def may_exceed(df: DataFrame, target: int) -> bool:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > 2 * target
 
 
+def shallow(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no key has more than ``KEY_ROWS`` rows (nor more than the target of a slice). Rows are counted per hash bucket of the keys,
+    which is at least the count of any key in it: a task sends no more rows than there are buckets, however many keys there are."""
+    most = min(target_rows(df), KEY_ROWS)
+    if not may_exceed(df, most):
+        return True
+    bucket = F.pmod(F.xxhash64(F.lit(0), *[F.col(f"`{k}`") for k in keys]), F.lit(BUCKETS))
+    rows = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
+    return rows is None or rows <= most
+
+
 def coordinates(df: DataFrame, order: list[str]) -> list[Column]:
     """Order columns as numbers, as far as they are numbers or times."""
     out = []
