@@ -185,9 +185,10 @@ def imv_episodes(resp: DataFrame, order: list[str], block: str = BLOCK, failed_m
 
 
 def extubation_summary(resp: DataFrame, enc: DataFrame, order: list[str], block: str = BLOCK,
-                       failed_minutes: float = 5, admit_hours: float = 24, pairing: str = "ordinal") -> DataFrame:
-    """One row per ventilated encounter: first episode, reintubation, 48 h failure, status."""
-    events = tube_events(resp, order, block)
+                       failed_minutes: float = 5, admit_hours: float = 24, pairing: str = "ordinal", events: tuple | None = None) -> DataFrame:
+    """One row per ventilated encounter: first episode, reintubation, 48 h failure, status. ``events`` are those of
+    ``tube_events``, where they are there already."""
+    events = events or tube_events(resp, order, block)
     ep = imv_episodes(resp, order, block, failed_minutes, events, pairing)
     nth = lambda n, c: F.max(F.when(F.col("episode_n") == n, F.col(c)))
     per = ep.groupBy(block).agg(

@@ -24,6 +24,8 @@ UNIT_PATTERNS = [
     (r"^(u|µ|μ)g", "mcg"),
     (r"^g(rams|ram)?", "g"),
 ]
+# Mass rates as they are written without blanks; the patterns leave them as they are.
+MASS_RATES = [f"{m}{per}/{t}" for m in ("mcg", "mg", "g", "ng") for per in ("", "/kg", "/lb") for t in ("hr", "min")]
 LB_PER_KG = 2.20462
 # Norepinephrine equivalents.
 NEE_WEIGHTS = {"norepinephrine": 1.0, "epinephrine": 1.0, "phenylephrine": 0.1, "dopamine": 0.01,
@@ -83,14 +85,14 @@ def clean_unit(unit: str) -> Column:
     c = F.lower(F.regexp_replace(F.col(unit), r"\s+", ""))
     for pattern, plain in UNIT_PATTERNS:
         c = F.regexp_replace(c, pattern, plain)
-    return c
+    return F.when(F.col(unit).isin(MASS_RATES), F.col(unit)).otherwise(c)
 
 
 def _convert(dose, unit, weight) -> Column:
-    d = (F.when(unit.rlike("^mg"), dose * 1000).when(unit.rlike("^g/"), dose * 1_000_000)
-         .when(unit.rlike("^ng"), dose / 1000).otherwise(dose))
-    d = F.when(unit.rlike("/hr$"), d / 60).otherwise(d)
-    return F.when(unit.rlike("/kg"), d).when(unit.rlike("/lb"), d * LB_PER_KG).otherwise(F.when(weight > 0, d / weight))
+    d = (F.when(unit.startswith("mg"), dose * 1000).when(unit.startswith("g/"), dose * 1_000_000)
+         .when(unit.startswith("ng"), dose / 1000).otherwise(dose))
+    d = F.when(unit.endswith("/hr"), d / 60).otherwise(d)
+    return F.when(unit.contains("/kg"), d).when(unit.contains("/lb"), d * LB_PER_KG).otherwise(F.when(weight > 0, d / weight))
 
 
 def convert_doses(meds: DataFrame, weights: DataFrame, keys: list[str] | None = None, ts: str = "admin_dttm",
@@ -108,8 +110,8 @@ def to_preferred_unit(converted: DataFrame, drugs: list[str]) -> DataFrame:
     """Preferred-unit dose with a status; anything not convertible keeps its dose and a
     status other than success."""
     u = F.col("dose_unit_clean")
-    mass = u.rlike("^(mcg|mg|g|ng)(/(kg|lb))?/(hr|min)$")
-    absolute = ~u.rlike("/(kg|lb)/")
+    mass = u.isin(MASS_RATES)
+    absolute = ~(u.contains("/kg/") | u.contains("/lb/"))
     status = (F.when(~F.col("med_category").isin(drugs), "not_requested").when(F.col("med_dose").isNull(), "missing_dose")
               .when(u.isNull() | (u == ""), "missing_unit").when(~mass, "unrecognized_unit")
               .when(absolute & ~F.coalesce(F.col("weight_kg") > 0, F.lit(False)), "missing_weight").otherwise("success"))
@@ -224,26 +226,35 @@ def sofa_mortality(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
                           "ci_upper_95": r2(F.least(p * 100 + margin, F.lit(100.0))), "ci_margin_95": r2(margin)})
 
 
-def charlson_table(spark: SparkSession) -> DataFrame:
-    """(prefix, bits of its conditions in the order of ``CHARLSON``), as an inline table: its size is known
-    when the join is planned, so codes are not shuffled by their few prefixes."""
+def charlson_table(spark: SparkSession, length: int) -> DataFrame:
+    """(prefix, bits of its conditions in the order of ``CHARLSON``) of the prefixes of this length, as an inline table: its size is
+    known when the join is planned, so codes are not shuffled by their few prefixes."""
     bits: dict[str, int] = {}
     for i, (_, text) in enumerate(CHARLSON.values()):
         for p in text.split():
-            bits[p] = bits.get(p, 0) | 1 << i
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{p}', {b}L)" for p, b in bits.items()) + " AS t(prefix, bits)")
+            if len(p) == length:
+                bits[p] = bits.get(p, 0) | 1 << i
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{p}', {b}L)" for p, b in bits.items()) + f" AS t(_p{length}, _b{length})")
+
+
+def _is_ten(code_format: str) -> Column:
+    """ICD-10-CM by its letters and digits, however it is written; the usual spellings need no pattern."""
+    c = F.col(code_format)
+    plain = F.regexp_replace(F.lower(c), "[^a-z0-9]", "").isin("icd10cm", "icd10")
+    return F.when(c.isin("ICD10CM", "icd10cm", "ICD10", "icd10"), True).when(c.isin("ICD9CM", "icd9cm", "ICD9", "icd9"), False).otherwise(plain)
 
 
 def charlson(dx: DataFrame, keys: list[str], hierarchy: bool = True, weights: dict[str, int] | None = None) -> DataFrame:
     """17 condition flags and the weighted index per key, ICD-10-CM rows only. Each code
-    meets the short prefix table by equality on its first two, three and four characters; conditions
+    meets the short prefix tables by equality on its first two, three and four characters, one row all the way; conditions
     travel as bits of one number, combined per key before the shuffle. A null key has no conditions."""
     weights = weights or {n: w for n, (w, _) in CHARLSON.items()}
     code = F.upper(F.translate("diagnosis_code", ".", ""))
-    ten = dx.where(F.regexp_replace(F.lower("diagnosis_code_format"), "[^a-z0-9]", "").isin("icd10cm", "icd10"))
-    cand = ten.select(*keys, F.explode(F.array(*[F.substring(code, 1, n) for n in (2, 3, 4)])).alias("prefix"))
-    hit = cand.join(charlson_table(dx.sparkSession), "prefix", "left")
-    bits = hit.groupBy(*keys).agg(F.bit_or("bits").alias("_bits"))
+    hit, bits = dx.where(_is_ten("diagnosis_code_format")).select(*keys, code.alias("_code")), F.lit(0).cast("long")
+    for n in sorted({len(p) for _, text in CHARLSON.values() for p in text.split()}):
+        hit = hit.withColumn(f"_p{n}", F.substring("_code", 1, n)).join(charlson_table(dx.sparkSession, n), f"_p{n}", "left")
+        bits = bits.bitwiseOR(F.coalesce(F.col(f"_b{n}"), F.lit(0).cast("long")))
+    bits = hit.groupBy(*keys).agg(F.bit_or(bits).alias("_bits"))
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()

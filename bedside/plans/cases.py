@@ -19,7 +19,7 @@ from bedside.operators import report as T
 from bedside.operators import resp as R
 from bedside.operators import severity as S
 from bedside.operators import temporal
-from bedside.operators.assemble import assemble
+from bedside.operators.assemble import assemble, together
 from bedside.plans import views as V
 from bedside.plans.on_cohort import FLAGS
 from bedside.plans.on_resp import INF, TUBE
@@ -45,37 +45,61 @@ def features(spark, sf):
     o = materialise(obs(spark, sf), "cases")
     last = F.coalesce("out_dttm", F.timestamp_micros(micros("in_dttm") + F.lit(3_600_000_000)))
     event = F.col("event_id")
-    adt = V.stay_of(o).withColumns({"out_dttm": last, "hospitalization_id": event, "discharge_category": F.when(event % 41 == 0, "Expired").when(
-        event % 41 == 1, "Hospice").otherwise("Home")})
-    adt = materialise(adt, "stays")
-    on = (F.floor((F.floor(micros("recorded_dttm") / 3_600_000_000) + F.col(BLOCK) * 17) / 40) % 3 == 1) & (F.col("peep_set") > 4)
-    device = F.when(on, "imv").when(F.col("device_category") == "imv", "room air").otherwise(F.coalesce("device_category", F.lit("room air")))
-    resp = materialise(V.resp_of(o).withColumn("device_category", device), "devices")
     med = F.element_at(F.array(*[F.lit(d) for d in DRUGS]), (event % len(DRUGS) + 1).cast("int"))
     drugs = V.meds_of(o, med)
     weights = o.where("category = 'click'").select(BLOCK, "recorded_dttm", (40 + F.col("setting")).alias("weight_kg"))
-    dosed = materialise(S.to_preferred_unit(S.convert_doses(drugs, weights), TARGET), "doses")
+    day, hosp = F.to_date("recorded_dttm"), o.withColumn("hospitalization_id", F.col(BLOCK))
 
-    flags = materialise(H.all_flags(adt, resp, drugs, drugs=["norepinephrine"]), "flags")
+    def stays():
+        return materialise(V.stay_of(o).withColumns({"out_dttm": last, "hospitalization_id": event, "discharge_category": F.when(
+            event % 41 == 0, "Expired").when(event % 41 == 1, "Hospice").otherwise("Home")}), "stays")
+
+    def devices():
+        on = (F.floor((F.floor(micros("recorded_dttm") / 3_600_000_000) + F.col(BLOCK) * 17) / 40) % 3 == 1) & (F.col("peep_set") > 4)
+        device = F.when(on, "imv").when(F.col("device_category") == "imv", "room air").otherwise(F.coalesce("device_category", F.lit("room air")))
+        return materialise(V.resp_of(o).withColumn("device_category", device), "devices")
+
+    # what starts from the events alone; then what starts from stays and devices; then what needs their spans
+    have = together(spark, {
+        "adt": stays, "resp": devices,
+        "doses": lambda: materialise(S.to_preferred_unit(S.convert_doses(drugs, weights), TARGET), "doses"),
+        "cci": lambda: materialise(cci(spark, sf), "conditions"),
+        "sepsis": lambda: materialise(S.adult_sepsis_events(
+            hosp.where("category = 'purchase'").withColumn("culture_day", day),
+            hosp.where("category in ('view', 'click')").withColumns({"dose_day": day, "drug": F.col("category")}),
+            hosp.where("category = 'error' and value > 60").withColumn("dysfunction_day", day)), "sepsis-days")})
+    adt, resp, dosed = have["adt"], have["resp"], have["doses"]
     stay = J.hospital_stay(adt, tie="event_id")
     icu = J.first_icu_stay(adt)
     vent = R.vent_span(resp)
-    enc = materialise(stay.select(BLOCK, F.col("first_in_dttm").alias("admission_dttm"), F.col("last_out_dttm").alias("discharge_dttm"))
-                      .join(flags.select(BLOCK, "death_enc", "nippv_hfnc_enc"), BLOCK).join(vent, BLOCK)
-                      .withColumns({"vent_start_dttm": F.col("vent_start_time"), "death_dttm": F.when(F.col("death_enc") == 1, F.col("discharge_dttm"))}), "spans")
+
+    def spans():
+        flags = materialise(H.all_flags(adt, resp, drugs, drugs=["norepinephrine"]), "flags")
+        return flags, materialise(stay.select(BLOCK, F.col("first_in_dttm").alias("admission_dttm"), F.col("last_out_dttm").alias("discharge_dttm"))
+                                  .join(flags.select(BLOCK, "death_enc", "nippv_hfnc_enc"), BLOCK).join(vent, BLOCK)
+                                  .withColumns({"vent_start_dttm": F.col("vent_start_time"), "death_dttm": F.when(F.col("death_enc") == 1, F.col("discharge_dttm"))}), "spans")
+
+    def scores():
+        window = materialise(S.score_cohort(icu), "windows")
+        filled = R.windowed_fio2(resp, window, ORDER).select(BLOCK, "event_id", "recorded_dttm", "device_category", "fio2_set")
+        i = inputs_of(o)
+        of = lambda *c: i.where(F.col("category").isin(*c))
+        return S.sofa(of("creatinine", "platelet_count", "bilirubin_total", "po2_arterial"), of("map", "spo2"), of("gcs_total"), drugs, weights, filled, window)
+
+    have |= together(spark, {
+        "spans": spans, "sofa": scores, "tube": lambda: R.tube_events(resp, ORDER),
+        "pressor": lambda: H.ed_pressor_flags(adt, drugs, drugs=["norepinephrine"]),
+        "episodes": lambda: J.icu_episodes(adt, ["in_dttm", "event_id"]), "hours": lambda: R.imv_hours(resp, ORDER),
+        "dose": lambda: M.dose_columns(dosed, TARGET, dose="dose_converted"),
+        "nee": lambda: S.norepinephrine_equivalent(dosed.where("convert_status = 'success'"), dose="dose_converted")})
+    flags, enc = have["spans"]
     start = enc.where("vent_start_time is not null").select(BLOCK, F.col("vent_start_time").alias("at"))
-    window = S.score_cohort(icu)
-    filled = R.windowed_fio2(resp, window, ORDER).select(BLOCK, "event_id", "recorded_dttm", "device_category", "fio2_set")
-    i = inputs_of(o)
-    of = lambda *c: i.where(F.col("category").isin(*c))
-    sofa = S.sofa(of("creatinine", "platelet_count", "bilirubin_total", "po2_arterial"), of("map", "spo2"), of("gcs_total"), drugs, weights, filled, window)
-    day, hosp = F.to_date("recorded_dttm"), o.withColumn("hospitalization_id", F.col(BLOCK))
-    sepsis = S.adult_sepsis_events(hosp.where("category = 'purchase'").withColumn("culture_day", day),
-                                   hosp.where("category in ('view', 'click')").withColumns({"dose_day": day, "drug": F.col("category")}),
-                                   hosp.where("category = 'error' and value > 60").withColumn("dysfunction_day", day))
-    ext = R.extubation_summary(resp, enc, ORDER, failed_minutes=300)
-    pressor = H.ed_pressor_flags(adt, drugs, drugs=["norepinephrine"])
-    to_icu = R.time_to_target(pressor.join(icu, BLOCK), BLOCK)
+    have |= together(spark, {
+        "start": lambda: temporal.assign_location(start, adt, [BLOCK], "at"),
+        "extubation": lambda: R.extubation_summary(resp, enc, ORDER, failed_minutes=300, events=have["tube"]),
+        "vfd": lambda: R.ventilator_free_days(resp, enc, ORDER), "nidfd": lambda: R.noninvasive_free_days(resp, enc, ORDER)})
+    sofa, sepsis, ext = have["sofa"], have["sepsis"], have["extubation"]
+    to_icu = R.time_to_target(have["pressor"].join(icu, BLOCK), BLOCK)
     exposure = M.exposure_columns(drugs, DRUGS)
     onset = R.failure_onset(resp).select(BLOCK, "onset_dttm").join(enc.select(BLOCK, "admission_dttm", "discharge_dttm"), BLOCK)
 
@@ -87,20 +111,20 @@ def features(spark, sf):
             BLOCK, F.year("first_in_dttm").alias("admission_year"), F.col("hospital_los_days").alias("hospital_length_of_stay_days"), "first_admission_location"),
         "admission": o.groupBy(BLOCK).agg(F.min_by("category", F.struct(*ORDER)).alias("admission_type_category")),
         "outcomes": outcomes, "icu": icu.select(BLOCK, "first_icu_los_days"),
-        "episodes": J.icu_episodes(adt, ["in_dttm", "event_id"]),
-        "cci": S.charlson_per_encounter(cci(spark, sf), o.select(F.col("event_id").alias("hospitalization_id"), BLOCK)).select(BLOCK, "cci_score", *S.CHARLSON),
+        "episodes": have["episodes"],
+        "cci": S.charlson_per_encounter(have["cci"], o.select(F.col("event_id").alias("hospitalization_id"), BLOCK)).select(BLOCK, "cci_score", *S.CHARLSON),
         "sofa": sofa.select(BLOCK, "sofa_total", *S.SUBSCORES, "p_f", "p_f_imputed"),
         "sepsis": S.sepsis_counts(sepsis, hosp.select(BLOCK, "hospitalization_id").distinct()).select(BLOCK, "sepsis_events_by_sepsis_col"),
         "crrt": S.exposure_flags(o.select(BLOCK).distinct(), {"crrt_flag": o.where("category = 'click' and value > 100")}),
-        "vent": vent.select(BLOCK, "on_vent"), "hours": R.imv_hours(resp, ORDER), "mode": R.initial_mode(resp, ORDER),
-        "start": temporal.assign_location(start, adt, [BLOCK], "at").select(BLOCK, F.col("location_category").alias("first_location_imv")),
+        "vent": vent.select(BLOCK, "on_vent"), "hours": have["hours"], "mode": R.initial_mode(resp, ORDER),
+        "start": have["start"].select(BLOCK, F.col("location_category").alias("first_location_imv")),
         "extubation": ext.select(BLOCK, "time_to_extubation_hours", "extubation_status", flag(F.col("imv_episodes_n") >= 2).alias("reintubated")),
-        "vfd": R.ventilator_free_days(resp, enc, ORDER), "nidfd": R.noninvasive_free_days(resp, enc, ORDER),
+        "vfd": have["vfd"], "nidfd": have["nidfd"],
         "exposure": exposure.select(BLOCK, *[F.col(d).alias(f"{d}_flag") for d in DRUGS], F.greatest(*TARGET).alias("any_vasopressor")),
-        "dose": M.dose_columns(dosed, TARGET, dose="dose_converted").select(BLOCK, *[f"{d}_median" for d in TARGET]),
+        "dose": have["dose"].select(BLOCK, *[f"{d}_median" for d in TARGET]),
         "onset": onset.select(BLOCK, F.lit(1).alias("has_onset"), days_between("admission_dttm", "onset_dttm").alias("pre_device_los_days"),
                               days_between("onset_dttm", "discharge_dttm").alias("post_device_los_days")),
-        "nee": S.norepinephrine_equivalent(dosed.where("convert_status = 'success'"), dose="dose_converted").select(BLOCK, "nee_peak"),
+        "nee": have["nee"].select(BLOCK, "nee_peak"),
         "to_icu": to_icu,
     }
     derived = ["hospice_or_expired", "any_icu_episode", "any_sepsis"]
