@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import hashlib
 import json
+import re
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -154,11 +156,12 @@ def definition_hash(version: str, params: dict) -> str:
 
 def source_signature(df: DataFrame) -> list:
     """Number of files behind a scan, their total size and one hash over (path, size,
-    modification time) of all of them: three numbers however many files there are."""
-    meta = df.select("_metadata.file_path", "_metadata.file_size",
-                     F.unix_micros("_metadata.file_modification_time").alias("mtime")).distinct()
-    return list(meta.agg(F.count(F.lit(1)), F.sum("file_size"), F.bit_xor(
-        F.xxhash64("file_path", "file_size", "mtime"))).first())
+    modification time) of all of them: three numbers however many files there are. Files are listed, no row of them is read."""
+    files = [re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(f)) for f in df.inputFiles()]
+    if not files:
+        return [0, None, None]
+    meta = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", F.unix_micros("modificationTime").alias("mtime"))
+    return list(meta.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "mtime"))).first())
 
 
 def cached_subset(spark: SparkSession, source: DataFrame, make_ids, id_column: str, dest: str,
