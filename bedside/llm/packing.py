@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,16 +117,28 @@ class Slots:
             yield found, start, part, sequence + nth % packs, offset + nth // packs * part
 
 
-#: Stretches of ASCII and Latin-1 letters, which need no Unicode tables, and their words in lower case.
-_PLAIN = re.compile("[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Stretches of ASCII and Latin-1 letters, which need no Unicode tables, and their words in lower case, one stretch a line.
+_PLAIN = "^[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*$"
+_WORDS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\n a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def listed(strings: pa.StringArray) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist()
+
+
+def numbered(strings: pa.StringArray) -> tuple[list[str], np.ndarray]:
+    """The distinct strings, and for every string the number of its own."""
+    coded = strings.dictionary_encode()
+    return listed(coded.dictionary), coded.indices.to_numpy()
 
 
 class Encoder:
     """Ids of stretches without space and line feed: the tokenizer drops white space, and no match spans it.
 
     Plain stretches are lower-cased and cut into words here and their distinct words encoded by the tokenizer's model, where
-    its file says that this is what it does; all other stretches go through the whole tokenizer."""
+    its file says that this is what it does; all other stretches go through the whole tokenizer. Words go to the model as one
+    text with spaces between; its ids are told apart by the suffix of a word's last token, which no word has inside it: a
+    suffix of letters and signs is never in one word."""
 
     def __init__(self, tokenizer_json: str) -> None:
         import tokenizers
@@ -134,8 +147,17 @@ class Encoder:
         spec = json.loads(tokenizer_json)
         self.model = None
         if spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER:
-            self.model = tokenizers.Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-        self.letters = {b: c for c, b in byte_alphabet().items()}
+            self.model = tokenizers.Tokenizer(self.whole.model)
+            self.line = tokenizers.Tokenizer(self.whole.model)
+            self.line.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(" ")
+            vocabulary = spec["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            if spec["model"].get("end_of_word_suffix") == "</w>":
+                self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.letters = np.zeros(256, dtype="<u4")
+        for c, b in byte_alphabet().items():
+            self.letters[b] = ord(c)
+        self.letters[ord(" ")] = ord(" ")
         self.words = Remembered(self._words, {"ids": np.uint32}, WORDS)
 
     @staticmethod
@@ -144,24 +166,51 @@ class Encoder:
         return n, np.fromiter(chain.from_iterable(ids), np.uint32, n.sum())
 
     def _words(self, new: list[str]) -> dict:
-        spelt = [w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in new]
-        return {"ids": self._flat([x.ids for x in self.model.encode_batch_fast(spelt, add_special_tokens=False)])}
+        line = " ".join(new)
+        if not line.isascii():
+            line = self.letters[np.frombuffer(line.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.line.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) == len(new) and stops[-1] == len(ids):
+            return {"ids": (np.diff(stops, prepend=0), ids)}
+        return {"ids": self._flat([x.ids for x in self.model.encode_batch_fast(line.split(" "), add_special_tokens=False)])}
+
+    def _plain(self, stretches: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each plain stretch, and the ids."""
+        words, at = numbered(pa.array(_WORDS.findall("\n".join(listed(stretches)).lower()), pa.string()))
+        numbers = self.words.find([w for w in words if w != "\n"])
+        cut = words.index("\n") if "\n" in words else len(words)
+        cuts, at = np.flatnonzero(at == cut), at[at != cut]
+        flat, lengths = self.words.flat["ids"].at(numbers[at - (at > cut)])
+        before = np.concatenate([[0], np.cumsum(lengths)])  # cuts are not words
+        return np.diff(before[[0, *(cuts - np.arange(len(cuts))), len(lengths)]]), flat
 
     def learn(self, new: list[str]) -> dict:
-        plain = [k for k, s in enumerate(new) if _PLAIN.fullmatch(s) and "<|" not in s] if self.model else []
-        other = sorted(set(range(len(new))) - set(plain))
-        cuts = [_WORDS.findall(new[k].lower()) for k in plain]
-        flat, lengths = self.words.take(list(chain.from_iterable(cuts)), "ids") if cuts else (np.empty(0, np.uint32), np.empty(0, np.int64))
-        n, rest = self._flat([x.ids for x in self.whole.encode_batch_fast([new[k] for k in other], add_special_tokens=False)])
-        counts = np.zeros(len(new), dtype=np.int64)
-        counts[plain], counts[other] = np.diff(ends_of(lengths, list(map(len, cuts)))), n
+        stretches = pa.array(new, pa.string())
+        fit = np.zeros(len(new), dtype=bool)
+        if self.model:
+            fit = pc.and_not(pc.match_substring_regex(stretches, _PLAIN), pc.match_substring(stretches, "<|")).to_numpy(zero_copy_only=False)
+        counts, order = np.zeros(len(new), dtype=np.int64), np.concatenate([np.flatnonzero(fit), np.flatnonzero(~fit)])
+        flat = np.empty(0, np.uint32)
+        if fit.any():
+            counts[fit], flat = self._plain(stretches.filter(pa.array(fit)))
+        counts[~fit], rest = self._flat([x.ids for x in self.whole.encode_batch_fast(listed(stretches.filter(pa.array(~fit))), add_special_tokens=False)])
         # put both in the order of the stretches
-        parts, order = np.concatenate([flat, rest]), np.asarray([*plain, *other], dtype=np.int64)
+        parts = np.concatenate([flat, rest])
         begin = np.empty(len(new), dtype=np.int64)
         begin[order] = np.cumsum(counts[order]) - counts[order]
         return {"ids": (counts, parts[np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())])}
 
 
+def encoded(texts: pa.StringArray, known: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts one after another, and where each text begins and the last one ends. Null counts as empty."""
+    cuts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    stretches, at = numbered(cuts.flatten())
+    numbers = known.find(stretches)  # before its table is looked up: it may be a new one afterwards
+    flat, lengths = known.flat["ids"].at(numbers[at])
+    return flat, ends_of(lengths, pc.list_value_length(cuts).to_numpy())
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Written table of ``_key``, ``doc_tokens``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit, by zstd),
     ``nth`` (number among the pieces of this length in the writing task), ``ids_crc32``, ``task`` and ``piece``."""
@@ -178,9 +227,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         known, seen = None, np.zeros(capacity + 1, dtype=np.int64)
         for batch in common.buffered(batches, "_text", BUFFER_BYTES):
             known = known or Remembered(Encoder(shared.value).learn, {"ids": np.uint32}, STRETCHES)
-            cuts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("_text").to_pylist()]
-            flat, lengths = known.take([s for c in cuts for s in c], "ids")
-            ends = ends_of(lengths, [len(c) for c in cuts])
+            flat, ends = encoded(batch.column("_text"), known)
             flat = np.insert(flat, ends[1:], np.uint32(end_id)).astype("<u4")
             ends = ends + np.arange(len(ends))
             tokens = np.diff(ends)

@@ -1,6 +1,7 @@
 """Packing and token alignment against the tokenizer libraries and brute force."""
 
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from bedside.llm import alignment, common, packing, queries
@@ -116,6 +118,26 @@ def test_packing_holds_the_ids_of_the_tokenizer(spark, capacity, least):
     assert sorted(sequences) == list(range(len(sequences))) and len(sequences) <= total / capacity * 1.04 + 1
 
 
+@pytest.mark.parametrize("suffix", ["</w>", None])
+def test_strings_meet_the_dictionaries_once_a_buffer(suffix):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.loads(f.read())
+    spec["model"]["end_of_word_suffix"] = suffix  # without one the model's ids cannot be told apart by it
+    t, encoder = Tokenizer.from_str(json.dumps(spec)), packing.Encoder(json.dumps(spec))
+    known, sent = Remembered(encoder.learn, {"ids": np.uint32}), []
+    words, encoder.words.learn = encoder.words.learn, lambda new: sent.append(new) or words(new)
+    looked, find = [], known.find
+    known.find = lambda keys: looked.append(keys) or find(keys)
+    texts = [None, "", " ", "\n", "Don't stop,don't", "Caf\u00c9 na\u00efve  </w> a</w>b", "\u5b57 \u0130\u017f <|endoftext|> e\u0301", *odd_texts(), *["the end of the day's end, the end"] * 50]
+    for batch in (texts, texts[::-1], [None], ["the"]):
+        ids, ends = packing.encoded(pa.array(["left out", *batch], pa.string()).slice(1), known)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in batch]
+    assert len(looked) == 4 and all(len(keys) == len(set(keys)) for keys in looked)
+    assert len(sent) == 1 and len(sent[0]) == len(set(sent[0]))
+
+
 def test_packing_of_nothing(spark):
     import public_tokenizers
     assert packing.pack(frame(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
