@@ -413,20 +413,46 @@ def _running(values: Column, step: Column, width: Column) -> Column:
 
 
 def ks_exact(n1: Column, n2: Column, statistic: Column) -> Column:
-    """P(D >= statistic) of equal distributions: share of the lattice paths from (0, 0) to (n1, n2) that leave the band
-    |i / n1 - j / n2| < statistic. One row of the lattice is an array; a fold takes it to the next row by running sums
-    within the band, scaled so that the last cell is a share."""
+    """P(D >= statistic) of equal distributions, for samples of any size: share of the lattice paths from (0, 0) to (n1, n2)
+    that leave the band |i / n1 - j / n2| < statistic. A fold goes from one diagonal i + j = t to the next; its array has the
+    diagonal's cells in the band, each with the chance that a walk with steps in the ratio n1 : n2 is there and has left the band
+    before, and a cell on either side with its whole binomial term, carried as a logarithm. Terms are only added, so small
+    shares keep their digits. It visits 2 * statistic * n1 * n2 cells and holds those of one diagonal. Where Serfling's
+    bound, summed over the diagonals, puts the share below half of the least double, it is 0."""
     n1, n2 = n1.cast("long"), n2.cast("long")
-    edge = F.round(statistic * n1 * n2).cast("long")
-    inside = lambda i, j: F.abs(i * n2 - j * n1) < edge
-    first = F.transform(F.sequence(F.lit(0).cast("long"), n2), lambda j: F.when(inside(F.lit(0), j), 1.0).otherwise(0.0))
-
-    def row(u, i):
-        kept = F.transform(u, lambda x, j: F.when(inside(i, j), x).otherwise(0.0))
-        return F.transform(_running(kept, F.lit(1), n2.cast("double")), lambda x, j: F.when(inside(i, j), x * i / (i + n2)).otherwise(0.0))
-
-    last = F.aggregate(F.sequence(F.lit(1).cast("long"), n1), first, row)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.get(last, n2.cast("int"))))
+    both, zero, never = n1 + n2, F.lit(0).cast("long"), F.lit(float("-inf"))
+    gap = F.round(statistic * n1 * n2).cast("long")
+    edge = F.greatest(gap, zero + 1)
+    p, q = n1 / both, n2 / both
+    whole = lambda x: F.call_function("div", x, both)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+
+    def term(i, t, before, moved):
+        """Logarithm of the binomial term of cell i on diagonal t; ``before`` is that of the last diagonal, at i - 1 if moved."""
+        step = F.when(moved, F.log(t / i * p)).otherwise(F.log(t / (t - i) * q))
+        return F.when((i < 0) | (i > t), never).when(i == 0, t * F.log(q)).when(i == t, t * F.log(p)).otherwise(before + step)
+
+    def onward(a, t):
+        first = F.greatest(whole(F.greatest(t * n1 - edge + both, zero)), t - n2)
+        last = F.least(whole(t * n1 + edge - 1), n1, t)
+
+        def diagonal(d):
+            skip, cells = (d["first"] - a["first"]).cast("int") + 1, (d["last"] - d["first"] + 1).cast("int")
+            left = F.zip_with(F.slice(a["left"], skip, cells), F.slice(a["left"], skip + 1, cells), lambda x, y: x * d["p"] + y * d["q"])
+            return F.struct(d["first"].alias("first"), d["last"].alias("last"), d["low"].alias("low"), d["high"].alias("high"),
+                            F.concat(F.array(F.exp(d["low"])), left, F.array(F.exp(d["high"]))).alias("left"))
+
+        return let(F.struct(first.alias("first"), last.alias("last")), lambda d: let(F.struct(
+            d["first"].alias("first"), d["last"].alias("last"), p.alias("p"), q.alias("q"),
+            term(d["first"] - 1, t, a["low"], d["first"] > a["first"]).alias("low"),
+            term(d["last"] + 1, t, a["high"], d["last"] > a["last"]).alias("high")), diagonal))
+
+    start = F.struct(zero.alias("first"), zero.alias("last"), never.alias("low"), never.alias("high"),
+                     F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("left"))
+    # the last diagonal has one cell in the band, (n1, n2); its binomial term follows from that of its neighbour
+    share = let(F.aggregate(F.sequence(zero + 1, both), start, onward), lambda a: F.get(a["left"], 1) * F.exp(-a["low"]) * n2 / (n2 + 1))
+    far = 2.0 * edge * edge / both / n1 / (n2 + 1) > 746 + F.log(2.0 * both)
+    return F.when(gap <= 0, 1.0).when(far, 0.0).otherwise(F.least(F.lit(1.0), share))
 
 
 def mann_whitney_exact(n1: Column, n2: Column, u: Column) -> Column:
@@ -460,13 +486,13 @@ def _two_samples(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
         count_when(F.col("_g") == 0).alias("n1"), count_when(F.col("_g") == 1).alias("n2")).withColumn("_k", F.lit(0))
 
 
-def ks_test(a: DataFrame, b: DataFrame, value: str, exact_cells: int = 0) -> DataFrame:
+def ks_test(a: DataFrame, b: DataFrame, value: str, exact_cells: int | None = 0) -> DataFrame:
     """Largest gap of the two ECDFs; large-sample p-value, or the exact one where n1 * n2 is at most ``exact_cells``
-    (0: never). The alternating series serves large
+    (0: never, None: whatever the sizes). The alternating series serves large
     arguments, its theta form small ones, where the former needs ever more terms; equal samples have
     p = 1, an empty sample null."""
-    if exact_cells > EXACT_CELLS:
-        raise ValueError(f"exact_cells is at most {EXACT_CELLS}")
+    if exact_cells is not None and exact_cells > EXACT_CELLS:
+        raise ValueError(f"exact_cells is at most {EXACT_CELLS}, or None for all sizes")
     c = _two_samples(a.withColumn(value, F.col(value).cast("double")), b.withColumn(value, F.col(value).cast("double")), value)
     r = (Ordered(c, ["_k"], ["v"], value_slice("v")).cumsum("c1", "n1").cumsum("c2", "n2").total("t1", "n1").total("t2", "n2").apply())
     d = r.groupBy("_k").agg(F.max("t1").alias("n1"), F.max("t2").alias("n2"), F.max(F.abs(
@@ -478,10 +504,12 @@ def ks_test(a: DataFrame, b: DataFrame, value: str, exact_cells: int = 0) -> Dat
         -(2 * k - 1) * (2 * k - 1) * F.lit(math.pi ** 2) / (8 * x * x)))
     p = F.when(x == 0, 1.0).when(x < 1, 1 - F.lit(math.sqrt(2 * math.pi)) / x * theta).when(x.isNotNull(), 2 * series)
     p = F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
-    if exact_cells:
-        small = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n1") * F.col("n2") <= exact_cells)
-        size = lambda c: F.when(small, F.col(c)).otherwise(1)
-        p = F.when(small, ks_exact(size("n1"), size("n2"), F.col("statistic"))).otherwise(p)
+    if exact_cells is None or exact_cells:
+        exact = (F.col("n1") > 0) & (F.col("n2") > 0)
+        if exact_cells is not None:
+            exact &= F.col("n1") * F.col("n2") <= exact_cells
+        size = lambda c: F.when(exact, F.col(c)).otherwise(1)
+        p = F.when(exact, ks_exact(size("n1"), size("n2"), F.col("statistic"))).otherwise(p)
     return d.withColumn("p_value", p)
 
 
